@@ -1,0 +1,159 @@
+"""Usage, latency, decisions, accuracy, cost, calibration and routing over fact tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scores import clamp, math_round, rate
+
+DECISIONS = ("auto_accept", "accept_with_warning", "human_review", "reject")
+# Assumed unit prices in US dollars.
+ENGINE_PRICES = {"rapidocr": 0.0015, "paddle": 0.002, "doctr": 0.003, "google": 0.05, "azure": 0.045}
+ADJUDICATED_FIELD_PRICE = 0.0035
+
+
+def in_range(ledger: DataFrame, start: str, end: str) -> DataFrame:
+    """Both ends included; a null time is outside."""
+    return ledger.where(F.col("created_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+
+
+def usage_totals(ledger: DataFrame) -> DataFrame:
+    """Terminal documents, bytes over all events, distinct non-null submissions."""
+    return ledger.agg(
+        F.coalesce(F.sum(F.when(F.col("terminal"), F.col("units"))), F.lit(0)).cast("long").alias("terminal_documents"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("ingested_bytes"),
+        F.count_distinct("submission_id").alias("submissions"),
+    )
+
+
+def usage_by(ledger: DataFrame, key: Column, name: str) -> DataFrame:
+    """Terminal units of each key; a null key is unclassified."""
+    return ledger.where("terminal").groupBy(F.coalesce(key, F.lit("unclassified")).alias(name)).agg(F.sum("units").cast("long").alias("documents"))
+
+
+def latency(ledger: DataFrame, *by: str) -> DataFrame:
+    """p50, p90, p99 as sorted[floor((n - 1) * r)] and the mean, halves up, of terminal latencies.
+
+    Ranks come from a window, so no group is gathered into one array.
+    """
+    rows = ledger.where("terminal and latency_ms is not null")
+    w = Window.partitionBy(*by)
+    ranked = rows.select(*by, "latency_ms", F.row_number().over(w.orderBy("latency_ms")).alias("rank"), F.count("*").over(w).alias("n"))
+    at = lambda r: F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * r) + 1, F.col("latency_ms")))
+    return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), math_round(F.avg("latency_ms")).cast("long").alias("mean"), F.count("*").alias("n"))
+
+
+def decisions(ledger: DataFrame, *by: str) -> DataFrame:
+    """The four decisions, the total with all others in it, and three rates; no rows, rate 0."""
+    n = {d: F.count_if(F.col("decision") == d) for d in DECISIONS}
+    total = F.count("*")
+    return ledger.groupBy(*by).agg(
+        *(n[d].alias(d) for d in DECISIONS),
+        total.alias("total"),
+        F.round(rate(n["auto_accept"], total), 6).alias("straight_through_rate"),
+        F.round(rate(n["human_review"], total), 6).alias("review_rate"),
+        F.round(rate(n["reject"], total), 6).alias("reject_rate"),
+    )
+
+
+def accuracy(documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """Per family: fields and corrected fields; children are summed up before they are joined, so nothing fans out."""
+    per = fields.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if("corrected").alias("c"))
+    rows = documents.join(per, "document_id", "left")
+    corrected, whole = F.sum(F.coalesce("c", F.lit(0))), F.sum(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
+    return rows.groupBy("family").agg(
+        F.count("*").alias("documents"), corrected.alias("corrected_fields"), whole.alias("total_fields"),
+        F.round(1 - rate(corrected, whole), 4).alias("accuracy"), F.round(rate(corrected, whole), 4).alias("correction_rate"),
+    )
+
+
+def processing_cost(engines: Column, adjudicated: Column) -> Column:
+    """Price of each distinct engine, unknown ones free, and of each adjudicated field."""
+    price = F.create_map(*[F.lit(x) for kv in ENGINE_PRICES.items() for x in kv])
+    each = F.transform(F.array_distinct(engines), lambda e: F.coalesce(F.element_at(price, F.lower(e)), F.lit(0.0)))
+    return F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) + ADJUDICATED_FIELD_PRICE * adjudicated, 6)
+
+
+def recommendation(reviewed: Column, false_accepts: Column, correction: Column, agreement: Column, review: Column) -> Column:
+    return (
+        F.when(reviewed < 5, "collect_more_reviews")
+        .when((false_accepts > 0) | ((correction > 0.18) & (agreement < 0.88)), "tighten_auto_accept")
+        .when((review > 0.55) & (correction < 0.08) & (agreement > 0.9), "reduce_manual_review")
+        .otherwise("stable")
+    )
+
+
+def calibration(documents: DataFrame) -> DataFrame:
+    """Per pack, over (pack_id, ord, family, decision, reviewed, corrected, n_fields, agreement, confidence).
+
+    Null confidence counts as 0; the family is that of the pack's first document.
+    """
+    n, reviewed = F.count("*"), F.count_if("reviewed")
+    false_accepts = F.count_if((F.col("decision") == "auto_accept") & F.col("reviewed") & (F.col("corrected") > 0))
+    correction = rate(F.sum(F.when(F.col("reviewed"), F.col("corrected")).otherwise(0)), F.sum(F.when(F.col("reviewed"), F.greatest("n_fields", F.lit(1))).otherwise(0)))
+    agreement, review = F.coalesce(F.avg("agreement"), F.lit(0.0)), rate(F.count_if(F.col("decision") == "human_review"), n)
+    return documents.groupBy("pack_id").agg(
+        F.min_by("family", "ord").alias("family"), n.alias("documents"), reviewed.alias("reviewed"), false_accepts.alias("false_accepts"),
+        F.round(correction, 4).alias("correction_rate"), F.round(agreement, 4).alias("agreement"), F.round(review, 4).alias("review_rate"),
+        F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 4).alias("confidence"),
+        recommendation(reviewed, false_accepts, correction, agreement, review).alias("recommendation"),
+    )
+
+
+def threshold_recommendation(insights: DataFrame) -> DataFrame:
+    """Thresholds for packs that aren't stable, clamped; a zero average starts at 0.85."""
+    start = F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.85))
+    step = F.when(F.col("recommendation") == "tighten_auto_accept", 0.03).when(F.col("recommendation") == "reduce_manual_review", -0.02).otherwise(0.0)
+    return insights.where("recommendation <> 'stable'").select("pack_id", "recommendation", F.round(clamp(start + step, 0.75, 0.98), 4).alias("auto_accept_confidence"))
+
+
+def routing_scores(results: DataFrame) -> DataFrame:
+    """Weighted score of each strategy, cost against the dearest; the first of the best is recommended."""
+    cost = F.coalesce(F.try_divide("cost", F.max("cost").over(Window.partitionBy())), F.lit(0.0))
+    score = 0.6 * F.col("exact") + 0.2 * F.col("stp") + 0.15 * F.col("agreement") + 0.05 * (1 - F.col("review")) - 0.12 * cost
+    scored = results.withColumn("score", F.round(score, 6))
+    best = F.row_number().over(Window.orderBy(F.desc("score"), "ord")) == 1
+    return scored.withColumn("recommended", best)
+
+
+def leaderboard(results: DataFrame) -> DataFrame:
+    """Rank is position: ties get different ranks, by strategy."""
+    order = Window.orderBy(F.desc("exact"), F.desc("stp"), F.desc("confidence"), "strategy")
+    return results.withColumn("rank", F.row_number().over(order))
+
+
+def learning_queue(documents: DataFrame, top: int = 25) -> DataFrame:
+    """Documents most worth a review, by additive score above 0; null confidence counts as 1."""
+    c = F.coalesce("confidence", F.lit(1.0))
+    score = 18 * F.col("corrected") + 8 * F.col("disagreements") + 5 * F.col("low_agreement") + 6 * F.col("abstained")
+    score = score + F.when(c < 0.85, 6).otherwise(0) + F.when(F.col("decision") == "human_review", 8).otherwise(0)
+    score = score + F.when((F.col("decision") == "auto_accept") & (F.col("corrected") > 0), 20).otherwise(0)
+    return documents.withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), "document_id").limit(top)
+
+
+def snapshot_diff(snapshots: DataFrame, key: str, value: str, action: str = "action") -> DataFrame:
+    """Latest less previous snapshot of each action and key; an action with less than two has none."""
+    w = Window.partitionBy(action, key).orderBy(F.desc("created_at"), F.desc("id"))
+    two = snapshots.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    both = two.groupBy(action, key).agg(F.max(F.when(F.col("rn") == 1, F.col(value))).alias("latest"), F.max(F.when(F.col("rn") == 2, F.col(value))).alias("previous"), F.count("*").alias("n"))
+    return both.where("n = 2").select(action, key, "latest", "previous", F.round(F.col("latest") - F.col("previous"), 6).alias("change"))
+
+
+def ops_snapshot(documents: DataFrame) -> DataFrame:
+    """One row: status counts, mean confidence with null as 0, review share."""
+    n = F.count("*")
+    return documents.agg(
+        n.alias("documents"),
+        *(F.count_if(F.col("status") == s).alias(f"status_{s}") for s in ("queued", "processing", "completed", "review", "rejected")),
+        F.round(rate(F.sum(F.coalesce("confidence", F.lit(0.0))), n), 6).alias("mean_confidence"),
+        F.round(rate(F.count_if(F.col("status") == "review"), n), 6).alias("review_share"),
+    )
+
+
+def monthly_cost(volumes: DataFrame, shares: dict[str, tuple[float, float]]) -> DataFrame:
+    """Volume times the mix's average price, in decimals, half up."""
+    unit = sum((F.lit(f"{s:.4f}").cast("decimal(10,4)") * F.lit(f"{p:.6f}").cast("decimal(10,6)") for s, p in shares.values()), F.lit("0").cast("decimal(10,4)"))
+    return volumes.select("volume", F.round(unit, 6).cast("decimal(12,6)").alias("unit_cost"), F.round(F.col("volume").cast("decimal(12,0)") * unit, 2).cast("decimal(18,2)").alias("monthly_cost"))
+
+

@@ -1,0 +1,66 @@
+"""Declarative rules: predicates make issues, and a cascade over them makes the decision."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import is_missing
+
+
+def issue(when: Column, kind: str, severity: str, field: str) -> Column:
+    return F.when(when, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(field).alias("field")))
+
+
+def issues(*found: Column) -> Column:
+    return F.array_compact(F.array(*found))
+
+
+def missing_field(field: str, critical: bool) -> Column:
+    return issue(is_missing(field), "missing_field", "high" if critical else "medium", field)
+
+
+def count_of(all_issues: Column, severity: str) -> Column:
+    return F.size(F.filter(all_issues, lambda i: i["severity"] == severity))
+
+
+def base_confidence(confidence: Column, classification: Column) -> Column:
+    return F.greatest(0.82 * confidence + 0.18 * classification, confidence - 0.02)
+
+
+def certificate_decision(base: Column, confidence: Column, high: Column, medium: Column, blockers: Column, auto: float = 0.90, warn: float = 0.76, reject: float = 0.40) -> Column:
+    return (
+        F.when(confidence < reject, "reject").when(high > 0, "human_review").when((medium > 0) & (base < 0.8), "human_review")
+        .when((blockers == 0) & (base >= auto), "auto_accept").when(base >= warn, "accept_with_warning").otherwise("human_review")
+    )
+
+
+def passport_decision(base: Column, confidence: Column, high: Column, medium: Column, blockers: Column, hits: Column, auto: float = 0.93, warn: float = 0.82, reject: float = 0.40) -> Column:
+    """Three zone hits or more lower the bar by 0.03, not under 0.88."""
+    bar = F.greatest(F.lit(0.88), F.lit(auto) - F.when(hits >= 3, 0.03).otherwise(0.0))
+    return (
+        F.when(confidence < reject, "reject").when(high > 0, "human_review").when((blockers == 0) & (base >= bar), "auto_accept")
+        .when((base >= warn) & (medium <= 1), "accept_with_warning").otherwise("human_review")
+    )
+
+
+def identity_decision(base: Column, high: Column, medium: Column, complete: Column, country: Column, cross_side: Column, agreement: Column, run_valid: Column, mrz_valid: Column, tenant: Column, auto: float = 0.94, warn: float = 0.80, reject: float = 0.40, agree: float = 0.76) -> Column:
+    """Signals lower the automatic bar, not under 0.84, only where no tenant sets its own."""
+    less = F.when(run_valid, 0.03).otherwise(0.0) + F.when(mrz_valid, 0.04).otherwise(0.0) + F.when(cross_side, 0.01).otherwise(0.0)
+    bar = F.when(tenant.isNull(), F.greatest(F.lit(0.84), F.lit(auto) - less)).otherwise(F.lit(auto))
+    known = country.isin("CL", "PE", "CO")
+    return (
+        F.when(base < reject, "reject").when(high > 0, "human_review")
+        .when(known & complete & (base >= bar) & (agreement >= agree) & (medium == 0), "auto_accept")
+        .when((medium > 0) & (base >= warn) & complete, "accept_with_warning").when((base >= warn) & known & complete, "accept_with_warning").otherwise("human_review")
+    )
+
+
+def decision_status(decision: Column | str) -> Column:
+    d = F.col(decision) if isinstance(decision, str) else decision
+    return F.when(d.isin("auto_accept", "accept_with_warning"), "completed").when(d == "reject", "rejected").when(d == "human_review", "review").otherwise("processing")
+
+
+def merge_issues(rows: DataFrame) -> DataFrame:
+    """By id: a later issue overrides, at the first one's place."""
+    return rows.groupBy("document_id", "issue_id").agg(F.min("ord").alias("place"), F.max_by("severity", "ord").alias("severity"))
