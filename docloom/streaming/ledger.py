@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """A watermark needs a time with a zone; stored times are UTC."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def deduped(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """First event of each key; state is held as long as events may be late."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def daily_usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def work_cycles(jobs: DataFrame, handle, checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
