@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -65,39 +65,87 @@ def class_top(c: int, percent: int) -> int:
 
 
 def pieces(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's pieces, for its own class and the one below; linked sets share one at least."""
+    """Hashes of the set's pieces, for its own class and the one below; linked sets share one at least.
+
+    A piece without shingles says nothing, and most sets have some. So there are
+    a few pieces more than needed: of two linked sets more than ``spare`` pieces
+    are equal, and if either has no more empty ones than that, one that is equal
+    has shingles. Only sets with more empty pieces give those too.
+    """
     c = size_class(len(s), percent)
     out = []
     for cls in {c, max(c - 1, 0)}:
         # sets of class cls and cls + 1: |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|)
         most = class_top(cls, percent) + class_top(cls + 1, percent)
         k = (100 - percent) * most // (100 + percent) + 1
+        spare = -(-k // 10)
+        k += spare
         part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # ascending, as s is
-        first = np.searchsorted(part, np.arange(k, dtype=np.uint64))
+        first = np.append(np.searchsorted(part, np.arange(k, dtype=np.uint64)), len(s))
         total = np.concatenate([[np.uint64(0)], np.cumsum(ta.mix(s))])
-        value = total[np.append(first[1:], len(s))] - total[first]
-        out.append(ta.mix(value + ta.mix(np.arange(k, dtype=np.uint64) + np.uint64((cls + 1) << 32))))
+        value = ta.mix(total[first[1:]] - total[first[:-1]] + ta.mix(np.arange(k, dtype=np.uint64) + np.uint64((cls + 1) << 32)))
+        full = first[1:] > first[:-1]
+        out.append(value[full] if k - full.sum() <= spare else value)
     return np.concatenate(out)
 
 
-def scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, pieces): the set's fingerprint in 128 bits and its pieces."""
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    if not len(s):
+        return 0, 0
+    return int(ta.signed(ta.mix(s).sum(keepdims=True))[0]), int(ta.signed(np.bitwise_xor.reduce(ta.mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)), keepdims=True))[0])
+
+
+def scan(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2): the set's size and its fingerprint in 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in ta.slices(whole, "text"):
                 sets = shingle_sets(ta.column(b, "text"), n)
-                f1 = [int(ta.signed(ta.mix(s).sum(keepdims=True))[0]) if len(s) else 0 for s in sets]
-                f2 = [int(ta.signed(np.bitwise_xor.reduce(ta.mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)), keepdims=True))[0]) if len(s) else 0 for s in sets]
-                cut = [ta.signed(pieces(s, percent)) if len(s) else np.zeros(0, np.int64) for s in sets]
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(cut)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists],
-                    ["doc_id", "n_shingles", "f1", "f2", "pieces"],
-                )
+                prints = [fingerprint(s) for s in sets]
+                cols = [[len(s) for s in sets], [f[0] for f in prints], [f[1] for f in prints]]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "f1", "f2"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+
+
+#: Text whose pieces a task sums up before they are shuffled.
+COMBINED_BYTES = 8 << 20
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, pieces array<long>")
+
+def shared_pieces(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between doc_ids that share a piece: each with the least one.
+
+    A task gives each piece once for all the rows it combines, and edges between
+    those; equal sets among them give theirs once. So a piece that a large group
+    shares reaches the shuffle a few times.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in ta.slices(whole, "text", COMBINED_BYTES):
+                seen, cut, ids = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for part in ta.slices(b, "text"):
+                    for i, s in zip(part.column(0).to_pylist(), shingle_sets(ta.column(part, "text"), n), strict=True):
+                        if len(s) and (f := fingerprint(s)) not in seen:
+                            seen.add(f)
+                            cut.append(pieces(s, percent))
+                            ids.append(np.full(len(cut[-1]), i, np.int64))
+                p, i = np.concatenate(cut), np.concatenate(ids)
+                order = np.lexsort((i, p))
+                p, i = p[order], i[order]
+                new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
+                least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+                again = ~new & (i != least)
+                edges = np.unique(np.stack([least[again], i[again]], 1), axis=0)
+                one = pa.array(np.concatenate([ta.signed(p[new]), edges[:, 0] * 31 + edges[:, 1]]))
+                other = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(edges[:, 0])])
+                yield pa.RecordBatch.from_arrays([one, pa.array(np.concatenate([i[new], edges[:, 1]])), other], ["piece", "b", "other"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "piece long, b long, other long")
+    # the least of a piece is the first of its sorted rows: nothing is gathered
+    least = F.first(F.when(F.col("other").isNull(), F.col("b")), True).over(Window.partitionBy("piece").orderBy("b"))
+    return rows.select(F.coalesce("other", least).alias("a"), "b").where("a <> b").distinct()
 
 
 class SignatureTree:
@@ -160,6 +208,8 @@ def _bits(sets: list[np.ndarray]) -> int:
     return min(1 << 14, max(256, 1 << (4 * largest - 1).bit_length()))
 
 
+#: Roots are dealt again while this share of them was joined; what then is left apart is compared exactly.
+SHRINK = 0.2
 #: Pairs of nodes looked at together.
 WAVE = 1 << 12
 
@@ -242,7 +292,7 @@ def _join_blocks(blocks: DataFrame, n: int, percent: int) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shingles: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     Two documents link when 100 * |x & y| >= percent * |x | y| over their n-word
@@ -252,23 +302,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     A null doc_id stays a row with its n_shingles and a null component_id.
     ``cell_shingles`` bounds what a task holds; a longer document is alone.
     """
-    seen = settle(scan(docs, n, percent))
+    seen = settle(scan(docs, n))
     # equal sets are one node, under their least doc_id
     own = seen.where("n_shingles > 0 and doc_id is not null")
     nodes = own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    cut = own.groupBy("f1", "f2", "n_shingles").agg(F.min_by("pieces", "doc_id").alias("pieces"), F.min("doc_id").alias("id")).select("id", F.explode("pieces").alias("piece"))
-    least = cut.groupBy("piece").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("piece", "a")
-    near = cut.join(least, "piece").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    cells = settle(components(near).withColumnRenamed("component", "cell"))
-    size = cells.join(nodes, "id").groupBy("cell").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("k"))
+    by_set = own.join(nodes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "id")
+    near = components(shared_pieces(docs, n, percent)).withColumnsRenamed({"id": "doc_id", "component": "cell"})
+    cells = by_set.join(near, "doc_id").select("id", "n_shingles", "cell").distinct()
+    size = cells.groupBy("cell").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("k"), F.count_distinct("id").alias("members")).where("members > 1")
+    cells = settle(cells.join(size, "cell").select("id", "cell", "k").distinct())
     # a row of text for each member of a cell; a doc_id with several texts has several nodes
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(cells.join(size, "cell"), "id").dropDuplicates(["id", "text"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(cells, "id").dropDuplicates(["id", "text"])
     texts = texts.select("cell", "k", "id", "text", F.pmod(F.xxhash64("id", F.lit(1)), "k").cast("int").alias("part"))
     label = F.col("id").alias("label")
-    links = settle(_join_blocks(texts.select(F.struct("cell", "part").alias("block"), "id", "text", label, F.lit(0).alias("side")), n, percent))
-    if size.where("k > 1").limit(1).count():
-        links = _join_large_cells(texts.where("k > 1"), links, n, percent, cell_shingles)
-    by_set = own.select("doc_id", "f1", "f2", "n_shingles").join(nodes, ["f1", "f2", "n_shingles"])
+    blocks = texts.select("k", F.struct("cell", "part").alias("block"), "id", "text", label, F.lit(0).alias("side"))
+    if cells.where("k > 1").limit(1).count():
+        large = settle(_join_blocks(blocks.where("k > 1").drop("k"), n, percent))
+        links = settle(_join_blocks(blocks.where("k = 1").drop("k"), n, percent)).union(_join_large_cells(texts.where("k > 1"), large, n, percent, cell_shingles))
+    else:
+        links = settle(_join_blocks(blocks.drop("k"), n, percent))
     # a doc_id may carry several sets: all of them are one document
     twice = by_set.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     whole = components(links.union(twice))
@@ -284,16 +336,15 @@ def _join_large_cells(texts: DataFrame, links: DataFrame, n: int, percent: int,
     """Links across the blocks of cells that have several."""
     texts = settle(texts)
     block = F.struct("cell", "part").alias("block")
-    # roots of what is linked, dealt again, until each cell's roots fit one block
+    # roots of what is linked, dealt again, until each cell's roots fit one block or few of them still join
     for salt in range(2, 40):
         now = _labelled(texts, links)
         roots = now.where("id = label")
         k = roots.groupBy("cell").agg(F.ceil(F.sum(F.length("text")) / (cell_shingles * 4)).cast("int").alias("kk"))
         roots = settle(roots.join(k, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(salt)), "kk").cast("int")))
         new = settle(_join_blocks(roots.select(block, "id", "text", "label", F.lit(0).alias("side")), n, percent))
-        several, some = roots.where("kk > 1").limit(1).count(), new.limit(1).count()
         links = links.union(new)
-        if not several or not some:
+        if not roots.where("kk > 1").limit(1).count() or new.count() < SHRINK * roots.count():
             break
     now = settle(_labelled(texts, links))
     # members outside a cell's largest group meet each of its blocks, once
