@@ -14,11 +14,15 @@ shingles, the hash range is dealt into k + 1 pieces; two linked sets are equal
 in one piece at least. Sets with an equal piece, through any chain of such
 sets, form a cell, and only inside a cell can there be links. Cells hold a few
 documents each, and each one's tree is walked in a task. A cell above
-``cell_shingles`` is dealt into blocks: each block is joined with itself, then
-the roots of what was linked are dealt and joined again until they fit one
-block; at last the members that ended outside the cell's largest group meet
-every block. So a group of near-copies of any size costs work in proportion to
-its members, no pair is lost, and no task holds more than two blocks.
+``cell_shingles`` is dealt into blocks by size class, and within a class by
+hash: each block is joined with itself, then the roots of what was linked in a
+class of several blocks are dealt and joined again until they fit one block; at
+last the members that ended outside the cell's largest group meet the blocks of
+their own and the adjacent classes, the only ones whose sizes can reach the
+threshold. So a group of near-copies of any size costs work in proportion to
+its members, no pair is lost, and no task holds more than two blocks. What
+grows faster than a cell is the meeting of its different texts: a class of m
+blocks has up to m * m / 2 of them.
 """
 
 from __future__ import annotations
@@ -269,10 +273,10 @@ def _sets_of(texts: pd.Series, n: int) -> list[np.ndarray]:
     return out
 
 
-def _join_blocks(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+def _join_blocks(blocks: DataFrame, n: int, percent: int, inside: bool = True) -> DataFrame:
     """Links (a, b) inside each block of (block, id, text, label, side), between different labels.
 
-    side 0: against all of the block; side 1: only against side 0.
+    side 0: against all of the block, or without ``inside`` against side 1 alone; side 1: only against side 0.
     """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -283,8 +287,8 @@ def _join_blocks(blocks: DataFrame, n: int, percent: int) -> DataFrame:
             for k in rows[1:]:
                 groups.join(groups.find(int(rows[0])), groups.find(int(k)))
         one, two = np.flatnonzero(block["side"] == 0), np.flatnonzero(block["side"] == 1)
-        links = tree_join(sets, one, None, groups, percent)
-        if len(two):
+        links = tree_join(sets, one, None, groups, percent) if inside else []
+        if len(one) and len(two):
             links += tree_join(sets, one, two, groups, percent)
         ids = block["id"].tolist()
         return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in links], dtype="int64"), "b": pd.Series([ids[y] for _, y in links], dtype="int64")})
@@ -308,12 +312,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     nodes = own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
     by_set = own.join(nodes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "id")
     near = components(shared_pieces(docs, n, percent)).withColumnsRenamed({"id": "doc_id", "component": "cell"})
-    cells = by_set.join(near, "doc_id").select("id", "n_shingles", "cell").distinct()
+    cells = by_set.join(near, "doc_id").select("id", "n_shingles", "cell", _sql_class("n_shingles", percent).alias("cls")).distinct()
     size = cells.groupBy("cell").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("k"), F.count_distinct("id").alias("members")).where("members > 1")
-    cells = settle(cells.join(size, "cell").select("id", "cell", "k").distinct())
+    # a cell of several blocks is dealt by size class, and a class by hash
+    of_class = cells.groupBy("cell", "cls").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("kc"))
+    cells = settle(cells.join(size, "cell").join(of_class, ["cell", "cls"]).select("id", "cell", "k", "cls", "kc").distinct())
     # a row of text for each member of a cell; a doc_id with several texts has several nodes
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(cells, "id").dropDuplicates(["id", "text"])
-    texts = texts.select("cell", "k", "id", "text", F.pmod(F.xxhash64("id", F.lit(1)), "k").cast("int").alias("part"))
+    part = F.when(F.col("k") > 1, F.col("cls") * CLASS_STEP + F.pmod(F.xxhash64("id", F.lit(1)), "kc")).otherwise(F.lit(0))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(cells.withColumn("part", part), "id").dropDuplicates(["id", "text", "part"])
     label = F.col("id").alias("label")
     blocks = texts.select("k", F.struct("cell", "part").alias("block"), "id", "text", label, F.lit(0).alias("side"))
     if cells.where("k > 1").limit(1).count():
@@ -332,26 +338,41 @@ def _labelled(texts: DataFrame, links: DataFrame) -> DataFrame:
     return texts.join(components(links), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
+#: A block's number is its size class times this, and its place among the blocks of that class.
+CLASS_STEP = 1 << 32
+
+
+def _sql_class(size: str, percent: int):
+    """size_class of a column."""
+    return F.floor(F.log(F.col(size)) / math.log(100 / percent) + 1e-9)
+
+
 def _join_large_cells(texts: DataFrame, links: DataFrame, n: int, percent: int, cell_shingles: int) -> DataFrame:
     """Links across the blocks of cells that have several."""
     texts = settle(texts)
     block = F.struct("cell", "part").alias("block")
-    # roots of what is linked, dealt again, until each cell's roots fit one block or few of them still join
+    # roots of what is linked in a class of several blocks, dealt again, until they fit one block or few of them still join
     for salt in range(2, 40):
-        now = _labelled(texts, links)
-        roots = now.where("id = label")
-        k = roots.groupBy("cell").agg(F.ceil(F.sum(F.length("text")) / (cell_shingles * 4)).cast("int").alias("kk"))
-        roots = settle(roots.join(k, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(salt)), "kk").cast("int")))
+        roots = _labelled(texts.where("kc > 1"), links).where("id = label")
+        k = roots.groupBy("cell", "cls").agg(F.ceil(F.sum(F.length("text")) / (cell_shingles * 4)).cast("int").alias("kk"))
+        dealt = F.col("cls") * CLASS_STEP + F.pmod(F.xxhash64("id", F.lit(salt)), "kk")
+        roots = settle(roots.join(k, ["cell", "cls"]).withColumn("part", dealt))
+        if not roots.limit(1).count():
+            break
         new = settle(_join_blocks(roots.select(block, "id", "text", "label", F.lit(0).alias("side")), n, percent))
         links = links.union(new)
         if not roots.where("kk > 1").limit(1).count() or new.count() < SHRINK * roots.count():
             break
-    now = settle(_labelled(texts, links))
-    # members outside a cell's largest group meet each of its blocks, once
+    now = _labelled(texts, links).select("cell", "part", "id", "text", "label")
     most = now.groupBy("cell", "label").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    odd = now.join(most, "cell").where("label <> main")
-    odd = odd.select("cell", "id", "text", "label", F.col("part").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    one = odd.select(F.struct("cell", "part", "mine").alias("block"), "id", "text", "label", F.lit(0).alias("side")).where("block.part <> block.mine")
-    met = one.select("block").distinct().select("block", F.col("block.cell").alias("cell"), F.col("block.part").alias("part"))
-    two = now.join(met, ["cell", "part"]).select("block", "id", "text", "label", F.lit(1).alias("side"))
-    return settle(links.union(_join_blocks(one.unionByName(two), n, percent)))
+    now = settle(now.join(most, "cell").withColumn("odd", F.col("label") != F.col("main")).drop("main"))
+    # members outside a cell's largest group meet the blocks whose sizes may link; two of them in the later block alone
+    there = now.groupBy("cell", "part").agg(F.bool_or("odd").alias("has_odd"), F.bool_or(~F.col("odd")).alias("has_main"))
+    mine = there.where("has_odd").select("cell", F.col("part").alias("mine"))
+    near = F.abs(F.shiftright("part", 32) - F.shiftright("mine", 32)) <= 1
+    met = there.join(mine, "cell").where(near & (F.col("part") != F.col("mine")))
+    met = met.withColumn("all", F.col("has_odd") & (F.col("part") > F.col("mine"))).where("all or has_main")
+    met = settle(met.select("cell", "part", "mine", "all", F.struct("cell", "part", "mine").alias("block")))
+    one = now.where("odd").withColumnRenamed("part", "mine").join(met, ["cell", "mine"]).select("block", "id", "text", "label", F.lit(0).alias("side"))
+    two = now.join(met, ["cell", "part"]).where("all or not odd").select("block", "id", "text", "label", F.lit(1).alias("side"))
+    return settle(links.union(_join_blocks(one.unionByName(two), n, percent, inside=False)))

@@ -145,6 +145,20 @@ def test_jaccard(spark, rows, n, percent, cell):
     assert got == jaccard_model(rows, n, percent)
 
 
+@pytest.mark.parametrize("cell", [150, 900])
+def test_jaccard_across_size_classes(spark, cell):
+    rnd = random.Random(7)
+    # chains that grow over many size classes, and texts that share only a passage with them
+    base = [[f"{c}w{k}" for k in range(400)] for c in "abc"]
+    rows = [(1000 * c + k, " ".join(base[c][: 20 + 4 * k])) for c in range(3) for k in range(40)]
+    rows += [(5000 + k, " ".join(base[k % 3][:30] + [f"x{rnd.randrange(300)}" for _ in range(60)])) for k in range(60)]
+    rows += [(6000 + k, rows[k * 2][1] + " tail") for k in range(50)] + [(7000 + k, rows[60][1]) for k in range(40)]
+    rnd.shuffle(rows)
+    for n, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.jaccard_components(table(spark, rows), n, percent, cell).collect()}
+        assert got == jaccard_model(rows, n, percent)
+
+
 def test_jaccard_of_nothing(spark):
     assert sigtree.jaccard_components(table(spark, [])).count() == 0
     got = sigtree.jaccard_components(table(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")])).collect()
