@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import fleet, records  # noqa: F401  registers the queries
+from .plans import bindings, fleet, records  # noqa: F401  registers the queries
 from .plans.registry import QUERIES, SQL
 
 

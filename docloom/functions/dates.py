@@ -59,10 +59,10 @@ def sequence_valid(birth: Column | str, issue: Column | str, expiry: Column | st
 
 
 def mrz_date(c: Column | str, pivot: int = 40) -> Column:
-    """yyMMdd; years up to the pivot are of 2000."""
+    """yyMMdd; years below the pivot are of 2000."""
     c = col(c)
     year = F.substr(c, F.lit(1), F.lit(2))
-    century = F.when(year.cast("int") <= pivot, "20").otherwise("19")
+    century = F.when(year.cast("int") < pivot, "20").otherwise("19")
     return F.when(c.rlike(r"^\d{6}$"), F.concat(century, year, F.lit("-"), F.substr(c, F.lit(3), F.lit(2)), F.lit("-"), F.substr(c, F.lit(5), F.lit(2))))
 
 

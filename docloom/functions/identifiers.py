@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_value, col
+from .text import clean_value, col, is_missing, strip_accents
 
 
 def run_digit(body: Column | str) -> Column:
@@ -62,4 +62,7 @@ def canonical_document_number(country: Column | str, c: Column | str) -> Column:
 
 
 def passport_number(c: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(F.upper(col(c)), r"\b([A-Z]{1,2}\d{6,8})\b", 1), F.lit(""))
+    """The number inside the text, else the text cleaned and in capitals; null if it stands for a missing value."""
+    cleaned = clean_value(c)
+    found = F.nullif(F.regexp_extract(F.upper(strip_accents(cleaned)), r"\b([A-Z]{1,2}\d{7,8})\b", 1), F.lit(""))
+    return F.when(~is_missing(cleaned), F.coalesce(found, F.upper(cleaned)))

@@ -55,7 +55,28 @@ def risk_band(score: Column | str) -> Column:
     return F.when(col(score) >= 0.82, "low").when(col(score) >= 0.62, "medium").otherwise("high")
 
 
-def capture_conditions(quality, blur, glare, crop) -> Column:
-    """Ordered tags of what is wrong with a capture."""
-    tags = F.array(F.when(col(blur) > 0.5, "blur"), F.when(col(glare) > 0.5, "glare"), F.when(col(crop) < 0.7, "cropped"), F.when(col(quality) < 0.45, "low_quality"))
-    return F.array_compact(tags)
+def capture_conditions(quality, blur, glare, crop, coverage, skew, perspective) -> Column:
+    """Ordered tags of how a page was captured; clean if nothing else holds."""
+    quality, blur, glare, crop, coverage = map(col, (quality, blur, glare, crop, coverage))
+    clean = (quality >= 0.86) & (blur < 0.2) & (glare < 0.18) & (crop >= 0.95)
+    tags = F.array_compact(F.array(
+        F.when(clean, "clean"), F.when(quality < 0.8, "low_quality"), F.when(blur >= 0.24, "blur"), F.when(glare >= 0.24, "glare"), F.when((crop < 0.94) | (coverage < 0.82), "cropped"),
+        F.when(coverage < 0.58, "small_document_in_frame"), F.when(coverage < 0.58, "needs_zoom_crop"), F.when(F.abs(col(skew)) >= 2.5, "tilt"), F.when(col(perspective), "perspective"),
+        F.when((quality < 0.72) & (glare < 0.18), "low_light"), F.when((quality < 0.58) | (blur >= 0.36), "extreme_low_quality"),
+    ))
+    return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("clean")))
+
+
+def issue_penalty(high, medium, other) -> Column:
+    """0.09, 0.045 and 0.02 for an issue by severity, 0.35 at most."""
+    return F.least(F.lit(0.35), 0.09 * col(high) + 0.045 * col(medium) + 0.02 * col(other))
+
+
+def validation_confidence(high, medium, other) -> Column:
+    return F.round(clamp(0.96 - issue_penalty(high, medium, other), 0.05, 0.99), 3)
+
+
+def confidence_reasons(quality, ocr, consensus, integrity, penalty) -> Column:
+    """What a document's confidence rests on, in that order; nulls and a penalty of 0 say nothing."""
+    named = (("quality", col(quality)), ("ocr", col(ocr)), ("consensus", col(consensus)), ("integrity", col(integrity)), ("validation_penalty", F.when(col(penalty) > 0, col(penalty))))
+    return F.array_compact(F.array(*(F.when(c.isNotNull(), F.format_string(f"{name}=%.2f", c.cast("double"))) for name, c in named)))

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 # Latin letters with marks, and without.
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
 PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOooooo UUUUuuuuYyy".replace(" ", "")
-# Texts that stand for a missing value.
-MISSING = ("", "N/A", "NA", "NULL", "NONE", "-", "NO DISPONIBLE", "POR CONFIRMAR", "NO DETECTADO")
+# Texts that stand for a missing value, and one more in rules.
+MISSING = ("", "-", "NO DETECTADO", "NO DETECTADA", "NO DETECTADOS", "NO DETECTADAS", "PENDING")
+MISSING_IN_RULES = (*MISSING, "NOMBRE POR CONFIRMAR")
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once a row however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip_accents(c: Column | str) -> Column:
     return F.translate(col(c), ACCENTED, PLAIN)
 
@@ -34,8 +40,13 @@ def clean_value(c: Column | str) -> Column:
     return F.nullif(F.btrim(F.regexp_replace(col(c), r"\s+", " "), F.lit(" :-")), F.lit(""))
 
 
-def is_missing(c: Column | str) -> Column:
-    return F.coalesce(F.upper(F.trim(col(c))).isin(*MISSING), F.lit(True))
+def is_missing(c: Column | str, values: tuple[str, ...] = MISSING) -> Column:
+    return F.coalesce(F.upper(F.trim(col(c))).isin(*values), F.lit(True))
+
+
+def is_missing_in_pages(c: Column | str) -> Column:
+    """As ``is_missing``, and whatever begins with SIN, without, and a blank."""
+    return is_missing(c) | F.coalesce(F.upper(F.trim(col(c))).startswith("SIN "), F.lit(True))
 
 
 def mask_ends(c: Column | str, first: int = 2, last: int = 2) -> Column:
@@ -102,3 +113,23 @@ def redact_inline(c: Column | str) -> Column:
     c = F.regexp_replace(col(c), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
     c = F.regexp_replace(c, r"\b\d{1,2}\.\d{3}\.\d{3}-[\dkK]\b", "<run>")
     return F.regexp_replace(c, r"\b\d{8,}\b", "<number>")
+
+
+def split_given_name(c: Column | str, given: list[str]) -> tuple[Column, Column]:
+    """(given name, rest) of names written as one word: the longest listed name it starts with, if more than two letters follow.
+
+    Else the whole is the rest, from four letters up.
+    """
+    bare = F.regexp_replace(F.upper(strip_accents(c)), "[^A-Z]", "")
+    first = F.nullif(F.regexp_extract(bare, f"^({'|'.join(sorted(given, key=len, reverse=True))})(?=.{{3}})", 1), F.lit(""))
+    rest = F.when(first.isNotNull(), F.substr(bare, F.length(first) + 1)).when(F.length(bare) >= 4, bare)
+    return first, rest
+
+
+def split_surnames(c: Column | str, surnames: list[str]) -> Column:
+    """Listed surnames, the longest first, as long as the word goes on with one; then what is left."""
+    bare = F.regexp_replace(F.upper(strip_accents(c)), "[^A-Z]", "")
+    listed = "|".join(sorted(surnames, key=len, reverse=True))
+    whole = F.regexp_extract(bare, f"^((?:{listed})*+)", 1)
+    found = F.regexp_extract_all(whole, F.lit(f"({listed})"), F.lit(1))
+    return F.filter(F.concat(found, F.array(F.substr(bare, F.length(whole) + 1))), lambda x: x != "")

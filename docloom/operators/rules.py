@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_missing
+from ..functions.text import MISSING_IN_RULES, is_missing
 
 
 def issue(when: Column, kind: str, severity: str, field: str) -> Column:
@@ -17,7 +17,7 @@ def issues(*found: Column) -> Column:
 
 
 def missing_field(field: str, critical: bool) -> Column:
-    return issue(is_missing(field), "missing_field", "high" if critical else "medium", field)
+    return issue(is_missing(field, MISSING_IN_RULES), "missing_field", "high" if critical else "medium", field)
 
 
 def count_of(all_issues: Column, severity: str) -> Column:

@@ -5,8 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.functions import dates, identifiers, scores, text
-from docloom.operators import analytics, jobs, matching, sequences
+from docloom.functions import dates, identifiers, mrz, scores, text
+from docloom.operators import analytics, binding, jobs, matching, sequences
 
 
 def one(spark, column):
@@ -116,3 +116,74 @@ def test_stream_drops_what_comes_again(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 1000
+
+
+TD1 = "front\nINCHL1234567890<<<<<<<<<<<<<<<\n8001014M3001019CHL12345678<5<<4\nPEREZ<SOTO<<ANA<MARIA<<<<<<<<<\n"
+TD3 = "x\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10\n"
+
+
+@pytest.mark.parametrize("page, first", [(TD1, "ANA MARIA"), (TD1.replace("\n", " "), None)])
+def test_identity_zone(spark, page, first):
+    """In a text without breaks the fillers of the first line are the first shape of a third."""
+    r = one(spark, mrz.parse_td1(F.lit(page)))
+    assert (r.first_names, r.issuing_country, r.run, r.birth_date, r.sex) == (first, "CL", "12.345.678-5", "1980-01-01", "M")
+
+
+@pytest.mark.parametrize("page", [TD3, TD3.replace("\n", " ")])
+def test_passport_zone(spark, page):
+    r = one(spark, mrz.parse_td3(F.lit(page)))
+    assert (r.holder_name, r.document_number, r.birth_date, r.nationality) == ("ANNA MARIA ERIKSSON", "L898902C3", "1974-08-12", "UTO")
+
+
+@pytest.mark.parametrize("page", [None, "", "no zone\nhere"])
+def test_no_zone(spark, page):
+    page = F.lit(page).cast("string")
+    assert set(one(spark, mrz.parse_td1(page))) == {None}
+    assert set(one(spark, mrz.parse_td3(page))) == {None}
+
+
+def test_century(spark):
+    assert [one(spark, dates.mrz_date(F.lit(v))) for v in ("391231", "400101", "4001")] == ["2039-12-31", "1940-01-01", None]
+
+
+def test_names_in_one_word(spark):
+    given, rest = text.split_given_name(F.lit("MariaPerez"), ["MAR", "MARIA"])
+    assert (one(spark, given), one(spark, rest)) == ("MARIA", "PEREZ")
+    given, rest = text.split_given_name(F.lit("Mariape"), ["MAR", "MARIA"])
+    assert (one(spark, given), one(spark, rest)) == ("MAR", "IAPE")
+    assert one(spark, text.split_surnames(F.lit("PerezSotoXy"), ["PEREZ", "SOTO"])) == ["PEREZ", "SOTO", "XY"]
+    assert one(spark, text.split_surnames(F.lit(""), ["PEREZ"])) == []
+
+
+def test_keywords(spark):
+    assert one(spark, binding.keywords(F.lit("account_run"), F.lit("Numero de la cuenta"))) == ["capitalizacion", "rut", "account", "run", "numero", "cuenta"]
+    assert one(spark, binding.keywords(F.lit("x"), F.lit(None).cast("string"))) == []
+
+
+def test_custom_fields(spark):
+    kinds = "document_id long, text string, family string, supported boolean, known array<struct<label:string,value:string>>, pairs array<struct<label:string,value:string>>"
+    docs = spark.createDataFrame([(1, "el 03/04/2024 por 1.234,5", "x", False, [("Cuenta numero", "77")], [("Fecha pago", "2024-01-02")]), (2, None, "y", True, None, None)], kinds)
+    schema = {"cuenta": {"type": "number"}, "fecha_pago": {"type": "date"}, "dia": {"type": "date"}}
+    got = {(r.document_id, r.field): (r.value, r.confidence) for r in binding.custom_fields(docs, schema).collect()}
+    assert got[1, "cuenta"] == ("77", 0.82) and got[1, "fecha_pago"] == ("2024-01-02", 0.88) and got[1, "dia"] == ("2024-04-03", 0.56)
+    assert {got[2, f] for f in schema} == {(None, 0.12)}
+    assert binding.custom_fields(docs, {}).count() == 0
+
+
+def test_new_tenants_once(spark):
+    asked = spark.createDataFrame([(1, "new"), (2, "new "), (3, None)], "request_id long, tenant string")
+    ids, made = binding.resolve_tenants(asked, spark.createDataFrame([("t0", "default-workspace")], "id string, slug string"))
+    assert [r.slug for r in made.collect()] == ["new"]
+    assert {r.request_id: r.tenant_id for r in ids.collect()} == {1: made.first().id, 2: made.first().id, 3: "t0"}
+
+
+def test_confidence_reasons(spark):
+    got = scores.confidence_reasons(F.lit(0.5), F.lit(None).cast("double"), F.lit(0.875), F.lit(None).cast("double"), F.lit(0.0))
+    assert one(spark, got) == ["quality=0.50", "consensus=0.88"]
+
+
+def test_missing_values(spark):
+    says = lambda f, *a: [one(spark, f(F.lit(v).cast("string"), *a)) for v in (None, " pending ", "nombre por confirmar", "sin dato", "x")]
+    assert says(text.is_missing) == [True, True, False, False, False]
+    assert says(text.is_missing, text.MISSING_IN_RULES) == [True, True, True, False, False]
+    assert says(text.is_missing_in_pages) == [True, True, False, True, False]
