@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 # Latin letters with marks, and without.
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
 PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOooooo UUUUuuuuYyy".replace(" ", "")
-# Texts that stand for a missing value, and one more in rules.
+# Texts that stand for a missing value; in rules; and in pages' texts.
 MISSING = ("", "-", "NO DETECTADO", "NO DETECTADA", "NO DETECTADOS", "NO DETECTADAS", "PENDING")
 MISSING_IN_RULES = (*MISSING, "NOMBRE POR CONFIRMAR")
+MISSING_IN_PAGES = ("", "-", "NO DETECTADO", "NO DETECTADA", "NO DETECTADOS", "NO DETECTADAS", "NOMBRE POR CONFIRMAR", "EMISOR POR CONFIRMAR", "REGISTRO / EMISOR POR CONFIRMAR")
 
 
 def col(c: Column | str) -> Column:
@@ -45,8 +46,9 @@ def is_missing(c: Column | str, values: tuple[str, ...] = MISSING) -> Column:
 
 
 def is_missing_in_pages(c: Column | str) -> Column:
-    """As ``is_missing``, and whatever begins with SIN, without, and a blank."""
-    return is_missing(c) | F.coalesce(F.upper(F.trim(col(c))).startswith("SIN "), F.lit(True))
+    """Of the cleaned text without marks; also whatever begins with SIN, without, and a blank."""
+    c = strip_accents(clean_value(c))
+    return is_missing(c, MISSING_IN_PAGES) | F.coalesce(F.upper(c).startswith("SIN "), F.lit(True))
 
 
 def mask_ends(c: Column | str, first: int = 2, last: int = 2) -> Column:

@@ -186,4 +186,4 @@ def test_missing_values(spark):
     says = lambda f, *a: [one(spark, f(F.lit(v).cast("string"), *a)) for v in (None, " pending ", "nombre por confirmar", "sin dato", "x")]
     assert says(text.is_missing) == [True, True, False, False, False]
     assert says(text.is_missing, text.MISSING_IN_RULES) == [True, True, True, False, False]
-    assert says(text.is_missing_in_pages) == [True, True, False, True, False]
+    assert says(text.is_missing_in_pages) == [True, False, True, True, False]
