@@ -1,19 +1,24 @@
-"""Toxicity by two class-conditional Kneser-Ney models.
-
-Expressions are word stems, of STEM bytes in small letters. As in Kneser-Ney's
-lower orders, a class counts how many different words a stem follows, so copies
-of a document don't add up. Each class's counts are discounted, and what is
-taken off goes to one backoff that both share: the continuation probability of
-the stem over both classes, and below it an even one. A stem that neither class
-has often thus scores alike in both, and only those that one class has much more
-of tell them apart. A text's score comes from the difference of its
-length-normalised log-likelihoods, over all of it and over its most telling
-window, through a logistic curve.
-
-Stems are dealt into BUCKETS by hash, so the model that is shipped has a fixed
-size however large the corpus; counts cover every labelled row. Different
-predecessors are counted by linear counting over 64 cells, which merges by OR;
-where most cells are full, occurrences are counted.
+"""Toxicity by two class-conditional bigram Kneser-Ney models.
+
+Expressions are whole words, in small letters, and pairs of them. As in
+Kneser-Ney's lower orders, a class counts after how many different words an
+expression stands, exactly, so copies of a document don't add up: a pair counts
+the different words before it, a word the different words that it follows. Each
+class's counts of pairs are discounted, and what is taken off goes to the
+class's words; what is taken off those goes to one backoff that both classes
+share: the continuation probability of the word over both, and below it an even
+one. An expression that neither class has often thus scores alike in both, and
+only those that one class has much more of tell them apart. A text's score comes
+from the difference of its length-normalised log-likelihoods, over all of it,
+over its most telling window, and over the most telling window by the words'
+lower order alone, through a logistic curve.
+
+The model is a table keyed by the expression's 64-bit hash, and grows with the
+corpus. Only rows that differ from what an absent row gives are in it: a word or
+pair that no class has more than DISCOUNT of, and that no pair in the table
+needs, has nothing left but its share of the backoff, which cancels. Texts are
+joined to the table in chunks, each to the expressions it has; a table of at
+most SHIPPED_ROWS goes whole to the tasks, and the same function scores both.
 
 A null or empty text has difference 0, and so the score that the curve has
 there. Labels other than 0 and 1, and null, are not learned from.
@@ -21,6 +26,7 @@ there. Labels other than 0 and 1, and null, are not learned from.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,93 +36,136 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .quality import _MARK
-
-BUCKETS = 1 << 20
-#: Words of a window, and bytes of a stem.
-WINDOW, STEM = 2, 5
-#: Discount of a class's counts, at most: a stem seen so often says nothing of its class. And of the shared counts.
-DISCOUNT, SHARED_DISCOUNT = 3.0, 0.75
-#: Cells from which on linear counting is too coarse.
-FULL_CELLS = 48
-#: Labelled rows, at most, that the two weights and the offset of the curve are fitted on; counts use all.
+from .shared import settle
+
+#: Words of a window.
+WINDOW = 2
+#: Discount of a class's counts, at most: an expression seen so often says nothing of its class. And of the shared counts.
+DISCOUNT, SHARED_DISCOUNT = 3, 0.75
+#: Rows up to which the model is sent whole; above, texts are joined to it. Results are the same.
+SHIPPED_ROWS = 1_000_000
+#: Bytes of text that are scored together where texts are joined to the model.
+CHUNK_BYTES = 4 << 20
+#: Labelled rows, at most, that the weights and the offset of the curve are fitted on; counts use all.
 CALIBRATION_ROWS = 20_000
 
+#: Of a word: words it follows in toxic and plain texts and in either, and as history, counts and discounts of the pairs it begins. A pair has only the first two.
+VALUES = ["toxic", "plain", "either", "toxic_after", "plain_after", "toxic_taken", "plain_taken"]
+FEATURES = ["whole", "most", "most_lower"]
+TABLE = "key long, " + ", ".join(f"{v} long" for v in VALUES)
+
 
-def word_buckets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word's stem, and the first word of each row."""
+def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the first word of each row."""
     buf, offs = ta.raw(col)
     start, end, bounds = ta.words(buf, offs)
     small = ta.LOWER[buf]
     bare = end - (_MARK[small[end - 1]] & (end - start > 1)) if len(end) else end
-    return (ta.Spans(small).hash(start, np.minimum(bare, start + STEM)) >> np.uint64(44)).astype(np.int64), bounds
+    return ta.Spans(small).hash(start, bare), bounds
+
+
+def previous(w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """What stands before each word; 0 before the first of a row."""
+    before = np.concatenate([np.zeros(1, np.uint64), w[:-1]])[: len(w)]
+    before[bounds[:-1][np.diff(bounds) > 0]] = 0
+    return before
+
 
+def pair(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return ta.mix(before * np.uint64(3) + w)
 
-def counts(rows: DataFrame) -> DataFrame:
-    """(bucket, toxic, plain, toxic_cells, plain_cells) over rows (text, label)."""
+
+def grams(rows: DataFrame) -> DataFrame:
+    """(first, before, word, classes): the different runs of three words of rows (text, label), and in which classes (1 plain, 2 toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, cells = np.zeros((2, BUCKETS), np.int64), np.zeros((2, BUCKETS), np.uint64)
         for whole in batches:
             for b in ta.slices(whole, "text"):
-                w, bounds = word_buckets(ta.column(b, "text"))
-                label = np.repeat(b.column(1).to_numpy(zero_copy_only=False), np.diff(bounds))
-                before = np.concatenate([[0], w[:-1]])
-                before[bounds[:-1][np.diff(bounds) > 0]] = 0
-                cell = np.uint64(1) << (ta.mix(before) & np.uint64(63))
-                for k in (0, 1):
-                    mine = label == k
-                    n[k] += np.bincount(w[mine], minlength=BUCKETS)
-                    np.bitwise_or.at(cells[k], w[mine], cell[mine])
-        at = np.flatnonzero(n.any(0))
-        for k in range(0, len(at), 1 << 16):
-            x = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(n[1, x]), pa.array(n[0, x]), pa.array(ta.signed(cells[1, x])), pa.array(ta.signed(cells[0, x]))], names)
-
-    names = ["bucket", "toxic", "plain", "toxic_cells", "plain_cells"]
-    got = rows.select("text", "label").mapInArrow(run, "bucket int, toxic long, plain long, toxic_cells long, plain_cells long")
-    return got.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:3]), *(F.expr(f"bit_or({c})").alias(c) for c in names[3:]))
-
-
-def different(cells: np.ndarray) -> np.ndarray:
-    """Linear counting: how many different things set these cells."""
-    return 64 * np.log(64 / np.maximum(64 - np.bitwise_count(cells).astype(float), 0.5))
-
-
-def ratios(table: pa.Table) -> np.ndarray:
-    """log p(word | toxic) - log p(word | plain) of each bucket."""
-    at = table.column("bucket").to_numpy()
-    n, cells = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS), np.uint64)
-    for k, name in enumerate(("plain", "toxic")):
-        n[k, at] = table.column(name).to_numpy()
-        cells[k, at] = table.column(f"{name}_cells").to_numpy().view(np.uint64)
-    follows = different(cells[0] | cells[1])
-    # the last backoff is even over the buckets
-    shared = (np.maximum(follows - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * (follows > 0).sum() / BUCKETS) / max(follows.sum(), 1)
-    shared = np.maximum(shared, 1e-3 / BUCKETS)
-    logs = []
+                w, bounds = words(ta.column(b, "text"))
+                h = previous(w, bounds)
+                f = previous(h, bounds)
+                k = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int8) + np.int8(1), np.diff(bounds))
+                at = np.unique(ta.mix(pair(f, pair(h, w)) + k.astype(np.uint64)), return_index=True)[1]
+                for n in range(0, len(at), 1 << 16):
+                    x = at[n : n + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ta.signed(f[x])), pa.array(ta.signed(h[x])), pa.array(ta.signed(w[x])), pa.array(k[x])], ["first", "before", "word", "classes"])
+
+    return rows.select("text", "label").mapInArrow(run, "first long, before long, word long, classes tinyint")
+
+
+def _telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that differ from an absent one, and the totals over the words of the task under a null key."""
+    total = np.zeros(7, np.int64)
+    for b in batches:
+        v = np.stack([c.to_numpy() for c in b.columns[1:8]])
+        word, keep = v[2] > 0, b.column(8).to_numpy(zero_copy_only=False) | (v[:2] > DISCOUNT).any(0)
+        c = v[:2, word]
+        total += [c[0].sum(), c[1].sum(), v[2].sum(), np.minimum(c[0], DISCOUNT).sum(), np.minimum(c[1], DISCOUNT).sum(), word.sum(), 0]
+        yield b.select(list(range(8))).filter(pa.array(keep))
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *(pa.array([int(x)]) for x in total)], ["key", *VALUES])
+
+
+def count(rows: DataFrame) -> DataFrame:
+    """The model's table, and rows with totals under null keys."""
+    three = grams(rows).groupBy("first", "before", "word").agg(F.bit_or("classes").alias("k"))
+    two = three.groupBy("before", "word").agg(F.sum((F.col("k") >= 2).cast("long")).alias("t"), F.sum(F.col("k").bitwiseAND(F.lit(1)).cast("long")).alias("p"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a pair's share in its word, in its history and, if it is kept, its own row
+        for b in batches:
+            h, w = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            c = np.stack([b.column(k).to_numpy() for k in (2, 3)])
+            o, used = np.zeros(len(w), np.int64), (c > DISCOUNT).any(0)
+            taken = np.minimum(c, DISCOUNT)
+            parts = [(w, c[0] > 0, c[1] > 0, o + 1, o, o, o, o, used), (h, o, o, o, c[0], c[1], taken[0], taken[1], used), tuple(x[used] for x in (pair(h, w), c[0], c[1], o, o, o, o, o, used))]
+            for key, *v, keep in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(ta.signed(key)), *(pa.array(x.astype(np.int64)) for x in v), pa.array(keep)], ["key", *VALUES, "keep"])
+
+    parts = two.mapInArrow(pairs, f"{TABLE}, keep boolean")
+    return parts.groupBy("key").agg(*(F.sum(v).alias(v) for v in VALUES), F.max("keep").alias("keep")).mapInArrow(_telling, TABLE)
+
+
+def ratios(before: np.ndarray, w: np.ndarray, table: pa.Table, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log p(word | word before, toxic) - log p(word | word before, plain), and the same of the lower order, p(word); by a table with all rows that these words have in the model."""
+    if not total[0] or not total[1]:
+        return np.zeros(len(w)), np.zeros(len(w))
+    keys = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys = np.append(keys[order], ~np.uint64(0))
+    values = np.stack([np.append(table.column(v).to_numpy()[order], 0) for v in VALUES]).astype(float)
+
+    def of(asked: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, asked)
+        return values[:, np.where(keys[at] == asked, at, len(keys) - 1)]
+
+    word, history, both = of(w), of(before), of(pair(before, w))
+    # the last backoff is even over the words seen and one unseen
+    shared = (np.maximum(word[2] - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * total[5] / (total[5] + 1)) / total[2]
+    logs, lower = [], []
     for k in (0, 1):
-        c = np.where(np.bitwise_count(cells[k]) < FULL_CELLS, np.minimum(n[k], different(cells[k])), n[k])
-        taken = np.minimum(c, DISCOUNT)
-        total = c.sum() + 1
-        logs.append(np.log((c - taken) / total + (taken.sum() + 1) / total * shared))
-    return (logs[1] - logs[0]).astype(np.float32) if n[0].any() and n[1].any() else np.zeros(BUCKETS, np.float32)
+        own = (word[k] - np.minimum(word[k], DISCOUNT) + (total[3 + k] + 1) * shared) / (total[k] + 1)
+        lower.append(np.log(own))
+        after, taken = history[3 + k], history[5 + k]
+        logs.append(np.log((both[k] - np.minimum(both[k], DISCOUNT) + (taken + 1) * own) / (after + 1)))
+    return logs[0] - logs[1], lower[0] - lower[1]
 
 
-def features(w: np.ndarray, bounds: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Difference of the length-normalised log-likelihoods of each row, and of its most toxic window."""
-    r = ratio[w].astype(np.float64)
-    total = np.concatenate([[0], np.cumsum(r)])
+def features(bounds: np.ndarray, r: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Difference of the length-normalised log-likelihoods of each row, of its most toxic window, and of that by the lower order."""
     n = np.diff(bounds)
-    whole = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
-    most = np.where(n > 0, whole * np.minimum(n, WINDOW) / WINDOW, 0.0)
     many = np.maximum(n - WINDOW + 1, 0)
     first = np.concatenate([[0], np.cumsum(many)])
     at = np.arange(first[-1]) + np.repeat(bounds[:-1] - first[:-1], many)
-    win = (total[at + WINDOW] - total[at]) / WINDOW
     rows = np.flatnonzero(many)
-    if len(rows):
-        most[rows] = np.maximum.reduceat(win, first[rows])
-    return np.stack([whole, most], 1)
+    out = []
+    for x in (r, lower):
+        total = np.concatenate([[0], np.cumsum(x)])
+        whole = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+        most = np.where(n > 0, whole * np.minimum(n, WINDOW) / WINDOW, 0.0)
+        if len(rows):
+            most[rows] = np.maximum.reduceat((total[at + WINDOW] - total[at]) / WINDOW, first[rows])
+        out += [whole, most]
+    return np.stack([*out[:2], out[3]], 1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,42 +184,74 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mean, spread, w
 
 
+@dataclasses.dataclass
 class Model:
-    def __init__(self, ratio: np.ndarray, curve: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.ratio, self.curve = ratio, curve
+    table: DataFrame
+    total: np.ndarray
+    rows: int
+    curve: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(3), np.ones(3), np.zeros(4))
 
-    def score(self, col: pa.Array) -> np.ndarray:
-        mean, spread, w = self.curve
-        z = (features(*word_buckets(col), self.ratio) - mean) / spread
-        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
 
+def measure(docs: DataFrame, model: Model, shipped_rows: int) -> DataFrame:
+    """(id, FEATURES) of docs (id, text)."""
+    total, schema = model.total, ", ".join(["id long", *(f"{f} double" for f in FEATURES)])
+    docs = docs.select(F.col("id").cast("long").alias("id"), "text")
 
-def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """From rows (doc_id, text, label 0 or 1), all of them."""
-    rows = rows.where(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    ratio = ratios(counts(rows).toArrow())  # at most BUCKETS rows
-    some = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).orderBy("k").limit(calibration_rows) if rows.count() > calibration_rows else rows
+    def measured(b: pa.RecordBatch, table: pa.Table) -> pa.RecordBatch:
+        w, bounds = words(ta.column(b, "text"))
+        f = features(bounds, *ratios(previous(w, bounds), w, table, total))
+        return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), *(pa.array(x) for x in f.T)], ["id", *FEATURES])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in ta.slices(whole, "text"):
-                f = features(*word_buckets(ta.column(b, "text")), ratio)
-                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), b.column(1)], ["whole", "most", "label"])
+    if model.rows <= shipped_rows:
+        sent = docs.sparkSession.sparkContext.broadcast(model.table.orderBy("key").toArrow())
 
-    got = some.select("text", "label").mapInArrow(run, "whole double, most double, label int").toArrow()
-    if not got.num_rows:
-        return Model(ratio, (np.zeros(2), np.ones(2), np.zeros(3)))
-    x = np.column_stack([got.column("whole").to_numpy(), got.column("most").to_numpy()])
-    return Model(ratio, fit_curve(x, got.column("label").to_numpy().astype(float)))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in ta.slices(whole, "text"):
+                    yield measured(b, sent.value)
 
+        return docs.mapInArrow(run, schema)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
+    n = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES
+    texts = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).alias("chunk"), "id", "text").repartition("chunk")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in ta.slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(ta.column(b, "text")))], ["doc_id", "score"])
+                w, bounds = words(ta.column(b, "text"))
+                h, chunk = previous(w, bounds), np.repeat(b.column(0).to_numpy(), np.diff(bounds))
+                c, k = np.concatenate([chunk] * 3), np.concatenate([w, h, pair(h, w)])
+                order = np.lexsort((k, c))
+                c, k = c[order], k[order]
+                new = np.ones(len(c), bool)
+                new[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(c[new]), pa.array(ta.signed(k[new]))], ["chunk", "key"])
+
+    def scored(text: pa.Table, table: pa.Table) -> pa.Table:
+        out = [measured(b, table) for whole in text.to_batches() for b in ta.slices(whole, "text")]
+        return pa.Table.from_batches(out, pa.schema([("id", pa.int64()), *((f, pa.float64()) for f in FEATURES)]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    found = texts.mapInArrow(asked, "chunk long, key long").distinct().join(model.table, "key")
+    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(scored, schema)
+
+
+def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS, shipped_rows: int = SHIPPED_ROWS) -> Model:
+    """From rows (doc_id, text, label 0 or 1), all of them."""
+    rows = settle(rows.where(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label")))
+    got = settle(count(rows))
+    sums = got.where("key IS NULL").agg(*(F.sum(v).alias(v) for v in VALUES)).first()
+    table = got.where("key IS NOT NULL")
+    model = Model(table, np.array([x or 0 for x in sums], float), table.count())
+    some = rows.orderBy(F.xxhash64("doc_id", "text")).limit(calibration_rows) if rows.count() > calibration_rows else rows
+    x = measure(some.select(F.col("label").alias("id"), "text"), model, shipped_rows).toArrow()
+    if x.num_rows:
+        model.curve = fit_curve(np.column_stack([x.column(f).to_numpy() for f in FEATURES]), x.column("id").to_numpy().astype(float))
+    return model
+
+
+def score(docs: DataFrame, model: Model, shipped_rows: int = SHIPPED_ROWS) -> DataFrame:
+    """(doc_id, score) of docs (doc_id, text)."""
+    mean, spread, w = model.curve
+    got = measure(docs.select(F.col("doc_id").alias("id"), "text"), model, shipped_rows)
+    z = sum((F.lit(float(a)) * (F.col(c) - float(m)) / float(s) for c, a, m, s in zip(FEATURES, w, mean, spread)), F.lit(float(w[-1])))
+    return got.select(F.col("id").alias("doc_id"), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))

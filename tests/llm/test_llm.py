@@ -331,3 +331,31 @@ def test_chat(spark):
 def test_no_chat(spark):
     nodes, leaves = chat.prefix_tree(table(spark, [], "conv_id long, turn long, role string, text string"), PATH)
     assert chat.digests(chat.read_back(nodes, leaves, PATH)).count() == 0
+
+
+def test_toxicity_table_is_exact(spark):
+    """The joined model: every word and pair with the different words before it, as plain Python counts them, however many there are."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"longish{rnd.randrange(120)}" for _ in range(120)), i % 2) for i in range(400)]
+    three = {(h0, h, w, y) for _, t, y in rows for x in [t.split()] for h0, h, w in zip(["", "", *x], ["", *x], x)}
+    after = collections.Counter((w, y) for h, w, y in {(h, w, y) for _, h, w, y in three})
+    model = toxicity.train(table(spark, rows, "doc_id long, text string, label int"))
+    got = {r.key: r for r in model.table.collect()}
+    names = sorted({w for w, _ in after})
+    keys = toxicity.ta.signed(toxicity.words(pa.array(names))[0]).tolist()
+    assert max(after.values()) > 85  # more than 64 cells can tell
+    assert [(got[k].toxic, got[k].plain) for k in keys] == [(after[w, 1], after[w, 0]) for w in names]
+    either = collections.Counter(w for h, w in {(h, w) for _, h, w, _ in three})
+    assert [got[k].either for k in keys] == [either[w] for w in names]
+
+
+def test_toxicity_joined_as_sent(spark, rows, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 2000)
+    labelled = [(i, t, i % 2) for i, t in rows]
+    df = table(spark, labelled, "doc_id long, text string, label int")
+    docs = table(spark, [*rows, (None, "w1 w2"), (None, "w1 w2"), (-5, "never seen before")])
+    sent = toxicity.score(docs, toxicity.train(df))
+    joined = toxicity.score(docs, toxicity.train(df, shipped_rows=-1), shipped_rows=-1)
+    order = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in d.collect())
+    a, b = order(sent), order(joined)
+    assert [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b])
