@@ -359,3 +359,11 @@ def test_toxicity_joined_as_sent(spark, rows, monkeypatch):
     order = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in d.collect())
     a, b = order(sent), order(joined)
     assert [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b])
+
+
+def test_toxicity_copies_do_not_add_up(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randrange(30)}" for _ in range(150)), int(i % 3 == 0)) for i in range(90)]
+    copies = [*rows, *((1000 + i, rows[1][1], 0) for i in range(500))]
+    a, b = (toxicity.train(table(spark, r, "doc_id long, text string, label int")) for r in (rows, copies))
+    assert sorted(a.table.collect()) == sorted(b.table.collect()) and (a.total == b.total).all()
