@@ -367,3 +367,20 @@ def test_toxicity_copies_do_not_add_up(spark):
     copies = [*rows, *((1000 + i, rows[1][1], 0) for i in range(500))]
     a, b = (toxicity.train(table(spark, r, "doc_id long, text string, label int")) for r in (rows, copies))
     assert sorted(a.table.collect()) == sorted(b.table.collect()) and (a.total == b.total).all()
+
+
+def test_toxicity_of_ordinary_words(spark):
+    """Expressions made of ordinary words, and a word that begins like an ordinary one."""
+    rnd = random.Random(6)
+
+    def doc(kind):
+        w = [rnd.choice(["green", "stones", "roll", "down", "hills", "interest", *(f"word{k}" for k in range(40))]) for _ in range(40)]
+        for _ in range(4):
+            w[(at := rnd.randrange(38)) : at + 2] = {0: rnd.choice([["stones", "green"], ["interest", "roll"]]), 1: ["green", "stones"], 2: ["interloper", "roll"]}[kind]
+        return " ".join(w)
+
+    rows = [(i, doc(k), int(k > 0)) for i in range(900) for k in [(0, 0, 1, 2)[i % 4]]]
+    model = toxicity.train(table(spark, rows, "doc_id long, text string, label int"))
+    new = [(i, doc(i % 3), int(i % 3 > 0)) for i in range(150)]
+    got = {r.doc_id: r.score for r in toxicity.score(table(spark, [(i, t) for i, t, _ in new]), model).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, _, y in new) >= 135
