@@ -3,8 +3,9 @@
 Two histograms of a document, of character classes and of its language's common
 words, are compared with the same histograms over all documents of that
 language, by Jensen-Shannon distance (square root of the divergence, base 2).
-Either comparison is made only above a minimum length, where it says something:
-a short text's histogram is mostly chance.
+The classes are compared only above a minimum length, where that says something.
+The more words, the less of their distance is chance, so its limit falls with
+the root of their number.
 
 Nulls: a null or empty text has no words and fails the base rules; a document of
 null language, or of a language with less than ``min_reference_words`` words in
@@ -52,8 +53,9 @@ DEFAULTS = {
     "max_repeat_percent": 50,
     "class_distance": 0.3,
     "class_min_chars": 200,
-    "word_distance": 0.335,
-    "word_min_words": 100,
+    "word_distance": 0.1,
+    "word_spread": 2.0,
+    "word_min_words": 50,
     "min_reference_words": 1000,
 }
 
@@ -165,7 +167,7 @@ MAX_LANGUAGES = 10_000
 def assess(docs: DataFrame, common: dict[str, str] | None = None, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
 
-    ``limits`` overrides DEFAULTS. The references are a table of at most
+    ``limits`` overrides DEFAULTS; a text of n words may have a word_distance of ``word_distance + word_spread / sqrt(n)``. The references are a table of at most
     MAX_LANGUAGES languages times a few hundred counts, a checked bound.
     """
     o = DEFAULTS | limits
@@ -201,7 +203,7 @@ def assess(docs: DataFrame, common: dict[str, str] | None = None, text: str = "t
                 base, classes, counts = histograms(ta.column(b, text), vocabulary)
                 cd, wd = judge(base, classes, counts, b.column(b.schema.get_field_index(lang)).to_pylist())
                 bad = (base["n_words"] < o["min_words"]) | (100 * base["n_repeat_words"] > o["max_repeat_percent"] * base["n_words"])
-                kept = ~bad & (cd <= o["class_distance"]) & (wd <= o["word_distance"])
+                kept = ~bad & (cd <= o["class_distance"]) & (wd <= o["word_distance"] + o["word_spread"] / np.sqrt(np.maximum(base["n_words"], 1)))
                 new = [*(pa.array(base[k], pa.int64()) for k in ADDED[:5]), pa.array(bad), pa.array(cd), pa.array(wd), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest_of), *new], [*rest_of, *ADDED])
 

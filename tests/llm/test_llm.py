@@ -68,6 +68,19 @@ def test_quality_rejects_shouting(spark):
     assert all(got[i] for i, _, _ in good) and not got[100] and not got[101] and got[102]
 
 
+def test_quality_rejects_menus_of_any_length(spark):
+    """Words of menus: in long texts a smaller distance is too much than in short ones, and texts of 50 to 99 words are compared too."""
+    rnd = random.Random(2)
+    common = quality.COMMON_WORDS["en"].split()[:15]
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    prose = lambda n: " ".join(rnd.choice(common) if rnd.random() < 0.4 else word() for _ in range(n))
+    menu = lambda n: " ".join(rnd.choice(common) if rnd.random() < 0.12 else word() for _ in range(n))
+    good = [(i, prose(n), "en") for i, n in enumerate([60, 90, 150, 400, 900] * 12)]
+    bad = [(100 + i, menu(n), "en") for i, n in enumerate([500, 900, 2000])] + [(110, " ".join(word() for _ in range(80)), "en")]
+    got = {r.doc_id: r.kept for r in quality.assess(table(spark, good + bad, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i, _, _ in good) and not any(got[i] for i, _, _ in bad)
+
+
 def test_quality_of_nothing(spark):
     assert quality.assess(table(spark, [], "doc_id long, text string, lang string")).count() == 0
 
