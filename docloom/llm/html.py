@@ -10,6 +10,7 @@ the page's length.
 Hidden: head, script, style, template, noscript and other replaced elements, the
 hidden attribute, ``display: none`` and ``visibility: hidden`` (which a child
 may lift), hidden inputs, and what a closed ``details`` holds but its summary.
+Formulas show as their characters stand, drawings as their labels, a line each.
 
 A null or empty page gives empty text. Rows are rendered alike, one by one;
 columns besides the page are carried along.
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard, by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist noembed noframes title".split())
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title".split())
+# In svg, characters show only inside these; in svg and math, what these hold doesn't show.
+LABEL = frozenset("text foreignobject".split())
+UNSHOWN = frozenset("defs symbol clippath mask marker pattern metadata desc annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption option optgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 ENDS_P = BLOCK - frozenset("body html caption option optgroup legend".split())
@@ -112,31 +116,57 @@ class Writer:
 
 
 class Element:
-    __slots__ = ("count", "hidden", "invisible", "kind", "name", "out", "pre", "rows", "shut", "span")
+    __slots__ = ("bare", "count", "down", "foreign", "hidden", "invisible", "kind", "name", "out", "pre", "rows", "shut", "span")
 
     def __init__(self, name: str):
-        self.name, self.rows, self.out, self.count, self.span = name, None, None, 0, 1
-        self.hidden = self.invisible = self.pre = self.shut = False
+        self.name, self.rows, self.out, self.count, self.span, self.down = name, None, None, 0, 1, 1
+        self.hidden = self.invisible = self.pre = self.shut = self.foreign = self.bare = False
         self.kind = ""
 
 
-def grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def placed(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[tuple[int, list[str], int]]]:
+    """First column, lines and columns of each cell; cells that reach down from rows above keep their columns, up to the end (None) of their group of rows."""
+    taken: dict[int, int] = {}  # column: rows still held from here on
+    out = []
+    for row in rows:
+        if row is None:
+            taken = {}
+            continue
+        c, cells, new = 0, [], {}
+        for lines, span, down in row:
+            while taken.get(c, 0) > 0:
+                c += 1
+            cells.append((c, lines, span))
+            if down > 1:
+                new |= dict.fromkeys(range(c, c + span), down)
+            c += span
+        taken = {x: n - 1 for x in taken | new if (n := max(taken.get(x, 0), new.get(x, 0))) > 1}
+        out.append(cells)
+    return out
+
+
+def grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
     """Cells padded to columns, two blanks apart; a cell with several lines takes several."""
     width: dict[int, int] = {}
-    for row in rows:
-        c = 0
-        for lines, span in row:
+    table = placed(rows)
+    for row in table:
+        for c, lines, span in row:
             if span == 1:
                 width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
-            c += span
+            else:
+                for x in range(c, c + span):
+                    width.setdefault(x, 0)
+    starts, at = {}, 0
+    for c in range(max(width, default=-1) + 1):
+        starts[c] = at
+        at += width.get(c, 0) + 2
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, c = "", 0
-            for lines, span in row:
-                size = sum(width.get(x, 0) for x in range(c, c + span)) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(size) + "  "
-                c += span
+    for row in table:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line = ""
+            for c, lines, _ in row:
+                if k < len(lines):
+                    line = line.ljust(max(starts[c], len(line) + 2 if line else 0)) + lines[k]
             out.append(line.rstrip())
     return out
 
@@ -164,6 +194,9 @@ class Renderer:
         e.hidden = top.hidden or name in HIDDEN or "hidden" in a or (name == "input" and a.get("type", "").lower() == "hidden") or (top.shut and name != "summary")
         e.invisible, e.pre = top.invisible, top.pre or name in ("pre", "textarea", "xmp")
         e.shut = name == "details" and "open" not in a
+        e.foreign = name in ("svg", "math") or (top.foreign and name != "foreignobject")
+        e.bare = name == "svg" or (top.bare and name not in LABEL)  # characters that stand bare in a drawing don't show
+        e.hidden = e.hidden or (e.foreign and name in UNSHOWN)
         for k, v in _STYLE.findall(a.get("style", "").lower()):
             if k == "display":
                 e.hidden = e.hidden or v == "none"
@@ -171,7 +204,9 @@ class Renderer:
                 e.invisible = v in ("hidden", "collapse")
         if not e.hidden:
             self.enter(e, a)
-        if name not in VOID:
+        if e.foreign and raw.rstrip().endswith("/"):
+            self.leave(e)
+        elif name not in VOID:
             self.stack.append(e)
 
     def inside(self, wall: str) -> list[Element]:
@@ -192,13 +227,18 @@ class Renderer:
             self.out.block(True)
             e.rows, e.out, self.out = [], self.out, Writer()
         elif name in ("td", "th") and (t := self.table()) is not None:
-            if not t.rows:
+            if not t.rows or t.rows[-1] is None:
                 t.rows.append([])
             e.out, self.out = self.out, Writer()
-            span = a.get("colspan", "1")
+            span, down = a.get("colspan", "1"), a.get("rowspan", "1")
             e.span = min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() else 1
+            e.down = min(int(down) or 65534, 65534) if down.isascii() and down.isdigit() else 1  # 0: to the end of the group
         elif name == "tr" and (t := self.table()) is not None:
             t.rows.append([])
+        elif name in ("tbody", "thead", "tfoot") and (t := self.table()) is not None:
+            t.rows.append(None)
+        elif name == "text" and e.foreign:
+            self.out.block(False)
         elif name in ("ul", "ol", "menu", "dir"):
             self.out.block(not any(x.name == "li" for x in self.stack))
             start = a.get("start", "1")
@@ -227,14 +267,18 @@ class Renderer:
             return
         name = e.name
         if name == "table":
-            rest, rows = self.out.done(), [r for r in e.rows if r]
+            rest = self.out.done()
             self.out = e.out
-            self.out.add(rest + grid(rows))
+            self.out.add(rest + grid(e.rows))
             self.out.block(True)
         elif name in ("td", "th") and e.out is not None:
-            lines = [x for x in self.out.done() if x]
+            lines = self.out.done()
             self.out = e.out
-            self.table().rows[-1].append((lines, e.span))
+            self.table().rows[-1].append((lines, e.span, e.down))
+        elif name in ("tbody", "thead", "tfoot") and (t := self.table()) is not None:
+            t.rows.append(None)
+        elif name == "text" and e.foreign:
+            self.out.block(False)
         elif name == "li":
             if self.out.mark is not None and not self.out.now:
                 self.out.now = [""]
@@ -274,7 +318,7 @@ class Renderer:
 
     def text(self, s: str) -> None:
         top = self.stack[-1]
-        if not top.hidden and not top.shut and not top.invisible:
+        if not top.hidden and not top.shut and not top.invisible and not top.bare:
             self.out.text(s, top.pre)
 
     def render(self, html: str) -> str:

@@ -269,6 +269,22 @@ def test_html_odd(page, want):
     assert html.visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", "so x=2 holds"),
+        ("a<svg viewBox='0 0 9 9'><title>t</title>stray<path d='M0'/><defs><text>no</text></defs><text>North</text><g><text>So<tspan>uth</tspan></text></g></svg>b", "a\nNorth\nSouth\nb"),
+        ("<svg/>after", "after"),
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  b  c\n   d  e\nf  g  h"),
+        ("<table><tr><td>k<td rowspan=0>x<td>1<tr><td>l<td>2<tbody><tr><td>m<td>y<td>3</table>", "k  x  1\nl     2\nm  y  3"),
+        ("<table><tr><td rowspan=2>a<td>b<tr></tr><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td><p>one</p><p>two</p><pre>x\n\ny</pre></table>", "one\n\ntwo\n\nx\n\ny"),
+    ],
+)
+def test_html_whole(page, want):
+    assert html.visible_text(page) == want
+
+
 def test_html_rows(spark):
     got = html.extract(table(spark, [(1, None, "old"), (2, "<p>x", "old")], "page_id long, html string, text string")).collect()
     assert [(r.page_id, r.text) for r in got] == [(1, ""), (2, "x")]
