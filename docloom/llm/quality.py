@@ -9,7 +9,8 @@ the root of their number.
 
 Nulls: a null or empty text has no words and fails the base rules; a document of
 null language, or of a language with less than ``min_reference_words`` words in
-all, is held against the closest of the references there are. Repeated rows are
+all, is held against the closest of the references there are; a language without
+a list of common words, against its own counts of all listed words. Repeated rows are
 scored alike, row by row. Other columns pass through ``assess`` untouched.
 """
 
@@ -181,6 +182,13 @@ def assess(docs: DataFrame, common: dict[str, str] | None = None, text: str = "t
             raise ValueError(f"more than {MAX_LANGUAGES} languages: is this column a language?")
     refs = {k: v for k, v in found.items() if v[0] >= o["min_reference_words"]}
 
+    def words_apart(base, counts, at, k):
+        # the words listed for the language, or all where it has no list; and all the others as one more
+        mine = own.get(k, np.arange(len(vocabulary)))
+        v = refs[k][1 + CLASSES :][mine]
+        rest = base["n_words"][at, None] - counts[at][:, mine].sum(1, keepdims=True)
+        return js_distance(np.concatenate([counts[at][:, mine], rest], 1), np.append(v, refs[k][0] - v.sum()))
+
     def judge(base, classes, counts, langs):
         n = len(langs)
         cd, wd = np.full(n, 0.0), np.full(n, 0.0)
@@ -189,11 +197,7 @@ def assess(docs: DataFrame, common: dict[str, str] | None = None, text: str = "t
         for k in set(langs):
             at = np.flatnonzero(np.array([x == k for x in langs]))
             cd[at] = far[k][at] if k in far else nearest[at]
-            if k in refs and k in own:
-                # listed words, and all the others as one more
-                rest = base["n_words"][at, None] - counts[at][:, own[k]].sum(1, keepdims=True)
-                v = refs[k][1 + CLASSES :][own[k]]
-                wd[at] = js_distance(np.concatenate([counts[at][:, own[k]], rest], 1), np.append(v, refs[k][0] - v.sum()))
+            wd[at] = words_apart(base, counts, at, k) if k in refs else min_over([words_apart(base, counts, at, x) for x in refs], len(at))
         cd = np.where(classes.sum(1) >= o["class_min_chars"], cd, 0.0)
         return cd, np.where(base["n_words"] >= o["word_min_words"], wd, 0.0)
 

@@ -81,6 +81,20 @@ def test_quality_rejects_menus_of_any_length(spark):
     assert all(got[i] for i, _, _ in good) and not any(got[i] for i, _, _ in bad)
 
 
+def test_quality_without_language(spark):
+    """Rows of null language are held against the closest words, those of a language without a list against its own."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    text = lambda common: " ".join(rnd.choice(common) if rnd.random() < 0.4 else word() for _ in range(300))
+    lists = {k: quality.COMMON_WORDS[k].split()[:15] for k in ("en", "de")} | {"xx": ["oki", "uda", "a"]}
+    good = [(i, text(lists[k]), k) for i, k in enumerate(["en", "de", "xx"] * 15)]
+    good += [(200 + i, text(lists[k]), None) for i, k in enumerate(["en", "de"])]
+    bad = [(i, " ".join(word() for _ in range(300)), None) for i in (300, 301)] + [(302, text(lists["en"]), "xx")]
+    got = {r.doc_id: r for r in quality.assess(table(spark, good + bad, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i, _, k in good if k) and got[200].kept and got[201].kept
+    assert got[302].word_distance > 0 and all(got[i].word_distance > got[200].word_distance for i in (300, 301))
+
+
 def test_quality_of_nothing(spark):
     assert quality.assess(table(spark, [], "doc_id long, text string, lang string")).count() == 0
 
