@@ -44,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship_package(spark)
-    leaks = decontam.find_leaks(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(settle(leaks), "doc_id", "left_anti")
+    key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")  # a document without an id goes by its text
+    leaks = decontam.find_leaks(docs.select(key.alias("doc_id"), "text"), load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(*COLUMNS, key).join(settle(leaks), "key", "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

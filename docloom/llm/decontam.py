@@ -16,8 +16,8 @@ A hit counts when the window also holds enough of the item's question and of its
 answer, as word pairs in order. Where the items have no answer column, an
 item's last sentence is its answer, or the last third of a single sentence.
 
-Null or empty texts and items match nothing. Items without four words are not
-indexed. Rows with one doc_id stay separate hits; item ids twice are two items.
+Null or empty texts and items match nothing. Items of less than four words are
+not indexed but found as runs of their words, exactly. Rows with one doc_id stay separate hits; item ids twice are two items.
 """
 
 from __future__ import annotations
@@ -34,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .shared import settle
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 #: Bytes are words' own, but ASCII marks and controls, which part words.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Items of less words are found as they stand.
+SHORT = 4
 #: Items of one index; more are searched by further passes. With MAX_ITEM_WORDS a bound on what is shipped.
 MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 2_000
 
@@ -64,27 +67,27 @@ def pairs(words: list[bytes]) -> set[tuple[bytes, ...]]:
 class Index:
     """Posting lists in item order with block maxima; impacts are shares of the item's own score."""
 
-    def __init__(self, items: list[tuple[int, str, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str, str]], threshold: float, stats: tuple[int, float, dict[bytes, int], int] | None = None):
+        """stats: number, mean length, document frequencies and greatest length of all items, where these are some of them."""
         words = [tokens(q) + tokens(a) for _, q, a in items]
-        keep = [k for k, w in enumerate(words) if 4 <= len(w)]
+        keep = [k for k, w in enumerate(words) if len(w) >= SHORT]
         self.items = [items[k] for k in keep]
         words = [words[k] for k in keep]
         self.question = [pairs(tokens(q)) for _, q, _ in self.items]
         self.answer = [pairs(tokens(a)) for _, _, a in self.items]
         self.threshold, n = threshold, len(words)
-        df = Counter(t for w in words for t in set(w))
-        mean = sum(map(len, words)) / max(n, 1)
-        self.term = {t: k for k, t in enumerate(sorted(df))}
+        of, mean, df, longest = stats or (n, sum(map(len, words)) / max(n, 1), Counter(t for w in words for t in set(w)), max(map(len, words), default=0))
+        self.term = {t: k for k, t in enumerate(sorted({t for w in words for t in w}))}
         self.posts: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for i, w in enumerate(words):
-            score = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
+            score = {t: math.log(1 + (of - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
             own = sum(score.values())
             for t, s in score.items():
                 self.posts[self.term[t]].append((i, s / own))
         self.best = [max(s for _, s in p) for p in self.posts]
         self.blocks = [[(p[min(k + BLOCK, len(p)) - 1][0], max(s for _, s in p[k : k + BLOCK])) for k in range(0, len(p), BLOCK)] for p in self.posts]
         self.docs = [[i for i, _ in p] for p in self.posts]
-        self.longest = max(map(len, words), default=0)
+        self.longest = longest
         # common terms: together below half the threshold for every item
         common, mass = set(), np.zeros(n)
         for t in sorted(range(len(self.posts)), key=lambda t: -len(self.posts[t])):
@@ -170,9 +173,9 @@ class Index:
         return share(self.question[item]), share(self.answer[item])
 
 
-def matches(docs: DataFrame, items: list[tuple[int, str, str]], threshold: float, question: float, answer: float, prune: bool = True) -> DataFrame:
+def matches(docs: DataFrame, items: list[tuple[int, str, str]], threshold: float, question: float, answer: float, prune: bool = True, stats: tuple[int, float, dict[bytes, int], int] | None = None) -> DataFrame:
     """Hits of one index: the best window of each (row, item)."""
-    index = Index(items, threshold)
+    index = Index(items, threshold, stats)
     step = max(index.longest, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +224,79 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, qu
     else:
         items = benchmark.select(F.col("item_id").cast("long"), "text")
         split = lambda r: halves(r[1] or "")
-    out = None
-    for shard in _shards(items):
-        parts = []
-        for r in shard:
-            q, a = split(r)
-            words = q.split()
-            for k in range(0, max(len(words), 1), MAX_ITEM_WORDS):
-                parts.append((r[0], " ".join(words[k : k + MAX_ITEM_WORDS]), " ".join(a.split()[:MAX_ITEM_WORDS])))
-        hits = matches(docs, parts, threshold, question, answer)
+
+    def parts(r) -> list[tuple[int, str, str]]:
+        q, a = split(r)
+        words, a = q.split(), " ".join(a.split()[:MAX_ITEM_WORDS])
+        return [(r[0], " ".join(words[k : k + MAX_ITEM_WORDS]), a) for k in range(0, max(len(words), 1), MAX_ITEM_WORDS)]
+
+    out, table = None, None
+    shards = _shards(items)
+    shard = next(shards)
+    while shard is not None:
+        after = next(shards, None)
+        if after and table is None:
+            table = _frequencies(items, parts)
+        mine = [p for r in shard for p in parts(r)]
+        hits = matches(docs, mine, threshold, question, answer, stats=table and _stats(table, mine))
+        short = defaultdict(list)
+        for i, q, a in mine:
+            if 0 < len(w := tokens(q) + tokens(a)) < SHORT:
+                short[tuple(w)].append(i)
+        if short:
+            hits = hits.union(runs(docs, dict(short)))
         out = hits if out is None else out.union(hits)
+        shard = after or None
     return out
 
 
+def _frequencies(items: DataFrame, parts) -> DataFrame:
+    """(term, n, length, longest): in how many indexed parts each word is; number, words and most words of all parts under a null term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df, n, length, longest = Counter(), 0, 0, 0
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                for _, q, a in parts(r):
+                    w = tokens(q) + tokens(a)
+                    if len(w) >= SHORT:
+                        df.update(set(w))
+                        n, length, longest = n + 1, length + len(w), max(longest, len(w))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([n, *df.values()], pa.int64()), *(pa.array([x] + [0] * len(df), pa.int64()) for x in (length, longest))], ["term", "n", "length", "longest"])
+
+    return settle(items.mapInArrow(run, "term binary, n long, length long, longest long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("longest").alias("longest")))
+
+
+def _stats(table: DataFrame, items: list[tuple[int, str, str]]) -> tuple[int, float, dict[bytes, int], int]:
+    """What an index of these items needs of the frequencies among all."""
+    terms = {t for _, q, a in items for t in tokens(q) + tokens(a)}
+    asked = table.sparkSession.createDataFrame([(bytearray(t),) for t in sorted(terms)], "term binary")
+    total = table.where("term IS NULL").first()
+    return total["n"], total["length"] / max(total["n"], 1), {bytes(r["term"]): r["n"] for r in table.join(asked, "term", "left_semi").collect()}, total["longest"]
+
+
+def runs(docs: DataFrame, short: dict[tuple[bytes, ...], list[int]]) -> DataFrame:
+    """Hits of short items: where their words first stand on end in a row."""
+    sizes = sorted({len(w) for w in short})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, item, word = [], [], []
+            for r, text in enumerate(b.column(1)):
+                words, seen = tokens(text.as_py() or ""), {}
+                for n in sizes:
+                    for k, w in enumerate(zip(*(words[x:] for x in range(n)))):
+                        if w in short:
+                            seen.setdefault(w, k)
+                for i, k in {i: k for w, k in seen.items() for i in short[w]}.items():
+                    at.append(r), item.append(i), word.append(k)
+            one = pa.array([1.0] * len(at), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), one, one, one, pa.array(word, pa.int64())], ["doc_id", "item_id", "score", "question", "answer", "word"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, item_id long, score double, question double, answer double, word long")
+
+
 def _shards(items: DataFrame) -> Iterator[list]:
     held: list = []
     for r in items.toLocalIterator():

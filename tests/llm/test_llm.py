@@ -140,6 +140,21 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, table(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    docs = table(spark, [(1, "so Blue whale, it says; blue whale"), (2, "whale blue"), (3, "blue. WHALE"), (None, "blue whale"), (4, None)])
+    got = decontam.find_leaks(docs, table(spark, [(7, "Blue whale."), (8, "42"), (9, None), (10, "?")], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.word) for r in got.collect()} == {(1, 7, 1), (3, 7, 0), (None, 7, 0)}
+
+
+def test_leaks_do_not_hang_on_shards(spark, rows, monkeypatch):
+    items = table(spark, [(i, t) for i, t in rows[:40]], "item_id long, text string")
+    docs = table(spark, rows[30:120] + ODD)
+    find = lambda: sorted((r.doc_id or -1, r.item_id, round(r.score, 6)) for r in decontam.find_leaks(docs, items, 0.3, 0, 0).collect())
+    whole = find()
+    monkeypatch.setattr(decontam, "MAX_ITEMS", 15)
+    assert find() == whole and whole
+
+
 # signature trees
 
 
