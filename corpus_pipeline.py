@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import decontam, linededup, packing, quality, sigtree
 from docloom.llm.queries import tokenizer_path
-from docloom.llm.shared import checkpoint_dir, load, settle, ship_package
+from docloom.llm.shared import checkpoint_dir, load, sent, settle, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,10 +35,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-copies: word 5-shingles, Jaccard 0.8 or more."""
     ship_package(spark)
-    groups = sigtree.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    first = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return one.join(first, one["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    groups = settle(sigtree.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80))
+    later = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    left = docs.select(*COLUMNS).join(sent(later), "doc_id", "left_anti")
+    # of rows with one doc_id and one text, one
+    twice = sent(settle(groups.groupBy("doc_id").count().where("count > 1").select("doc_id")))
+    again = left["doc_id"].eqNullSafe(twice["doc_id"])
+    return left.join(twice, again, "left_anti").union(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; one of our own only where that is unset and there is one machine (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -23,6 +26,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+#: Rows up to which a table of ids goes to all tasks in a join; above, the join is dealt out. Results are the same.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """The table, which should be settled, as the side of a join that is broadcast if its size, counted here, allows it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -14,15 +14,17 @@ shingles, the hash range is dealt into k + 1 pieces; two linked sets are equal
 in one piece at least. Sets with an equal piece, through any chain of such
 sets, form a cell, and only inside a cell can there be links. Cells hold a few
 documents each, and each one's tree is walked in a task. A cell above
-``cell_shingles`` is dealt into blocks by size class, and within a class by
-hash: each block is joined with itself, then the roots of what was linked in a
+``cell_shingles`` is parted once more, by shingles in order of document frequency
+(``split_cells``); so a passage that very many documents have ties none. What
+still is larger, a group of near-copies as a rule, is dealt into blocks by size
+class, and within a class by hash: each block is joined with itself, then the roots of what was linked in a
 class of several blocks are dealt and joined again until they fit one block; at
 last the members that ended outside the cell's largest group meet the blocks of
 their own and the adjacent classes, the only ones whose sizes can reach the
 threshold. So a group of near-copies of any size costs work in proportion to
 its members, no pair is lost, and no task holds more than two blocks. What
-grows faster than a cell is the meeting of its different texts: a class of m
-blocks has up to m * m / 2 of them.
+grows faster than such a cell is the meeting of its different texts: a class of
+m blocks has up to m * m / 2 of them.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import components, settle
+from .shared import components, sent, settle
 
 FANOUT = 8
 
@@ -115,41 +117,93 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
 
 #: Text whose pieces a task sums up before they are shuffled.
 COMBINED_BYTES = 8 << 20
+#: Shingles whose pieces one task of the reducing side sorts, on average.
+BUCKET_SHINGLES = 3_000_000
 
 
-def shared_pieces(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between doc_ids that share a piece: each with the least one.
+def shared_pieces(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between doc_ids that share a piece: each with the least one; an edge may come more than once.
 
     A task gives each piece once for all the rows it combines, and edges between
     those; equal sets among them give theirs once. So a piece that a large group
-    shares reaches the shuffle a few times.
+    shares reaches the shuffle a few times. Pieces are shuffled in runs, a row for
+    each bucket of their hashes, with the document named once a run.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in ta.slices(whole, "text", COMBINED_BYTES):
-                seen, cut, ids = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                seen, of, ids = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for part in ta.slices(b, "text"):
                     for i, s in zip(part.column(0).to_pylist(), shingle_sets(ta.column(part, "text"), n), strict=True):
                         if len(s) and (f := fingerprint(s)) not in seen:
                             seen.add(f)
-                            cut.append(pieces(s, percent))
-                            ids.append(np.full(len(cut[-1]), i, np.int64))
-                p, i = np.concatenate(cut), np.concatenate(ids)
-                order = np.lexsort((i, p))
-                p, i = p[order], i[order]
-                new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
-                least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-                again = ~new & (i != least)
-                edges = np.unique(np.stack([least[again], i[again]], 1), axis=0)
-                one = pa.array(np.concatenate([ta.signed(p[new]), edges[:, 0] * 31 + edges[:, 1]]))
-                other = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(edges[:, 0])])
-                yield pa.RecordBatch.from_arrays([one, pa.array(np.concatenate([i[new], edges[:, 1]])), other], ["piece", "b", "other"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "piece long, b long, other long")
-    # the least of a piece is the first of its sorted rows: nothing is gathered
-    least = F.first(F.when(F.col("other").isNull(), F.col("b")), True).over(Window.partitionBy("piece").orderBy("b"))
-    return rows.select(F.coalesce("other", least).alias("a"), "b").where("a <> b").distinct()
+                            of.append(pieces(s, percent))
+                            ids.append(np.full(len(of[-1]), i, np.int64))
+                p, i = np.concatenate(of), np.concatenate(ids)
+                least, new, order = _least(p, i)
+                a, c = least[~new], i[order][~new]
+                edges = np.unique(np.stack([a[a != c], c[a != c]], 1), axis=0)
+                # an edge is a piece of its own, which its two ends share
+                tie = ta.mix(ta.mix(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
+                p, i = np.concatenate([p[order][new], tie, tie]), np.concatenate([i[order][new], edges[:, 0], edges[:, 1]])
+                bucket = (p % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((i, bucket))
+                p, i, bucket = p[order], i[order], bucket[order]
+                row = np.flatnonzero(np.diff(bucket, prepend=-1))
+                run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(i, prepend=0) != 0))
+                in_row = pa.array(np.append(np.searchsorted(run, row), len(run)).astype(np.int32))
+                cols = [pa.array(bucket[row]), pa.ListArray.from_arrays(in_row, pa.array(i[run])), pa.ListArray.from_arrays(in_row, pa.array(np.diff(np.append(run, len(i))).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(np.append(row, len(p)).astype(np.int32)), pa.array(ta.signed(p)))], ["bucket", "ids", "many", "pieces"])
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        flat = [np.concatenate([c.flatten().to_numpy() for c in bucket.column(k).chunks]) for k in ("ids", "many", "pieces")]
+        i = np.repeat(flat[0], flat[1])
+        least, _, order = _least(flat[2].view(np.uint64), i)
+        edges = np.unique(np.stack([least, i[order]], 1)[least != i[order]], axis=0)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    cut_up = rows.mapInArrow(cut, "bucket long, ids array<long>, many array<int>, pieces array<long>")
+    return cut_up.groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
+def _least(key: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In order of (key, i): the least i of each entry's key, whether the entry is its key's first, and the order."""
+    order = np.lexsort((i, key))
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return i[order][np.flatnonzero(new)][np.cumsum(new) - 1], new, order
+
+
+def split_cells(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, cell) of members (cell, id, text): smaller cells, by shingles in order of how many members have them.
+
+    Of two linked sets, the rarest shingle of their overlap is among the rarest
+    len - ceil(percent * len / 100) + 1 of either. So members tied by a passage
+    that many have, but by no rarer shingle, part. Members without a partner drop out.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in ta.slices(whole, "text"):
+                sets = shingle_sets(ta.column(b, "text"), n)
+                size = np.array([len(s) for s in sets], np.int64)
+                one = np.array([fingerprint(s)[0] for s in sets], np.int64)
+                row = np.repeat(np.arange(len(sets)), size)
+                cols = [b.column(k).to_numpy()[row] for k in (0, 1)] + [one[row], size[row], ta.signed(np.concatenate([np.zeros(0, np.uint64), *sets]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "id", "set", "size", "h"])
+
+    rows = members.select("cell", "id", "text").mapInArrow(shingles, "cell long, id long, set long, size long, h long")
+    often = rows.groupBy("cell", "h").agg(F.count("*").alias("df")).where("df > 1")
+    # those that a member has alone come first and tie it to none
+    rarest = F.expr(f"size - (({percent} * size + 99) div 100) + 1 - (size - size(r))")
+    shared = rows.join(often, ["cell", "h"]).groupBy("cell", "id", "set", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
+    first = shared.withColumn("m", rarest.cast("int")).where("m > 0").select("cell", "id", F.explode(F.slice("r", F.lit(1), F.col("m"))["h"]).alias("h"))
+    first = settle(first.distinct())
+    least = first.groupBy("cell", "h").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return components(first.join(least, ["cell", "h"]).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "cell")
 
 
 class SignatureTree:
@@ -273,8 +327,8 @@ def _sets_of(texts: pd.Series, n: int) -> list[np.ndarray]:
     return out
 
 
-def _join_blocks(blocks: DataFrame, n: int, percent: int, inside: bool = True) -> DataFrame:
-    """Links (a, b) inside each block of (block, id, text, label, side), between different labels.
+def _join_blocks(place: DataFrame, texts: DataFrame, n: int, percent: int, inside: bool = True) -> DataFrame:
+    """Links (a, b) inside each block of place (id, block, label, side), between different labels; texts (id, text).
 
     side 0: against all of the block, or without ``inside`` against side 1 alone; side 1: only against side 0.
     """
@@ -293,7 +347,7 @@ def _join_blocks(blocks: DataFrame, n: int, percent: int, inside: bool = True) -
         ids = block["id"].tolist()
         return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in links], dtype="int64"), "b": pd.Series([ids[y] for _, y in links], dtype="int64")})
 
-    return blocks.groupBy("block").applyInPandas(run, "a long, b long")
+    return texts.join(sent(settle(place)), "id").groupBy("block").applyInPandas(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shingles: int = 2_000_000) -> DataFrame:
@@ -306,27 +360,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     A null doc_id stays a row with its n_shingles and a null component_id.
     ``cell_shingles`` bounds what a task holds; a longer document is alone.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = settle(scan(docs, n))
     # equal sets are one node, under their least doc_id
     own = seen.where("n_shingles > 0 and doc_id is not null")
     nodes = own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    by_set = own.join(nodes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "id")
-    near = components(shared_pieces(docs, n, percent)).withColumnsRenamed({"id": "doc_id", "component": "cell"})
-    cells = by_set.join(near, "doc_id").select("id", "n_shingles", "cell", _sql_class("n_shingles", percent).alias("cls")).distinct()
-    size = cells.groupBy("cell").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("k"), F.count_distinct("id").alias("members")).where("members > 1")
+    by_set = settle(own.join(nodes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "id").distinct())
+    nodes = by_set.select("id", "n_shingles").distinct()
+    # documents that stand for no set of their own need no pieces
+    copies = settle(by_set.select("doc_id").distinct().join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
+    buckets = 1 + (nodes.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
+    near = components(shared_pieces(docs.join(sent(copies), "doc_id", "left_anti"), n, percent, buckets)).withColumnRenamed("component", "cell")
+    members = settle(nodes.join(near, "id"))
+    # the text of each member, once; a doc_id with several texts has several nodes
+    texts = docs.withColumnRenamed("doc_id", "id").join(sent(members.select("id").distinct()), "id", "left_semi")
+    texts = settle(texts.dropDuplicates(["id", "text"]))
+    cells = _sized(members, percent, cell_shingles)
+    if cells.where("k > 1").limit(1).count():
+        large = texts.join(sent(cells.where("k > 1").select("cell", "id").distinct()), "id")
+        parted = split_cells(large, n, percent)
+        parted = cells.where("k > 1").select("id", "n_shingles").join(parted, "id").union(cells.where("k = 1").select("id", "n_shingles", "cell"))
+        cells = _sized(parted, percent, cell_shingles)
     # a cell of several blocks is dealt by size class, and a class by hash
-    of_class = cells.groupBy("cell", "cls").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("kc"))
-    cells = settle(cells.join(size, "cell").join(of_class, ["cell", "cls"]).select("id", "cell", "k", "cls", "kc").distinct())
-    # a row of text for each member of a cell; a doc_id with several texts has several nodes
     part = F.when(F.col("k") > 1, F.col("cls") * CLASS_STEP + F.pmod(F.xxhash64("id", F.lit(1)), "kc")).otherwise(F.lit(0))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(cells.withColumn("part", part), "id").dropDuplicates(["id", "text", "part"])
-    label = F.col("id").alias("label")
-    blocks = texts.select("k", F.struct("cell", "part").alias("block"), "id", "text", label, F.lit(0).alias("side"))
+    cells = settle(cells.withColumn("part", part))
+    place = cells.select("id", F.struct("cell", "part").alias("block"), F.col("id").alias("label"), F.lit(0).alias("side")).distinct()
+    links = settle(_join_blocks(place, texts, n, percent))
     if cells.where("k > 1").limit(1).count():
-        large = settle(_join_blocks(blocks.where("k > 1").drop("k"), n, percent))
-        links = settle(_join_blocks(blocks.where("k = 1").drop("k"), n, percent)).union(_join_large_cells(texts.where("k > 1"), large, n, percent, cell_shingles))
-    else:
-        links = settle(_join_blocks(blocks.drop("k"), n, percent))
+        links = _join_large_cells(cells.where("k > 1"), texts, links, n, percent, cell_shingles)
     # a doc_id may carry several sets: all of them are one document
     twice = by_set.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     whole = components(links.union(twice))
@@ -334,8 +395,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _labelled(texts: DataFrame, links: DataFrame) -> DataFrame:
-    return texts.join(components(links), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+def _sized(members: DataFrame, percent: int, cell_shingles: int) -> DataFrame:
+    """Members (id, n_shingles, cell) of cells of two or more, with the blocks that their cell (k) and their size class in it (kc) needs."""
+    members = members.withColumn("cls", _sql_class("n_shingles", percent))
+    many = lambda: F.ceil(F.sum("n_shingles") / cell_shingles).cast("int")
+    size = members.groupBy("cell").agg(many().alias("k"), F.count_distinct("id").alias("members")).where("members > 1").drop("members")
+    of_class = members.groupBy("cell", "cls").agg(many().alias("kc"))
+    return settle(members.join(size, "cell").join(of_class, ["cell", "cls"]))
+
+
+def _labelled(place: DataFrame, links: DataFrame) -> DataFrame:
+    return place.join(components(links), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
 #: A block's number is its size class times this, and its place among the blocks of that class.
@@ -347,23 +417,23 @@ def _sql_class(size: str, percent: int):
     return F.floor(F.log(F.col(size)) / math.log(100 / percent) + 1e-9)
 
 
-def _join_large_cells(texts: DataFrame, links: DataFrame, n: int, percent: int, cell_shingles: int) -> DataFrame:
-    """Links across the blocks of cells that have several."""
-    texts = settle(texts)
+def _join_large_cells(cells: DataFrame, texts: DataFrame, links: DataFrame, n: int, percent: int, cell_shingles: int) -> DataFrame:
+    """Links across the blocks of cells that have several. Only ids, labels and blocks are kept; texts come in where sets are compared."""
+    cells = cells.select("id", "n_shingles", "cell", "cls", "kc", "part")
     block = F.struct("cell", "part").alias("block")
     # roots of what is linked in a class of several blocks, dealt again, until they fit one block or few of them still join
     for salt in range(2, 40):
-        roots = _labelled(texts.where("kc > 1"), links).where("id = label")
-        k = roots.groupBy("cell", "cls").agg(F.ceil(F.sum(F.length("text")) / (cell_shingles * 4)).cast("int").alias("kk"))
+        roots = _labelled(cells.where("kc > 1"), links).where("id = label")
+        k = roots.groupBy("cell", "cls").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("kk"))
         dealt = F.col("cls") * CLASS_STEP + F.pmod(F.xxhash64("id", F.lit(salt)), "kk")
         roots = settle(roots.join(k, ["cell", "cls"]).withColumn("part", dealt))
         if not roots.limit(1).count():
             break
-        new = settle(_join_blocks(roots.select(block, "id", "text", "label", F.lit(0).alias("side")), n, percent))
+        new = settle(_join_blocks(roots.select("id", block, "label", F.lit(0).alias("side")).distinct(), texts, n, percent))
         links = links.union(new)
         if not roots.where("kk > 1").limit(1).count() or new.count() < SHRINK * roots.count():
             break
-    now = _labelled(texts, links).select("cell", "part", "id", "text", "label")
+    now = settle(_labelled(cells, links).select("cell", "part", "id", "label").distinct())
     most = now.groupBy("cell", "label").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     now = settle(now.join(most, "cell").withColumn("odd", F.col("label") != F.col("main")).drop("main"))
     # members outside a cell's largest group meet the blocks whose sizes may link; two of them in the later block alone
@@ -373,6 +443,6 @@ def _join_large_cells(texts: DataFrame, links: DataFrame, n: int, percent: int,
     met = there.join(mine, "cell").where(near & (F.col("part") != F.col("mine")))
     met = met.withColumn("all", F.col("has_odd") & (F.col("part") > F.col("mine"))).where("all or has_main")
     met = settle(met.select("cell", "part", "mine", "all", F.struct("cell", "part", "mine").alias("block")))
-    one = now.where("odd").withColumnRenamed("part", "mine").join(met, ["cell", "mine"]).select("block", "id", "text", "label", F.lit(0).alias("side"))
-    two = now.join(met, ["cell", "part"]).where("all or not odd").select("block", "id", "text", "label", F.lit(1).alias("side"))
-    return settle(links.union(_join_blocks(one.unionByName(two), n, percent, inside=False)))
+    one = now.where("odd").withColumnRenamed("part", "mine").join(met, ["cell", "mine"]).select("id", "block", "label", F.lit(0).alias("side"))
+    two = now.join(met, ["cell", "part"]).where("all or not odd").select("id", "block", "label", F.lit(1).alias("side"))
+    return settle(links.union(_join_blocks(one.unionByName(two), texts, n, percent, inside=False)))
