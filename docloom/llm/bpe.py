@@ -17,7 +17,7 @@ import pyarrow as pa
 from . import textarrays as ta
 
 MAX_UNITS = 1_500_000
-#: White space outside ASCII, in UTF-8; rows that have any are encoded whole.
+#: White space outside ASCII, in UTF-8.
 _FAR_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
@@ -33,14 +33,21 @@ def _byte_chars() -> dict[int, str]:
 
 
 class Encoder:
-    """``ids(column)``: all ids of the rows on end, and where each row starts."""
+    """``ids(column)``: all ids of the rows on end, and where each row starts.
 
-    def __init__(self, path: str):
+    As the library by default, a special token's string in a text is that token;
+    with ``plain`` it is text like any other.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if not (plain and t.special)]
+        #: Rows that have any of these are encoded whole.
+        self.whole = re.compile(b"|".join([_FAR_BLANK.pattern, *map(re.escape, added)]))
         self.model = self.tok.model
         self.chars = _byte_chars()
         self.single = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").fullmatch
@@ -91,7 +98,7 @@ class Encoder:
 
     def _encode(self, text: bytes) -> list[int]:
         s = text.decode()
-        if self.single(s):
+        if self.single(s) and not self.whole.search(text):
             return [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, text)))]
         return self.tok.encode(s, add_special_tokens=False).ids
 
@@ -124,7 +131,7 @@ class Encoder:
         full = offs[:-1] < offs[1:]
         cut[offs[:-1][full]] = True
         whole = np.zeros(len(offs) - 1, bool)
-        for m in _FAR_BLANK.finditer(data):
+        for m in self.whole.finditer(data):
             whole[np.searchsorted(offs, m.start(), "right") - 1] = True
         for r in np.flatnonzero(whole):
             cut[offs[r] + 1 : offs[r + 1]] = False
@@ -147,11 +154,11 @@ class Encoder:
         return self.store[take], total[np.searchsorted(start, offs)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One for each worker process and vocabulary, with what it has learned so far."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
