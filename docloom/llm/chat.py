@@ -10,28 +10,36 @@ Template: a turn stands between control strings; the same strings inside a text
 get a backslash behind their first character, and a backslash is doubled, so no
 text can end its turn, and reading back restores it.
 
-Turns go by (turn, role, text). A null role or text reads as empty; a null
-conv_id is a conversation of its own. The same row twice is two turns. One
-conversation is formed in one task: its turns depend on each other in sequence.
-A turn that any number of conversations share is one node, summed up before it
-is shuffled; the depth-first scan carries only a stack of open ancestors from
-one range of nodes to the next.
+A node is known by a 128-bit hash of its parent's, its role and its text. A
+conversation's path is the nodes of its turns on end; in order of paths, which is
+depth-first, the nodes that a path doesn't share with the one before it are new,
+and stand next in the output. So what is sorted grows with the turns, not with
+their ancestors, and the scan carries only the open path from one range of paths
+to the next. Ancestors' intervals that touch are one, so an unshared conversation
+of any depth has one. A conversation is read back through the spans of its
+turns, from the nodes as they were laid out.
+
+Turns go by (turn, role, text). A null role or text reads as empty; a row of
+null conv_id is a conversation of its own. The same row twice is two turns. One
+conversation is formed in one task, turn by turn: they depend on each other in
+sequence, and only their hashes and sizes are held. A turn that any number of
+conversations share is one node, summed up before it is shuffled; so is a path
+that they share whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from . import textarrays as ta
 from .shared import settle
 
 # The template's control strings.
@@ -72,155 +80,262 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-STEP = 16  # hex digits of a path for each turn
+#: Bytes of a node's name.
+STEP = 16
+#: Nodes whose tokens a task has given already and so doesn't again, until it forgets them all.
+KNOWN_NODES = 200_000
+SPAN = "struct<from:long,to:long>"
 
 
-def paths(conversations: DataFrame) -> DataFrame:
-    """(conv_id, depth, path, role, text): the node of each turn; a path starts with its ancestors'."""
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+def node_name(parent: bytes, role: str, text: str) -> bytes:
+    r = role.encode()
+    return hashlib.blake2b(parent + len(r).to_bytes(8, "little") + r + text.encode(), digest_size=STEP).digest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            conv, depth, path, roles, texts = [], [], [], [], []
-            for c, turns in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                chain, whole = b"", ""
-                for d, t in enumerate(turns.as_py()):
-                    chain = hashlib.sha256(chain + json.dumps([t["role"], t["text"]]).encode()).digest()
-                    whole += chain.hex()[:STEP]
-                    conv.append(c)
-                    depth.append(d)
-                    path.append(whole)
-                    roles.append(t["role"])
-                    texts.append(t["text"])
-            yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(depth, pa.int32()), pa.array(path, pa.string()), pa.array(roles, pa.string()), pa.array(texts, pa.string())], ["conv_id", "depth", "path", "role", "text"])
 
-    return convs.mapInArrow(run, "conv_id long, depth int, path string, role string, text string")
+TURNS = "conv_id long, node binary, depth int, ids array<int>, loss_from int, loss_to int, path binary, sizes array<int>"
 
 
-def encode_nodes(nodes: DataFrame, tokenizer: str) -> DataFrame:
-    """(path, ids, loss_from, loss_to) of nodes (path, role, text); the loss covers tokens of an assistant's text."""
+def turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """A row for each turn, with the tokens of its node unless the task gave them before, and one with path and sizes for each whole conversation.
+
+    The loss covers the tokens of an assistant's text.
+    """
+    row = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # rows without a conversation are dealt out like any others
+    dealt = row.repartition(F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")
+    names = [x.split()[0] for x in TURNS.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+
+    def batch(n: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([cols[c] if isinstance(cols.get(c), pa.Array) else pa.array(cols.get(c, [None] * n), k) for c, k in zip(names, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(tokenizer)
-        for b in batches:
-            split = [parts(r.as_py(), t.as_py()) for r, t in zip(b.column(1), b.column(2), strict=True)]
-            ids, at = enc.ids(pa.array([x for p in split for x in p], pa.string()))
-            first = at[::3]
-            after, before = at[2::3] - first[:-1], at[1::3] - first[:-1]
-            mine = np.array([r == "assistant" for r in b.column(1).to_pylist()], bool)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.where(mine, before, 0), pa.int32()), pa.array(np.where(mine, after, 0), pa.int32())], ["path", "ids", "loss_from", "loss_to"])
-
-    return nodes.select("path", "role", "text").mapInArrow(run, "path string, ids array<int>, loss_from int, loss_to int")
-
-
-def _scan(start: tuple[int, list], path: list[str], size: list[int]):
-    """Depth-first over sorted paths from a state (tokens so far, open nodes as (path, start, end, position)); also the state at the end."""
-    total, open_ = start[0], list(start[1])
-    rows = []
-    for p, n in zip(path, size, strict=True):
-        while open_ and not p.startswith(open_[-1][0]):
-            open_.pop()
-        position = open_[-1][3] if open_ else 0
-        rows.append((total, position, [{"from": a, "to": b} for _, a, b, _ in open_]))
-        open_.append((p, total, total + n, position + n))
-        total += n
-    return rows, (total, open_)
+        enc = bpe.encoder(tokenizer, True)
+        known: set[bytes] = set()
+        conv, path, sizes = None, bytearray(), []
+        for whole in batches:
+            for b in ta.slices(whole, "text"):
+                convs, roles, texts = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "role", "text"))
+                ids, at = enc.ids(pa.array([x for r, t in zip(roles, texts, strict=True) for x in parts(r, t)], pa.string()))
+                first, before, behind = at[::3], at[1::3], at[2::3]
+                names_, depth, take, over = [], [], [], {"conv_id": [], "node": [], "path": [], "sizes": []}
+                for k, (c, r, t) in enumerate(zip(convs, roles, texts, strict=True)):
+                    if path and (c is None or c != conv):
+                        _leaf(over, conv, path, sizes)
+                        path, sizes = bytearray(), []
+                    conv = c
+                    name = node_name(bytes(path[-STEP:]), r, t)
+                    depth.append(len(sizes))
+                    path += name
+                    sizes.append(int(first[k + 1] - first[k]))
+                    names_.append(name)
+                    take.append(None if name in known else k)
+                    known.add(name)
+                if len(known) > KNOWN_NODES:
+                    known = set()
+                mine = np.array([r == "assistant" for r in roles], bool)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.view(np.int32))).take(pa.array(take, pa.int64()))
+                loss = [pa.array(np.where(mine, x - first[:-1], 0), pa.int32()) for x in (before, behind)]
+                yield batch(len(names_), conv_id=convs, node=names_, depth=depth, ids=lists, loss_from=loss[0], loss_to=loss[1])
+                if over["node"]:
+                    yield batch(len(over["node"]), **over)
+        if path:
+            over = {"conv_id": [], "node": [], "path": [], "sizes": []}
+            _leaf(over, conv, path, sizes)
+            yield batch(1, **over)
+
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, TURNS)
+
+
+def _leaf(over: dict[str, list], conv: int | None, path: bytearray, sizes: list[int]) -> None:
+    for name, value in (("conv_id", conv), ("node", bytes(path[-STEP:])), ("path", bytes(path)), ("sizes", sizes)):
+        over[name].append(value)
+
+
+def _names(path: bytes) -> list[bytes]:
+    return [path[k : k + STEP] for k in range(0, len(path), STEP)]
+
+
+def _alike(one: list[bytes], two: list[bytes]) -> int:
+    """How many names two paths begin with alike."""
+    k = 0
+    while k < len(one) and k < len(two) and one[k] == two[k]:
+        k += 1
+    return k
+
+
+class Walk:
+    """Depth-first over sorted paths: tokens so far, and of the open path the nodes' names, spans, positions' ends and intervals."""
+
+    def __init__(self, total: int = 0, open_: list[tuple[bytes, int, int]] = ()):
+        self.total, self.names, self.spans, self.ends, self.seen = total, [], [], [], []
+        for name, start, end in open_:
+            self._enter(name, start, end)
+
+    def _enter(self, name: bytes, start: int, end: int) -> tuple[int, list[tuple[int, int]]]:
+        """The position the node begins at, and the intervals of its ancestors."""
+        position, above = (self.ends[-1], self.seen[-1]) if self.names else (0, [])
+        self.names.append(name)
+        self.spans.append((start, end))
+        self.ends.append(position + end - start)
+        self.seen.append([*above[:-1], (above[-1][0], end)] if above and above[-1][1] == start else [*above, (start, end)])
+        return position, above
+
+    def step(self, path: bytes, sizes: list[int]) -> list[tuple[bytes, int, int, list[tuple[int, int]]]]:
+        """The new nodes of the path: name, start, position and ancestors."""
+        names, out = _names(path), []
+        k = _alike(names, self.names)
+        for x in (self.names, self.spans, self.ends, self.seen):
+            del x[k:]
+        for name, n in zip(names[k:], sizes[k:], strict=True):
+            out.append((name, self.total, *self._enter(name, self.total, self.total + n)))
+            self.total += n
+        return out
+
+
+def _begins(tails: list) -> dict[int, tuple[int, list[tuple[bytes, int, int]]]]:
+    """Where the walk of each range of paths begins: tokens before it, and the path open there.
+
+    tails: of each range its part, its total as if nothing were open, its first and last path, and the last's spans.
+    """
+    begins, total, open_ = {}, 0, []
+    for r in sorted(tails, key=lambda r: r["part"]):
+        begins[r["part"]] = (total, open_)
+        first, last = _names(bytes(r["first"])), _names(bytes(r["last"]))
+        k = _alike(first, [x[0] for x in open_])
+        given = sum(r["first_sizes"][:k])  # stands before this range already
+        same = min(k, _alike(last, first))
+        open_ = open_[:same] + [(name, s + total - given, e + total - given) for name, s, e in list(zip(last, r["starts"], r["ends"], strict=True))[same:]]
+        total += r["total"] - given
+    return begins
 
 
 def prefix_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes, depth-first, and for each conversation its last node.
+    """The nodes, depth-first, and the conversations with the spans of their turns.
 
-    Nodes: (path, depth, ids, start, position_ids, ancestors, loss_from, loss_to, n_conversations);
+    Nodes: (node, depth, ids, start, position_ids, ancestors, loss_from, loss_to, n_conversations);
     start is the place of the node's first token in the whole output, ancestors
-    are [from, to) of it that its tokens attend to besides their own. Leaves: (conv_id, path).
+    are [from, to) of it that its tokens attend to besides their own.
+    Conversations: (conv_id, key, spans); key tells those of null conv_id apart.
     """
-    turns = settle(paths(conversations))
-    nodes = turns.groupBy("path").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("n_conversations"), F.first("depth").alias("depth"))
-    encoded = encode_nodes(nodes, tokenizer).join(nodes.select("path", "depth", "n_conversations"), "path")
-    laid = settle(encoded.repartitionByRange("path").sortWithinPartitions("path"))
+    rows = settle(turns(conversations, tokenizer))
+    whole = rows.where("path IS NOT NULL")
+    paths = whole.groupBy("path").agg(F.first("sizes").alias("sizes"))
+    paths = settle(paths.repartitionByRange("path").sortWithinPartitions("path"))
 
-    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        state, seen = (0, []), False
-        for f in frames:
-            seen = seen or len(f) > 0
-            _, state = _scan(state, f["path"].tolist(), f["n"].tolist())
-        if seen:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "total": [state[0]], "open": [json.dumps(state[1])]})
-
-    # a row for each partition, of as many open nodes as a conversation has turns
-    tails = laid.select("path", F.size("ids").alias("n")).mapInPandas(ends, "part int, total long, open string").collect()
-    starts: dict[int, tuple[int, list]] = {}
-    total, open_ = 0, []
-    for r in sorted(tails, key=lambda r: r["part"]):
-        starts[r["part"]] = (total, open_)
-        mine = [(p, a + total, b + total, q) for p, a, b, q in json.loads(r["open"])]
-        if mine:  # what was open stays open if it lies above; its length moves the positions on
-            above = [x for x in open_ if mine[0][0].startswith(x[0])]
-            moved = above[-1][3] if above else 0
-            open_ = above + [(p, a, b, q + moved) for p, a, b, q in mine]
-        total += r["total"]
-
-    def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk, first = Walk(), None
+        for b in batches:
+            for path, sizes in zip(b.column(0), b.column(1), strict=True):
+                path, sizes = path.as_py(), sizes.as_py()
+                first = first or (path, sizes)
+                walk.step(path, sizes)
+        if first:
+            row = {"part": TaskContext.get().partitionId(), "total": walk.total, "first": first[0], "first_sizes": first[1], "last": b"".join(walk.names), "starts": [s for s, _ in walk.spans], "ends": [e for _, e in walk.spans]}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("total", pa.int64()), ("first", pa.binary()), ("first_sizes", pa.list_(pa.int32())), ("last", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+
+    # a row for each range of paths, as long as a conversation has turns
+    tails = paths.mapInArrow(tail, "part int, total long, first binary, first_sizes array<int>, last binary, starts array<long>, ends array<long>").collect()
+    begins = conversations.sparkSession.sparkContext.broadcast(_begins(tails))
+    span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    kinds = pa.schema([("node", pa.binary()), ("start", pa.int64()), ("position", pa.int64()), ("ancestors", span), ("spans", span)])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        state = starts.get(TaskContext.get().partitionId(), (0, []))
-        for f in frames:
-            rows, state = _scan(state, f["path"].tolist(), f["n"].tolist())
-            yield pd.DataFrame({"path": f["path"], "start": [r[0] for r in rows], "position": [r[1] for r in rows], "ancestors": [r[2] for r in rows]})
-
-    place = laid.select("path", F.size("ids").alias("n")).mapInPandas(lay, "path string, start long, position long, ancestors array<struct<from:long,to:long>>")
+        pairs = lambda x: [{"from": a, "to": b} for a, b in x]
+        walk, out, held = Walk(*begins.value.get(TaskContext.get().partitionId(), ())), [], 0
+        for b in batches:
+            for path, sizes in zip(b.column(0), b.column(1), strict=True):
+                for node, start, position, above in walk.step(path.as_py(), sizes.as_py()):
+                    out.append({"node": node, "start": start, "position": position, "ancestors": pairs(above), "spans": None})
+                    held += 1 + len(above)
+                out.append({"node": walk.names[-1], "start": None, "position": None, "ancestors": None, "spans": pairs(walk.spans)})
+                held += len(walk.spans)
+                if held > 20_000:
+                    yield pa.RecordBatch.from_pylist(out, kinds)
+                    out, held = [], 0
+        yield pa.RecordBatch.from_pylist(out, kinds)
+
+    laid = settle(paths.mapInArrow(lay, f"node binary, start long, position long, ancestors array<{SPAN}>, spans array<{SPAN}>"))
+    own = rows.where("path IS NULL").groupBy("node").agg(*(F.first(c, True).alias(c) for c in ("ids", "depth", "loss_from", "loss_to")), F.count("*").alias("n_conversations"))
+    nodes = own.join(laid.where("start IS NOT NULL").drop("spans"), "node")
+    nodes = settle(nodes.repartitionByRange("start").sortWithinPartitions("start"))
     ids = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0))), lambda x: F.col("position") + x)
-    out = laid.join(place, "path").select("path", "depth", "ids", "start", ids.alias("position_ids"), "ancestors", "loss_from", "loss_to", "n_conversations")
-    leaves = turns.groupBy("conv_id").agg(F.max_by("path", "depth").alias("path"))
-    return out, leaves
+    nodes = nodes.select("node", "depth", "ids", "start", ids.alias("position_ids"), "ancestors", "loss_from", "loss_to", "n_conversations")
+    leaves = whole.select("conv_id", "node", F.monotonically_increasing_id().alias("key")).join(laid.where("spans IS NOT NULL").select("node", "spans"), "node")
+    return nodes, leaves.select("conv_id", "key", "spans")
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
-    """(conv_id, formatted, loss): every conversation's string out of the tree, and what its loss mask covers, escaped."""
-    steps = F.transform(F.sequence(F.lit(1), F.expr(f"length(path) div {STEP}")), lambda k: F.substr("path", F.lit(1), k * STEP))
-    on = leaves.select("conv_id", F.explode(steps).alias("path"))
-    got = on.join(nodes.select("path", "depth", "ids", "loss_from", "loss_to"), "path")
-    convs = got.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "ids", "loss_from", "loss_to"))).alias("turns"))
+def _each(nodes: DataFrame, leaves: DataFrame, tokenizer: str, of, schema: str) -> DataFrame:
+    """Rows of schema, which ``of(conv_id, turns)`` makes of each conversation; turns gives (formatted, loss text escaped or None)."""
+    asked = leaves.select("conv_id", "key", F.posexplode("spans").alias("depth", "span")).withColumn("start", F.col("span.from"))
+    got = asked.join(nodes.select("start", "ids", "loss_from", "loss_to"), "start").select("key", "conv_id", "depth", "ids", "loss_from", "loss_to")
+    dealt = got.repartition("key").sortWithinPartitions("key", "depth")
+    names, kinds = [x.strip().split()[0] for x in schema.split(",")], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.encoder(tokenizer).tok
+        import itertools
+
+        tok = bpe.encoder(tokenizer, True).tok
         back = {c: b for b, c in bpe._byte_chars().items()}
         words: dict[int, bytes] = {}
 
-        def decoded(ids) -> bytes:
+        def decoded(ids: list[int]) -> str:
             for i in ids:
                 if i not in words:
                     words[i] = bytes(map(back.__getitem__, tok.id_to_token(i)))
-            return b"".join(map(words.__getitem__, ids))
+            return b"".join(map(words.__getitem__, ids)).decode()
 
-        for b in batches:
-            whole, loss = [], []
-            for turns in b.column(1):
-                t = turns.as_py()
-                whole.append("".join(decoded(x["ids"]).decode() for x in t))
-                loss.append([decoded(x["ids"][x["loss_from"] : x["loss_to"]]).decode() for x in t if x["loss_to"] > x["loss_from"]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.string()), pa.array(loss, pa.list_(pa.string()))], ["conv_id", "formatted", "loss"])
+        def rows():
+            for b in batches:
+                lists, ends = b.column(3).flatten(), np.concatenate([[0], np.cumsum(b.column(3).value_lengths().to_numpy())])
+                for k, (key, conv, a, z) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 4, 5)), strict=True)):
+                    ids = lists[int(ends[k]) : int(ends[k + 1])].to_pylist()
+                    yield key, conv, decoded(ids), decoded(ids[a:z]) if z > a else None
 
-    return convs.mapInArrow(run, "conv_id long, formatted string, loss array<string>")
+        out = []
+        for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            one = next(group)
+            out.append(of(one[1], ((x[2], x[3]) for x in itertools.chain([one], group))))
+            if len(out) == 256:
+                yield as_batch(out)
+                out = []
+        yield as_batch(out)
 
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*out, strict=True) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of what ``read_back`` gives."""
+    known = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    kinds = [known[x.strip().split()[1]] for x in schema.split(",")]
+    return dealt.mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for whole, loss in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                turns = parse(whole)
-                text = "".join(map(unescape, loss))
-                said = "".join(f"{r}\n{t}\n" for r, t, _, _ in turns)
-                rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest(), len(whole)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
+    """(conv_id, formatted, loss): every conversation's string out of the tree, and what its loss mask covers, escaped."""
+
+    def of(conv, turns):
+        whole, loss = zip(*turns, strict=True)
+        return conv, "".join(whole), [x for x in loss if x is not None]
+
+    return _each(nodes, leaves, tokenizer, of, "conv_id long, formatted string, loss array<string>")
+
+
+def digests(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of what the tree's output gives; a turn is held at a time."""
+
+    def of(conv, turns):
+        said, heard, n, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        for formatted, loss in turns:
+            for role, text, _, _ in parse(formatted):
+                said.update(f"{role}\n{text}\n".encode())
+                n += 1
+            text = unescape(loss or "")
+            heard.update(text.encode())
+            chars, size = chars + len(text), size + len(formatted)
+        return conv, n, said.hexdigest(), chars, heard.hexdigest(), size
+
+    return _each(nodes, leaves, tokenizer, of, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -75,8 +75,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(extra)
-    nodes, leaves = chat.prefix_tree(rows, tokenizer_path())
-    return chat.digests(chat.read_back(nodes, leaves, tokenizer_path()))
+    return chat.digests(*chat.prefix_tree(rows, tokenizer_path()), tokenizer_path())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
