@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import clamp, math_round, rate
 
+STATUSES = ("uploaded", "processing", "completed", "review", "rejected")
 DECISIONS = ("auto_accept", "accept_with_warning", "human_review", "reject")
 # Assumed unit prices in US dollars.
 ENGINE_PRICES = {"rapidocr": 0.0015, "paddle": 0.002, "doctr": 0.003, "google": 0.05, "azure": 0.045}
@@ -35,13 +36,16 @@ def usage_by(ledger: DataFrame, key: Column, name: str) -> DataFrame:
 def latency(ledger: DataFrame, *by: str) -> DataFrame:
     """p50, p90, p99 as sorted[floor((n - 1) * r)] and the mean, halves up, of terminal latencies.
 
-    Ranks come from a window, so no group is gathered into one array.
+    Ranks come from counts of each value, so what a window sorts are different
+    values and no group's rows are gathered.
     """
-    rows = ledger.where("terminal and latency_ms is not null")
+    rows = ledger.where("terminal and latency_ms is not null and not isnan(latency_ms) and abs(latency_ms) < double('infinity')")
+    counts = rows.groupBy(*by, "latency_ms").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by)
-    ranked = rows.select(*by, "latency_ms", F.row_number().over(w.orderBy("latency_ms")).alias("rank"), F.count("*").over(w).alias("n"))
-    at = lambda r: F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * r) + 1, F.col("latency_ms")))
-    return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), math_round(F.avg("latency_ms")).cast("long").alias("mean"), F.count("*").alias("n"))
+    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("latency_ms"))).withColumn("n", F.sum("c").over(w))
+    at = lambda r: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * r), F.col("latency_ms")))
+    mean = math_round(F.sum(F.col("latency_ms") * F.col("c")) / F.sum("c")).cast("long")
+    return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), mean.alias("mean"), F.sum("c").alias("n"))
 
 
 def decisions(ledger: DataFrame, *by: str) -> DataFrame:
@@ -57,14 +61,19 @@ def decisions(ledger: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def accuracy(documents: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per family: fields and corrected fields; children are summed up before they are joined, so nothing fans out."""
-    per = fields.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if("corrected").alias("c"))
-    rows = documents.join(per, "document_id", "left")
-    corrected, whole = F.sum(F.coalesce("c", F.lit(0))), F.sum(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
+def accuracy(submissions: DataFrame, documents: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Per family of the record: fields, and corrected ones: a submission's corrections and its record's different edited names.
+
+    submissions (submission_id, document_id), those without a record skipped;
+    documents (document_id, family, n_fields, edited); corrections (submission_id, n), summed up before they are joined.
+    """
+    told = corrections.groupBy("submission_id").agg(F.sum("n").alias("c"))
+    rows = submissions.join(documents, "document_id").join(told, "submission_id", "left")
+    mine = F.coalesce("c", F.lit(0)) + F.col("edited")
+    corrected, whole, touched = F.sum(mine), F.sum(F.greatest("n_fields", F.lit(1))), F.count_if(mine > 0)
     return rows.groupBy("family").agg(
-        F.count("*").alias("documents"), corrected.alias("corrected_fields"), whole.alias("total_fields"),
-        F.round(1 - rate(corrected, whole), 4).alias("accuracy"), F.round(rate(corrected, whole), 4).alias("correction_rate"),
+        F.count("*").alias("documents"), touched.alias("corrected_documents"), corrected.alias("corrected_fields"), whole.alias("total_fields"),
+        F.round(1 - rate(corrected, whole), 4).alias("accuracy"), F.round(rate(touched, F.count("*")), 4).alias("correction_rate"),
     )
 
 
@@ -77,35 +86,72 @@ def processing_cost(engines: Column, adjudicated: Column) -> Column:
 
 def recommendation(reviewed: Column, false_accepts: Column, correction: Column, agreement: Column, review: Column) -> Column:
     return (
-        F.when(reviewed < 5, "collect_more_reviews")
+        F.when(reviewed < 5, "collect_more_samples")
         .when((false_accepts > 0) | ((correction > 0.18) & (agreement < 0.88)), "tighten_auto_accept")
-        .when((review > 0.55) & (correction < 0.08) & (agreement > 0.9), "reduce_manual_review")
+        .when((review > 0.55) & (correction < 0.08) & (agreement > 0.9), "reduce_review_threshold")
         .otherwise("stable")
     )
 
 
-def calibration(documents: DataFrame) -> DataFrame:
-    """Per pack, over (pack_id, ord, family, decision, reviewed, corrected, n_fields, agreement, confidence).
+def calibration(signals: DataFrame) -> DataFrame:
+    """Twelve measures of each pack over ``documents.signals``, and what to do about it.
 
-    Null confidence counts as 0; the family is that of the pack's first document.
+    Null confidence counts as 0; agreement is weighted by the fields with a
+    consensus; family, country and variant are the pack's first record's.
     """
-    n, reviewed = F.count("*"), F.count_if("reviewed")
-    false_accepts = F.count_if((F.col("decision") == "auto_accept") & F.col("reviewed") & (F.col("corrected") > 0))
-    correction = rate(F.sum(F.when(F.col("reviewed"), F.col("corrected")).otherwise(0)), F.sum(F.when(F.col("reviewed"), F.greatest("n_fields", F.lit(1))).otherwise(0)))
-    agreement, review = F.coalesce(F.avg("agreement"), F.lit(0.0)), rate(F.count_if(F.col("decision") == "human_review"), n)
-    return documents.groupBy("pack_id").agg(
-        F.min_by("family", "ord").alias("family"), n.alias("documents"), reviewed.alias("reviewed"), false_accepts.alias("false_accepts"),
-        F.round(correction, 4).alias("correction_rate"), F.round(agreement, 4).alias("agreement"), F.round(review, 4).alias("review_rate"),
-        F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 4).alias("confidence"),
+    n, reviewed, changed = F.count("*"), F.count_if("reviewed"), F.col("corrected") > 0
+    corrected, false_accepts = F.count_if(changed), F.count_if((F.col("decision") == "auto_accept") & changed)
+    voted = F.sum("consensus_fields")
+    correction, agreement = rate(corrected, reviewed), rate(F.sum(F.col("agreement") * F.col("consensus_fields")), voted)
+    review = rate(F.count_if(F.col("decision") == "human_review"), n)
+    of_first = lambda c: F.min_by(c, "ord").alias(c)
+    return signals.groupBy("pack_id").agg(
+        of_first("family"), of_first("country"), of_first("variant"), n.alias("documents"), reviewed.alias("reviewed"), corrected.alias("corrected"), false_accepts.alias("false_accepts"),
+        F.round(rate(F.count_if(F.col("decision").isin("auto_accept", "accept_with_warning")), n), 6).alias("straight_through_rate"), F.round(review, 6).alias("review_rate"),
+        F.round(correction, 6).alias("correction_rate"), F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 6).alias("confidence"), F.round(agreement, 6).alias("agreement"),
+        F.round(rate(F.sum("disagreements"), voted), 6).alias("disagreement_rate"), F.round(rate(F.sum("abstained"), F.sum("adjudications")), 6).alias("abstention_rate"),
         recommendation(reviewed, false_accepts, correction, agreement, review).alias("recommendation"),
     )
 
 
+# The order of insights.
+INSIGHT_ORDER = ("tighten_auto_accept", "collect_more_samples", "reduce_review_threshold", "stable")
+
+
+def insights(calibrated: DataFrame, top: int | None = None) -> DataFrame:
+    """By what is to be done, then by the most documents; the first ``top``."""
+    rank = F.array_position(F.array(*map(F.lit, INSIGHT_ORDER)), F.col("recommendation"))
+    out = calibrated.orderBy(rank, F.desc("documents"), "pack_id")
+    return out.limit(top) if top else out
+
+
+def learning_loop(signals: DataFrame, top: int = 25) -> DataFrame:
+    """One row of totals: reviewed records, the queue's length, packs, and corrections after an automatic accept."""
+    queue = learning_queue(signals, top).agg(F.count("*").alias("queue_size"))
+    tracked = calibration(signals).agg(F.count("*").alias("packs_tracked"), F.coalesce(F.sum("false_accepts"), F.lit(0)).alias("false_accept_corrections"))
+    return signals.agg(F.count_if("reviewed").alias("reviewed_documents")).join(queue, F.lit(True)).join(tracked, F.lit(True))
+
+
+# What a recommendation adds to automatic confidence, automatic agreement and confidence with a warning.
+ADJUSTMENTS = {"tighten_auto_accept": (0.02, 0.05, 0.01), "reduce_review_threshold": (-0.01, -0.03, -0.02)}
+
+
 def threshold_recommendation(insights: DataFrame) -> DataFrame:
-    """Thresholds for packs that aren't stable, clamped; a zero average starts at 0.85."""
-    start = F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.85))
-    step = F.when(F.col("recommendation") == "tighten_auto_accept", 0.03).when(F.col("recommendation") == "reduce_manual_review", -0.02).otherwise(0.0)
-    return insights.where("recommendation <> 'stable'").select("pack_id", "recommendation", F.round(clamp(start + step, 0.75, 0.98), 4).alias("auto_accept_confidence"))
+    """The five thresholds of each pack that isn't stable, clamped; a zero average starts at 0.85."""
+    started = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(0.85))
+    confidence, agreement = clamp(started("confidence"), 0.75, 0.99), clamp(started("agreement"), 0.55, 0.99)
+
+    def added(k: int) -> Column:
+        out = F.lit(0.0)
+        for name, by in ADJUSTMENTS.items():
+            out = F.when(F.col("recommendation") == name, by[k]).otherwise(out)
+        return out
+
+    made = {
+        "auto_accept_confidence": clamp(confidence + 0.04 + added(0), 0.82, 0.995), "auto_accept_agreement": clamp(agreement + 0.02 + added(1), 0.6, 0.99),
+        "accept_with_warning_confidence": clamp(confidence - 0.03 + added(2), 0.68, 0.98), "review_agreement": clamp(agreement - 0.15, 0.45, 0.92), "cross_side_confidence": clamp(confidence - 0.01, 0.78, 0.97),
+    }
+    return insights.where("recommendation <> 'stable'").select("pack_id", "family", "country", "recommendation", *(F.round(c, 6).alias(k) for k, c in made.items()))
 
 
 def routing_scores(results: DataFrame) -> DataFrame:
@@ -129,7 +175,12 @@ def learning_queue(documents: DataFrame, top: int = 25) -> DataFrame:
     score = 18 * F.col("corrected") + 8 * F.col("disagreements") + 5 * F.col("low_agreement") + 6 * F.col("abstained")
     score = score + F.when(c < 0.85, 6).otherwise(0) + F.when(F.col("decision") == "human_review", 8).otherwise(0)
     score = score + F.when((F.col("decision") == "auto_accept") & (F.col("corrected") > 0), 20).otherwise(0)
-    return documents.withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), "document_id").limit(top)
+    return documents.withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), "ord").limit(top)
+
+
+def benchmark(rows: DataFrame, strategy: str, pack: str, **measures: Column) -> DataFrame:
+    """Measures of each strategy (pack null), and of each strategy and pack."""
+    return rows.groupingSets([[strategy], [strategy, pack]], strategy, pack).agg(*(m.alias(name) for name, m in measures.items()))
 
 
 def snapshot_diff(snapshots: DataFrame, key: str, value: str, action: str = "action") -> DataFrame:
@@ -140,15 +191,42 @@ def snapshot_diff(snapshots: DataFrame, key: str, value: str, action: str = "act
     return both.where("n = 2").select(action, key, "latest", "previous", F.round(F.col("latest") - F.col("previous"), 6).alias("change"))
 
 
-def ops_snapshot(documents: DataFrame) -> DataFrame:
-    """One row: status counts, mean confidence with null as 0, review share."""
-    n = F.count("*")
-    return documents.agg(
+def ops_snapshot(signals: DataFrame, now: str) -> DataFrame:
+    """One row on all records (``documents.signals``): statuses, decisions, jobs, means with a null confidence as 0, edits, coverage."""
+    t, n, job = F.lit(now).cast("timestamp"), F.count("*"), F.col("job.status")
+    waited = F.max(F.when(job == "queued", F.unix_millis(t) - F.unix_millis("job.created_at"))) / 60000
+    due = (job == "failed") & (F.col("job.next_retry_at").isNull() | (F.col("job.next_retry_at") <= t))
+    voted = F.sum("consensus_fields")
+    return signals.agg(
         n.alias("documents"),
-        *(F.count_if(F.col("status") == s).alias(f"status_{s}") for s in ("queued", "processing", "completed", "review", "rejected")),
-        F.round(rate(F.sum(F.coalesce("confidence", F.lit(0.0))), n), 6).alias("mean_confidence"),
-        F.round(rate(F.count_if(F.col("status") == "review"), n), 6).alias("review_share"),
-    )
+        *(F.count_if(F.col("status") == s).alias(f"status_{s}") for s in STATUSES),
+        *(F.count_if(F.col("decision") == x).alias(f"decision_{x}") for x in ("pending", *DECISIONS)),
+        F.count_if(F.col("job").isNotNull()).alias("jobs"), *(F.count_if(job == s).alias(f"jobs_{s}") for s in ("queued", "running", "failed")),
+        F.count_if(F.col("job.queue") == "dlq").alias("jobs_dlq"), F.count_if(due).alias("jobs_retry_due"), F.coalesce(F.round(waited, 2), F.lit(0.0)).alias("oldest_queued_minutes"),
+        F.round(rate(F.sum(F.coalesce("confidence", F.lit(0.0))), n), 6).alias("average_confidence"), F.round(rate(F.sum(F.col("agreement") * F.col("consensus_fields")), voted), 6).alias("average_agreement"),
+        F.coalesce(F.sum("disagreements"), F.lit(0)).cast("long").alias("disagreement_fields"), F.coalesce(F.sum("edits"), F.lit(0)).cast("long").alias("review_edits"),
+        F.count_if("reviewed").alias("dataset_eligible"), F.round(rate(F.count_if("reviewed"), n), 6).alias("review_coverage"),
+    )
+
+
+# The gauges and their order; the last part is the snapshot's column and its decimals.
+GAUGES = (
+    ("documents_total", "documents", 0), ("documents_uploaded", "status_uploaded", 0), ("documents_processing", "status_processing", 0), ("documents_completed", "status_completed", 0),
+    ("documents_review", "status_review", 0), ("documents_rejected", "status_rejected", 0), ("decision_auto_accept", "decision_auto_accept", 0), ("decision_accept_with_warning", "decision_accept_with_warning", 0),
+    ("decision_human_review", "decision_human_review", 0), ("decision_reject", "decision_reject", 0), ("jobs_total", "jobs", 0), ("jobs_failed", "jobs_failed", 0), ("jobs_dlq", "jobs_dlq", 0),
+    ("jobs_retry_due", "jobs_retry_due", 0), ("jobs_oldest_queued_minutes", "oldest_queued_minutes", 2), ("review_edits_total", "review_edits", 0), ("dataset_eligible_documents", "dataset_eligible", 0),
+    ("learning_queue_total", "queue_size", 0), ("false_accept_corrections_total", "false_accept_corrections", 0), ("packs_needing_calibration_total", "packs_needing_calibration", 0),
+    ("average_confidence", "average_confidence", 6), ("average_field_agreement", "average_agreement", 6), ("disagreement_fields_total", "disagreement_fields", 0),
+)
+
+
+def gauges(signals: DataFrame, now: str) -> DataFrame:
+    """(place, line): the 23 gauges of all records as metrics text."""
+    queue = learning_queue(signals, 100).agg(F.count("*").alias("queue_size"))
+    packs = calibration(signals).agg(F.coalesce(F.sum("false_accepts"), F.lit(0)).alias("false_accept_corrections"), F.count_if(F.col("recommendation") != "stable").alias("packs_needing_calibration"))
+    row = ops_snapshot(signals, now).join(queue, F.lit(True)).join(packs, F.lit(True))
+    lines = [F.format_string(f"ocr_{name} %d" if not k else f"ocr_{name} %.{k}f", F.col(c) if k else F.col(c).cast("long")) for name, c, k in GAUGES]
+    return row.select(F.posexplode(F.array(*lines)).alias("place", "line"))
 
 
 def monthly_cost(volumes: DataFrame, shares: dict[str, tuple[float, float]]) -> DataFrame:

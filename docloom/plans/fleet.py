@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from .registry import DOCS, LEDGER, STRATEGIES, doc_records, ledger, load, query, strategies
+from .registry import LEDGER, STRATEGIES, ledger, load, query, strategies
 
-FROM, TO, NOW = "2024-01-05 00:00:00", "2024-01-25 12:00:00", "1998-06-01 00:00:00"
+FROM, TO = "2024-01-05 00:00:00", "2024-01-25 12:00:00"
 _RANGE = f"created_at BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"
 
 
@@ -44,36 +44,6 @@ def decision_rates(spark, d):
     return A.decisions(ledger(spark, d), "client")
 
 
-@query(f"""WITH {DOCS}, f AS (SELECT l_orderkey AS document_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS c FROM lineitem GROUP BY 1)
-SELECT family, count(*) AS documents, CAST(sum(coalesce(c, 0)) AS BIGINT) AS corrected_fields, CAST(sum(greatest(coalesce(n, 0), 1)) AS BIGINT) AS total_fields, round(1 - sum(coalesce(c, 0)) / sum(greatest(coalesce(n, 0), 1)), 4) AS accuracy, round(sum(coalesce(c, 0)) / sum(greatest(coalesce(n, 0), 1)), 4) AS correction_rate
-FROM docs LEFT JOIN f USING (document_id) GROUP BY 1""")
-def accuracy_by_family(spark, d):
-    fields = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_returnflag") == "R").alias("corrected"))
-    return A.accuracy(doc_records(spark, d), fields)
-
-
-@query(f"""WITH {DOCS} SELECT count(*) AS documents, count(*) FILTER (status = 'queued') AS status_queued, count(*) FILTER (status = 'processing') AS status_processing, count(*) FILTER (status = 'completed') AS status_completed, count(*) FILTER (status = 'review') AS status_review, count(*) FILTER (status = 'rejected') AS status_rejected,
- round(sum(coalesce(confidence, 0)) / count(*), 6) AS mean_confidence, round(count(*) FILTER (status = 'review') / count(*), 6) AS review_share FROM docs""")
-def ops_snapshot(spark, d):
-    return A.ops_snapshot(doc_records(spark, d))
-
-
-_CAL = f"""WITH {DOCS}, b AS (SELECT pack_id, arg_min(family, ord) AS family, count(*) AS documents, count(*) FILTER (reviewed) AS reviewed, count(*) FILTER (decision = 'auto_accept' AND reviewed AND corrected > 0) AS false_accepts,
- coalesce(sum(CASE WHEN reviewed THEN corrected ELSE 0 END) / nullif(sum(CASE WHEN reviewed THEN greatest(n_fields, 1) ELSE 0 END), 0), 0) AS cr, coalesce(avg(agreement), 0) AS ag, count(*) FILTER (decision = 'human_review') / count(*) AS rr, avg(coalesce(confidence, 0)) AS cf FROM docs GROUP BY 1),
- cal AS (SELECT pack_id, family, documents, reviewed, false_accepts, round(cr, 4) AS correction_rate, round(ag, 4) AS agreement, round(rr, 4) AS review_rate, round(cf, 4) AS confidence,
- CASE WHEN reviewed < 5 THEN 'collect_more_reviews' WHEN false_accepts > 0 OR (cr > 0.18 AND ag < 0.88) THEN 'tighten_auto_accept' WHEN rr > 0.55 AND cr < 0.08 AND ag > 0.9 THEN 'reduce_manual_review' ELSE 'stable' END AS recommendation FROM b)"""
-
-
-@query(f"{_CAL} SELECT * FROM cal")
-def calibration_by_pack(spark, d):
-    return A.calibration(doc_records(spark, d))
-
-
-@query(f"{_CAL} SELECT pack_id, recommendation, round(greatest(0.75, least(0.98, coalesce(nullif(confidence, 0), 0.85) + CASE recommendation WHEN 'tighten_auto_accept' THEN 0.03 WHEN 'reduce_manual_review' THEN -0.02 ELSE 0 END)), 4)::DOUBLE AS auto_accept_confidence FROM cal WHERE recommendation <> 'stable'")
-def threshold_recommendations(spark, d):
-    return A.threshold_recommendation(A.calibration(doc_records(spark, d)))
-
-
 _PRICE = "CASE l_linenumber % 4 WHEN 0 THEN 0.0015 WHEN 1 THEN 0.05 WHEN 2 THEN 0.045 ELSE 0 END"
 
 
@@ -106,14 +76,8 @@ def leaderboard_rank(spark, d):
 
 @query("SELECT l_suppkey % 7 AS strategy, l_returnflag AS pack, count(*) AS n, round(avg(l_discount), 6) AS review FROM lineitem GROUP BY GROUPING SETS ((1), (1, 2))")
 def routing_grouping_sets(spark, d):
-    load(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("strategy"), F.col("l_returnflag").alias("pack"), "l_discount").createOrReplaceTempView("routing_rows")
-    return spark.sql("SELECT strategy, pack, count(*) AS n, round(avg(l_discount), 6) AS review FROM routing_rows GROUP BY GROUPING SETS ((strategy), (strategy, pack))")
-
-
-@query(f"""WITH {DOCS}, s AS (SELECT document_id, 18 * corrected + 8 * disagreements + 5 * low_agreement + 6 * abstained + CASE WHEN coalesce(confidence, 1) < 0.85 THEN 6 ELSE 0 END + CASE WHEN decision = 'human_review' THEN 8 ELSE 0 END + CASE WHEN decision = 'auto_accept' AND corrected > 0 THEN 20 ELSE 0 END AS score FROM docs)
-SELECT document_id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, document_id LIMIT 25""")
-def learning_queue_topk(spark, d):
-    return A.learning_queue(doc_records(spark, d)).select("document_id", "score")
+    rows = load(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("strategy"), F.col("l_returnflag").alias("pack"), "l_discount")
+    return A.benchmark(rows, "strategy", "pack", n=F.count("*"), review=F.round(F.avg("l_discount"), 6))
 
 
 @query("""WITH r AS (SELECT o_custkey AS action, o_orderpriority AS key, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
@@ -146,8 +110,9 @@ def tenant_semi_join(spark, d):
 UNION ALL SELECT 'source', coalesce(nullif(source, ''), 'unknown'), count(*), round(avg(n_chars), 4) FROM documents GROUP BY 2""")
 def grouped_eval(spark, d):
     docs = load(spark, d, "documents").select(*(F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")).alias(c) for c in ("lang", "source")), "n_chars")
-    docs.createOrReplaceTempView("eval_rows")
-    return spark.sql("SELECT CASE WHEN grouping(lang) = 0 THEN 'split' ELSE 'source' END AS dimension, coalesce(lang, source) AS bucket, count(*) AS n, round(avg(n_chars), 4) AS mean FROM eval_rows GROUP BY GROUPING SETS ((lang), (source))")
+    sets = docs.groupingSets([["lang"], ["source"]], "lang", "source")
+    out = sets.agg(F.when(F.grouping("lang") == 0, "split").otherwise("source").alias("dimension"), F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"))
+    return out.select("dimension", F.coalesce("lang", "source").alias("bucket"), "n", "mean")
 
 
 @query("SELECT round(avg(l_discount), 6) AS mean_review, round(avg(l_tax) - avg(l_discount), 6) AS gap, round(count(*) FILTER (l_returnflag = 'N') / count(*), 6) AS stp FROM lineitem")
@@ -164,12 +129,3 @@ def registry_profile(spark, d):
 @query("SELECT l.quality, l.toxic, count(*) AS n, round(avg(d.n_chars), 4) AS mean_chars FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2")
 def review_outcomes(spark, d):
     return load(spark, d, "labels").join(load(spark, d, "documents"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
-
-
-@query("""SELECT line FROM (SELECT format('docloom_documents {}', count(*)) AS a, printf('docloom_mean_price %.6f', avg(o_totalprice)) AS b FROM orders) UNPIVOT (line FOR k IN (a, b))""")
-def metrics_text(spark, d):
-    from ..sources.files import prometheus
-
-    return prometheus(load(spark, d, "orders").agg(F.count("*").alias("documents"), F.avg("o_totalprice").alias("mean_price")))
-
-
