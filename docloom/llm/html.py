@@ -4,20 +4,27 @@ A forgiving tree builder (implied end tags, void elements, raw text elements)
 drives a renderer that emits all visible text: blocks on lines of their own,
 paragraphs and headings set off by an empty line, list items with their marks
 and depth, preformatted text as it stands, and table cells padded to columns.
-Both run over one stack, so deep nesting costs no recursion, and memory follows
-the page's length.
+Both run over one stack, so deep nesting costs no recursion; open elements are
+found by name, and no tag or quote is looked for twice, so time and memory
+follow the page's length, whatever stands in it.
 
 Hidden: head, script, style, template, noscript and other replaced elements, the
 hidden attribute, ``display: none`` and ``visibility: hidden`` (which a child
 may lift), hidden inputs, and what a closed ``details`` holds but its summary.
 Formulas show as their characters stand, drawings as their labels, a line each.
 
-A null or empty page gives empty text. Rows are rendered alike, one by one;
-columns besides the page are carried along.
+A tag that never ends is text, as is all behind it. A cell's column is as wide as
+the cells that begin and end in it; indents end at INDENTS levels, and tables
+inside NESTED others show as blocks.
+
+A null or empty page gives empty text. Rows are rendered alike, one by one, in
+Python, which a tree builder needs; repeated rows stay, and columns besides the
+page are carried along, but one named as the result, which it replaces.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -26,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textarrays as ta
+
 # Element names of the HTML standard, by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -48,7 +57,10 @@ IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPL
 #: An end tag doesn't reach past these.
 WALLS = frozenset("table td th caption template html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count only behind an equals sign, as in browsers; one that never closes is a character.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
+#: Levels of indent that a line shows, and tables in tables whose cells are aligned.
+INDENTS, NESTED = 24, 24
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
@@ -88,7 +100,7 @@ class Writer:
         if self.gap and self.lines and self.lines[-1]:
             self.lines.append("")
         self.gap = False
-        pad = "".join(self.indent)
+        pad = "".join(self.indent[-INDENTS:])
         if self.mark is not None:
             pad = pad[: len(pad) - len(self.mark)] + self.mark
             self.mark = None
@@ -126,56 +138,79 @@ class Element:
 
 def placed(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[tuple[int, list[str], int]]]:
     """First column, lines and columns of each cell; cells that reach down from rows above keep their columns, up to the end (None) of their group of rows."""
-    taken: dict[int, int] = {}  # column: rows still held from here on
-    out = []
+    taken: list[tuple[int, int, int]] = []  # columns held from one to another, before the row of the last number
+    runs: list[tuple[int, int]] = []  # the same without gaps
+    change = 0  # the first row for which some are free again
+    out: list[list[tuple[int, list[str], int]]] = []
     for row in rows:
         if row is None:
-            taken = {}
+            taken, runs = [], []
             continue
-        c, cells, new = 0, [], {}
+        c, k, cells, new = 0, 0, [], []
         for lines, span, down in row:
-            while taken.get(c, 0) > 0:
-                c += 1
+            while k < len(runs) and runs[k][0] <= c:
+                c = max(c, runs[k][1])
+                k += 1
             cells.append((c, lines, span))
             if down > 1:
-                new |= dict.fromkeys(range(c, c + span), down)
+                new.append((c, c + span, len(out) + down))
             c += span
-        taken = {x: n - 1 for x in taken | new if (n := max(taken.get(x, 0), new.get(x, 0))) > 1}
         out.append(cells)
+        if new or (taken and change <= len(out)):
+            taken = sorted(x for x in taken + new if x[2] > len(out))
+            change = min((x[2] for x in taken), default=0)
+            runs = []
+            for a, b, _ in taken:
+                if runs and runs[-1][1] >= a:
+                    runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+                else:
+                    runs.append((a, b))
     return out
 
 
 def grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
     """Cells padded to columns, two blanks apart; a cell with several lines takes several."""
-    width: dict[int, int] = {}
     table = placed(rows)
+    width = {c: 0 for row in table for c, _, _ in row}
     for row in table:
         for c, lines, span in row:
             if span == 1:
-                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
-            else:
-                for x in range(c, c + span):
-                    width.setdefault(x, 0)
+                width[c] = max(width[c], max(map(len, lines), default=0))
     starts, at = {}, 0
-    for c in range(max(width, default=-1) + 1):
+    for c in sorted(width):
         starts[c] = at
-        at += width.get(c, 0) + 2
+        at += width[c] + 2
     out = []
     for row in table:
         for k in range(max((len(lines) for _, lines, _ in row), default=0)):
-            line = ""
+            line, size = [], 0
             for c, lines, _ in row:
                 if k < len(lines):
-                    line = line.ljust(max(starts[c], len(line) + 2 if line else 0)) + lines[k]
-            out.append(line.rstrip())
+                    to = max(starts[c], size + 2 if size else 0)
+                    line += [" " * (to - size), lines[k]]
+                    size = to + len(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
 class Renderer:
     def __init__(self) -> None:
         self.stack = [Element("#root")]
+        self.at: dict[str, list[int]] = {}  # where on the stack elements of a name are
+        self.tables: list[Element] = []
+        self.deep = 0  # open tables beyond those whose cells are aligned
         self.out = Writer()
 
+    def last(self, names) -> int:
+        """Where the innermost open element of these names is; 0 if there is none."""
+        return max((at[-1] for n in names if (at := self.at.get(n))), default=0)
+
+    def pop_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            e = self.stack.pop()
+            self.at[e.name].pop()
+            self.leave(e)
+
     def attributes(self, raw: str) -> dict[str, str]:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
@@ -185,10 +220,8 @@ class Renderer:
             self.close_to(ends, scope | WALLS - ends)
         if name in ENDS_P:
             self.close_to(frozenset(("p",)), WALLS | frozenset(("button", "object")))
-        if name in ("td", "th") and not any(e.name == "tr" for e in self.inside("table")):
+        if name in ("td", "th") and self.last(("tr",)) <= self.last(("table",)):
             self.open("tr", "")
-        if name not in BLOCK | VOID and self.stack[-1].name in ("table", "tr", "tbody", "thead", "tfoot") and name not in ("tr", "td", "th", "tbody", "thead", "tfoot", "colgroup", "script", "style", "template"):
-            pass  # stray content in a table shows where it stands
         a = self.attributes(raw) if raw.strip(" /\n\t") else {}
         top, e = self.stack[-1], Element(name)
         e.hidden = top.hidden or name in HIDDEN or "hidden" in a or (name == "input" and a.get("type", "").lower() == "hidden") or (top.shut and name != "summary")
@@ -207,25 +240,26 @@ class Renderer:
         if e.foreign and raw.rstrip().endswith("/"):
             self.leave(e)
         elif name not in VOID:
+            self.at.setdefault(name, []).append(len(self.stack))
             self.stack.append(e)
 
-    def inside(self, wall: str) -> list[Element]:
-        out = []
-        for e in reversed(self.stack):
-            if e.name == wall:
-                break
-            out.append(e)
-        return out
-
     def enter(self, e: Element, a: dict[str, str]) -> None:
         name = e.name
         if name == "br":
             self.out.flush(keep=True)
         elif name == "input" and a.get("type", "text").lower() not in ("checkbox", "radio", "image", "file", "color", "range", "password"):
             self.out.text(a.get("value", ""), False)
+        elif name == "table" and len(self.tables) >= NESTED:
+            self.out.block(True)
+            e.kind = "deep"
+            self.deep += 1
+        elif self.deep and name in ("td", "th", "tr", "tbody", "thead", "tfoot"):
+            self.out.block(False)
+            e.kind = "deep"
         elif name == "table":
             self.out.block(True)
             e.rows, e.out, self.out = [], self.out, Writer()
+            self.tables.append(e)
         elif name in ("td", "th") and (t := self.table()) is not None:
             if not t.rows or t.rows[-1] is None:
                 t.rows.append([])
@@ -240,14 +274,14 @@ class Renderer:
         elif name == "text" and e.foreign:
             self.out.block(False)
         elif name in ("ul", "ol", "menu", "dir"):
-            self.out.block(not any(x.name == "li" for x in self.stack))
+            self.out.block(not self.at.get("li"))
             start = a.get("start", "1")
             e.count = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
         elif name == "li":
             self.out.block(False)
-            home = next((x for x in reversed(self.stack) if x.name in ("ul", "ol", "menu", "dir")), None)
+            home = self.stack[self.last(("ul", "ol", "menu", "dir"))]
             mark = "- "
-            if home is not None and home.name == "ol":
+            if home.name == "ol":
                 mark = f"{home.count}. "
                 home.count += 1
             e.kind = mark
@@ -260,14 +294,18 @@ class Renderer:
             self.out.block(name in SPACED)
 
     def table(self) -> Element | None:
-        return next((x for x in reversed(self.stack) if x.rows is not None), None)
+        return self.tables[-1] if self.tables else None
 
     def leave(self, e: Element) -> None:
         if e.hidden:
             return
         name = e.name
-        if name == "table":
+        if e.kind == "deep":
+            self.deep -= name == "table"
+            self.out.block(name == "table")
+        elif name == "table":
             rest = self.out.done()
+            self.tables.pop()
             self.out = e.out
             self.out.add(rest + grid(e.rows))
             self.out.block(True)
@@ -289,27 +327,20 @@ class Renderer:
             self.out.block(name == "blockquote")
             self.out.indent.pop()
         elif name in BLOCK:
-            self.out.block(name in SPACED and not (name in ("ul", "ol") and any(x.name == "li" for x in self.stack)))
+            self.out.block(name in SPACED and not (name in ("ul", "ol") and bool(self.at.get("li"))))
 
     def close_to(self, names: frozenset[str], walls: frozenset[str]) -> None:
         """Ends the outermost open element of these names this side of a wall, and all inside it."""
-        at = None
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name in names:
-                at = k
-            elif self.stack[k].name in walls:
-                break
-        while at is not None and len(self.stack) > at:
-            self.leave(self.stack.pop())
+        wall = self.last(walls - names)
+        inner = [at[k] for n in names if (at := self.at.get(n)) and (k := bisect.bisect_right(at, wall)) < len(at)]
+        if inner:
+            self.pop_to(min(inner))
 
     def close(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name == name:
-                while len(self.stack) > k:
-                    self.leave(self.stack.pop())
-                return
-            if self.stack[k].name in WALLS and name not in WALLS and name not in ("tr", "tbody", "thead", "tfoot", "body"):
-                break
+        at = self.last((name,))
+        if at and (name in WALLS or name in ("tr", "tbody", "thead", "tfoot", "body") or self.last(WALLS) < at):
+            self.pop_to(at)
+            return
         if name == "br":
             self.open("br", "")
         elif name == "p":  # an end without a start is an empty paragraph
@@ -322,18 +353,29 @@ class Renderer:
             self.out.text(s, top.pre)
 
     def render(self, html: str) -> str:
-        at, size = 0, len(html)
+        at, size, last = 0, len(html), html.rfind(">")
         while at < size:
-            m = _TOKEN.search(html, at)
+            m, to = None, html.find("<", at)
+            while to >= 0:  # one that begins no tag is text
+                if html.startswith(("<!", "<?"), to):
+                    break
+                m = _TAG.match(html, to)
+                if m or (to + 1 < size and (html[to + 1].isascii() and html[to + 1].isalpha() or html[to + 1 : to + 2] == "/" and html[to + 2 : to + 3].isascii() and html[to + 2 : to + 3].isalpha())):
+                    break
+                to = html.find("<", to + 1)
+            if to != at:
+                self.text(unescape(html[at : to if to >= 0 else size]))
+            if to < 0:
+                break
             if m is None:
-                self.text(unescape(html[at:]))
+                if html[to + 1] in "!?":
+                    comment = html.startswith("<!--", to)
+                    end = html.find("-->" if comment else ">", to + (4 if comment else 2))
+                    at = size if end < 0 else end + (3 if comment else 1)
+                    continue
+                self.text(unescape(html[to:]))  # a tag without an end
                 break
-            if m.start() > at:
-                self.text(unescape(html[at : m.start()]))
-            at = m.end()
-            if m[2] is None:
-                continue
-            name = m[2].lower()
+            at, name = m.end(), m[2].lower()
             if m[1]:
                 self.close(name)
                 continue
@@ -341,13 +383,12 @@ class Renderer:
             if name == "pre" or name == "textarea":
                 at += html[at : at + 1] == "\n"
             if name in RAW:
-                end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at, last + 1)
                 inside = html[at : end.start() if end else size]
                 at = end.end() if end else size
                 self.text(unescape(inside) if name in ("textarea", "title") else inside)
                 self.close(name)
-        while len(self.stack) > 1:
-            self.leave(self.stack.pop())
+        self.pop_to(1)
         return "\n".join(self.out.done())
 
 
@@ -360,10 +401,11 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
     rest = [c for c in pages.columns if c not in (html, into)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [visible_text(x.as_py()) for x in b.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.string())], [*rest, into])
+        for whole in batches:
+            for b in ta.slices(whole, html, 4 << 20):
+                texts = [visible_text(x.as_py()) for x in b.column(len(rest))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.string())], [*rest, into])
 
     kinds = dict(pages.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{into}` string"])
-    return pages.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{html}`")).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{html}`")).mapInArrow(ta.lean(run), schema)
