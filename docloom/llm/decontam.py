@@ -2,8 +2,11 @@
 
 The items are indexed; every passage of every document is a query. A score is
 BM25 as a share of the item's score against itself, so that one threshold serves
-short and long items. Passages are windows of twice the longest item with steps
-of half that, so each item lies whole in one window at least.
+short and long items. Items go by classes of length, each twice as long as the one
+before: the passages of a class are windows of twice its greatest length with
+steps of half that, so each item lies whole in one window at least, and a long
+item doesn't widen those of short ones. An item above MAX_ITEM_WORDS words is
+searched by its parts of that many, each with a question and an answer of its own.
 
 WAND's upper bounds prune in two steps. Terms common among the items add up to
 less than the threshold for every item even all together; so a window can only
@@ -17,7 +20,10 @@ answer, as word pairs in order. Where the items have no answer column, an
 item's last sentence is its answer, or the last third of a single sentence.
 
 Null or empty texts and items match nothing. Items of less than four words are
-not indexed but found as runs of their words, exactly. Rows with one doc_id stay separate hits; item ids twice are two items.
+not indexed but found as runs of their words, exactly. Rows with one doc_id stay
+separate hits, a null one too; item ids twice are two items. A text of any length
+is searched whole, and other columns are ignored. The items are what is sent to
+the tasks: MAX_INDEX_WORDS words of them at a time, a pass over the texts for each.
 """
 
 from __future__ import annotations
@@ -42,8 +48,10 @@ BLOCK = 16
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Items of less words are found as they stand.
 SHORT = 4
-#: Items of one index; more are searched by further passes. With MAX_ITEM_WORDS a bound on what is shipped.
-MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 2_000
+#: Words of the items that are sent to the tasks at a time, and of a part of an item.
+MAX_INDEX_WORDS, MAX_ITEM_WORDS = 1_000_000, 2_048
+#: The least step of windows.
+LEAST_STEP = 8
 
 
 def tokens(text: str) -> list[bytes]:
@@ -60,15 +68,27 @@ def halves(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
+def frequencies(items: list[list[bytes]]) -> Stats:
+    return len(items), sum(map(len, items)) / max(len(items), 1), Counter(t for w in items for t in set(w))
+
+
+def step_of(words: int) -> int:
+    """The step of windows, and greatest length, of the class of items of so many words."""
+    return max(LEAST_STEP, 1 << (words - 1).bit_length())
+
+
 def pairs(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return set(zip(words, words[1:])) or {tuple(words)} - {()}
 
 
+Stats = tuple[int, float, dict[bytes, int]]
+
+
 class Index:
     """Posting lists in item order with block maxima; impacts are shares of the item's own score."""
 
-    def __init__(self, items: list[tuple[int, str, str]], threshold: float, stats: tuple[int, float, dict[bytes, int], int] | None = None):
-        """stats: number, mean length, document frequencies and greatest length of all items, where these are some of them."""
+    def __init__(self, items: list[tuple[int, str, str]], threshold: float, stats: Stats | None = None):
+        """stats: number, mean length and document frequencies of all items, where these are some of them."""
         words = [tokens(q) + tokens(a) for _, q, a in items]
         keep = [k for k, w in enumerate(words) if len(w) >= SHORT]
         self.items = [items[k] for k in keep]
@@ -76,7 +96,7 @@ class Index:
         self.question = [pairs(tokens(q)) for _, q, _ in self.items]
         self.answer = [pairs(tokens(a)) for _, _, a in self.items]
         self.threshold, n = threshold, len(words)
-        of, mean, df, longest = stats or (n, sum(map(len, words)) / max(n, 1), Counter(t for w in words for t in set(w)), max(map(len, words), default=0))
+        of, mean, df = stats or frequencies(words)
         self.term = {t: k for k, t in enumerate(sorted({t for w in words for t in w}))}
         self.posts: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for i, w in enumerate(words):
@@ -87,7 +107,6 @@ class Index:
         self.best = [max(s for _, s in p) for p in self.posts]
         self.blocks = [[(p[min(k + BLOCK, len(p)) - 1][0], max(s for _, s in p[k : k + BLOCK])) for k in range(0, len(p), BLOCK)] for p in self.posts]
         self.docs = [[i for i, _ in p] for p in self.posts]
-        self.longest = longest
         # common terms: together below half the threshold for every item
         common, mass = set(), np.zeros(n)
         for t in sorted(range(len(self.posts)), key=lambda t: -len(self.posts[t])):
@@ -110,7 +129,7 @@ class Index:
         self.rare_item = np.array([i for i, _ in flat], np.int64)
         self.rare_impact = np.array([s for _, s in flat])
 
-    def possible(self, terms: np.ndarray, window: np.ndarray, windows: int) -> np.ndarray:
+    def possible(self, terms: np.ndarray, window: np.ndarray) -> np.ndarray:
         """Windows in which rare terms can lift some item to the threshold; terms once a window."""
         count = self.rare_count[terms]
         at = np.repeat(self.rare_first[terms], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -173,50 +192,75 @@ class Index:
         return share(self.question[item]), share(self.answer[item])
 
 
-def matches(docs: DataFrame, items: list[tuple[int, str, str]], threshold: float, question: float, answer: float, prune: bool = True, stats: tuple[int, float, dict[bytes, int], int] | None = None) -> DataFrame:
-    """Hits of one index: the best window of each (row, item)."""
-    index = Index(items, threshold, stats)
-    step = max(index.longest, 8)
+HIT = "doc_id long, item_id long, score double, question double, answer double, word long"
+
+
+def indexes(items: list[tuple[int, str, str]], threshold: float, stats: Stats | None = None) -> list[tuple[int, Index]]:
+    """An index for each class of lengths, with its step."""
+    words = [tokens(q) + tokens(a) for _, q, a in items]
+    stats = stats or frequencies([w for w in words if len(w) >= SHORT])
+    of = defaultdict(list)
+    for item, w in zip(items, words, strict=True):
+        if len(w) >= SHORT:
+            of[step_of(len(w))].append(item)
+    return [(step, Index(of[step], threshold, stats)) for step in sorted(of)]
+
+
+def matches(docs: DataFrame, items: list[tuple[int, str, str]], threshold: float, question: float, answer: float, prune: bool = True, stats: Stats | None = None) -> DataFrame:
+    """Hits of these items: the best window of each (row, item)."""
+    sent = docs.sparkSession.sparkContext.broadcast(indexes(items, threshold, stats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = index.term.get
-        for batch in batches:
-            rows = []
-            texts = batch.column(1)
-            for r in range(batch.num_rows if index.items else 0):
-                words = tokens(texts[r].as_py() or "")
-                if not words:
-                    continue
-                ids = np.array([get(w, -1) for w in words], np.int64)
-                at = np.flatnonzero(ids >= 0)
-                # each place lies in two windows: the one that starts in its step, and the one before
-                win = np.concatenate([at // step, np.maximum(at // step - 1, 0)])
-                key = np.unique(win * np.int64(len(index.term)) + np.concatenate([ids[at]] * 2))
-                win, term = key // len(index.term), key % len(index.term)
-                for w in (index.possible(term, win, 0) if prune else np.unique(win)).tolist():
-                    for item, score in index.search(term[win == w].tolist()):
-                        q, a = index.overlap(item, words[w * step : w * step + 2 * step])
-                        if q >= question and a >= answer:
-                            rows.append((r, item, score, q, a, w * step))
-            best: dict[tuple[int, int], tuple] = {}
-            for x in rows:
-                if x[:2] not in best or x[2] > best[x[:2]][2]:
-                    best[x[:2]] = x
-            got = list(best.values())
-            cols = [batch.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array([index.items[x[1]][0] for x in got], pa.int64())]
-            cols += [pa.array([float(x[k]) for x in got], pa.float64()) for k in (2, 3, 4)] + [pa.array([x[5] for x in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "question", "answer", "word"])
+        known = sent.value
+        # a word's number among all, and its number in each index
+        number = {t: k for k, t in enumerate({t: None for _, x in known for t in x.term})}
+        local = []
+        for _, x in known:
+            local.append(np.full(len(number) + 1, -1, np.int64))
+            local[-1][[number[t] for t in x.term]] = list(x.term.values())
+        get = number.get
+        for whole in batches:
+            for batch in ta.slices(whole, "text"):
+                rows = []
+                texts = batch.column(1)
+                for r in range(batch.num_rows if known else 0):
+                    words = tokens(texts[r].as_py() or "")
+                    ids = np.array([get(w, -1) for w in words], np.int64)
+                    for n, (step, index) in enumerate(known):
+                        rows += [(r, n, *x) for x in passages(words, local[n][ids], step, index)]
+                best: dict[tuple[int, int, int], tuple] = {}
+                for x in rows:
+                    if x[:3] not in best or x[3] > best[x[:3]][3]:
+                        best[x[:3]] = x
+                got = list(best.values())
+                cols = [batch.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array([known[x[1]][1].items[x[2]][0] for x in got], pa.int64())]
+                cols += [pa.array([float(x[k]) for x in got], pa.float64()) for k in (3, 4, 5)] + [pa.array([x[6] for x in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "question", "answer", "word"])
+
+    def passages(words: list[bytes], ids: np.ndarray, step: int, index: Index) -> Iterator[tuple]:
+        """(item, score, question, answer, word) of the windows of a text in which an item is."""
+        at = np.flatnonzero(ids >= 0)
+        if not len(at):
+            return
+        # each place lies in two windows: the one that starts in its step, and the one before
+        win = np.concatenate([at // step, np.maximum(at // step - 1, 0)])
+        key = np.unique(win * np.int64(len(index.term)) + np.concatenate([ids[at]] * 2))
+        win, term = key // len(index.term), key % len(index.term)
+        for w in (index.possible(term, win) if prune else np.unique(win)).tolist():
+            for item, score in index.search(term[np.searchsorted(win, w) : np.searchsorted(win, w, "right")].tolist()):
+                q, a = index.overlap(item, words[w * step : w * step + 2 * step])
+                if q >= question and a >= answer:
+                    yield item, score, q, a, w * step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, item_id long, score double, question double, answer double, word long")
+    return rows.mapInArrow(ta.lean(run), HIT)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.6, answer: float = 0.6) -> DataFrame:
     """(doc_id, item_id, score, question, answer, word): every item that a document's text holds.
 
-    benchmark has item_id and text, or item_id, question and answer. It is read
-    in shards of MAX_ITEMS items, one pass over docs for each. An item above
-    MAX_ITEM_WORDS words is searched by its parts of that many.
+    benchmark has item_id and text, or item_id, question and answer. An item that
+    is searched by its parts is held where one of them is, a row for each.
     """
     if "question" in benchmark.columns and "answer" in benchmark.columns:
         items = benchmark.select(F.col("item_id").cast("long"), "question", "answer")
@@ -227,17 +271,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, qu
 
     def parts(r) -> list[tuple[int, str, str]]:
         q, a = split(r)
-        words, a = q.split(), " ".join(a.split()[:MAX_ITEM_WORDS])
-        return [(r[0], " ".join(words[k : k + MAX_ITEM_WORDS]), a) for k in range(0, max(len(words), 1), MAX_ITEM_WORDS)]
+        words = q.split() + a.split()
+        if len(words) <= MAX_ITEM_WORDS:
+            return [(r[0], q, a)]
+        many = -(-len(words) // MAX_ITEM_WORDS)
+        cut = [len(words) * k // many for k in range(many + 1)]
+        return [(r[0], " ".join(words[x:m]), " ".join(words[m:y])) for x, y in zip(cut, cut[1:]) for m in [y - (y - x) // 3]]
 
     out, table = None, None
-    shards = _shards(items)
-    shard = next(shards)
-    while shard is not None:
+    shards = _shards(items, parts)
+    mine = next(shards)
+    while mine is not None:
         after = next(shards, None)
         if after and table is None:
             table = _frequencies(items, parts)
-        mine = [p for r in shard for p in parts(r)]
         hits = matches(docs, mine, threshold, question, answer, stats=table and _stats(table, mine))
         short = defaultdict(list)
         for i, q, a in mine:
@@ -246,33 +293,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, qu
         if short:
             hits = hits.union(runs(docs, dict(short)))
         out = hits if out is None else out.union(hits)
-        shard = after or None
+        mine = after or None
     return out
 
 
 def _frequencies(items: DataFrame, parts) -> DataFrame:
-    """(term, n, length, longest): in how many indexed parts each word is; number, words and most words of all parts under a null term."""
+    """(term, n, length): in how many indexed parts each word is; number and words of all parts under a null term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            df, n, length, longest = Counter(), 0, 0, 0
+            df, n, length = Counter(), 0, 0
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 for _, q, a in parts(r):
                     w = tokens(q) + tokens(a)
                     if len(w) >= SHORT:
                         df.update(set(w))
-                        n, length, longest = n + 1, length + len(w), max(longest, len(w))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([n, *df.values()], pa.int64()), *(pa.array([x] + [0] * len(df), pa.int64()) for x in (length, longest))], ["term", "n", "length", "longest"])
+                        n, length = n + 1, length + len(w)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([n, *df.values()], pa.int64()), pa.array([length] + [0] * len(df), pa.int64())], ["term", "n", "length"])
 
-    return settle(items.mapInArrow(run, "term binary, n long, length long, longest long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("longest").alias("longest")))
+    return settle(items.mapInArrow(ta.lean(run), "term binary, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
 
 
-def _stats(table: DataFrame, items: list[tuple[int, str, str]]) -> tuple[int, float, dict[bytes, int], int]:
+def _stats(table: DataFrame, items: list[tuple[int, str, str]]) -> Stats:
     """What an index of these items needs of the frequencies among all."""
     terms = {t for _, q, a in items for t in tokens(q) + tokens(a)}
     asked = table.sparkSession.createDataFrame([(bytearray(t),) for t in sorted(terms)], "term binary")
     total = table.where("term IS NULL").first()
-    return total["n"], total["length"] / max(total["n"], 1), {bytes(r["term"]): r["n"] for r in table.join(asked, "term", "left_semi").collect()}, total["longest"]
+    return total["n"], total["length"] / max(total["n"], 1), {bytes(r["term"]): r["n"] for r in table.join(asked, "term", "left_semi").collect()}
 
 
 def runs(docs: DataFrame, short: dict[tuple[bytes, ...], list[int]]) -> DataFrame:
@@ -294,32 +341,17 @@ def runs(docs: DataFrame, short: dict[tuple[bytes, ...], list[int]]) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), one, one, one, pa.array(word, pa.int64())], ["doc_id", "item_id", "score", "question", "answer", "word"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, item_id long, score double, question double, answer double, word long")
+    return rows.mapInArrow(ta.lean(run), "doc_id long, item_id long, score double, question double, answer double, word long")
 
 
-def _shards(items: DataFrame) -> Iterator[list]:
-    held: list = []
+def _shards(items: DataFrame, parts) -> Iterator[list[tuple[int, str, str]]]:
+    held, size = [], 0
     for r in items.toLocalIterator():
-        held.append(r)
-        if len(held) == MAX_ITEMS:
-            yield held
-            held = []
+        for p in parts(r):
+            n = len(p[1].split()) + len(p[2].split())
+            if held and size + n > MAX_INDEX_WORDS:
+                yield held
+                held, size = [], 0
+            held.append(p)
+            size += n
     yield held
-
-
-def brute(texts: dict[int, str], items: list[tuple[int, str, str]], threshold: float) -> dict[tuple[int, int], float]:
-    """Scores of all (document, item) pairs at the threshold or above, best window, without an index's help. For tests."""
-    index = Index(items, threshold)
-    step, out = max(index.longest, 8), defaultdict(float)
-    for d, text in texts.items():
-        words = tokens(text or "")
-        for k in range(0, max(len(words), 1), step):
-            have = {index.term[w] for w in words[k : k + 2 * step] if w in index.term}
-            total = defaultdict(float)
-            for t in have:
-                for i, s in index.posts[t]:
-                    total[i] += s
-            for i, s in total.items():
-                if s >= threshold - 1e-9:
-                    out[d, index.items[i][0]] = max(out[d, index.items[i][0]], s)
-    return dict(out)
