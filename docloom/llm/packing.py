@@ -6,6 +6,9 @@ what those held besides. Pieces are dealt into shards of a few thousand; each
 shard is solved on several islands, a task each, and after each epoch an
 island's best packing migrates to the next island. A shard at its lower bound
 rests. Shards are independent, so work grows with the pieces alone.
+
+A document of any length is cut in the task that reads it; null texts are the end
+id alone, and an empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import textarrays as ta
-from .shared import settle
+from .shared import sent, settle
 from .tokenfiles import END_ID, with_end
 
 
@@ -56,7 +59,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(run), kinds)
 
 
 class Bins:
@@ -181,22 +184,31 @@ def _epoch(capacity: int, epoch: int, generations: int):
 
 
 def place(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 4000, islands: int = 3, epochs: int = 2, generations: int = 12) -> DataFrame:
-    """Every row of pieces with sequence_id and offset. pieces has length; other columns are carried along.
+    """Every row of pieces with sequence_id and offset. pieces has length and should be settled; other columns are carried along.
 
-    Pieces of full length are sequences of their own; the others are packed.
+    Pieces of full length are sequences of their own, with negative numbers, and
+    are neither grouped nor shuffled; of the others numbers and lengths are dealt
+    out, and the rows themselves meet their places in one join. Repeated rows,
+    ties and null ids go by their place in the table, so they spread over the
+    shards. Columns named sequence_id or offset are replaced.
     """
-    n = pieces.where(F.col("length") < capacity).count()
+    row = "row"
+    while row in pieces.columns:
+        row += "_"
+    pieces = pieces.drop("sequence_id", "offset").withColumn(row, F.monotonically_increasing_id())
+    full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col(row)).withColumn("offset", F.lit(0).cast("long"))
+    short = pieces.where(F.col("length") < capacity)
+    n = short.count()
     shards = max(1, -(-n // shard_pieces))
-    everything = F.struct("length", *(F.col(c) for c in pieces.columns if c != "length"))
-    key = F.xxhash64(*(F.col(c) for c in pieces.columns if c != "ids"))
-    # by length, so the full ones stand last; one order for all readers
-    dealt = pieces.groupBy(F.pmod(key, F.lit(shards)).alias("shard")).agg(F.array_sort(F.collect_list(everything)).alias("of"))
-    dealt = settle(dealt)
-    sizes = dealt.select("shard", F.filter(F.col("of.length"), lambda x: x < capacity).alias("sizes"))
+    of = F.array_sort(F.collect_list(F.struct("length", F.col(row).alias("row"))))
+    dealt = settle(short.groupBy(F.pmod(F.xxhash64(row), F.lit(shards)).alias("shard")).agg(of.alias("of")))
+    sizes = dealt.select("shard", F.col("of.length").alias("sizes"))
     state = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes").withColumn("elites", F.lit(None).cast("array<array<int>>"))
     kinds = "shard long, island int, bins int, assignment array<int>"
+    # an island is a task's work of some tenths of a second; few enough of them get a task each
+    tasks = min(shards * islands, max(256, shards * islands // 16))
     for epoch in range(epochs):
-        found = settle(state.repartition("shard", "island").mapInPandas(_epoch(capacity, epoch, generations), kinds))
+        found = settle(state.repartition(tasks, "shard", "island").mapInPandas(_epoch(capacity, epoch, generations), kinds))
         if epoch + 1 < epochs:
             own = found.select("shard", "island", F.col("assignment").alias("e"))
             migrant = found.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("assignment").alias("e"))
@@ -206,21 +218,17 @@ def place(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 4000, isl
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for shard, lengths, assignment in f[["shard", "lengths", "assignment"]].itertuples(index=False):
-                sequence = np.full(len(lengths), 0, np.int64)
-                packed = len(assignment)
-                sequence[:packed] = assignment
-                sequence[packed:] = (max(assignment) + 1 if packed else 0) + np.arange(len(lengths) - packed)
+            for shard, rows, lengths, assignment in f[["shard", "rows", "lengths", "assignment"]].itertuples(index=False):
                 used: dict[int, int] = {}
                 offset = []
-                for s, x in zip(sequence.tolist(), lengths, strict=True):
+                for s, x in zip(map(int, assignment), map(int, lengths), strict=True):
                     offset.append(used.get(s, 0))
-                    used[s] = used.get(s, 0) + int(x)
-                yield pd.DataFrame({"shard": [shard], "places": [[{"sequence_id": (int(shard) << 32) + s, "offset": o} for s, o in zip(sequence.tolist(), offset, strict=True)]]})
+                    used[s] = offset[-1] + x
+                yield pd.DataFrame({row: rows, "sequence_id": (int(shard) << 32) + np.asarray(assignment, np.int64), "offset": np.array(offset, np.int64)})
 
-    places = dealt.select("shard", F.col("of.length").alias("lengths")).join(best, "shard").mapInPandas(lay, "shard long, places array<struct<sequence_id:long,offset:long>>")
-    both = dealt.join(places, "shard").select(F.explode(F.arrays_zip("of", "places")).alias("r"))
-    return both.select("r.of.*", "r.places.*")
+    both = dealt.select("shard", F.col("of.row").alias("rows"), F.col("of.length").alias("lengths")).join(best, "shard")
+    places = settle(both.mapInPandas(lay, f"{row} long, sequence_id long, offset long"))
+    return short.join(sent(places), row).unionByName(full).drop(row)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
