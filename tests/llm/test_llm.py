@@ -561,7 +561,7 @@ def test_toxicity_table_is_exact(spark):
     three = {(h0, h, w, y) for _, t, y in rows for x in [t.split()] for h0, h, w in zip(["", "", *x], ["", *x], x)}
     after = collections.Counter((w, y) for h, w, y in {(h, w, y) for _, h, w, y in three})
     model = toxicity.train(table(spark, rows, "doc_id long, text string, label int"))
-    got = {r.key: r for r in model.table.collect()}
+    got = {r.key: r for r in model.counts[0].collect()}
     names = sorted({w for w, _ in after})
     keys = toxicity.ta.signed(toxicity.words(pa.array(names))[0]).tolist()
     assert max(after.values()) > 85  # more than 64 cells can tell
@@ -572,6 +572,7 @@ def test_toxicity_table_is_exact(spark):
 
 def test_toxicity_joined_as_sent(spark, rows, monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 9000)
     labelled = [(i, t, i % 2) for i, t in rows]
     df = table(spark, labelled, "doc_id long, text string, label int")
     docs = table(spark, [*rows, (None, "w1 w2"), (None, "w1 w2"), (-5, "never seen before")])
@@ -587,7 +588,51 @@ def test_toxicity_copies_do_not_add_up(spark):
     rows = [(i, " ".join(f"w{rnd.randrange(30)}" for _ in range(150)), int(i % 3 == 0)) for i in range(90)]
     copies = [*rows, *((1000 + i, rows[1][1], 0) for i in range(500))]
     a, b = (toxicity.train(table(spark, r, "doc_id long, text string, label int")) for r in (rows, copies))
-    assert sorted(a.table.collect()) == sorted(b.table.collect()) and (a.total == b.total).all()
+    assert sorted(a.counts[0].collect()) == sorted(b.counts[0].collect()) and (a.counts[1] == b.counts[1]).all()
+    assert sorted(a.pairs.collect()) == sorted(b.pairs.collect())
+
+
+def kneser_ney_model(rows):
+    """(ratio of a pair, ratio of a word) of class-conditional Kneser-Ney models, from the definition."""
+    d, ds = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    three = {(f, h, w, y) for _, t, y in rows for x in [t.split()] for f, h, w in zip(["", "", *x], ["", *x], x)}
+    two = collections.Counter((h, w, y) for _, h, w, y in three)
+    one, after, taken = collections.Counter(), collections.Counter(), collections.Counter()
+    for (h, w, y), c in two.items():
+        one[w, y] += 1
+        after[h, y] += c
+        taken[h, y] += min(c, d)
+    either = collections.Counter(w for _, w in {(h, w) for h, w, _ in two})
+    seen = len(either)
+    total, off = collections.Counter(), collections.Counter()
+    for (w, y), c in one.items():
+        total[y] += c
+        off[y] += min(c, d)
+
+    def low(w, y):
+        shared = (max(either[w] - ds, 0) + ds * seen / (seen + 1)) / sum(either.values())
+        return (one[w, y] - min(one[w, y], d) + (off[y] + 1) * shared) / (total[y] + 1)
+
+    def high(h, w, y):
+        return (two[h, w, y] - min(two[h, w, y], d) + (taken[h, y] + 1) * low(w, y)) / (after[h, y] + 1)
+
+    return lambda h, w: math.log(high(h, w, 1) / high(h, w, 0)), lambda w: math.log(low(w, 1) / low(w, 0))
+
+
+def test_toxicity_against_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 4000)
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice([f"a{rnd.randrange(6)}", f"b{rnd.randrange(90)}", "bad" if i % 2 else "good"]) for _ in range(40)), i % 2) for i in range(60)]
+    model = toxicity.train(table(spark, [*rows, *rows[:5]], "doc_id long, text string, label int"))
+    of_pair, of_word = kneser_ney_model(rows)
+    found = model.shipped().value
+    key = lambda w: toxicity.words(pa.array([w]))[0] if w else toxicity.np.zeros(1, toxicity.np.uint64)
+    kept = 0
+    for h, w in {(h, w) for _, t, _ in rows for h, w in zip(["", *t.split()], t.split())} | {("never", "a1"), ("a1", "never"), ("never", "seen")}:
+        r, low = toxicity.ratios(key(h), key(w), found)
+        assert r[0] == pytest.approx(of_pair(h, w)) and low[0] == pytest.approx(of_word(w))
+        kept += not math.isnan(found[1](toxicity.pair(key(h), key(w)))[0][0])
+    assert kept > 20 and model.pairs.count() == kept
 
 
 def test_toxicity_of_ordinary_words(spark):
