@@ -5,37 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import clean_value, col, is_missing_in_pages, let, strip_accents
 
-# Month abbreviations and names, Spanish and English.
+# Names of months, whole words.
 MONTHS = {
-    "ENE": "01", "JAN": "01", "FEB": "02", "MAR": "03", "ABR": "04", "APR": "04", "MAY": "05", "JUN": "06",
-    "JUL": "07", "AGO": "08", "AUG": "08", "SEP": "09", "SET": "09", "OCT": "10", "NOV": "11", "DIC": "12", "DEC": "12",
+    "ENE": "01", "ENERO": "01", "FEB": "02", "FEBRERO": "02", "MAR": "03", "MARZO": "03", "ABR": "04", "ABRIL": "04", "MAY": "05", "MAYO": "05", "JUN": "06", "JUNIO": "06", "JUL": "07", "JULIO": "07",
+    "AGO": "08", "AGOSTO": "08", "SEP": "09", "SEPT": "09", "SET": "09", "SEPTIEMBRE": "09", "OCT": "10", "OCTUBRE": "10", "NOV": "11", "NOVIEMBRE": "11", "DIC": "12", "DICIEMBRE": "12",
 }
+# The shapes of dates, in the order they are tried; day, month and year are groups.
+ISO, DAY_FIRST, SPACED = r"^\d{4}[-/]\d{2}[-/]\d{2}$", r"^(\d{2})[-/](\d{2})[-/](\d{4})$", r"\b(\d{2})\s+(\d{2})\s+(\d{4})\b"
+GLUED, LONG, PERIOD = r"^(\d{2})([A-Z]{3,5})(\d{4})$", r"(\d{1,2})\s+DE\s+([A-Z]{3,12})\s+DE\s+(\d{4})", r"\b(ENE|FEB|MAR|ABR|MAY|JUN|JUL|AGO|SEP|SET|OCT|NOV|DIC)[-/](20\d{2})\b"
 
 
 def month_number(c: Column) -> Column:
-    """Of a month's first three letters; null if unknown."""
-    key = F.upper(F.left(c, F.lit(3)))
-    out = F.lit(None).cast("string")
-    for name, number in MONTHS.items():
-        out = F.when(key == name, number).otherwise(out)
-    return out
+    """Of a month's name in capitals; null if unknown."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), c)
 
 
 def normalize_date(c: Column | str) -> Column:
-    """ISO, dd-mm-yyyy with -, / or ., dd mm yyyy, ddMMMyyyy, and 'd DE mes DE yyyy'. No calendar check."""
-    c = F.trim(col(c))
-    numeric, short, long_ = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})$", r"^(\d{1,2})[ -]?([A-Za-z]{3})[ -]?(\d{4})$", r"^(\d{1,2}) (?i:de) ([A-Za-z]+) (?i:de) (\d{4})$"
-
-    def built(pattern: str, month: Column) -> Column:
-        return F.concat_ws("-", F.regexp_extract(c, pattern, 3), month, F.lpad(F.regexp_extract(c, pattern, 1), 2, "0"))
-
-    out = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c).when(c.rlike(numeric), built(numeric, F.lpad(F.regexp_extract(c, numeric, 2), 2, "0")))
-    for pattern in (short, long_):
-        month = month_number(F.regexp_extract(c, pattern, 2))
-        out = out.when(c.rlike(pattern) & month.isNotNull(), built(pattern, month))
-    return out.otherwise(c)
+    """yyyy-MM-dd of a date that is the whole text, or of a spaced or long one inside it; else the text cleaned. No calendar check."""
+    cleaned = clean_value(c)
+
+    def found(text: Column) -> Column:
+        ascii_, glued = text["a"], text["g"]
+        part = lambda pattern, k, of: F.regexp_extract(of, pattern, k)
+        built = lambda pattern, of, month: F.concat_ws("-", part(pattern, 3, of), month, F.lpad(part(pattern, 1, of), 2, "0"))
+        short, long_ = month_number(part(GLUED, 2, glued)), month_number(part(LONG, 2, ascii_))
+        return (
+            F.when(ascii_.rlike(ISO), F.replace(ascii_, F.lit("/"), F.lit("-")))
+            .when(ascii_.rlike(DAY_FIRST), built(DAY_FIRST, ascii_, part(DAY_FIRST, 2, ascii_)))
+            .when(ascii_.rlike(SPACED), built(SPACED, ascii_, part(SPACED, 2, ascii_)))
+            .when(short.isNotNull(), built(GLUED, glued, short))
+            .when(long_.isNotNull(), built(LONG, ascii_, long_))
+            .otherwise(text["c"])
+        )
+
+    bare = strip_accents(F.upper(cleaned))
+    return let(F.struct(cleaned.alias("c"), bare.alias("a"), F.regexp_replace(bare, r"\s+", "").alias("g")), found)
 
 
 def strict_date(c: Column | str) -> Column:
@@ -44,18 +50,18 @@ def strict_date(c: Column | str) -> Column:
 
 
 def normalize_period(c: Column | str) -> Column:
-    """MMM-yyyy to yyyy-MM; else unchanged."""
-    c = F.trim(col(c))
-    pattern = r"^([A-Za-z]{3})[-/ ](\d{4})$"
-    month = month_number(F.regexp_extract(c, pattern, 1))
-    return F.when(c.rlike(pattern) & month.isNotNull(), F.concat_ws("-", F.regexp_extract(c, pattern, 2), month)).otherwise(c)
+    """yyyy-MM of the first MMM-yyyy or MMM/yyyy inside the text; null without one."""
+    bare = F.upper(strip_accents(clean_value(c)))
+    return F.when(bare.rlike(PERIOD), F.concat_ws("-", F.regexp_extract(bare, PERIOD, 2), month_number(F.regexp_extract(bare, PERIOD, 1))))
 
 
 def sequence_valid(birth: Column | str, issue: Column | str, expiry: Column | str) -> Column:
-    """Birth before issue before expiry among those that are dates; one at least."""
-    b, i, e = (F.try_to_date(col(x), "yyyy-MM-dd") for x in (birth, issue, expiry))
+    """Birth before issue before expiry, one at least; false if one that is there is no date."""
+    given = [F.when(~is_missing_in_pages(x), clean_value(x)) for x in (birth, issue, expiry)]
+    b, i, e = (F.try_to_date(F.when(x.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{8})$"), F.replace(x, F.lit("-"), F.lit(""))), "yyyyMMdd") for x in given)
+    broken = (given[0].isNotNull() & b.isNull()) | (given[1].isNotNull() & i.isNull()) | (given[2].isNotNull() & e.isNull())
     ok = lambda x, y: F.coalesce(x < y, F.lit(True))
-    return F.coalesce(b, i, e).isNotNull() & ok(b, i) & ok(i, e) & ok(b, e)
+    return ~broken & F.coalesce(b, i, e).isNotNull() & ok(b, i) & ok(i, e) & ok(b, e)
 
 
 def mrz_date(c: Column | str, pivot: int = 40) -> Column:

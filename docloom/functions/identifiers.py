@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_value, col, is_missing, strip_accents
+from .text import clean_value, col, is_missing, let, strip_accents
 
 
 def run_digit(body: Column | str) -> Column:
@@ -16,16 +16,27 @@ def run_digit(body: Column | str) -> Column:
     return F.when(rest == 11, "0").when(rest == 10, "K").otherwise(rest.cast("string"))
 
 
+# Fixed value: a RUN or RUT inside a text; its verifier stands behind a hyphen.
+RUN = r"(?iU)(?:RUN|RUT)?\s*(\d{1,2}[.,]?\d{3}[.,]?\d{3}\s*-\s*[\dkK])"
+
+
 def canonical_run(c: Column | str) -> Column:
-    """Dots every three digits and a capital verifier; what has no such shape is only cleaned."""
-    bare = F.upper(F.regexp_replace(col(c), r"[.\s-]", ""))
-    body = F.regexp_replace(F.regexp_extract(bare, r"^(\d{7,8})([\dK])$", 1), r"(?<=\d)(?=(\d{3})+$)", ".")
-    return F.when(bare.rlike(r"^\d{7,8}[\dK]$"), F.concat_ws("-", body, F.right(bare, F.lit(1)))).otherwise(clean_value(c))
+    """Dots every three digits and a capital verifier, of the first number with a hyphen inside the text; without one it is only cleaned, and null if it stands for a missing value."""
+    cleaned = clean_value(c)
+    found = F.upper(F.regexp_replace(F.regexp_extract(strip_accents(cleaned), RUN, 1), r"\s+", ""))
+    digits, verifier = F.regexp_replace(F.substring_index(found, "-", 1), r"\D", ""), F.substring_index(found, "-", -1)
+    dotted = F.concat(F.regexp_replace(digits, r"(?<=\d)(?=(\d{3})+$)", "."), F.lit("-"), verifier)
+    return F.when(~is_missing(cleaned), F.when(found != "", dotted).otherwise(cleaned))
 
 
 def run_valid(c: Column | str) -> Column:
-    bare = F.upper(F.regexp_replace(col(c), r"[.\s-]", ""))
-    return F.when(bare.rlike(r"^\d{7,8}[\dK]$"), run_digit(F.substr(bare, F.lit(1), F.length(bare) - 1)) == F.right(bare, F.lit(1))).otherwise(False)
+    """Whether the verifier behind the first hyphen is that of the digits before it."""
+    return let(canonical_run(c), _run_holds)
+
+
+def _run_holds(run: Column) -> Column:
+    digits, verifier = F.regexp_replace(F.substring_index(run, "-", 1), r"\D", ""), F.regexp_extract(run, r"(?s)^[^-]*-(.+)$", 1)
+    return F.coalesce((digits != "") & (verifier != "") & (run_digit(digits) == F.upper(verifier)), F.lit(False))
 
 
 def mrz_value(ch: Column) -> Column:
@@ -44,21 +55,29 @@ def td3_valid(second: Column | str) -> Column:
     """All five check digits of the second line of a TD3 zone."""
     s = col(second)
     part = lambda a, n: F.substr(s, F.lit(a), F.lit(n))
-    # an all-filler personal number may have a filler for its digit
-    is_digit = lambda of, at: mrz_digit(of) == mrz_value(part(at, 1))
-    whole = F.concat(part(1, 10), part(14, 7), part(22, 22))
+    # a filler is no check digit, not even of an empty personal number
+    is_digit = lambda of, at: mrz_digit(of).cast("string") == part(at, 1)
+    whole = F.concat(part(1, 10), F.lit(""), part(11, 3), part(14, 7), part(21, 1), part(22, 7), part(29, 15))
     return (F.length(s) == 44) & is_digit(part(1, 9), 10) & is_digit(part(14, 6), 20) & is_digit(part(22, 6), 28) & is_digit(part(29, 14), 43) & is_digit(whole, 44)
 
 
 def canonical_document_number(country: Column | str, c: Column | str) -> Column:
-    """PE: eight digits; CO: six to ten; CL: dotted; else as cleaned."""
-    digits = F.regexp_replace(col(c), "[^0-9]", "")
-    return (
-        F.when((col(country) == "PE") & digits.rlike(r"^\d{8}$"), digits)
-        .when((col(country) == "CO") & digits.rlike(r"^\d{6,10}$"), digits)
-        .when(col(country) == "CL", canonical_run(c))
-        .otherwise(clean_value(c))
+    """PE: eight digits on end, else eight in all; CO: six to ten in all; CL: a serial with dots; else as cleaned, and null if it stands for a missing value."""
+    cleaned, of = clean_value(c), F.upper(col(country))
+    bare = strip_accents(cleaned)
+    digits, serial = F.regexp_replace(bare, r"[^\p{Nd}]", ""), F.upper(F.regexp_replace(bare, "[^A-Z0-9]", ""))
+    eight, dotted = F.regexp_extract(bare, r"(?<!\d)(\d{8})(?!\d)", 1), F.upper(F.regexp_extract(bare, r"(?i)\b[A-Z]{1,2}\d{1,3}\.\d{3}\.\d{3}\b", 0))
+    cut = lambda n: F.concat_ws(".", F.left(serial, F.lit(n)), F.substr(serial, F.lit(n + 1), F.lit(3)), F.substr(serial, F.lit(n + 4)))
+    found = (
+        F.when((of == "PE") & (eight != ""), eight)
+        .when((of == "PE") & (F.length(digits) == 8), digits)
+        .when((of == "CO") & F.length(digits).between(6, 10), digits)
+        .when((of == "CL") & (dotted != ""), dotted)
+        .when((of == "CL") & serial.rlike(r"^[A-Z]\d{8}$"), cut(3))
+        .when((of == "CL") & serial.rlike(r"^[A-Z]{2}\d{7}$"), cut(4))
+        .otherwise(cleaned)
     )
+    return F.when(~is_missing(cleaned), found)
 
 
 def passport_number(c: Column | str) -> Column:

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks, and without.
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOooooo UUUUuuuuYyy".replace(" ", "")
+
+
+def _without_marks() -> tuple[str, str]:
+    """Characters below U+3000 that compatibility decomposition leaves as one other character; behind them, without a counterpart, the combining marks."""
+    bare = {chr(k): "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(x)) for k in range(0xA0, 0x3000)}
+    one = {a: b for a, b in bare.items() if len(b) == 1 and a != b}
+    return "".join(one) + "".join(a for a, b in bare.items() if not b and unicodedata.combining(a)), "".join(one.values())
+
+
+ACCENTED, PLAIN = _without_marks()
+#: White space in Unicode's sense, and what parts words in it.
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 # Texts that stand for a missing value; in rules; and in pages' texts.
 MISSING = ("", "-", "NO DETECTADO", "NO DETECTADA", "NO DETECTADOS", "NO DETECTADAS", "PENDING")
 MISSING_IN_RULES = (*MISSING, "NOMBRE POR CONFIRMAR")
@@ -24,21 +35,22 @@ def let(value: Column, f) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
+    """Without marks; characters that decompose into several, such as ligatures and fractions, stay as they are."""
     return F.translate(col(c), ACCENTED, PLAIN)
 
 
 def slugify(c: Column | str) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.btrim(F.regexp_replace(F.lower(strip_accents(c)), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
 
 
 def compact(c: Column | str) -> Column:
     """Equality key: letters and digits only, without marks, small."""
-    return F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(strip_accents(c)), r"[^\p{L}\p{N}]", "")
 
 
 def clean_value(c: Column | str) -> Column:
     """White space collapsed, blanks, colons and dashes trimmed; empty is null."""
-    return F.nullif(F.btrim(F.regexp_replace(col(c), r"\s+", " "), F.lit(" :-")), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_replace(col(c), SPACE + "+", " "), F.lit(" :-")), F.lit(""))
 
 
 def is_missing(c: Column | str, values: tuple[str, ...] = MISSING) -> Column:
@@ -69,11 +81,32 @@ def keyword_present(text: Column | str, keyword: str) -> Column:
     return F.lower(strip_accents(text)).contains(keyword.lower()) | compact(text).contains("".join(ch for ch in keyword.lower() if ch.isalnum()))
 
 
+def squeezed(c: Column | str) -> Column:
+    """White space collapsed and trimmed; null is empty."""
+    return F.btrim(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE + "+", " "), F.lit(" "))
+
+
+def _count(c: Column, kind: str) -> Column:
+    return F.length(F.regexp_replace(c, f"[^{kind}]", ""))
+
+
 def label_like(c: Column | str) -> Column:
-    """A short line, mostly letters, with few digits."""
-    c = col(c)
-    letters, digits = F.length(F.regexp_replace(c, "[^A-Za-z]", "")), F.length(F.regexp_replace(c, "[^0-9]", ""))
-    return F.length(c).between(1, 48) & (digits <= 4) & (letters >= 0.45 * F.length(c))
+    """A line of at most 48 characters, four digits at most, and 0.45 of what isn't blank letters."""
+    c = squeezed(c)
+    return F.length(c).between(1, 48) & (_count(c, r"\p{Nd}") <= 4) & (_count(c, r"\p{L}") >= 0.45 * F.length(F.replace(c, F.lit(" "), F.lit(""))))
+
+
+def value_like(c: Column | str) -> Column:
+    """Three characters or more with a digit, or two words, or a capital first."""
+    c = squeezed(c)
+    return (F.length(c) > 2) & (c.rlike(r"\p{Nd}") | c.contains(" ") | c.rlike(r"^\p{Lu}"))
+
+
+def table_row_like(c: Column | str) -> Column:
+    """Three words or more, a date, period or grouped amount among them, and four digits at least."""
+    c = squeezed(c)
+    found = r"\b(?:20\d{2}[-/]\d{2}(?:[-/]\d{2})?|\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{2})?|\d{2}[-/]\d{2}[-/]\d{4})\b"
+    return (F.size(F.split(c, " ")) >= 3) & c.rlike(found) & (_count(c, r"\p{Nd}") >= 4)
 
 
 def lines(c: Column | str) -> Column:
@@ -88,21 +121,34 @@ def cells(c: Column | str) -> Column:
 
 
 def value_type(c: Column | str) -> Column:
+    """Of a pipeline's value: ten characters with separators in a date's places; digits and separators alone; else text."""
+    c = col(c)
+    return F.when(c.rlike(r"(?s)^.{4}[-/].{2}[-/].{2}$"), "date").when(c.rlike(r"^[\p{Nd},.-]+$"), "number").otherwise("text")
+
+
+def record_value_type(c: Column | str) -> Column:
+    """Of a stored record's value: only an ISO date is one."""
     c = col(c)
-    return F.when(c.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$"), "date").when(c.rlike(r"^[\d.,]+$"), "number").otherwise("text")
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").when(c.rlike(r"^[\d.,-]+$"), "number").otherwise("text")
 
 
 def stable_uuid(c: Column | str) -> Column:
-    """SHA-1 of the seed in the shape of a version-5 UUID."""
+    """A UUID as it stands; of any other seed SHA-1 in the shape of a version-5 UUID."""
     h = F.sha1(col(c).cast("binary"))
     part = lambda a, n: F.substr(h, F.lit(a), F.lit(n))
-    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+    made = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+    return F.when(col(c).rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), col(c)).otherwise(made)
+
+
+# Fixed value: an inline pair; a label has these characters alone.
+INLINE_PAIR = r"^(?iu)([A-Z0-9ÁÉÍÓÚÜÑ./()\- ]{2,48}?)\s*[:=]\s+(.+)$"
 
 
 def key_value(c: Column | str) -> tuple[Column, Column]:
-    """Label and value of an inline ``label: value`` or ``label = value``; empty without one."""
-    pattern = r"^([^:=]{2,48}?)\s*[:=]\s+(.+)$"
-    return F.regexp_extract(col(c), pattern, 1), F.regexp_extract(col(c), pattern, 2)
+    """Label and value of an inline ``label: value`` or ``label = value``, both of their likes; empty without one."""
+    label, value = (squeezed(F.regexp_extract(col(c), INLINE_PAIR, k)) for k in (1, 2))
+    ok = label_like(label) & value_like(value)
+    return F.when(ok, label).otherwise(""), F.when(ok, value).otherwise("")
 
 
 def gender(c: Column | str) -> Column:
@@ -110,11 +156,21 @@ def gender(c: Column | str) -> Column:
     return F.when(c.isin("M", "MASCULINO", "MALE", "HOMBRE"), "M").when(c.isin("F", "FEMENINO", "FEMALE", "MUJER"), "F").when(c.isin("X"), "X")
 
 
+# What is masked inside a text, in this order.
+IDENTIFYING = (r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b", r"\b\d{4}-\d{4}-\d{8,}\b", r"\b(?:\d{1,2}\.?\d{3}\.?\d{3}|\d{7,8})-[\dkK]\b", r"\b\d{8,10}\b")
+
+
 def redact_inline(c: Column | str) -> Column:
-    """Mail addresses and long digit runs, in that order, replaced by fixed marks."""
-    c = F.regexp_replace(col(c), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
-    c = F.regexp_replace(c, r"\b\d{1,2}\.\d{3}\.\d{3}-[\dkK]\b", "<run>")
-    return F.regexp_replace(c, r"\b\d{8,}\b", "<number>")
+    """Mail addresses, account numbers, RUTs and runs of eight to ten digits, in that order, with two characters shown at either end."""
+    c = col(c)
+    for pattern in IDENTIFYING:
+        found = F.transform(F.regexp_extract_all(c, F.lit(f"(?U){pattern}"), F.lit(0)), lambda m: mask_ends(m))
+        c = F.array_join(F.zip_with(F.split(c, f"(?U){pattern}"), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return c
+
+
+def safe_preview(c: Column | str, limit: int = 160) -> Column:
+    return F.left(redact_inline(c), F.lit(limit))
 
 
 def split_given_name(c: Column | str, given: list[str]) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_value, key_value, label_like
+from ..functions.text import key_value, label_like, squeezed, value_like
 
 
 def per_key(rows: DataFrame, ordered: int, f, schema: str) -> DataFrame:
@@ -40,18 +40,22 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def lead_pairs(lines: DataFrame) -> DataFrame:
-    """Label lines (capitals, five words at most, label-like, no inline value) with the line below as value.
+def key_value_pairs(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, place, label, value, raw_line) of lines (doc_id, page, line_no, line), white space collapsed and empty ones left out.
 
-    Of the same label and value in a document the last object stays, at the first one's place.
+    A line is a pair by itself (``label: value``), or its label, in capitals and of
+    five words at most, is followed by a value on the next line of its page. Of
+    the same page, label and value, whatever their case, the last stays, at the first one's place.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.withColumn("value", clean_value(F.lead("line").over(w))).withColumn("label", clean_value("line"))
-    is_label = (F.upper("label") == F.col("label")) & (F.size(F.split("label", " ")) <= 5) & label_like("label") & (key_value("label")[0] == "")
-    pairs = rows.where(is_label & F.col("value").isNotNull())
-    first = Window.partitionBy("doc_id", F.lower("label"), F.lower("value"))
-    pairs = pairs.withColumn("place", F.min("line_no").over(first)).withColumn("rn", F.row_number().over(first.orderBy(F.desc("line_no"))))
-    return pairs.where("rn = 1").select("doc_id", "place", "label", "value")
+    rows = lines.withColumn("line", squeezed("line")).where("line <> ''")
+    rows = rows.withColumn("next", F.when(F.lead("page").over(w) == F.col("page"), F.lead("line").over(w)))
+    label, value = key_value("line")
+    inline = label != ""
+    below = ~inline & label_like("line") & value_like("next") & (F.size(F.split("line", " ")) <= 5) & (F.upper("line") == F.col("line"))
+    pick = lambda a, b: F.when(inline, a).when(below, b)
+    pairs = rows.select("doc_id", "page", "line_no", pick(label, F.col("line")).alias("label"), pick(value, F.col("next")).alias("value"), pick(F.col("line"), F.concat_ws(" -> ", "line", "next")).alias("raw_line")).where("label is not null")
+    return pairs.groupBy("doc_id", "page", F.lower("label").alias("l"), F.lower("value").alias("v")).agg(F.min("line_no").alias("place"), *(F.max_by(c, "line_no").alias(c) for c in ("label", "value", "raw_line"))).drop("l", "v")
 
 
 def latest(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:

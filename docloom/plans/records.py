@@ -12,11 +12,11 @@ from ..operators import jobs as J
 from ..operators import matching as X
 from ..operators import rules as R
 from ..operators import sequences as S
-from .registry import CANDS, DOCS, IDS, JOBS, candidates, doc_records, identifiers, jobs, load, query
+from .registry import CANDS, DOCS, IDS, JOBS, candidates, doc_records, fields, identifiers, jobs, load, query
 
 NOW = "1996-06-01 00:00:00"
-_SLUG = "trim(regexp_replace(lower(translate(text, '{a}', '{p}')), '[^a-z0-9]+', '-', 'g'), '-')".format(a=T.ACCENTED, p=T.PLAIN)
-_COMPACT = "regexp_replace(lower(translate(text, '{a}', '{p}')), '[^a-z0-9]', '', 'g')".format(a=T.ACCENTED, p=T.PLAIN)
+_SLUG = r"trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', '-', 'g'), '-')"
+_COMPACT = r"regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]', '', 'g')"
 
 
 def _md5(c):
@@ -48,18 +48,29 @@ def redact_name(spark, d):
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), T.redact_name("p_name").alias("redacted"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '\b\d{1,2}\.\d{3}\.\d{3}-[\dkK]\b', '<run>', 'g'), '\b\d{8,}\b', '<number>', 'g')) AS redacted FROM documents")
+_HIDE = "CASE WHEN length(m) <= 4 THEN repeat('*', length(m)) ELSE substr(m, 1, 2) || repeat('*', greatest(4, length(m) - 4)) || right(m, 2) END"
+_SECRET = (r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b", r"\b\d{4}-\d{4}-\d{8,}\b", r"\b(?:\d{1,2}\.?\d{3}\.?\d{3}|\d{7,8})-[\dkK]\b", r"\b\d{8,10}\b")
+#: Between two matches the text is as it was; a match past the last piece is none.
+_MASKS = "".join(f", t{k + 1} AS (SELECT doc_id, array_to_string(list_transform(list_zip(string_split_regex(x, '{p}'), regexp_extract_all(x, '{p}')), lambda z: coalesce(z[1], '') || coalesce(list_transform([z[2]], lambda m: {_HIDE})[1], '')), '') AS x FROM t{k})" for k, p in enumerate(_SECRET))
+
+
+@query(f"WITH t0 AS (SELECT doc_id, text || ' x@y.zz 1234-5678-12345678 12.345.678-k 1234567-1 12345678 123456789 12345678901 a@b ' || doc_id * 100003 AS x FROM documents){_MASKS} SELECT doc_id, md5(x) AS redacted, substr(x, 1, 160) AS preview FROM t4")
 def redact_text(spark, d):
-    return load(spark, d, "documents").select("doc_id", _md5(T.redact_inline("text")).alias("redacted"))
+    said = F.concat(F.col("text"), F.lit(" x@y.zz 1234-5678-12345678 12.345.678-k 1234567-1 12345678 123456789 12345678901 a@b "), (F.col("doc_id") * 100003).cast("string"))
+    return load(spark, d, "documents").select("doc_id", _md5(T.redact_inline(said)).alias("redacted"), T.safe_preview(said).alias("preview"))
 
 
 _RUN = "(11 - (" + " + ".join(f"CAST(substr(body, {9 - k}, 1) AS INT) * {(k - 1) % 6 + 2}" for k in range(1, 9)) + ") % 11)"
 _RUN_DIGIT = f"CASE {_RUN} WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE CAST({_RUN} AS VARCHAR) END"
 
 
-@query(f"WITH {IDS} SELECT id, {_RUN_DIGIT} AS digit, {_RUN_DIGIT} = substr(raw, 9, 1) AS valid FROM ids")
+_DOTTED = "substr(body, 1, 2) || '.' || substr(body, 3, 3) || '.' || substr(body, 6, 3)"
+_RAW = "CASE v WHEN 2 THEN body || verifier WHEN 3 THEN 'A' || body WHEN 4 THEN 'AB' || substr(body, 1, 7) WHEN 5 THEN 'DNI: ' || body || ' x' WHEN 7 THEN 'serie a' || " + _DOTTED + " END"
+
+
+@query(f"WITH {IDS} SELECT id, {_RUN_DIGIT} AS digit, CASE WHEN v = 6 THEN NULL WHEN v < 2 THEN {_DOTTED} || '-' || verifier ELSE {_RAW} END AS run, v < 2 AND {_RUN_DIGIT} = verifier AS valid FROM ids")
 def run_checksum(spark, d):
-    return identifiers(spark, d).select("id", D.run_digit("body").alias("digit"), D.run_valid("raw").alias("valid"))
+    return identifiers(spark, d).select("id", D.run_digit("body").alias("digit"), D.canonical_run("raw").alias("run"), D.run_valid("raw").alias("valid"))
 
 
 _MRZ = "(" + " + ".join(f"CAST(substr(body, {k + 1}, 1) AS INT) * {(7, 3, 1)[k % 3]}" for k in range(8)) + ") % 10"
@@ -70,39 +81,61 @@ def mrz_check_digit(spark, d):
     return identifiers(spark, d).select("id", D.mrz_digit("body").alias("digit"))
 
 
-_DOTTED = "substr(raw, 1, 2) || '.' || substr(raw, 3, 3) || '.' || substr(raw, 6, 3) || '-' || substr(raw, 9, 1)"
+_DIGITS = "CASE v WHEN 4 THEN substr(body, 1, 7) WHEN 0 THEN body || replace(verifier, 'K', '') WHEN 1 THEN body || replace(verifier, 'K', '') WHEN 2 THEN body || replace(verifier, 'K', '') ELSE body END"
+_CLEAN = f"CASE v WHEN 0 THEN {_DOTTED} || '-' || verifier WHEN 1 THEN 'run ' || body || ' - ' || lower(verifier) ELSE {_RAW} END"
 
 
-@query(f"WITH {IDS} SELECT id, CASE WHEN country = 'PE' AND length(regexp_replace(raw, '[^0-9]', '', 'g')) = 8 THEN regexp_replace(raw, '[^0-9]', '', 'g') WHEN country = 'CO' THEN regexp_replace(raw, '[^0-9]', '', 'g') WHEN country = 'CL' THEN {_DOTTED} ELSE raw END AS number FROM ids")
+@query(f"""WITH {IDS}, x AS (SELECT *, {_DIGITS} AS digits, {_CLEAN} AS clean FROM ids)
+SELECT id, CASE WHEN v = 6 THEN NULL WHEN c = 1 THEN CASE WHEN v IN (1, 3, 5) OR length(digits) = 8 THEN body ELSE clean END WHEN c = 2 THEN digits
+ ELSE CASE v WHEN 7 THEN 'A' || {_DOTTED} WHEN 3 THEN 'A' || {_DOTTED} WHEN 4 THEN 'AB' || substr(body, 1, 2) || '.' || substr(body, 3, 3) || '.' || substr(body, 6, 2) ELSE clean END END AS number FROM x""")
 def doc_number_canonical(spark, d):
     return identifiers(spark, d).select("id", D.canonical_document_number("country", "raw").alias("number"))
 
 
-@query(f"WITH {IDS} SELECT id, CASE WHEN date_text = 'sin fecha' THEN date_text ELSE iso END AS date FROM ids")
+@query(f"WITH {IDS} SELECT id, CASE WHEN n = 7 THEN strftime(made, '%d.%m.%Y') WHEN n = 8 THEN 'sin fecha' ELSE iso END AS date, CASE WHEN n < 7 THEN iso END AS strict FROM ids")
 def date_normalise(spark, d):
-    return identifiers(spark, d).select("id", E.normalize_date("date_text").alias("date"))
+    return identifiers(spark, d).select("id", E.normalize_date("date_text").alias("date"), E.strict_date("date_text").alias("strict"))
 
 
-@query(f"WITH {IDS} SELECT id, strftime(made, '%Y-%m') AS period FROM ids")
+@query(f"WITH {IDS} SELECT id, CASE WHEN id % 3 < 2 AND month(made) <> 9 THEN (year(made) + 20) || strftime(made, '-%m') END AS period FROM ids")
 def period_normalise(spark, d):
-    return identifiers(spark, d).select("id", E.normalize_period(F.date_format("made", "MMM-yyyy")).alias("period"))
+    return identifiers(spark, d).select("id", E.normalize_period("period").alias("period"))
 
 
-@query(f"WITH {IDS} SELECT id, CASE WHEN id % 5 = 4 THEN true ELSE made::DATE < (made + to_days(CAST(id % 3 AS INT)))::DATE END AS valid FROM ids")
+@query(f"WITH {IDS} SELECT id, CASE WHEN id % 5 = 2 THEN false WHEN id % 5 = 4 THEN false ELSE id % 3 > 0 END AS valid FROM ids")
 def date_sequence(spark, d):
+    birth = F.when(F.col("id") % 5 == 1, F.lit(None)).when(F.col("id") % 5 == 2, "1990-02-31").when(F.col("id") % 5 == 3, "sin dato").when(F.col("id") % 5 == 4, F.col("iso")).otherwise("1980-01-01")
     rows = identifiers(spark, d).withColumn("end", F.date_format(F.date_add("made", (F.col("id") % 3).cast("int")), "yyyy-MM-dd"))
-    return rows.select("id", E.sequence_valid(F.when(F.col("id") % 5 != 4, F.col("iso")), F.lit("no date"), "end").alias("valid"))
+    return rows.select("id", E.sequence_valid(birth, "iso", "end").alias("valid"))
+
+
+_LETTERS = r"length(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
+_NUMBERS = r"length(regexp_replace({0}, '[^\p{{Nd}}]', '', 'g'))"
+_IS_LABEL = f"(length({{0}}) BETWEEN 1 AND 48 AND {_NUMBERS} <= 4 AND {_LETTERS} >= 0.45 * length(replace({{0}}, ' ', '')))"
+_IS_VALUE = r"(length({0}) > 2 AND (regexp_matches({0}, '\p{{Nd}}') OR contains({0}, ' ') OR regexp_matches({0}, '^\p{{Lu}}')))"
+_LINES = r"""raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+l AS (SELECT doc_id, line_no, trim(regexp_replace(CASE WHEN line_no % 3 = 0 THEN upper(replace(substr(line, 1, 30), 'ß', 's')) WHEN line_no % 3 = 1 THEN 'Total a pagar ' || line_no || ': ' || line ELSE line END, '\s+', ' ', 'g')) AS line, CASE WHEN line_no < 4 THEN 1 ELSE 2 END AS page FROM raw),
+m AS (SELECT *, regexp_extract(line, '(?i)^([A-Z0-9ÁÉÍÓÚÜÑ./()\- ]{2,48}?)\s*[:=]\s+(.+)$', ['a', 'b']) AS p, CASE WHEN lead(page) OVER w = page THEN lead(line) OVER w END AS nxt FROM l WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+i AS (SELECT *, trim(p.a) AS a, trim(p.b) AS b FROM m)"""
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) FILTER (regexp_extract(line, '^([^:=]{2,48}?)\s*[:=]\s+(.+)$', 1) <> '') AS pairs FROM l GROUP BY 1""")
+def _made_lines(spark, d):
+    """Lines in capitals, with a pair inside, or as they are, by turns; on two pages."""
+    rows, n = S.line_table(load(spark, d, "documents")), F.col("line_no")
+    line = F.when(n % 3 == 0, F.upper(F.replace(F.left("line", F.lit(30)), F.lit("ß"), F.lit("s")))).when(n % 3 == 1, F.concat(F.lit("Total a pagar "), n.cast("string"), F.lit(": "), F.col("line"))).otherwise(F.col("line"))
+    return rows.select("doc_id", F.when(n < 4, 1).otherwise(2).alias("page"), "line_no", line.alias("line"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) FILTER (a <> '' AND {_IS_LABEL.format('a')} AND {_IS_VALUE.format('b')}) AS pairs FROM i GROUP BY 1")
 def kv_inline(spark, d):
-    return S.line_table(load(spark, d, "documents")).groupBy("doc_id").agg(F.count_if(T.key_value("line")[0] != "").alias("pairs"))
+    return _made_lines(spark, d).withColumn("line", T.squeezed("line")).where("line <> ''").groupBy("doc_id").agg(F.count_if(T.key_value("line")[0] != "").alias("pairs"))
 
 
-@query(None)
+@query(f"""WITH {_LINES}, k AS (SELECT *, a <> '' AND {_IS_LABEL.format('a')} AND {_IS_VALUE.format('b')} AS inl FROM i), r AS (SELECT *, NOT inl AND nxt IS NOT NULL AND {_IS_LABEL.format('line')} AND {_IS_VALUE.format('nxt')} AND len(string_split(line, ' ')) <= 5 AND upper(line) = line AS low FROM k),
+q AS (SELECT doc_id, page, line_no, CASE WHEN inl THEN a ELSE line END AS label, CASE WHEN inl THEN b ELSE nxt END AS value FROM r WHERE inl OR low)
+SELECT doc_id, CAST(page AS INT) AS page, CAST(min(line_no) AS INT) AS place, arg_max(label, line_no) AS label, md5(arg_max(value, line_no)) AS value FROM q GROUP BY doc_id, page, lower(label), lower(value)""")
 def kv_lead(spark, d):
-    return S.lead_pairs(S.line_table(load(spark, d, "documents")))
+    return S.key_value_pairs(_made_lines(spark, d)).select("doc_id", "page", "place", "label", _md5(F.col("value")).alias("value"))
 
 
 @query(r"""SELECT doc_id, CAST(i - 1 AS INT) AS row, CAST(j - 1 AS INT) AS col, md5(trim(c)) AS cell FROM (SELECT doc_id, i, generate_subscripts(cs, 1) AS j, unnest(cs) AS c FROM (
@@ -138,22 +171,27 @@ def best_run(spark, d):
     return X.best_run(i.select(F.col("l_orderkey").alias("document_id"), F.round(1 - F.col("l_discount"), 2).alias("score"), (F.col("l_returnflag") != "R").alias("success"), F.col("l_quantity").cast("int").alias("tokens"), F.col("l_linenumber").alias("length"), F.concat(F.lit("e"), F.col("l_linenumber").cast("string")).alias("engine")))
 
 
-@query(f"WITH {CANDS} SELECT field_id, key, sources, score, confidence, value, CAST(rank AS INT) AS rank FROM groups")
+@query(f"WITH {CANDS} SELECT field_id, key, sources, score, confidence, value, source, engine, CAST(rank AS INT) AS rank FROM groups")
 def candidate_groups(spark, d):
-    return X.candidate_groups(candidates(spark, d))
+    return X.candidate_groups(candidates(spark, d)).select("field_id", "key", F.array_join("sources", ",").alias("sources"), "score", "confidence", "value", "source", "engine", "rank")
+
+
+def _runs(spark, d):
+    return fields(spark, d).select("field_id", (F.col("field_id") % 4).alias("n_runs"))
 
 
 @query(f"WITH {CANDS} SELECT * FROM cons")
 def consensus(spark, d):
-    return X.consensus(candidates(spark, d))
+    return X.consensus(candidates(spark, d), _runs(spark, d)).withColumn("supporting_engines", F.array_join("supporting_engines", ","))
 
 
-@query(f"""WITH {CANDS}, p AS (SELECT field_id, max(value) FILTER (rank = 1) AS v1, max(value) FILTER (rank = 2) AS v2, max(confidence) FILTER (rank = 1) AS c1, max(confidence) FILTER (rank = 2) AS c2, max(sources) FILTER (rank = 1) AS s1, max(sources) FILTER (rank = 2) AS s2 FROM groups WHERE rank <= 2 GROUP BY 1),
-t AS (SELECT p.*, c.agreement, (s1 > coalesce(s2, 0) AND c1 >= 0.95) OR round(c1 - coalesce(c2, 0), 6) >= CASE WHEN o_orderpriority = '1-URGENT' THEN 0.12 ELSE 0.08 END OR v2 IS NULL AS taken FROM p JOIN cons c USING (field_id) LEFT JOIN orders ON o_orderkey = field_id)
-SELECT field_id, NOT taken AS abstained, CASE WHEN taken THEN v1 END AS selected_value, round(CASE WHEN taken THEN 0.7 * c1 + 0.3 * agreement END, 4) AS confidence FROM t""")
+@query(f"""WITH {CANDS}, p AS (SELECT field_id, max(key) FILTER (rank = 1) AS key, max(value) FILTER (rank = 1) AS value, max(source) FILTER (rank = 1) AS source, max(engine) FILTER (rank = 1) AS engine, max(sources) FILTER (rank = 1) AS sources, max(n_sources) FILTER (rank = 1) AS ns, max(score) FILTER (rank = 1) - coalesce(max(score) FILTER (rank = 2), 0) AS margin, max(confidence) FILTER (rank = 1) AS conf, count(*) > 1 AS rivals FROM groups WHERE rank <= 2 GROUP BY 1),
+t AS (SELECT f.*, p.* EXCLUDE (field_id), coalesce(agreement_ratio, 0) AS ag, coalesce(disagreement, rivals) AS dis, coalesce(wanted = key, false) AS same FROM fields f LEFT JOIN p USING (field_id) LEFT JOIN (SELECT * FROM cons WHERE field_id % 2 = 0) USING (field_id)),
+u AS (SELECT *, coalesce(((ns >= 2 OR ag >= 0.67 OR conf >= 0.94) AND margin >= CASE WHEN critical THEN 0.12 ELSE 0.08 END) OR (same AND NOT dis) OR (same AND critical AND ag >= 0.5 AND conf >= 0.9), false) AS taken FROM t)
+SELECT field_id, NOT taken AS abstained, CASE WHEN taken THEN value END AS selected_value, CASE WHEN taken THEN source END AS selected_source, CASE WHEN taken THEN engine END AS selected_engine, round(CASE WHEN key IS NULL THEN NULL WHEN taken THEN least(0.7 * conf + 0.3 * ag, 1) ELSE least(greatest(conf, ag), 1) END, 3) AS confidence, coalesce(sources, '') AS evidence_sources FROM u""")
 def adjudicate(spark, d):
-    critical = load(spark, d, "orders").select(F.col("o_orderkey").alias("field_id"), (F.col("o_orderpriority") == "1-URGENT").alias("critical"))
-    return X.adjudicate(candidates(spark, d), critical)
+    votes = X.consensus(candidates(spark, d), _runs(spark, d)).where("field_id % 2 = 0")
+    return X.adjudicate(fields(spark, d), candidates(spark, d), votes).withColumn("evidence_sources", F.array_join("evidence_sources", ","))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS document_id, l_linenumber AS field, CASE WHEN l_quantity > 5 THEN 'v' || (l_partkey % 3) ELSE '' END AS expected FROM lineitem), a AS (SELECT l_orderkey AS document_id, l_linenumber AS field, CASE WHEN l_quantity < 45 THEN 'V ' || (l_suppkey % 3) END AS actual FROM lineitem WHERE l_returnflag <> 'A')
@@ -266,9 +304,11 @@ def integrity_score(spark, d):
     return r.select("document_id", s.alias("score")).withColumn("risk", M.risk_band("score"))
 
 
-@query("SELECT o_orderkey AS id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT o_orderkey, sha1(o_orderkey::VARCHAR) AS h FROM orders)")
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN made ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS uuid FROM (SELECT o_orderkey AS id, sha1(o_orderkey::VARCHAR) AS h, 'ABCDEF01-2345-4678-9abc-' || lpad(o_orderkey::VARCHAR, 12, '0') AS made FROM orders)")
 def stable_ids(spark, d):
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.stable_uuid(F.col("o_orderkey").cast("string")).alias("uuid"))
+    k = F.col("o_orderkey").cast("string")
+    seed = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("ABCDEF01-2345-4678-9abc-"), F.lpad(k, 12, "0"))).otherwise(k)
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.stable_uuid(seed).alias("uuid"))
 
 
 @query("""SELECT conv_id, arg_max(text_hash, turn) AS last_text, count(*) AS edits FROM (SELECT conv_id, turn, md5(text) AS text_hash FROM conversations WHERE role = 'user') GROUP BY 1""")

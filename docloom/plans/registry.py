@@ -82,34 +82,67 @@ STRATEGIES = """strat AS (SELECT 'strategy' || (l_suppkey % 7) AS strategy, CAST
  FROM lineitem GROUP BY 1, 2)"""
 
 
+MONTHS_SHORT = ("ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SEPT", "OCT", "NOV", "DIC")
+MONTHS_LONG = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+
+
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity numbers and dates in several layouts, built from ``orders``."""
+    """Identity numbers and dates in every layout that is told apart, built from ``orders``."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     body = F.lpad((k * 7919 % 100000000).cast("string"), 8, "1")
-    raw = F.concat(body, F.substr(F.lit("0123456789K"), (k % 11 + 1).cast("int"), F.lit(1)))
-    date = F.when(k % 5 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 5 == 1, F.date_format(d, "dd/MM/yyyy")).when(k % 5 == 2, F.date_format(d, "dd.MM.yyyy")).when(k % 5 == 3, F.upper(F.date_format(d, "ddMMMyyyy"))).otherwise("sin fecha")
-    return load(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "CL").when(k % 3 == 1, "PE").otherwise("CO").alias("country"), body.alias("body"), raw.alias("raw"), date.alias("date_text"), F.date_format(d, "yyyy-MM-dd").alias("iso"), d.alias("made"))
+    verifier, v, n = F.substr(F.lit("0123456789K"), (k % 11 + 1).cast("int"), F.lit(1)), k % 8, k % 9
+    part = lambda a, b: F.substr(body, F.lit(a), F.lit(b))
+    raw = (
+        F.when(v == 0, F.concat(part(1, 2), F.lit("."), part(3, 3), F.lit("."), part(6, 3), F.lit("-"), verifier)).when(v == 1, F.concat(F.lit(" run  "), body, F.lit(" - "), F.lower(verifier))).when(v == 2, F.concat(body, verifier))
+        .when(v == 3, F.concat(F.lit("A"), body)).when(v == 4, F.concat(F.lit("AB"), part(1, 7))).when(v == 5, F.concat(F.lit(" DNI: "), body, F.lit(" x"))).when(v == 6, " no detectado -")
+        .otherwise(F.concat(F.lit("serie a"), part(1, 2), F.lit("."), part(3, 3), F.lit("."), part(6, 3)))
+    )
+    month = lambda names: F.element_at(F.array(*map(F.lit, names)), F.month(d))
+    shown = lambda f: F.date_format(d, f)
+    date = (
+        F.when(n == 0, shown("yyyy-MM-dd")).when(n == 1, shown("yyyy/MM/dd")).when(n == 2, shown("dd/MM/yyyy")).when(n == 3, shown("dd-MM-yyyy")).when(n == 4, F.concat(F.lit("el "), shown("dd MM  yyyy"), F.lit(" vence")))
+        .when(n == 5, F.concat(shown("dd "), month(MONTHS_SHORT), shown(" yyyy"))).when(n == 6, F.concat(F.lit("Lima, "), shown("d"), F.lit(" de "), month(MONTHS_LONG), F.lit(" de "), shown("yyyy."))).when(n == 7, shown("dd.MM.yyyy")).otherwise(" sin fecha:")
+    )
+    period = F.concat(F.when(k % 2 == 0, "per. ").otherwise(""), month(MONTHS_SHORT), F.when(k % 3 == 0, "-").when(k % 3 == 1, "/").otherwise(" "), (F.year(d) + 20).cast("string"))
+    return load(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "cl").when(k % 3 == 1, "PE").otherwise("CO").alias("country"), body.alias("body"), raw.alias("raw"), date.alias("date_text"), period.alias("period"), shown("yyyy-MM-dd").alias("iso"), d.alias("made"))
 
 
-IDS = """ids AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'CL' WHEN 1 THEN 'PE' ELSE 'CO' END AS country, lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '1') AS body,
- lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '1') || substr('0123456789K', CAST(o_orderkey % 11 + 1 AS INT), 1) AS raw,
- CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 3 THEN upper(strftime(o_orderdate, '%d%b%Y')) ELSE 'sin fecha' END AS date_text,
+IDS = """ids AS (SELECT o_orderkey AS id, o_orderkey % 3 AS c, o_orderkey % 8 AS v, o_orderkey % 9 AS n, lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '1') AS body, substr('0123456789K', CAST(o_orderkey % 11 + 1 AS INT), 1) AS verifier,
  strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderdate AS made FROM orders)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field candidates from ``lineitem``: an order is a field, its lines are what sources read."""
+    """Field candidates from ``lineitem``: an order is a field, its lines are what engines read; a candidate is selected if it has the field's value."""
     i = load(spark, sf_dir, "lineitem")
-    value = F.concat_ws(" ", F.lit("Valor"), (F.col("l_partkey") % 3).cast("string"))
-    return i.select(F.col("l_orderkey").alias("field_id"), F.concat(F.lit("engine"), (F.col("l_linenumber") % 4).cast("string")).alias("source"), F.when(F.col("l_linenumber") % 2 == 0, F.upper(value)).otherwise(value).alias("value"), F.round(1 - F.col("l_discount"), 2).alias("score"), F.round(0.6 + F.col("l_quantity") / 125, 3).alias("confidence"))
-
-
-CANDS = """cands AS (SELECT l_orderkey AS field_id, 'engine' || (l_linenumber % 4) AS source, CASE WHEN l_linenumber % 2 = 0 THEN upper('Valor ' || (l_partkey % 3)) ELSE 'Valor ' || (l_partkey % 3) END AS value,
- round(1 - l_discount, 2) AS score, round(0.6 + l_quantity / 125, 3) AS confidence FROM lineitem),
- groups AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY sources DESC, score DESC, confidence DESC, key) AS rank FROM (
-  SELECT field_id, lower(replace(value, ' ', '')) AS key, count(DISTINCT source) AS sources, round(sum(score), 4) AS score, max(confidence) AS confidence, arg_min(value, (-confidence, value)) AS value FROM cands GROUP BY 1, 2)),
- cons AS (SELECT c.field_id, c.engines, c.different_values, g.sources AS supporters, round(g.sources / c.engines, 3) AS agreement, c.different_values > 1 AS disagreement_true, g.value
-  FROM (SELECT field_id, count(DISTINCT source) AS engines, count(DISTINCT lower(replace(value, ' ', ''))) AS different_values FROM cands GROUP BY 1) c JOIN groups g ON g.field_id = c.field_id AND g.rank = 1)"""
+    said = F.concat_ws(" ", F.lit("Valor"), (F.col("l_partkey") % 3).cast("string"))
+    value = F.when(F.col("l_quantity") < 4, F.lit(None)).when(F.col("l_quantity") < 6, " - ").when(F.col("l_linenumber") % 2 == 0, F.upper(said)).otherwise(said)
+    raw = F.when(F.col("l_quantity") % 2 == 0, F.concat(F.lit("valor: "), (F.col("l_suppkey") % 3).cast("string")))
+    place = ((F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
+    rows = i.select(
+        F.col("l_orderkey").alias("field_id"), place.alias("ord"), F.concat(F.lit("source"), (F.col("l_suppkey") % 4).cast("string")).alias("source"), F.concat(F.lit("engine"), (F.col("l_suppkey") % 2).cast("string")).alias("engine"), value.alias("value"), raw.alias("raw_text"),
+        F.round(1 - F.col("l_discount") * F.col("l_linenumber"), 2).alias("score"), F.when(F.col("l_tax") < 0.07, F.round(0.6 + F.col("l_quantity") / 125, 3)).alias("confidence"),
+    )
+    wanted = fields(spark, sf_dir).select("field_id", F.regexp_replace(F.lower("current_value"), "[^a-z0-9]", "").alias("w"))
+    return rows.join(wanted, "field_id").withColumn("selected", F.coalesce(F.regexp_replace(F.lower("value"), "[^a-z0-9]", "") == F.col("w"), F.lit(False))).drop("w")
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select(k.alias("field_id"), F.when(k % 5 > 0, F.concat(F.lit("VALOR-"), (k % 4).cast("string"))).alias("current_value"), (F.col("o_orderpriority") == "1-URGENT").alias("critical"))
+
+
+_PLACE = "((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)"
+CANDS = f"""fields AS (SELECT o_orderkey AS field_id, CASE WHEN o_orderkey % 5 > 0 THEN 'valor' || (o_orderkey % 4) END AS wanted, o_orderpriority = '1-URGENT' AS critical FROM orders),
+cands AS (SELECT l_orderkey AS field_id, {_PLACE} AS ord, 'source' || (l_suppkey % 4) AS source, 'engine' || (l_suppkey % 2) AS engine, CASE WHEN l_quantity < 4 THEN NULL WHEN l_quantity < 6 THEN ' - ' WHEN l_linenumber % 2 = 0 THEN 'VALOR ' || (l_partkey % 3) ELSE 'Valor ' || (l_partkey % 3) END AS value,
+ CASE WHEN l_quantity % 2 = 0 THEN 'valor: ' || (l_suppkey % 3) END AS raw_text, round(1 - l_discount * l_linenumber, 2) AS score, CASE WHEN l_tax < 0.07 THEN round(0.6 + l_quantity / 125, 3) END AS confidence FROM lineitem),
+keyed AS (SELECT c.*, coalesce(value, raw_text) AS shown, regexp_replace(lower(coalesce(value, raw_text)), '[^a-z0-9]', '', 'g') AS key, coalesce(regexp_replace(lower(value), '[^a-z0-9]', '', 'g') = wanted, false) AS selected FROM cands c JOIN fields USING (field_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY field_id, key ORDER BY selected DESC, score DESC, coalesce(confidence, 0) DESC, ord) AS nth FROM keyed WHERE key <> ''),
+ss AS (SELECT field_id, key, string_agg(source, ',' ORDER BY f) AS sources, count(*) AS n_sources FROM (SELECT field_id, key, source, min(nth) AS f FROM best GROUP BY 1, 2, 3) GROUP BY 1, 2),
+gs AS (SELECT field_id, key, round(sum(score), 4) AS score, max(coalesce(confidence, 0)) AS confidence, max(shown) FILTER (nth = 1) AS value, max(source) FILTER (nth = 1) AS source, max(engine) FILTER (nth = 1) AS engine, min(ord) AS first FROM best GROUP BY 1, 2),
+groups AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY n_sources DESC, score DESC, confidence DESC, first) AS rank FROM gs JOIN ss USING (field_id, key)),
+runs AS (SELECT o_orderkey AS field_id, o_orderkey % 4 AS n_runs FROM orders),
+cons AS (SELECT field_id, n_runs AS engines_considered, count(DISTINCT key) FILTER (value IS NOT NULL OR raw_text IS NOT NULL) AS candidate_count, coalesce(string_agg(source, ',' ORDER BY score DESC, coalesce(confidence, 0) DESC, ord) FILTER (selected), '') AS supporting_engines,
+ CASE WHEN n_runs > 0 THEN round(count(*) FILTER (selected) / n_runs, 3) ELSE 0 END AS agreement_ratio, n_runs > 1 AND count(DISTINCT key) FILTER (selected) > 1 AS disagreement FROM (SELECT * REPLACE (coalesce(key, '') AS key) FROM keyed) JOIN runs USING (field_id) GROUP BY 1, 2)"""
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

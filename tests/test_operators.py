@@ -13,19 +13,115 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("value, ok", [("12.345.678-5", True), ("12.345.678-K", False), ("", False)])
+@pytest.mark.parametrize("value, ok", [("12.345.678-5", True), ("12.345.678-K", False), ("", False), ("123456785", False), ("RUN 12345678 - 5", True), ("no detectado", False), (None, False), ("11.111.112-k", True)])
 def test_run(spark, value, ok):
-    assert one(spark, identifiers.run_valid(F.lit(value))) is ok
+    """A verifier stands behind a hyphen: without one nothing checks."""
+    assert one(spark, identifiers.run_valid(F.lit(value).cast("string"))) is ok
+
+
+@pytest.mark.parametrize(
+    "value, run",
+    [("12345678-5", "12.345.678-5"), ("rut 1,234,567 - k", "1.234.567-K"), ("123456785", "123456785"), (" none : ", "none"), ("PENDING", None), (None, None), ("x 12.345.678-5 y", "12.345.678-5"), ("a-b", "a-b")],
+)
+def test_canonical_run(spark, value, run):
+    assert one(spark, identifiers.canonical_run(F.lit(value).cast("string"))) == run
+
+
+@pytest.mark.parametrize(
+    "country, value, number",
+    [
+        ("pe", "DNI 12345678-9", "12345678"), ("PE", "1234.5678", "12345678"), ("PE", "123456789", "123456789"), ("CO", "1.234.567", "1234567"), ("CO", "12345", "12345"), ("CL", "serie b123.456.789", "B123.456.789"),
+        ("CL", "A12345678", "A12.345.678"), ("CL", "AB1234567", "AB12.345.67"), ("CL", "12.345.678-5", "12.345.678-5"), ("CL", "No Detectado", None), ("XX", " - ", None), ("XX", "abc:", "abc"),
+    ],
+)
+def test_document_numbers(spark, country, value, number):
+    assert one(spark, identifiers.canonical_document_number(F.lit(country), F.lit(value))) == number
+
+
+@pytest.mark.parametrize(
+    "value, iso",
+    [
+        ("2024-02-31", "2024-02-31"), ("2024/03/05", "2024-03-05"), ("05/03/2024", "2024-03-05"), ("5/3/2024", "5/3/2024"), ("05.03.2024", "05.03.2024"), ("vence 05 03  2024 aqui", "2024-03-05"), ("05 mar 2024", "2024-03-05"),
+        ("05MARZO2024", "2024-03-05"), ("05MARCH2024", "05MARCH2024"), ("05JAN2024", "05JAN2024"), ("Lima, 5 de marzo de 2024.", "2024-03-05"), ("5 de martes de 2024", "5 de martes de 2024"), (" soon: ", "soon"), (" - ", None), (None, None),
+    ],
+)
+def test_dates(spark, value, iso):
+    value = F.lit(value).cast("string")
+    assert one(spark, dates.normalize_date(value)) == iso
+    assert one(spark, dates.strict_date(value)) == (iso if iso and iso[:4] == "2024" else None)
 
 
-def test_canonical_run(spark):
-    assert one(spark, identifiers.canonical_run(F.lit("123456785"))) == "12.345.678-5"
-    assert one(spark, identifiers.canonical_run(F.lit(" none : "))) == "none"
+@pytest.mark.parametrize("value, period", [("ENE-2024", "2024-01"), ("periodo set/2023 x", "2023-09"), ("SEPT-2023", None), ("ENE 2024", None), ("ENE-1999", None), ("x", None), (None, None)])
+def test_periods(spark, value, period):
+    assert one(spark, dates.normalize_period(F.lit(value).cast("string"))) == period
 
 
-@pytest.mark.parametrize("value, iso", [("2024-02-31", "2024-02-31"), ("5/3/2024", "2024-03-05"), ("05MAR2024", "2024-03-05"), ("5 de marzo de 2024", "2024-03-05"), ("soon", "soon")])
-def test_dates(spark, value, iso):
-    assert one(spark, dates.normalize_date(F.lit(value))) == iso
+@pytest.mark.parametrize(
+    "birth, issue, expiry, ok",
+    [("1990-01-01", "2020-01-01", "2030-01-01", True), (None, None, None, False), ("1990-01-01", "no date", None, False), (None, "SIN FECHA", "2030-01-01", True), ("2020-01-01", "2020-01-01", None, False), ("1990-01-01", None, "1980-01-01", False), ("1990-02-31", None, None, False)],
+)
+def test_date_sequences(spark, birth, issue, expiry, ok):
+    assert one(spark, dates.sequence_valid(*(F.lit(x).cast("string") for x in (birth, issue, expiry)))) is ok
+
+
+def zone_digit(text):
+    value = {c: k for k, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
+    return str(sum(value.get(c, 0) * (7, 3, 1)[k % 3] for k, c in enumerate(text)) % 10)
+
+
+def test_zone_digits(spark):
+    """Five check digits, the last over all that stands before it; a filler is none."""
+    line = "L898902C36UTO7408122F1204159ZE184226B<<<<<1"
+    whole = line + zone_digit(line)
+    assert one(spark, identifiers.td3_valid(F.lit(whole)))
+    for at in (9, 19, 27, 42, 43):
+        assert not one(spark, identifiers.td3_valid(F.lit(whole[:at] + str((int(whole[at]) + 1) % 10) + whole[at + 1 :])))
+    empty = "L898902C36UTO7408122F1204159<<<<<<<<<<<<<<<"
+    assert not one(spark, identifiers.td3_valid(F.lit(empty + zone_digit(empty))))
+    zero = empty[:42] + "0"
+    assert one(spark, identifiers.td3_valid(F.lit(zero + zone_digit(zero))))
+
+
+def test_inline_redaction(spark):
+    said = "mail ana.perez@mail.example.org cuenta 1234-5678-123456789 rut 12.345.678-K dni 12345678, 1234567 y 12345678901 a@b"
+    want = "mail an**********************rg cuenta 12***************89 rut 12********-K dni 12****78, 1234567 y 12345678901 a@b"
+    assert one(spark, text.redact_inline(F.lit(said))) == want
+    assert one(spark, text.safe_preview(F.lit(said), 9)) == "mail an**"
+    assert one(spark, text.redact_inline(F.lit(None).cast("string"))) is None and one(spark, text.redact_inline(F.lit(""))) == ""
+
+
+@pytest.mark.parametrize(
+    "line, label, value",
+    [("Nombre:  Ana María", "Nombre", "Ana María"), ("Año/mes = 2024", "Año/mes", "2024"), ("a: bc d", "", ""), ("Total 12345: x y", "", ""), ("Ελλ: x y", "", ""), ("Fecha:2024", "", ""), ("x: no", "", "")],
+)
+def test_inline_pairs(spark, line, label, value):
+    a, b = text.key_value(F.lit(line))
+    assert (one(spark, a), one(spark, b)) == (label, value)
+
+
+def test_likes(spark):
+    says = lambda f, *values: [one(spark, f(F.lit(v))) for v in values]
+    assert says(text.label_like, "FECHA DE EMISION", "1234567890", "12345 abcdefgh", "", "x" * 49, "ÑÑÑ 1.-") == [True, False, False, False, False, True]
+    assert says(text.value_like, "ab", "abc", "Abc", "abc d", "ab1") == [False, False, True, True, True]
+    assert says(text.table_row_like, "ene 2024-01 1.234.567", "a b 12", "2024-01 1.234", "x 10-02-2024 y") == [True, False, False, True]
+
+
+def test_pairs_of_lines(spark):
+    rows = [(1, 1, 0, "NOMBRE"), (1, 1, 1, ""), (1, 1, 2, "Ana  Perez"), (1, 1, 3, "Rut: 1-9"), (1, 1, 4, "FECHA"), (1, 2, 5, "2024-01-01"), (1, 2, 6, "nombre: Zoe Soto"), (1, 2, 7, "Nombre: ZOE SOTO")]
+    got = sequences.key_value_pairs(spark.createDataFrame(rows, "doc_id long, page int, line_no int, line string")).orderBy("place").collect()
+    assert [(r.place, r.label, r.value) for r in got] == [(0, "NOMBRE", "Ana Perez"), (3, "Rut", "1-9"), (6, "Nombre", "ZOE SOTO")]
+
+
+def test_value_types(spark):
+    says = lambda f: [one(spark, f(F.lit(v))) for v in ("2024-01-02", "2024/01/02", "abcd-ef-gh", "1.234,5-", "x", "")]
+    assert says(text.value_type) == ["date", "date", "date", "number", "text", "text"]
+    assert says(text.record_value_type) == ["date", "text", "text", "number", "text", "text"]
+
+
+def test_stable_ids_keep_uuids(spark):
+    made = "abcdef01-2345-4678-9abc-000000000001"
+    assert one(spark, text.stable_uuid(F.lit(made))) == made
+    assert one(spark, text.stable_uuid(F.lit("x"))) == "11f6ad8e-c52a-5984-abaa-fd7c3b516503"
 
 
 def test_text(spark):
@@ -60,12 +156,38 @@ def test_cheaper_strategy_wins(spark):
     assert analytics.routing_scores(df).where("recommended").first()["strategy"] == "a"
 
 
+CANDIDATE = "field_id long, ord long, source string, engine string, value string, raw_text string, score double, confidence double, selected boolean"
+
+
+def adjudicated(spark, rows, critical=False, current=None, agreement=None, disagreement=False):
+    c = spark.createDataFrame([(1, k, s, "e-" + s, v, None, score, conf, v == current) for k, (s, v, score, conf) in enumerate(rows)], CANDIDATE)
+    fields = spark.createDataFrame([(1, current, critical)], "field_id long, current_value string, critical boolean")
+    votes = spark.createDataFrame([(1, agreement, disagreement)] if agreement is not None else [], "field_id long, agreement_ratio double, disagreement boolean")
+    r = matching.adjudicate(fields, c, votes).first()
+    return r.abstained, r.selected_value, r.confidence
+
+
 def test_adjudication(spark):
-    rows = [(1, "e1", "A", 0.9, 0.96), (1, "e2", "a", 0.9, 0.95), (1, "e3", "B", 0.9, 0.9), (2, "e1", "A", 0.7, 0.75), (2, "e2", "B", 0.7, 0.74)]
-    c = spark.createDataFrame(rows, "field_id long, source string, value string, score double, confidence double")
-    got = {r.field_id: r for r in matching.adjudicate(c, spark.createDataFrame([(1, True), (2, True)], "field_id long, critical boolean")).collect()}
-    assert not got[1].abstained and got[1].selected_value == "A"
-    assert got[2].abstained and got[2].selected_value is None
+    # two sources agree, and lead by far
+    assert adjudicated(spark, [("a", "X", 0.9, 0.96), ("b", "x", 0.9, 0.95), ("c", "Y", 0.9, 0.9)], critical=True, agreement=0.667) == (False, "X", 0.872)
+    # one source of middling confidence is no evidence, however it leads: an abstention has a confidence
+    assert adjudicated(spark, [("a", "X", 0.7, 0.75)], agreement=0.5) == (True, None, 0.75)
+    # evidence without a lead
+    assert adjudicated(spark, [("a", "X", 0.9, 0.97), ("b", "Y", 0.8, 0.9)], critical=True) == (True, None, 0.97)
+    assert adjudicated(spark, [("a", "X", 0.9, 0.97), ("b", "Y", 0.8, 0.9)]) == (False, "X", 0.679)
+    # the value that the field has, without a conflict
+    assert adjudicated(spark, [("a", "X", 0.4, 0.5)], current="X", agreement=0.4)[:2] == (False, "X")
+    assert adjudicated(spark, [("a", "X", 0.4, 0.5)], current="X", agreement=0.4, disagreement=True)[0]
+    # a critical field's own value under a conflict needs agreement and confidence
+    assert adjudicated(spark, [("a", "X", 0.9, 0.91), ("b", "Y", 0.85, 0.9)], current="X", critical=True, agreement=0.5, disagreement=True)[:2] == (False, "X")
+    # nothing to go by
+    assert adjudicated(spark, []) == (True, None, None) == adjudicated(spark, [("a", " - ", 0.9, 0.9)])
+
+
+def test_groups_show_their_best(spark):
+    rows = [(1, 0, "b", "e", "AB", None, 0.5, 0.99, False), (1, 1, "a", "e", "a.b", None, 0.9, 0.2, False), (1, 2, "a", "e", None, "A-B", 0.1, None, False), (1, 3, "c", "e", "", None, 1.0, 1.0, False)]
+    r = matching.candidate_groups(spark.createDataFrame(rows, CANDIDATE)).collect()
+    assert [(x.key, x.value, x.sources, x.score, x.confidence, x["rank"]) for x in r] == [("ab", "a.b", ["a", "b"], 1.5, 0.99, 1)]
 
 
 def test_lines_keep_their_anchor(spark):
