@@ -7,6 +7,10 @@ Memory is bounded by ``SLICE_BYTES`` of text (or one row, if that is longer).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -60,6 +64,25 @@ class Spans:
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Gives what this worker no longer uses back to the system: workers wait for other tasks with what they have once taken."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches, releasing memory when they end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as strings; null reads as empty."""
     c = batch.column(batch.schema.get_field_index(name))
