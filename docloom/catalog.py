@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bindings, fleet, records, review  # noqa: F401  registers the queries
+from .plans import bindings, fleet, intake, records, review, rules  # noqa: F401  registers the queries
 from .plans.registry import QUERIES, SQL
 
 

@@ -85,6 +85,11 @@ def submission_status() -> Column:
     )
 
 
+def decision_status(decision: Column) -> Column:
+    """A record's status once it is decided."""
+    return F.when(decision == "reject", "rejected").when(decision == "human_review", "review").otherwise("completed")
+
+
 def latency_ms() -> Column:
     """From the job's start to its end, not below 0; else the rounded sum of the trace's durations; else null."""
     spent = F.unix_millis("job.finished_at") - F.unix_millis("job.started_at")

@@ -8,9 +8,10 @@ from ..functions import dates as E
 from ..functions import identifiers as D
 from ..functions import scores as M
 from ..functions import text as T
+from ..functions.packs import PACKS
+from ..operators import classification as C
 from ..operators import jobs as J
 from ..operators import matching as X
-from ..operators import rules as R
 from ..operators import sequences as S
 from .registry import CANDS, DOCS, IDS, JOBS, candidates, doc_records, fields, identifiers, jobs, load, query
 
@@ -150,18 +151,47 @@ def line_list(spark, d):
     return load(spark, d, "documents").select("doc_id", F.size(T.lines("text")).cast("long").alias("n_lines"), F.size(F.array_distinct(F.split("text", "\n"))).cast("long").alias("n_different"))
 
 
-_KEYWORDS = {"en": "the of and", "fr": "les des une", "de": "der und die", "es": "los que las"}
-_K = " + ".join("CASE WHEN list_contains(ks, '{k}') AND contains(norm, '{k}') THEN 1 ELSE 0 END".format(k=k) for v in _KEYWORDS.values() for k in v.split())
-_PACKS = "(VALUES " + ", ".join(f"({i}, 'pack-{c}', '{c}', {v.split()!r})" for i, (c, v) in enumerate(_KEYWORDS.items())) + ") p(ord, pack_id, pack_country, ks)"
+# phrases that reach every hint; a text is one of each list
+_SAID = ("", "cedula de identidad", "Republica de Chile  RUN", "Republica del Peru dni", "REGISTRADURIA nuip apellidos", "pasaporte", "x P<COLABC", "<<<<< abc", "licencia de conducir", "factura ruc", "certificado afp cuenta", "nacio en comuna", "Domi cilio x", "constancia laboral colombia")
+_MORE = ("", "nombres apellidos", "estatura g.s. rh", "estado civil restriccion", "numero de certificado rut", "I<CHL huella", "clase chile")
+_ASKED, _WHERE = ("auto", "Identity", "passport", "", "certificate"), ("XX", "cl", "PE", " auto ", "CO", "AR")
 
 
-@query(f"""WITH t AS (SELECT doc_id, lang AS country, lower(text) AS norm FROM documents), s AS (SELECT doc_id, pack_id, ord, round(0.22 + least(0.40, 0.08 * ({_K})) + CASE WHEN country = pack_country THEN 0.16 ELSE -0.12 END, 6)::DOUBLE AS score FROM t, {_PACKS}),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rn FROM s)
-SELECT doc_id, CASE WHEN score >= 0.48 THEN pack_id ELSE 'unsupported' END AS pack_id, CASE WHEN score >= 0.48 THEN least(score, 0.97) ELSE 0.34 END::DOUBLE AS confidence FROM b WHERE rn = 1""")
+def _sql_has(k):
+    word, small = k.replace("'", "''"), "".join(c for c in k if c.isalnum())
+    return f"(contains(sp, '{word}') OR contains(ba, '{small}'))"
+
+
+def _sql_any(words):
+    return "(" + " OR ".join(map(_sql_has, words)) + ")"
+
+
+def _sql_score(p):
+    many = " + ".join(f"CASE WHEN {_sql_has(k)} THEN 1 ELSE 0 END" for k in p.keywords)
+    s = f"0.22::DOUBLE + CASE WHEN af = 'unclassified' THEN 0 WHEN af = '{p.family}' THEN 0.2 ELSE -0.18 END + CASE WHEN ac = 'XX' THEN 0 WHEN ac = '{p.country}' THEN 0.16 ELSE {0.08 if p.country == 'XX' else -0.12} END + CASE WHEN fh = 'unclassified' THEN 0 WHEN fh = '{p.family}' THEN 0.22 ELSE -0.18 END"
+    s += f" + CASE WHEN ch = 'XX' THEN 0 WHEN ch = '{p.country}' THEN 0.16 ELSE {0.08 if p.country == 'XX' else 0} END + least(0.4, 0.08 * ({many}))"
+    s += f" + CASE WHEN fh = 'unclassified' AND ch = '{p.country}' AND {many} > 0 THEN 0.08 ELSE 0 END" if p.family == "identity" else ""
+    return s + (f" + CASE WHEN sh IS NULL THEN 0 WHEN sh = '{p.side}' THEN 0.12 ELSE -0.08 END" if p.side else "")
+
+
+_FAMILY = "CASE " + " ".join(f"WHEN {_sql_any(w)}{' OR contains(sp, chr(60) || chr(60) || chr(60) || chr(60))' if n == 'passport' else ''} THEN '{n}'" for n, w in C.FAMILY_WORDS) + " ELSE 'unclassified' END"
+_COUNTRY = f"CASE WHEN {_sql_any(C.CHILEAN)} THEN 'CL' WHEN contains(sp, 'P<CHL') THEN 'CL' WHEN contains(sp, 'P<PER') THEN 'PE' WHEN contains(sp, 'P<COL') THEN 'CO' " + " ".join(f"WHEN {_sql_any(w)} THEN '{n}'" for n, w in C.COUNTRY_WORDS) + " ELSE 'XX' END"
+_SIDE = "CASE WHEN fh = 'identity' THEN CASE " + " ".join(f"WHEN ch = '{c}' AND {_sql_any(w)} THEN '{side}'" for c, side, w in C.SIDE_WORDS) + " END END"
+_list = lambda values: "[" + ", ".join("'" + v + "'" for v in values) + "]"
+_TEXTS = f"""raw AS (SELECT o_orderkey AS id, {_list(_SAID)}[CAST(o_orderkey % {len(_SAID)} + 1 AS INT)] || '  ' || {_list(_MORE)}[CAST((o_orderkey // 3) % {len(_MORE)} + 1 AS INT)] AS text, {_list(_ASKED)}[CAST((o_orderkey // 7) % {len(_ASKED)} + 1 AS INT)] AS f, {_list(_WHERE)}[CAST((o_orderkey // 2) % {len(_WHERE)} + 1 AS INT)] AS c FROM orders),
+t AS (SELECT id, trim(regexp_replace(upper(text), '[ ]+', ' ', 'g')) AS sp, regexp_replace(upper(text), '[^A-Z0-9]+', '', 'g') AS ba, CASE WHEN lower(trim(f)) IN ('', 'auto', 'unclassified') THEN 'unclassified' ELSE lower(trim(f)) END AS af, CASE WHEN upper(trim(c)) IN ('', 'AUTO', 'XX') THEN 'XX' ELSE upper(trim(c)) END AS ac FROM raw),
+h AS (SELECT *, {_FAMILY} AS fh, {_COUNTRY} AS ch FROM t), g AS (SELECT *, {_SIDE} AS sh FROM h)"""
+
+
+@query(f"""WITH {_TEXTS}, s AS (SELECT id, sp, af, ac, fh, ch, sh, unnest([{', '.join(f"{{'score': {_sql_score(p)}, 'k': {k}, 'pack': '{p.pack_id}', 'family': '{p.family}', 'country': '{p.country}', 'side': '{p.side or ''}', 'ok': {str(p.supported).lower()}}}" for k, p in enumerate(PACKS))}]) AS p FROM g),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p.score DESC, p.k) AS rn FROM s)
+SELECT id, CASE WHEN p.score >= 0.48 THEN p.pack END AS pack_id, CASE WHEN p.score >= 0.48 THEN p.family WHEN fh <> 'unclassified' THEN fh ELSE af END AS family, CASE WHEN p.score >= 0.48 THEN CASE WHEN p.country <> 'XX' THEN p.country WHEN ac <> 'XX' THEN ac ELSE ch END WHEN ch <> 'XX' THEN ch ELSE ac END AS country,
+ CASE WHEN p.score >= 0.48 THEN nullif(p.side, '') END AS side, round(CASE WHEN p.score >= 0.48 THEN least(p.score, 0.97) WHEN sp <> '' THEN 0.34 ELSE 0.18 END, 6)::DOUBLE AS confidence, p.score >= 0.48 AND p.ok AS supported, fh AS family_hint, ch AS country_hint, sh AS side_hint FROM b WHERE rn = 1""")
 def keyword_classify(spark, d):
-    packs = spark.createDataFrame([(i, f"pack-{c}", c, v.split()) for i, (c, v) in enumerate(_KEYWORDS.items())], "ord int, pack_id string, pack_country string, keywords array<string>")
-    texts = load(spark, d, "documents").select("doc_id", F.col("lang").alias("country"), F.lower("text").alias("norm"))
-    return X.classify(texts, packs)
+    k = F.col("o_orderkey")
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    rows = load(spark, d, "orders").select(k.alias("id"), F.concat(at(_SAID, k), F.lit("  "), at(_MORE, F.floor(k / 3))).alias("text"), at(_ASKED, F.floor(k / 7)).alias("family"), at(_WHERE, F.floor(k / 2)).alias("country"))
+    return C.classify(rows).select("id", "pack_id", "family", "country", "side", F.round("confidence", 6).alias("confidence"), "supported", "family_hint", "country_hint", "side_hint")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS document_id, round(1 - l_discount, 2) AS score, l_returnflag <> 'R' AS success, CAST(l_quantity AS INT) AS tokens, l_linenumber AS length, 'e' || l_linenumber AS engine FROM lineitem),
@@ -275,27 +305,6 @@ def identifier_intersect(spark, d):
     return both.select("document_id", X.shared_identifier(F.col("f.p"), F.col("b.p")).alias("shared")).where("shared is not null")
 
 
-_BASE = "greatest(0.82 * conf + 0.18 * cls, conf - 0.02)"
-
-
-@query(f"""WITH {DOCS}, x AS (SELECT document_id, coalesce(confidence, 0) AS conf, agreement AS cls, CASE WHEN disagreements = 2 AND low_agreement = 3 THEN 1 ELSE 0 END AS high, CASE WHEN low_agreement = 3 THEN 1 ELSE 0 END AS medium, abstained AS blockers FROM docs), y AS (SELECT *, {_BASE} AS base FROM x)
-SELECT document_id, CASE WHEN conf < 0.4 THEN 'reject' WHEN high > 0 THEN 'human_review' WHEN medium > 0 AND base < 0.8 THEN 'human_review' WHEN blockers = 0 AND base >= 0.9 THEN 'auto_accept' WHEN base >= 0.76 THEN 'accept_with_warning' ELSE 'human_review' END AS certificate,
-CASE WHEN conf < 0.4 THEN 'reject' WHEN high > 0 THEN 'human_review' WHEN blockers = 0 AND base >= 0.9 THEN 'auto_accept' WHEN base >= 0.82 AND medium <= 1 THEN 'accept_with_warning' ELSE 'human_review' END AS passport FROM y""")
-def decision_cascade(spark, d):
-    r = doc_records(spark, d)
-    conf = F.coalesce("confidence", F.lit(0.0))
-    high = F.when((F.col("disagreements") == 2) & (F.col("low_agreement") == 3), 1).otherwise(0)
-    medium, base = F.when(F.col("low_agreement") == 3, 1).otherwise(0), R.base_confidence(conf, F.col("agreement"))
-    return r.select("document_id", R.certificate_decision(base, conf, high, medium, F.col("abstained")).alias("certificate"), R.passport_decision(base, conf, high, medium, F.col("abstained"), F.lit(3)).alias("passport"))
-
-
-@query("""SELECT p_partkey AS id, (CASE WHEN p_brand = 'Brand#11' THEN 1 ELSE 0 END) + (CASE WHEN p_size < 10 THEN 1 ELSE 0 END) AS n_issues, CASE WHEN p_brand = 'Brand#11' THEN 1 ELSE 0 END AS n_high FROM part""")
-def rule_issues(spark, d):
-    p = load(spark, d, "part").withColumn("holder_name", F.when(F.col("p_brand") != "Brand#11", F.col("p_name")))
-    found = R.issues(R.missing_field("holder_name", True), R.issue(F.col("p_size") < 10, "low_agreement", "medium", "p_size"))
-    return p.select(F.col("p_partkey").alias("id"), F.size(found).alias("n_issues"), R.count_of(found, "high").alias("n_high"))
-
-
 @query(f"""WITH {DOCS}, s AS (SELECT document_id, round(greatest(0.05, least(0.99, 0.74 + CASE WHEN reviewed THEN 0.12 ELSE -0.22 END + CASE WHEN abstained = 1 THEN 0.08 ELSE -0.20 END + CASE WHEN coalesce(confidence, 0) < 0.55 THEN -0.14 WHEN coalesce(confidence, 0) >= 0.82 THEN 0.04 ELSE 0 END + CASE WHEN agreement < 0.65 THEN -0.12 WHEN agreement >= 0.90 THEN 0.05 ELSE 0 END)), 6)::DOUBLE AS score FROM docs)
 SELECT document_id, score, CASE WHEN score >= 0.82 THEN 'low' WHEN score >= 0.62 THEN 'medium' ELSE 'high' END AS risk FROM s""")
 def integrity_score(spark, d):

@@ -210,9 +210,9 @@ _SEEN = "CASE WHEN status = 'review' OR review_required OR decision = 'human_rev
 
 
 @query(f"""WITH {RECORDS} SELECT document_id, CASE WHEN processed AND (decision <> 'pending' OR confidence IS NOT NULL) THEN {_SEEN} WHEN job = 'failed' THEN 'failed' WHEN job = 'queued' THEN 'queued' WHEN job = 'running' OR status = 'processing' THEN 'processing' ELSE {_SEEN} END AS status,
- CAST(CASE WHEN k % 10 > 0 AND k % 3 > 1 THEN greatest(0, 1000 * (k % 9 * 7 - k % 5 * 10)) WHEN k % 3 > 0 THEN floor((k % 3) * (k % 7 + 0.5) + 0.5) END AS BIGINT) AS latency_ms, document_id || ':' || coalesce(CASE WHEN k % 2 = 0 THEN 'h' || k END, 'no-hash') || ':' || family || ':' || country || ':' || coalesce(variant, 'no-variant') AS idempotency_key FROM s""")
+ CAST(CASE WHEN k % 10 > 0 AND k % 3 > 1 THEN greatest(0, 1000 * (k % 9 * 7 - k % 5 * 10)) WHEN k % 3 > 0 THEN floor((k % 3) * (k % 7 + 0.5) + 0.5) END AS BIGINT) AS latency_ms, document_id || ':' || coalesce(CASE WHEN k % 2 = 0 THEN 'h' || k END, 'no-hash') || ':' || family || ':' || country || ':' || coalesce(variant, 'no-variant') AS idempotency_key, CASE decision WHEN 'reject' THEN 'rejected' WHEN 'human_review' THEN 'review' ELSE 'completed' END AS decided FROM s""")
 def submission_status(spark, d):
-    return records(spark, d).select("document_id", P.submission_status().alias("status"), P.latency_ms().alias("latency_ms"), P.idempotency_key().alias("idempotency_key"))
+    return records(spark, d).select("document_id", P.submission_status().alias("status"), P.latency_ms().alias("latency_ms"), P.idempotency_key().alias("idempotency_key"), P.decision_status(F.col("decision")).alias("decided"))
 
 
 @query(f"WITH {RECORDS} SELECT document_id, coalesce(reviewed, false) AS reviewed, review_required OR status = 'review' AS in_review_queue, k % 3 = 2 AS report_ready, decision <> 'pending' AS processed, processed AND decision <> 'pending' AND confidence IS NOT NULL AND n_fields > 0 AND k % 2 = 1 AS materialised FROM s")
