@@ -10,7 +10,7 @@ from ..functions.scores import clamp, math_round, rate
 STATUSES = ("uploaded", "processing", "completed", "review", "rejected")
 DECISIONS = ("auto_accept", "accept_with_warning", "human_review", "reject")
 # Assumed unit prices in US dollars.
-ENGINE_PRICES = {"rapidocr": 0.0015, "paddle": 0.002, "doctr": 0.003, "google": 0.05, "azure": 0.045}
+ENGINE_PRICES = {"rapidocr": 0.0015, "paddleocr": 0.002, "doctr": 0.003, "google-documentai": 0.05, "azure-document-intelligence": 0.045}
 ADJUDICATED_FIELD_PRICE = 0.0035
 
 

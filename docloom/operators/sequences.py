@@ -95,15 +95,18 @@ def cluster_lines(tokens: DataFrame) -> DataFrame:
 def segment_pages(pages: DataFrame) -> DataFrame:
     """Segment of each page (doc_id, page, family, country, base_pack, side, variant).
 
-    A page joins if family and country are the segment's first page's, and its
-    pack, or a complementary side, or its variant.
+    A page joins if family and country are those of the segment's first page, and
+    so is its variant; or, of identities, its pack, or their sides are front and back.
+    A document's pages are held by one task: they hang on the segment's first.
     """
 
     def run(rows: list[tuple]) -> list[tuple]:
         seg, head, out = -1, None, []
         for r in rows:
             doc, page, family, country, pack, side, variant = r
-            if head is None or (family, country) != head[2:4] or not (pack == head[4] or {side, head[5]} == {"front", "back"} or variant == head[6]):
+            alike = head is not None and (family, country) == head[2:4]
+            same = alike and ((variant or "") == (head[6] or "") or family == "identity" and (bool(pack) and pack == head[4] or {side, head[5]} == {"front", "back"}))
+            if not same:
                 seg, head = seg + 1, r
             out.append((doc, page, seg))
         return out
@@ -111,6 +114,15 @@ def segment_pages(pages: DataFrame) -> DataFrame:
     return per_key(pages.select("doc_id", "page", "family", "country", "base_pack", "side", "variant"), 2, run, "doc_id long, page long, segment long")
 
 
+def segments(pages: DataFrame) -> DataFrame:
+    """(doc_id, segment, first_page, last_page, n_pages, side, mixed): a document's segments, the side that their pages show together, and whether it has several."""
+    rows = pages.join(segment_pages(pages), ["doc_id", "page"])
+    sides = F.array_sort(F.collect_set(F.when(F.col("side") != "", F.col("side"))))
+    side = F.when(sides == F.array(F.lit("back"), F.lit("front")), "front+back").when(F.size(sides) >= 1, F.min_by("side", F.when(F.col("side") != "", F.col("page"))))
+    out = rows.groupBy("doc_id", "segment").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_pages"), side.alias("side"))
+    return out.withColumn("mixed", F.count("*").over(Window.partitionBy("doc_id")) > 1)
+
+
 def greedy_rows(rows: DataFrame) -> DataFrame:
     """Matched, missing and extra rows of each document's expected and actual tables (side, ord, cells map).
 

@@ -325,16 +325,34 @@ def last_edit(spark, d):
     return load(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by(_md5(F.col("text")), "turn").alias("last_text"), F.count("*").alias("edits"))
 
 
-@query(None)
+_TOKEN = "l_orderkey AS doc_id, CAST(((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity AS BIGINT) AS token_id"
+
+
+def _token_id():
+    return (((F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("token_id")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT {_TOKEN}, l_linenumber % 2 AS page, l_quantity AS x, l_extendedprice / 1000 AS y, l_quantity / 5 AS h FROM lineitem), m AS (SELECT doc_id, greatest(10.0, 0.75 * list_sort(list(h))[len(list(h)) // 2 + 1]) AS tol FROM t GROUP BY 1),
+n AS (SELECT t.*, tol, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, x, token_id) AS i FROM t JOIN m USING (doc_id)),
+f AS (SELECT doc_id, i, token_id, page, y AS anchor, 0 AS line FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.i, n.token_id, n.page, CASE WHEN n.page <> f.page OR abs(n.y - f.anchor) > n.tol THEN n.y ELSE f.anchor END, CASE WHEN n.page <> f.page OR abs(n.y - f.anchor) > n.tol THEN f.line + 1 ELSE f.line END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)
+SELECT doc_id, token_id, CAST(line AS BIGINT) AS line FROM f""")
 def line_cluster_fold(spark, d):
-    i = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("token_id"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") / 5).alias("height"))
-    return S.cluster_lines(i)
+    i = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _token_id(), (F.col("l_linenumber") % 2).alias("page"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") / 5).alias("height"))
+    return S.cluster_lines(i).select("doc_id", "token_id", F.col("line").cast("long").alias("line"))
 
 
-@query(None)
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS doc_id, CAST(((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity AS BIGINT) AS page, CASE WHEN l_partkey % 3 = 0 THEN 'passport' ELSE 'identity' END AS family, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'p' || (l_suppkey % 4) END AS pack, CASE l_linenumber % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'front' END AS side, CASE WHEN l_partkey % 5 > 0 THEN l_returnflag END AS variant FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p),
+f AS (SELECT doc_id, i, page, family AS hf, pack AS hp, side AS hs, variant AS hv, 0 AS segment, side FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.i, n.page, CASE WHEN j THEN hf ELSE n.family END, CASE WHEN j THEN hp ELSE n.pack END, CASE WHEN j THEN hs ELSE n.side END, CASE WHEN j THEN hv ELSE n.variant END, CASE WHEN j THEN segment ELSE segment + 1 END, n.side FROM (SELECT n.*, f.hf, f.hp, f.hs, f.hv, f.segment, n.family = f.hf AND (coalesce(n.variant, '') = coalesce(f.hv, '') OR n.family = 'identity' AND coalesce(n.pack <> '' AND n.pack = f.hp OR list_sort([n.side, f.hs]) = ['back', 'front'], false)) AS j FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1) n)
+SELECT doc_id, CAST(segment AS BIGINT) AS segment, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages, CASE WHEN count(DISTINCT side) = 2 THEN 'front+back' ELSE max(side) END AS side, max(segment) > 0 AS several FROM f GROUP BY 1, 2""".replace(", max(segment) > 0 AS several FROM f", " FROM f"))
 def page_segments(spark, d):
-    i = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), F.when(F.col("l_partkey") % 3 == 0, "identity").otherwise("passport").alias("family"), F.lit("CL").alias("country"), (F.col("l_suppkey") % 3).alias("base_pack"), F.when(F.col("l_linenumber") % 2 == 0, "back").otherwise("front").alias("side"), F.col("l_returnflag").alias("variant"))
-    return S.segment_pages(i)
+    c = F.col
+    pack = F.when(c("l_suppkey") % 4 == 1, "").when(c("l_suppkey") % 4 > 1, F.concat(F.lit("p"), (c("l_suppkey") % 4).cast("string")))
+    rows = load(spark, d, "lineitem").select(
+        c("l_orderkey").alias("doc_id"), _token_id().alias("page"), F.when(c("l_partkey") % 3 == 0, "passport").otherwise("identity").alias("family"), F.lit("CL").alias("country"), pack.alias("base_pack"),
+        F.when(c("l_linenumber") % 3 == 0, "back").when(c("l_linenumber") % 3 == 1, "front").alias("side"), F.when(c("l_partkey") % 5 > 0, c("l_returnflag")).alias("variant"),
+    )
+    return S.segments(rows).drop("mixed")
 
 
 @query(None)

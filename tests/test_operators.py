@@ -147,7 +147,7 @@ def test_percentile_is_floor_of_rank(spark):
 
 
 def test_cost(spark):
-    assert one(spark, analytics.processing_cost(F.array(F.lit("rapidocr"), F.lit("google"), F.lit("google")), F.lit(1))) == pytest.approx(0.055)
+    assert one(spark, analytics.processing_cost(F.array(F.lit("rapidocr"), F.lit("google-documentai"), F.lit("google-documentai")), F.lit(1))) == pytest.approx(0.055)
 
 
 def test_cheaper_strategy_wins(spark):
