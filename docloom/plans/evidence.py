@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..operators import candidates as C
+from ..operators import pages as G
+from ..sources.files import golden_fields
 from .registry import load, query
 
 # a document's four runs find its field in one of six ways each; run 1 has a value of its own besides
@@ -101,3 +103,35 @@ def dates_in_text(spark, d):
     rows = load(spark, d, "orders").select(k.alias("id"), E.all_dates(text).alias("d"), E.nationality(code, country).alias("nationality"), F.array_join(E.first_variants(variants), ",").alias("variants"))
     none = F.lit(None).cast("string")
     return rows.select("id", F.array_join("d", ",").alias("dates"), E.by_position(F.col("d"), none, none, none).alias("p"), "nationality", "variants").select("id", "dates", "p.*", "nationality", "variants")
+
+
+_FRONT = ("RUN 12.345.678-5", "12.345.678-5", "A12345678", "nada", "")
+_BACK = ("rut 12345678-5 x", "Documento 9.999.999-9", "A12.345.678", "", "nada")
+# what each of these says by itself, in order
+_FRONT_IDS = (["12345678-5", "RUN12345678-5"], ["12345678-5"], ["A12345678"], ["NADA"], [])
+_BACK_IDS = (["12345678-5", "RUT12345678-5X"], ["9.999.999-9", "DOCUMENTO9999999-9"], ["A12345678"], [], ["NADA"])
+_ids = lambda lists: "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in r) + "]::VARCHAR[]" for r in lists) + "]"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS id, {_ids(_FRONT_IDS)}[o_orderkey % 5 + 1] AS f, {_ids(_BACK_IDS)}[(o_orderkey // 5) % 5 + 1] AS b FROM orders), s AS (SELECT *, list_filter(f, lambda e: list_contains(b, e))[1] AS shared FROM x)
+SELECT id, array_to_string(f, ',') AS fronts, array_to_string(b, ',') AS backs, coalesce(shared, f[1]) AS front, coalesce(shared, b[1]) AS back, CASE WHEN shared IS NOT NULL THEN true WHEN len(f) > 0 AND len(b) > 0 THEN false END AS match FROM s""")
+def cross_side(spark, d):
+    k = F.col("o_orderkey")
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % 5 + 1).cast("int"))
+    rows = load(spark, d, "orders").select(k.alias("id"), G.identifiers(at(_FRONT, k), "CL").alias("f"), G.identifiers(at(_BACK, F.floor(k / 5)), "CL").alias("b"))
+    return rows.select("id", F.array_join("f", ",").alias("fronts"), F.array_join("b", ",").alias("backs"), G.sides_agree(F.col("f"), F.col("b")).alias("s")).select("id", "fronts", "backs", "s.*")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k FROM orders) SELECT k AS id, CASE k % 4 WHEN 0 THEN 'amount=' || k || ';document_family=' || CASE WHEN k % 3 = 0 THEN 'passport' ELSE 'certificate' END || ';rut=~' WHEN 1 THEN 'birth_date=~;document_family=passport;document_number=P' || k || ';holder_name=Ana Soto;mrz_line_1=L1;sex=F' WHEN 2 THEN 'address=calle 1;birth_date=~;document_family=driver_license;document_number=D' || k || ';holder_name=Luz;mrz_line_1=~;sex=~'
+ ELSE 'birth_date=1990-01-01;document_family=identity;document_number=~;holder_name=~;mrz_line_1=~;sex=M' END AS fields FROM x""")
+def golden_json(spark, d):
+    k, s = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    v = lambda x: F.struct(x.alias("value"))
+    listed = F.to_json(F.struct(F.when(k % 3 == 0, "passport").alias("family"), F.struct(s.alias("amount"), F.lit(None).cast("string").alias("rut")).alias("expected_fields")), {"ignoreNullFields": "false"})
+    passport = F.to_json(F.struct(F.struct(v(F.concat(F.lit("P"), s)).alias("document_number"), v(F.lit("Ana")).alias("given_names"), v(F.lit("Soto")).alias("surnames"), v(F.lit("F")).alias("sex"), F.struct(F.struct(v(F.lit("L1")).alias("line_1")).alias("fields")).alias("mrz")).alias("fields")))
+    licence = F.to_json(F.struct(F.struct(v(F.concat(F.lit("D"), s)).alias("document_id"), v(F.lit("Luz")).alias("first_name"), F.struct(F.struct(v(F.lit("calle 1")).alias("street")).alias("fields")).alias("address")).alias("fields")))
+    card = F.lit('{"fields": {"date_of_birth": {"value": "1990-01-01"}, "sex": {"value": "M"}, "document_id": "no object"}}')
+    text = F.when(k % 4 == 0, listed).when(k % 4 == 1, passport).when(k % 4 == 2, licence).otherwise(card)
+    rows = load(spark, d, "orders").select(k.alias("id"), golden_fields(text).alias("f"))
+    keys = F.when(F.col("id") % 4 == 0, F.array(*map(F.lit, ("amount", "document_family", "rut")))).when(F.col("id") % 4 == 2, F.array(*map(F.lit, ("address", "birth_date", "document_family", "document_number", "holder_name", "mrz_line_1", "sex")))).otherwise(F.array(*map(F.lit, ("birth_date", "document_family", "document_number", "holder_name", "mrz_line_1", "sex"))))
+    return rows.select("id", F.array_join(F.transform(keys, lambda c: F.concat(c, F.lit("="), F.coalesce(F.try_element_at("f", c), F.lit("~")))), ";").alias("fields"))

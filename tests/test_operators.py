@@ -309,3 +309,64 @@ def test_missing_values(spark):
     assert says(text.is_missing) == [True, True, False, False, False]
     assert says(text.is_missing, text.MISSING_IN_RULES) == [True, True, True, False, False]
     assert says(text.is_missing_in_pages) == [True, False, True, True, False]
+
+
+def test_pages_of_a_document(spark):
+    """The front of an identity stands for it; a page that says little is taken with what the surest one says; both sides make one."""
+    from docloom.operators import pages
+
+    front, back = "REPUBLICA DE CHILE CEDULA DE IDENTIDAD RUN NOMBRES APELLIDOS REGISTRO CIVIL E IDENTIFICACION", "NACIO EN DOMICILIO COMUNA PROFESION CIRCUNSCRIPCION HUELLA INCHL"
+    rows = [(1, 1, back), (1, 2, front), (2, 1, "FACTURA"), (2, 2, " \n"), (3, 1, "PASAPORTE PASSPORT"), (3, 2, "algo"), (4, 1, None)]
+    got = {r.doc_id: r for r in pages.analyze(spark.createDataFrame(rows, "doc_id long, page int, text string"), F.lit("auto"), F.lit("XX")).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert (got[1].page, got[1].pack_id, got[1].side, got[1].both_sides, got[1].pages) == (2, "identity-cl-front", "front+back", True, 2)
+    assert (got[2].pages, got[2].pack_id, got[2].supported, got[2].both_sides) == (1, "invoice-generic", False, False)
+    assert (got[3].page, got[3].pack_id, got[3].pages) == (1, "passport-generic", 2)
+
+
+def test_base_packs(spark):
+    from docloom.functions.packs import base_pack
+
+    assert [one(spark, base_pack(F.lit(x).cast("string"))) for x in ("identity-cl-front", "identity-cl-front-back", "x", "", None)] == ["identity-cl", "identity-cl-front", "x", None, None]
+
+
+def test_files_and_rules(spark, tmp_path):
+    from docloom.sources import files
+
+    for name in ("a.PDF", "b.txt", "_skip.pdf", "sub/c.png"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    got = files.files(spark, str(tmp_path / "in"), suffixes=(".pdf", ".png"), without="_skip")
+    assert [r.path.rsplit("/", 1)[1] for r in got.collect()] == ["a.PDF", "c.png"]
+    assert files.files(spark, str(tmp_path / "in"), limit=1).count() == 1
+    registry = spark.createDataFrame([("demo", None, 0), ("demo", "/m.jsonl", 1)], "name string, manifest string, place int")
+    assert files.manifest_path(spark, "demo", registry) == "/m.jsonl" and files.manifest_path(spark, str(tmp_path), registry) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        files.manifest_path(spark, "other", registry)
+    rules = lambda text: [tuple(r) for r in files.rule_table(spark, text, "family string, auto double", default=[{"family": "d"}]).orderBy("priority").collect()]
+    assert rules('{"rules": [{"family": "a", "auto": 0.9}, {"auto": 0.5}]}') == [(0, "a", 0.9), (1, None, 0.5)]
+    assert rules("{broken") == rules(None) == rules("[1]") == rules('{"rules": 3}') == [(0, "d", None)]
+    (tmp_path / "audit.json").write_text('[{"id": "1", "action": "a.b", "payload": {"x": [1]}, "createdAt": "2024-01-02T03:04:05Z"}, {"id": "2"}]')
+    log = files.audit_log(spark, str(tmp_path / "audit.json")).orderBy("id").collect()
+    assert log[0].payload == '{"x": [1]}' or log[0].payload == '{"x":[1]}'
+    assert str(log[0].created_at) == "2024-01-02 03:04:05" and log[1].action is None
+
+
+def test_manifest_and_exports(spark, tmp_path):
+    from docloom.sources import files
+
+    (tmp_path / "m.jsonl").write_text('{"filename": "a", "split": "test", "expected_fields": {"x": "1"}}\n\n{"filename": "b"}\n')
+    rows = files.manifest(spark, str(tmp_path / "m.jsonl")).orderBy("filename").collect()
+    assert [(r.filename, r.split, r.expected_fields) for r in rows] == [("a", "test", {"x": "1"}), ("b", None, None)]
+    out = spark.createDataFrame([("f", ["a", "b"], 'q"x'), ("g", None, "p,q")], "file string, issue_types array<string>, note string").coalesce(1)
+    files.write_csv(out, str(tmp_path / "csv"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part*")))
+    assert text == 'file,issue_types,note\nf,a|b,"q""x"\ng,,"p,q"\n'
+    files.write_jsonl(out, str(tmp_path / "jsonl"))
+    assert "".join(p.read_text() for p in (tmp_path / "jsonl").glob("part*")).splitlines()[1] == '{"file":"g","issue_types":null,"note":"p,q"}'
+    files.write_lines(spark.createDataFrame([(2, "b"), (1, "a")], "place int, line string"), str(tmp_path / "lines"), "place")
+    assert "".join(p.read_text() for p in (tmp_path / "lines").glob("part*")) == "a\nb\n"
+    files.append_snapshot(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "snap"), "cost.day", "2024-01-01 00:00:00")
+    files.append_snapshot(spark.createDataFrame([(2, None)], "n int, s string"), str(tmp_path / "snap"), "cost.day", "2024-01-02 00:00:00")
+    back = spark.read.parquet(str(tmp_path / "snap")).orderBy("created_at").collect()
+    assert [(r.action, r.payload) for r in back] == [("cost.day", '{"n":1,"s":"x"}'), ("cost.day", '{"n":2}')]
