@@ -109,7 +109,7 @@ _FRONT = ("RUN 12.345.678-5", "12.345.678-5", "A12345678", "nada", "")
 _BACK = ("rut 12345678-5 x", "Documento 9.999.999-9", "A12.345.678", "", "nada")
 # what each of these says by itself, in order
 _FRONT_IDS = (["12345678-5", "RUN12345678-5"], ["12345678-5"], ["A12345678"], ["NADA"], [])
-_BACK_IDS = (["12345678-5", "RUT12345678-5X"], ["9.999.999-9", "DOCUMENTO9999999-9"], ["A12345678"], [], ["NADA"])
+_BACK_IDS = (["12345678-5", "RUT12345678-5X"], ["9.999.999-9", "D99999999"], ["A12345678"], [], ["NADA"])
 _ids = lambda lists: "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in r) + "]::VARCHAR[]" for r in lists) + "]"
 
 
