@@ -144,7 +144,7 @@ def turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
             _leaf(over, conv, path, sizes)
             yield batch(1, **over)
 
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, TURNS)
+    return dealt.select("conv_id", "role", "text").mapInArrow(ta.lean(run), TURNS)
 
 
 def _leaf(over: dict[str, list], conv: int | None, path: bytearray, sizes: list[int]) -> None:
@@ -311,7 +311,7 @@ def _each(nodes: DataFrame, leaves: DataFrame, tokenizer: str, of, schema: str)
 
     known = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     kinds = [known[x.strip().split()[1]] for x in schema.split(",")]
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(ta.lean(run), schema)
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:

@@ -76,7 +76,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
                     key, n = counted(np.concatenate(p))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(ta.signed(key)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    counts = docs.select("text", "lang").where("lang is not null").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("text", "lang").where("lang is not null").mapInArrow(ta.lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     out: dict[str, list[int]] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").toLocalIterator():
@@ -128,4 +128,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
                 scores.append(float(np.clip(1 - d[order[0]] / nxt, 0, 1)) if nxt > 0 else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(run), "doc_id long, lang_pred string, score double")

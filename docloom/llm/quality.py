@@ -158,7 +158,7 @@ def references(docs: DataFrame, common: dict[str, str] | None = None, text: str
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(slot)), pa.array(slot, pa.int32()), pa.array(t[slot], pa.int64())], ["lang", "slot", "n"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
-    return rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(ta.lean(run), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
 #: More languages than any register has; beyond it the references aren't shipped to executors.
@@ -214,7 +214,7 @@ def assess(docs: DataFrame, common: dict[str, str] | None = None, text: str = "t
     rest_of = [c for c in docs.columns if c not in ADDED]
     kinds = [f"`{c}` {t}" for c, t in docs.dtypes if c not in ADDED]
     kinds += [f"{c} long" for c in ADDED[:5]] + ["base_failed boolean", "class_distance double", "word_distance double", "kept boolean"]
-    return docs.select(*(f"`{c}`" for c in rest_of)).mapInArrow(run, ", ".join(kinds))
+    return docs.select(*(f"`{c}`" for c in rest_of)).mapInArrow(ta.lean(run), ", ".join(kinds))
 
 
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,46 +57,49 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
 
 
-#: Nodes a task holds while it contracts its own edges.
-HELD_NODES = 200_000
+#: Edges a task contracts at a time.
+HELD_EDGES = 200_000
 
 
-def _contract(batches):
-    """Edges of the task in place of chains among them: every node straight to the least one met."""
-    import pandas as pd
-
-    up: dict[int, int] = {}
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges in place of edges (a, b): every node straight to the least one that they lead to, HELD_EDGES at a time."""
+    out: list[tuple[int, int]] = []
+    for k in range(0, len(a), HELD_EDGES):
+        up: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
+        def find(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
 
-    def stars():
-        rows = [(v, find(v)) for v in up]
-        return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["v", "u"], dtype="int64")
-
-    for b in batches:
-        for v, u in zip(b["v"].tolist(), b["u"].tolist(), strict=True):
-            x, y = find(up.setdefault(v, v) if v not in up else v), find(up.setdefault(u, u) if u not in up else u)
+        for v, u in zip(a[k : k + HELD_EDGES].tolist(), b[k : k + HELD_EDGES].tolist(), strict=True):
+            x, y = find(v), find(u)
             if x != y:
                 up[max(x, y)] = min(x, y)
-        if len(up) > HELD_NODES:
-            yield stars()
-            up = {}
-    yield stars()
+        out += [(v, r) for v in up if (r := find(v)) != v]
+    both = np.array(out, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _contract(batches):
+    import pandas as pd
+
+    for f in batches:
+        v, u = stars(f["v"].to_numpy(), f["u"].to_numpy())
+        yield pd.DataFrame({"v": v, "u": u})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """(id, component): the least id reachable over edges (a, b), for every id on an edge.
 
-    Each task first contracts the edges it has, so a hub arrives once from each.
+    Each task first contracts the edges it has, so a hub arrives once from each;
+    ``contracted`` says that whoever made them has done so.
     Then rounds of large-star and small-star steps, each an aggregation and a
     join on a node; rounds grow with the logarithm of the longest chain. Lineage
     is cut in shared storage.
     """
     pairs = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u")
-    pairs = settle(pairs.mapInPandas(_contract, "v long, u long").distinct())
+    pairs = settle((pairs if contracted else pairs.mapInPandas(_contract, "v long, u long")).distinct())
     state = F.struct(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))), F.lit(0))).alias("s")
     before = pairs.agg(state).first()["s"]
     while before[0]:

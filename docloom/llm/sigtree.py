@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import components, sent, settle
+from .shared import components, sent, settle, stars
 
 FANOUT = 8
 
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
                 cols = [[len(s) for s in sets], [f[0] for f in prints], [f[1] for f in prints]]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(run), "doc_id long, n_shingles long, f1 long, f2 long")
 
 
 #: Text whose pieces a task sums up before they are shuffled.
@@ -122,12 +122,24 @@ BUCKET_SHINGLES = 3_000_000
 
 
 def shared_pieces(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between doc_ids that share a piece: each with the least one; an edge may come more than once.
+    """Contracted edges (a, b) between documents (id, text) that share a piece; see ``_ties``."""
 
-    A task gives each piece once for all the rows it combines, and edges between
-    those; equal sets among them give theirs once. So a piece that a large group
-    shares reaches the shuffle a few times. Pieces are shuffled in runs, a row for
-    each bucket of their hashes, with the document named once a run.
+    def keys(part: pa.RecordBatch, seen: set) -> Iterator[tuple[int, np.ndarray]]:
+        for i, s in zip(part.column(0).to_pylist(), shingle_sets(ta.column(part, "text"), n), strict=True):
+            if len(s) and (f := fingerprint(s)) not in seen:  # equal sets of a task give theirs once
+                seen.add(f)
+                yield i, pieces(s, percent)
+
+    return _ties(docs.select("id", "text").where("id is not null"), keys, buckets)
+
+
+def _ties(rows: DataFrame, keys, buckets: int) -> DataFrame:
+    """Edges (a, b) between rows (id, text, ...) that lead wherever shared keys lead, contracted in each bucket of keys; an edge may come more than once.
+
+    keys(part, seen) gives ids and their keys for a slice of rows. A task gives each
+    key once for all the rows it combines, and edges between those; so a key that
+    a large group shares reaches the shuffle a few times. Keys are shuffled in
+    runs, a row for each bucket of them, with the id named once a run.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,16 +147,14 @@ def shared_pieces(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFr
             for b in ta.slices(whole, "text", COMBINED_BYTES):
                 seen, of, ids = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for part in ta.slices(b, "text"):
-                    for i, s in zip(part.column(0).to_pylist(), shingle_sets(ta.column(part, "text"), n), strict=True):
-                        if len(s) and (f := fingerprint(s)) not in seen:
-                            seen.add(f)
-                            of.append(pieces(s, percent))
-                            ids.append(np.full(len(of[-1]), i, np.int64))
+                    for i, k in keys(part, seen):
+                        of.append(k)
+                        ids.append(np.full(len(k), i, np.int64))
                 p, i = np.concatenate(of), np.concatenate(ids)
                 least, new, order = _least(p, i)
                 a, c = least[~new], i[order][~new]
                 edges = np.unique(np.stack([a[a != c], c[a != c]], 1), axis=0)
-                # an edge is a piece of its own, which its two ends share
+                # an edge is a key of its own, which its two ends share
                 tie = ta.mix(ta.mix(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
                 p, i = np.concatenate([p[order][new], tie, tie]), np.concatenate([i[order][new], edges[:, 0], edges[:, 1]])
                 bucket = (p % np.uint64(buckets)).astype(np.int64)
@@ -154,18 +164,18 @@ def shared_pieces(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFr
                 run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(i, prepend=0) != 0))
                 in_row = pa.array(np.append(np.searchsorted(run, row), len(run)).astype(np.int32))
                 cols = [pa.array(bucket[row]), pa.ListArray.from_arrays(in_row, pa.array(i[run])), pa.ListArray.from_arrays(in_row, pa.array(np.diff(np.append(run, len(i))).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(np.append(row, len(p)).astype(np.int32)), pa.array(ta.signed(p)))], ["bucket", "ids", "many", "pieces"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(np.append(row, len(p)).astype(np.int32)), pa.array(ta.signed(p)))], ["bucket", "ids", "many", "keys"])
 
     def meet(bucket: pa.Table) -> pa.Table:
-        flat = [np.concatenate([c.flatten().to_numpy() for c in bucket.column(k).chunks]) for k in ("ids", "many", "pieces")]
+        flat = [np.concatenate([c.flatten().to_numpy() for c in bucket.column(k).chunks]) for k in ("ids", "many", "keys")]
         i = np.repeat(flat[0], flat[1])
         least, _, order = _least(flat[2].view(np.uint64), i)
-        edges = np.unique(np.stack([least, i[order]], 1)[least != i[order]], axis=0)
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+        edges = np.unique(np.stack([i[order], least], 1)[least != i[order]], axis=0)
+        a, b = stars(edges[:, 0], edges[:, 1])
+        ta.release()
+        return pa.table({"a": a, "b": b})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    cut_up = rows.mapInArrow(cut, "bucket long, ids array<long>, many array<int>, pieces array<long>")
-    return cut_up.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return rows.mapInArrow(ta.lean(cut), "bucket long, ids array<long>, many array<int>, keys array<long>").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def _least(key: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,33 +187,45 @@ def _least(key: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return i[order][np.flatnonzero(new)][np.cumsum(new) - 1], new, order
 
 
-def split_cells(members: DataFrame, n: int, percent: int) -> DataFrame:
+#: Shingles, at most, that are known to be frequent. They only set an order: any number gives the same links.
+FREQUENT = 1_000_000
+#: Members near each other in a cell that have a shingle, for it to be counted.
+OFTEN = 4
+
+
+def split_cells(members: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(id, cell) of members (cell, id, text): smaller cells, by shingles in order of how many members have them.
 
-    Of two linked sets, the rarest shingle of their overlap is among the rarest
-    len - ceil(percent * len / 100) + 1 of either. So members tied by a passage
-    that many have, but by no rarer shingle, part. Members without a partner drop out.
+    In any one order of all shingles, two linked sets share one of the first
+    len - ceil(percent * len / 100) + 1 of either. The order puts frequent ones
+    last, so members tied by a passage that many have, but by no rarer shingle,
+    part; those without a partner drop out. Frequent are those that members of
+    a cell who stand together in a task often have, the most frequent FREQUENT of them.
     """
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in ta.slices(whole, "text"):
-                sets = shingle_sets(ta.column(b, "text"), n)
-                size = np.array([len(s) for s in sets], np.int64)
-                one = np.array([fingerprint(s)[0] for s in sets], np.int64)
-                row = np.repeat(np.arange(len(sets)), size)
-                cols = [b.column(k).to_numpy()[row] for k in (0, 1)] + [one[row], size[row], ta.signed(np.concatenate([np.zeros(0, np.uint64), *sets]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "id", "set", "size", "h"])
-
-    rows = members.select("cell", "id", "text").mapInArrow(shingles, "cell long, id long, set long, size long, h long")
-    often = rows.groupBy("cell", "h").agg(F.count("*").alias("df")).where("df > 1")
-    # those that a member has alone come first and tie it to none
-    rarest = F.expr(f"size - (({percent} * size + 99) div 100) + 1 - (size - size(r))")
-    shared = rows.join(often, ["cell", "h"]).groupBy("cell", "id", "set", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
-    first = shared.withColumn("m", rarest.cast("int")).where("m > 0").select("cell", "id", F.explode(F.slice("r", F.lit(1), F.col("m"))["h"]).alias("h"))
-    first = settle(first.distinct())
-    least = first.groupBy("cell", "h").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return components(first.join(least, ["cell", "h"]).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "cell")
+            for b in ta.slices(whole, "text", COMBINED_BYTES):
+                sets = [s for part in ta.slices(b, "text") for s in shingle_sets(ta.column(part, "text"), n)]
+                h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ta.signed(h[c >= OFTEN])), pa.array(c[c >= OFTEN])], ["h", "c"])
+
+    near = members.select("cell", "id", "text").repartitionByRange("cell", "id")
+    most = near.mapInArrow(ta.lean(counted), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    h, c = (most.column(k).to_numpy() for k in ("h", "c"))
+    order = np.argsort(h.view(np.uint64))
+    known = members.sparkSession.sparkContext.broadcast((np.append(h.view(np.uint64)[order], ~np.uint64(0)), np.append(c[order], 0)))
+
+    def keys(part: pa.RecordBatch, seen: set) -> Iterator[tuple[int, np.ndarray]]:
+        frequent, times = known.value
+        for i, cell, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(ta.column(part, "text"), n), strict=True):
+            if len(s):
+                at = np.searchsorted(frequent, s)
+                count = np.where(frequent[at] == s, times[at], 0)
+                first = np.lexsort((s, count))[: len(s) - -(-percent * len(s) // 100) + 1]
+                yield i, ta.mix(s[first] + ta.mix(np.array([cell], np.int64).view(np.uint64)))
+
+    return components(_ties(members.select("id", "text", "cell"), keys, buckets), contracted=True).withColumnRenamed("component", "cell")
 
 
 class SignatureTree:
@@ -345,6 +367,8 @@ def _join_blocks(place: DataFrame, texts: DataFrame, n: int, percent: int, insid
         if len(one) and len(two):
             links += tree_join(sets, one, two, groups, percent)
         ids = block["id"].tolist()
+        del block, sets
+        ta.release()
         return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in links], dtype="int64"), "b": pd.Series([ids[y] for _, y in links], dtype="int64")})
 
     return texts.join(sent(settle(place)), "id").groupBy("block").applyInPandas(run, "a long, b long")
@@ -361,6 +385,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     ``cell_shingles`` bounds what a task holds; a longer document is alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.withColumnRenamed("doc_id", "id")
     seen = settle(scan(docs, n))
     # equal sets are one node, under their least doc_id
     own = seen.where("n_shingles > 0 and doc_id is not null")
@@ -368,18 +393,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     by_set = settle(own.join(nodes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "id").distinct())
     nodes = by_set.select("id", "n_shingles").distinct()
     # documents that stand for no set of their own need no pieces
-    copies = settle(by_set.select("doc_id").distinct().join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
-    buckets = 1 + (nodes.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
-    near = components(shared_pieces(docs.join(sent(copies), "doc_id", "left_anti"), n, percent, buckets)).withColumnRenamed("component", "cell")
+    copies = settle(by_set.select(F.col("doc_id").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti"))
+    buckets = lambda sized: 1 + (sized.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
+    near = components(shared_pieces(texts.join(sent(copies), "id", "left_anti"), n, percent, buckets(nodes)), contracted=True).withColumnRenamed("component", "cell")
     members = settle(nodes.join(near, "id"))
     # the text of each member, once; a doc_id with several texts has several nodes
-    texts = docs.withColumnRenamed("doc_id", "id").join(sent(members.select("id").distinct()), "id", "left_semi")
+    texts = texts.join(sent(settle(members.select("id").distinct())), "id", "left_semi")
     texts = settle(texts.dropDuplicates(["id", "text"]))
     cells = _sized(members, percent, cell_shingles)
     if cells.where("k > 1").limit(1).count():
-        large = texts.join(sent(cells.where("k > 1").select("cell", "id").distinct()), "id")
-        parted = split_cells(large, n, percent)
-        parted = cells.where("k > 1").select("id", "n_shingles").join(parted, "id").union(cells.where("k = 1").select("id", "n_shingles", "cell"))
+        split = cells.where("k > 1")
+        large = texts.join(sent(settle(split.select("cell", "id").distinct())), "id")
+        parted = split_cells(large, n, percent, buckets(split))
+        parted = split.select("id", "n_shingles").join(parted, "id").union(cells.where("k = 1").select("id", "n_shingles", "cell"))
         cells = _sized(parted, percent, cell_shingles)
     # a cell of several blocks is dealt by size class, and a class by hash
     part = F.when(F.col("k") > 1, F.col("cls") * CLASS_STEP + F.pmod(F.xxhash64("id", F.lit(1)), "kc")).otherwise(F.lit(0))

@@ -43,7 +43,7 @@ _inv = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = 1 << max(21, (n - 1).bit_length())
+        size = 1 + (1 << max(20, (n - 2).bit_length()))
         a = np.full(size, _BASE, np.uint64)
         b = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         a[0] = b[0] = 1
@@ -66,6 +66,9 @@ class Spans:
 
 def release() -> None:
     """Gives what this worker no longer uses back to the system: workers wait for other tasks with what they have once taken."""
+    global _pow, _inv
+    if len(_pow) > 1 << 21:  # a very long row was there
+        _pow = _inv = np.ones(1, np.uint64)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL(None).malloc_trim(0)

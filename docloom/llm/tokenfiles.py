@@ -46,7 +46,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.mapInArrow(ta.lean(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, encoding: str = "delta", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 5000) -> None:
@@ -98,4 +98,4 @@ def digests(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], ["part", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    return rows.select("part", "row", "doc_id", "n_tokens", "ids").mapInArrow(run, "part long, row long, doc_id long, n_tokens long, ids_crc32 long")
+    return rows.select("part", "row", "doc_id", "n_tokens", "ids").mapInArrow(ta.lean(run), "part long, row long, doc_id long, n_tokens long, ids_crc32 long")
