@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sent, settle
+
 BLANKS = " \t\r"
 #: Sketch size: 2**12 registers, a standard error of 1.6 %.
 LG_K = 12
@@ -40,28 +42,33 @@ def widespread(docs: DataFrame, min_sites: int = 10, site: str = "source") -> Da
     """(h1, h2): hashes of lines that min_sites distinct sites or more carry."""
     lines = _lines(docs.select(F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit(""))).alias("site"), "text"), "site").drop("pos")
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    sites = sketched.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = max(1.0, MARGIN * min_sites)
+    # lines of few sites, nearly all there are, end here
+    sites = settle(sketched.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - slack))
     clear = sites.where(F.col("sites") > min_sites + slack).select("h1", "h2")
-    near = sites.where(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h1", "h2")
-    pairs = lines.join(near, ["h1", "h2"], "left_semi").distinct()
+    near = sites.where(F.col("sites") <= min_sites + slack).select("h1", "h2")
+    pairs = lines.join(sent(near), ["h1", "h2"], "left_semi").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("h1", "h2")
     return clear.union(exact)
 
 
 def remove_widespread(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
-    """docs with text without widespread lines but their first occurrence, and n_lines, n_removed."""
+    """docs with text without widespread lines but their first occurrence, and n_lines, n_removed.
+
+    Columns of these two names are replaced. Of an empty table nothing is left.
+    """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.xxhash64("text").alias("__text"))
     lines = _lines(rows.select("doc_id", "__text", "text"), "doc_id", "__text")
-    hits = lines.join(widespread(docs, min_sites, site), ["h1", "h2"])
+    # widespread lines are few: where their number allows it, no other line is shuffled, and a hot one lands in no one task
+    hits = lines.join(sent(settle(widespread(docs, min_sites, site))), ["h1", "h2"])
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__text", "pos")
-    first = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    gone = hits.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    first = settle(hits.groupBy("h1", "h2").agg(F.min(place).alias("first")))
+    gone = hits.join(sent(first), ["h1", "h2"]).where(place != F.col("first"))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__gone")).agg(F.collect_set("pos").alias("__drop"))
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__text"] == gone["__gone"]), "left")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("__drop", i))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drop")
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     counts = [F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_removed")]
     return both.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest), *counts)

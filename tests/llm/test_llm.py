@@ -98,6 +98,73 @@ def test_quality_without_language(spark):
     assert got[302].word_distance > 0 and all(got[i].word_distance > got[200].word_distance for i in (300, 301))
 
 
+CLASS_OF = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\t\x0b\x0c ", "\n\r", ".,;:!?-", "'\"()[]"]
+
+
+def class_of(c):
+    """Latin letters of U+00C0 to U+00FF count with the small or the capital ones, other characters outside ASCII as another script's."""
+    for k, chars in enumerate(CLASS_OF):
+        if c in chars:
+            return k
+    if "\u00c0" <= c <= "\u00ff":
+        return 0 if c >= "\u00df" else 1
+    return 7 if c < "\x80" else 8
+
+
+def js_model(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0)
+    return math.sqrt(max(0, kl(p) / 2 + kl(q) / 2))
+
+
+def test_quality_distances_against_a_model(spark, rows):
+    """Both distances, and the verdict, from the definitions: counts over all documents of a language, and the closest language without one."""
+    rnd = random.Random(13)
+    texts = [t for _, t in rows if t and len(t.split()) < 3000]
+    lists = {"en": "the of and to", "de": "der die und in", "xx": "zz yy"}
+    prose = lambda k: " ".join(rnd.choice(lists[k].split() + ["Wort", "été", "x9,", "(So)", "ж"]) + rnd.choice(["", ".", "!"]) for _ in range(rnd.choice([10, 60, 200, 400])))
+    docs = [(i, prose(k) + rnd.choice(["", "\n" + rnd.choice(texts)]), k) for i, k in enumerate(["en", "de", "xx"] * 25)]
+    docs += [(100 + i, t, rnd.choice([None, "fr", "en"])) for i, t in enumerate(texts[:40])] + [(200, None, "en"), (201, "", None), (202, "7 # 8", "de")]
+    common = {k: v for k, v in lists.items() if k != "xx"}
+    every = sorted({w for v in common.values() for w in v.split()})
+    bare = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    words = lambda t: [w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w for w in map(bare, re.findall(r"[^\x20\x09-\x0D]+", t or ""))]
+
+    def made(t):
+        classes, counts = [0] * 9, collections.Counter(words(t))
+        for c in t or "":
+            classes[class_of(c)] += 1
+        return len(words(t)), classes, [counts[w] for w in every]
+
+    total = {}
+    for _, t, k in docs:
+        if k:
+            n, c, w = made(t)
+            a = total.setdefault(k, [0, [0] * 9, [0] * len(every)])
+            total[k] = [a[0] + n, [x + y for x, y in zip(a[1], c)], [x + y for x, y in zip(a[2], w)]]
+    refs = {k: v for k, v in total.items() if v[0] >= 1000}
+    assert set(refs) == {"en", "de", "xx"}
+
+    def apart(n, w, k):
+        mine = [j for j, x in enumerate(every) if k not in common or x in common[k].split()]
+        pick = lambda size, v: [v[j] for j in mine] + [size - sum(v[j] for j in mine)]
+        return js_model(pick(n, w), pick(refs[k][0], refs[k][2]))
+
+    got = {r.doc_id: r for r in quality.assess(table(spark, docs, "doc_id long, text string, lang string"), common).collect()}
+    for i, t, k in docs:
+        n, c, w = made(t)
+        cd = js_model(c, refs[k][1]) if k in refs else min(js_model(c, v[1]) for v in refs.values())
+        wd = apart(n, w, k) if k in refs else min(apart(n, w, x) for x in refs)
+        cd, wd = cd if sum(c) >= 200 else 0.0, wd if n >= 50 else 0.0
+        assert got[i].class_distance == pytest.approx(cd, abs=1e-6) and got[i].word_distance == pytest.approx(wd, abs=1e-6), (i, t)
+        q = quality_model(t)
+        failed = q[0] < 50 or 100 * q[4] > 50 * q[0]
+        assert got[i].kept == (not failed and cd <= 0.3 and wd <= 0.1 + 2 / math.sqrt(max(n, 1)))
+
+
 def test_quality_of_nothing(spark):
     assert quality.assess(table(spark, [], "doc_id long, text string, lang string")).count() == 0
 
@@ -122,6 +189,37 @@ def test_line_threshold_is_exact(spark, sites):
     assert linededup.widespread(df, 10).count() == (sites >= 10)
 
 
+def lines_model(rows, sites):
+    """(n_lines, n_removed, text) of each row; rows of one id and text are one document, and no id has two texts here."""
+    bare = lambda x: x.strip(" \t\r")
+    docs = {(i is None, i or 0, t): set() for i, t, _ in rows if t is not None}
+    on, places = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t, site in rows:
+        for k, line in enumerate((t or "").split("\n") if t is not None else []):
+            if bare(line):
+                on[bare(line)].add(site or "")
+                places[bare(line)].add((i is None, i or 0, t, k))
+    order = lambda p: (p[0], p[1], p[2], p[3])
+    for line, where in places.items():
+        if len(on[line]) >= sites:
+            for *doc, k in sorted(where, key=order)[1:]:
+                docs[tuple(doc)].add(k)
+    return [(0, 0, None) if t is None else (len(t.split("\n")), len(g := docs[i is None, i or 0, t]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g)) for i, t, _ in rows]
+
+
+def test_lines_against_a_model(spark):
+    rnd = random.Random(4)
+    some = [f"line {k}" for k in range(12)] + ["", "  ", "\tline 1 \r", "é"]
+    rows = [(i, "\n".join(rnd.choice(some) for _ in range(rnd.randrange(7))), rnd.choice([None, *(f"s{k}" for k in range(9))])) for i in range(120)]
+    rows += rows[:6] + [(None, "line 3\nline 4\nown", "s1"), (500, None, "s1"), (501, "", None), (502, "\n".join(f"line {k % 12}" if k % 3 else f"own {k}" for k in range(20_000)), "s2")]
+    df = table(spark, [(*r, 7) for r in rows], "doc_id long, text string, source string, n_lines int")
+    key = lambda r: tuple(map(str, r))
+    for sites in (3, 7, 9):
+        got = [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in linededup.remove_widespread(df, sites).collect()]
+        assert sorted(got, key=key) == sorted(((i, *x) for (i, _, _), x in zip(rows, lines_model(rows, sites))), key=key)
+    assert linededup.remove_widespread(table(spark, [], "doc_id long, text string, source string")).count() == 0
+
+
 # decontamination
 
 
@@ -293,6 +391,16 @@ def test_token_files(spark, rows, encoding):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), crc(ids))
         start += len(ids)
     assert tokenfiles.read(spark, path, 900, 901).count() == 2
+    empty = f"{path}-none"
+    tokenfiles.write(table(spark, []), empty, PATH, encoding=encoding)
+    assert tokenfiles.read(spark, empty).count() == 0
+    # repeated rows, a null id and a column of the file's names
+    odd = f"{path}-odd"
+    tokenfiles.write(table(spark, [(3, "a b", 1), (3, "a b", 1), (None, "c", 1), (2, None, 1)], "doc_id long, text string, n_tokens int"), odd, PATH, encoding=encoding)
+    back = tokenfiles.digests(tokenfiles.read(spark, odd)).join(tokenfiles.positions(spark, odd), ["part", "row"]).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in back) == sorted((i, len(reference_ids(t)), crc(reference_ids(t))) for i, t in ((3, "a b"), (3, "a b"), (-1, "c"), (2, "")))
+    ends = sorted((r.start, r.start + r.n_tokens) for r in back)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
 
 
 def test_packing(spark, rows):
@@ -314,6 +422,17 @@ def test_packing(spark, rows):
             at += r.length
         assert at <= 64
     assert len(by_sequence) <= 1.02 * sum(r.length for r in got) / 64 + 4
+    # a hot group of one row, null ids and columns of the result's names: a place for each row all the same
+    same = [(1, "two words")] * 900 + [(None, "x")] * 50 + [(2, "long " * 3000)] * 3
+    pieces = settle(packing.cut_pieces(table(spark, same), PATH, keep_ids=False)).withColumn("offset", packing.F.lit("o")).withColumn("row", packing.F.lit(1))
+    again = packing.place(pieces, shard_pieces=200).collect()
+    spans = collections.defaultdict(list)
+    for r in again:
+        spans[r.sequence_id].append((r.offset, r.length))
+    assert len(again) == 950 + 3 * 3 and all(r.row == 1 for r in again)
+    for x in spans.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:])) and sum(x[-1]) <= 1024
     assert packing.place(settle(packing.cut_pieces(table(spark, []), PATH))).count() == 0
 
 
@@ -441,6 +560,54 @@ def test_language(spark):
     assert langid.learn(table(spark, [], "text string, lang string")) == {}
 
 
+def language_model(learned, asked, size):
+    """(lang_pred, score) by out-of-place distance of the most frequent n-grams, from the definition."""
+
+    def ranked(texts):
+        n = collections.Counter()
+        for t in texts:
+            s = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (t or "").lower())) + " "
+            s = re.sub(r" +", " ", s)
+            if s.strip():
+                n.update(s[k : k + m] for m in (1, 2, 3) for k in range(len(s) - m + 1) if s[k : k + m] != " ")
+        value = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(g))
+        return n, value
+
+    profiles = {}
+    for lang in sorted({x for _, x in learned if x}):
+        n, value = ranked([t for t, x in learned if x == lang])
+        signed = lambda g: value(g) - (1 << 64 if value(g) >> 63 else 0)
+        profiles[lang] = {g: k for k, g in enumerate(sorted(n, key=lambda g: (-n[g], signed(g)))[:size])}
+    out = []
+    for t in asked:
+        if not t or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        n, value = ranked([t])
+        own = sorted(n, key=lambda g: (-n[g], value(g)))[:size]
+        d = {k: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(own)) / len(own) / size for k, p in profiles.items()}
+        best, nxt = sorted(d.values())[:2] if len(d) > 1 else (*d.values(), 1.0)
+        out.append((min(d, key=lambda k: (d[k], k)), min(max(1 - best / nxt, 0), 1) if nxt > 0 else 0.0))
+    return out
+
+
+def test_language_against_a_model(spark):
+    rnd = random.Random(10)
+    said = {"en": "the house of the cat and a dog that was on it", "de": "das Haus der Katze und ein Hund, die für über es war", "ru": "дом кошки и собака, что была на нём", "el": "το σπίτι της γάτας και ένας σκύλος"}
+    doc = lambda k: " ".join(rnd.choice(said[k].split()) for _ in range(rnd.choice([1, 5, 40, 300]))) + rnd.choice(["", " 12!", "\n\n"])
+    learned = [(doc(k), k) for k in said for _ in range(12)]
+    learned += learned[:5] + [(None, "en"), ("", "de"), ("zzz", None)]
+    asked = [doc(k) for k in said for _ in range(10)] + ["x", "ß ẞ İ", None, "", "12 34", "the дом das", "a" * 100_000]
+    asked += asked[:3]
+    profiles = langid.learn(table(spark, [(t, x, 1) for t, x in learned], "text string, lang string, gram int"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(table(spark, [(i, t, "q") for i, t in enumerate(asked)], "doc_id long, text string, lang_pred string"), profiles).collect()}
+    want = language_model(learned, asked, langid.PROFILE)
+    for i, (lang, score) in enumerate(want):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9), (i, asked[i])
+    assert langid.identify(table(spark, []), profiles).count() == 0
+    assert [tuple(r) for r in langid.identify(table(spark, [(None, "x"), (1, None)]), {}).collect()] == [(None, "und", 0.0), (1, "und", 0.0)]
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     plain = [f"word{k}" for k in range(60)]
