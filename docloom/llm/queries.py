@@ -108,7 +108,7 @@ def oracle_sql() -> dict[str, str]:
 #: Exact distinct counts for all lines, where the operator sketches.
 OP2_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
+  SELECT doc_id, coalesce(source, '') AS source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
 ), keyed AS (
   SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines
 ), wide AS (
@@ -122,6 +122,7 @@ SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
        md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '')) AS text_md5
 FROM keyed l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
 GROUP BY l.doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 #: All pairs that share a shingle, then components by fixed-point reachability.
