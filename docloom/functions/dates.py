@@ -19,7 +19,7 @@ GLUED, LONG, PERIOD = r"^(\d{2})([A-Z]{3,5})(\d{4})$", r"(\d{1,2})\s+DE\s+([A-Z]
 
 def month_number(c: Column) -> Column:
     """Of a month's name in capitals; null if unknown."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), c)
+    return F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in MONTHS.items()) + ")"), c)
 
 
 def normalize_date(c: Column | str) -> Column:

@@ -54,7 +54,7 @@ def clean_value(c: Column | str) -> Column:
 
 
 def is_missing(c: Column | str, values: tuple[str, ...] = MISSING) -> Column:
-    return F.coalesce(F.upper(F.trim(col(c))).isin(*values), F.lit(True))
+    return F.coalesce(F.upper(F.trim(col(c))).rlike(f"^(?:{'|'.join(values)})\\z"), F.lit(True))
 
 
 def is_missing_in_pages(c: Column | str) -> Column:
