@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from . import textarrays as ta
 
-MAX_UNITS = 600_000
+MAX_UNITS = 1_000_000
 #: White space outside ASCII, in UTF-8.
 _FAR_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _MARK = np.zeros(256, bool)
