@@ -22,13 +22,13 @@ def match_tokens(values: DataFrame, tokens: DataFrame) -> DataFrame:
     An equal compact form comes first, the earliest. Else, one holding the other,
     the most confident, longest, earliest. Forms below four characters match nothing.
     """
-    v = values.select("document_id", "field", compact("value").alias("v"))
+    v = values.select("document_id", "field", compact("value").alias("v")).where(F.length("v") >= 4)
     t = tokens.select("document_id", "ord", "confidence", compact("text").alias("t")).where(F.length("t") >= 4)
-    same = F.col("t") == F.col("v")
-    hit = v.where(F.length("v") >= 4).join(t, "document_id").where(same | F.contains("v", "t") | F.contains("t", "v"))
-    key = F.struct((~same).cast("int"), F.when(same, 0.0).otherwise(-F.col("confidence")), F.when(same, 0).otherwise(-F.length("t")), "ord")
-    best = hit.groupBy("document_id", "field").agg(F.min_by("ord", key).alias("ord"))
-    return values.select("document_id", "field").join(best, ["document_id", "field"], "left")
+    # equal forms meet by hash; only values without one are held against every token of their document
+    equal = v.join(t.groupBy("document_id", F.col("t").alias("v")).agg(F.min("ord").alias("ord")), ["document_id", "v"]).groupBy("document_id", "field").agg(F.min("ord").alias("ord"))
+    rest = v.join(equal, ["document_id", "field"], "left_anti").join(t, "document_id").where(F.contains("v", "t") | F.contains("t", "v"))
+    part = rest.groupBy("document_id", "field").agg(F.min_by("ord", F.struct(-F.col("confidence"), -F.length("t"), "ord")).alias("ord"))
+    return values.select("document_id", "field").join(equal.unionByName(part), ["document_id", "field"], "left")
 
 
 def match_pairs(fields: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -39,12 +39,13 @@ def match_pairs(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     f = fields.select("document_id", "field", slugify("label").alias("fl"), slugify("field").alias("fn"), F.coalesce(compact("value"), F.lit("")).alias("fv"))
     p = pairs.select("document_id", "ord", slugify("label").alias("pl"), F.coalesce(compact("value"), F.lit("")).alias("pv"))
     holds = lambda a, b: F.contains(F.col(a), F.col(b))
-    exact = ((F.col("pl") == F.col("fl")) | (F.col("pl") == F.col("fn"))) & (holds("pv", "fv") | holds("fv", "pv"))
-    fuzzy = holds("fl", "pl") | holds("pl", "fl") | holds("fn", "pl")
-    tier = F.when(exact, 0).when(fuzzy, 1).when((F.col("fv") != "") & holds("pv", "fv"), 2)
-    hit = f.join(p, "document_id").withColumn("tier", tier).where("tier is not null")
-    best = hit.groupBy("document_id", "field").agg(F.min(F.struct("tier", "ord")).alias("best"))
-    return fields.select("document_id", "field").join(best, ["document_id", "field"], "left").select("document_id", "field", "best.tier", "best.ord")
+    # labels that are equal meet by hash; only fields without such a pair are held against every pair of their document
+    named = f.withColumn("pl", F.explode(F.array_distinct(F.array("fl", "fn")))).join(p, ["document_id", "pl"]).where(holds("pv", "fv") | holds("fv", "pv"))
+    first = named.groupBy("document_id", "field").agg(F.min("ord").alias("ord")).withColumn("tier", F.lit(0))
+    tier = F.when(holds("fl", "pl") | holds("pl", "fl") | holds("fn", "pl"), 1).when((F.col("fv") != "") & holds("pv", "fv"), 2)
+    rest = f.join(first, ["document_id", "field"], "left_anti").join(p, "document_id").withColumn("tier", tier).where("tier is not null")
+    others = rest.groupBy("document_id", "field").agg(F.min(F.struct("tier", "ord")).alias("best")).select("document_id", "field", "best.ord", "best.tier")
+    return fields.select("document_id", "field").join(first.unionByName(others), ["document_id", "field"], "left").select("document_id", "field", "tier", "ord")
 
 
 def source_files(references: DataFrame, files: DataFrame) -> DataFrame:

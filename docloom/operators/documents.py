@@ -10,6 +10,8 @@ so functions over them stay inside the row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,33 @@ def last_wins(entries: Column) -> Column:
     return let(entries, lambda e: let(F.array_distinct(e["key"]), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]))))
 
 
+# stored rows and records
+
+
+def to_record(rows: DataFrame) -> DataFrame:
+    """Columns in camel case, and an empty list or map for a null one."""
+    return _filled(rows, lambda c: re.sub(r"_+([a-z0-9])", lambda m: m[1].upper(), c))
+
+
+def to_row(records: DataFrame) -> DataFrame:
+    """Columns in snake case, and an empty list or map for a null one."""
+    return _filled(records, lambda c: re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", c).lower())
+
+
+def _filled(rows: DataFrame, name) -> DataFrame:
+    def value(c: str, kind: str) -> Column:
+        empty = {"array": F.array, "map<st": F.create_map}.get(kind[:5] if kind.startswith("array") else kind[:6])
+        return F.coalesce(F.col(f"`{c}`"), empty().cast(kind)) if empty else F.col(f"`{c}`")
+
+    return rows.select(*(value(c, kind).alias(name(c)) for c, kind in rows.dtypes))
+
+
+def with_defaults(rows: DataFrame, **defaults) -> DataFrame:
+    """Columns that are missing or null get their default: a value or a column."""
+    value = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return rows.withColumns({c: F.coalesce(F.col(c), value(v)) if c in rows.columns else value(v) for c, v in defaults.items()})
+
+
 # signals
 
 

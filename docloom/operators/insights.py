@@ -117,3 +117,49 @@ def stage_trace(events: DataFrame) -> DataFrame:
     at = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("at")))
     rows = events.groupBy("document_id", "stage").agg(at("start", F.min).alias("started_at"), at("finish", F.max).alias("finished_at"))
     return rows.withColumn("duration_ms", F.unix_millis("finished_at") - F.unix_millis("started_at"))
+
+
+# evaluations of manifest entries: (exact_match_rate, table_match_rate, global_confidence, decision) and whatever they are grouped by
+
+
+def evaluation_groups(results: DataFrame, *keys: str) -> DataFrame:
+    """(dimension, bucket, documents, means, three decision counts) for each key by itself, in one pass; a null or empty bucket is unknown."""
+    named = results.withColumns({k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit("unknown")) for k in keys if k != "decision"}).withColumn("d", F.col("decision"))
+    dimension = F.lit(None).cast("string")
+    for k in keys:
+        dimension = F.when(F.grouping(k) == 0, k).otherwise(dimension)
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4)
+    sets = named.groupingSets([[k] for k in keys], *keys).agg(
+        dimension.alias("dimension"), F.count("*").alias("documents"), mean("global_confidence").alias("average_confidence"), mean("exact_match_rate").alias("exact_match_rate"), mean("table_match_rate").alias("table_match_rate"),
+        *(F.count_if(F.col("d") == x).alias(x) for x in ("accept_with_warning", "human_review", "auto_accept")),
+    )
+    return sets.select("dimension", F.coalesce(*keys).alias("bucket"), "documents", "average_confidence", "exact_match_rate", "table_match_rate", "accept_with_warning", "human_review", "auto_accept")
+
+
+def evaluation_headline(results: DataFrame) -> DataFrame:
+    """One row: means, how far confidence lies above what was right, and the shares of decisions; all 0 without results."""
+    n = F.count("*")
+    mean = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0))
+    share = lambda *d: F.round(rate(F.count_if(F.col("decision").isin(*d)), n), 4)
+    return results.agg(
+        n.alias("documents"), F.round(mean("global_confidence"), 4).alias("average_confidence"), F.round(mean("exact_match_rate"), 4).alias("average_exact_match_rate"), F.round(mean("table_match_rate"), 4).alias("average_table_match_rate"),
+        F.round(mean("global_confidence") - mean("exact_match_rate"), 4).alias("confidence_exact_gap"), share("auto_accept", "accept_with_warning").alias("straight_through_rate"), share("human_review").alias("review_rate"), share("reject").alias("reject_rate"),
+    )
+
+
+def evaluation_json(results: DataFrame, *keys: str) -> DataFrame:
+    """(summary): the headline and the groups of each key, by bucket, as one JSON text."""
+    groups = evaluation_groups(results, *keys)
+    rows = groups.groupBy("dimension").agg(F.array_sort(F.collect_list(F.struct(*groups.columns[1:]))).alias("rows"))
+    listed = rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("by_"), "dimension").alias("k"), F.col("rows").alias("v"))))).alias("groups"))
+    return evaluation_headline(results).join(listed, F.lit(True)).select(F.to_json(F.struct("*")).alias("summary"))
+
+
+def registry_profile(entries: DataFrame, *by: str) -> DataFrame:
+    """Per dataset: entries, sorted different conditions, splits and profiles, and families and countries sorted but each as often as it comes."""
+    named = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    different = lambda c, default: F.sort_array(F.collect_set(named(c, default)))
+    return entries.groupBy(*by).agg(
+        F.count("*").alias("documents"), different("capture_condition", "unknown").alias("capture_conditions"), different("split", "unspecified").alias("splits"), different("benchmark_profile", "unspecified").alias("benchmark_profiles"),
+        F.sort_array(F.collect_list(named("family", "unknown"))).alias("families"), F.sort_array(F.collect_list(named("country", "XX"))).alias("countries"),
+    )

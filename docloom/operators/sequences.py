@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import key_value, label_like, squeezed, value_like
+from ..functions.dates import PERIOD, normalize_period
+from ..functions.evidence import all_dates
+from ..functions.identifiers import RUN, canonical_run
+from ..functions.text import clean_value, key_value, label_like, squeezed, strip_accents, value_like
 
 
 def per_key(rows: DataFrame, ordered: int, f, schema: str) -> DataFrame:
@@ -143,12 +146,56 @@ def greedy_rows(rows: DataFrame) -> DataFrame:
     return per_key(rows.select("doc_id", "ord", "side", "cells"), 2, run, "doc_id long, matched long, missing long, extra long")
 
 
+# Amounts and stored dates inside a certificate's line, and what stands behind its table.
+AMOUNT, STORED_DATE = r"\b\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{2})?\b", r"\b20\d{2}[-/]\d{2}[-/]\d{2}\b"
+FOOTERS = ("LOS CODIGOS DE COTIZACION", "CORDIALMENTE", "SERVICIO DE INFORMACION", "PUEDES OBTENER EL MISMO CERTIFICADO")
+
+
 def period_rows(lines: DataFrame) -> DataFrame:
-    """Blocks of lines that a period line (yyyy-MM ...) opens, up to the next or a footer; a running count opens them."""
+    """Rows of a certificate's table from its lines (doc_id, line_no, line): (doc_id, row, period, period_label, date, amount, renta_amount, pension_amount, code, employer, employer_rut, detail).
+
+    A line with a period opens a row, which takes the lines up to the next one or
+    a footer; a running count tells rows apart. The opening line has amounts and a
+    code, or an employer with a RUT; what it lacks comes from the lines below, in order.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    opens, ends = F.col("line").rlike(r"^\d{4}-\d{2}\b"), F.col("line").rlike("(?i)^(total|firma|footer)")
-    rows = lines.withColumn("kind", F.when(opens, 1).when(ends, 0)).withColumn("state", F.last("kind", True).over(w)).withColumn("block", F.sum(opens.cast("int")).over(w))
-    return rows.where("state = 1").groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"), F.min_by("line", "line_no").alias("period"))
+    plain = lambda c: F.upper(strip_accents(c))
+    opens = normalize_period("line").isNotNull()
+    ends = plain(F.col("line")).rlike("|".join(FOOTERS))
+    rows = lines.withColumn("opens", opens).withColumn("kind", F.when(F.col("opens"), 1).when(ends, 0)).withColumn("state", F.last("kind", True).over(w)).withColumn("row", F.sum(F.col("opens").cast("int")).over(w))
+    blocks = rows.where("state = 1").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", "row", F.col("l.line").alias("l"))
+    rut = lambda c: F.regexp_extract(c, RUN, 0)
+    first_date = lambda c: F.get(all_dates(c), F.lit(0))
+    hidden = lambda c: F.contains(plain(F.coalesce(c, F.lit(""))), F.lit("PERIODO SIN"))
+
+    head = F.col("l")[0]
+    found = F.array_distinct(F.regexp_extract_all(head, F.lit(AMOUNT), F.lit(0)))
+    zeros = F.length(head) - F.length(F.replace(head, F.lit("$0"), F.lit(""))) >= 4
+    blocks = blocks.withColumns({"amounts": F.when((F.size(found) == 0) & zeros, F.array(F.lit("0"), F.lit("0"))).otherwise(found), "label": F.regexp_extract(plain(head), PERIOD, 0), "rest": F.regexp_extract(plain(head), f"(?s)^.*?{PERIOD}(.*)$", 3)})
+    for k in (0, 1):
+        at = F.expr(f"instr(rest, get(amounts, {k}))")
+        blocks = blocks.withColumn("rest", F.when(at > 0, F.substr("rest", at + F.length(F.get("amounts", F.lit(k))))).otherwise(F.col("rest")))
+    blocks = blocks.withColumn("code", clean_value("rest"))
+    blocks = blocks.withColumns({"rut": canonical_run(rut(F.col("code"))), "date": first_date(F.col("code"))})
+    before = F.get(F.split("code", RUN, 2), F.lit(0))
+    named = clean_value(F.when(F.col("date").isNotNull(), F.replace(before, F.col("date"), F.lit(" "))).otherwise(before))
+    blocks = blocks.withColumn("named", F.when(F.col("rut").isNotNull() & ~hidden(named), named))
+
+    def step(s: Column, x: Column) -> Column:
+        bare = ~x.rlike(RUN) & ~x.rlike(STORED_DATE) & s["employer"].isNull()
+        more = bare & s["code"].isNotNull() & hidden(s["code"])
+        return F.struct(
+            F.when(bare & ~more, clean_value(x)).otherwise(s["employer"]).alias("employer"), F.when(more, clean_value(F.concat_ws(" ", s["code"], x))).otherwise(s["code"]).alias("code"),
+            F.coalesce(s["rut"], canonical_run(rut(x))).alias("rut"), F.coalesce(s["date"], first_date(x)).alias("date"),
+        )
+
+    start = F.struct(F.col("named").alias("employer"), F.when(F.col("named").isNull(), F.col("code")).alias("code"), F.col("rut").alias("rut"), F.col("date").alias("date"))
+    done = blocks.withColumn("s", F.aggregate(F.slice("l", 2, 100_000), start, step))
+    one, two = F.get("amounts", F.lit(0)), F.get("amounts", F.lit(1))
+    return done.select(
+        "doc_id", "row", normalize_period(head).alias("period"), F.col("label").alias("period_label"), F.col("s.date").alias("date"), F.coalesce(two, one).alias("amount"), one.alias("renta_amount"), two.alias("pension_amount"),
+        F.col("s.code").alias("code"), F.col("s.employer").alias("employer"), F.col("s.rut").alias("employer_rut"), clean_value(F.array_join("l", " ")).alias("detail"),
+    )
 
 
 def nearby(lines: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
@@ -157,13 +204,3 @@ def nearby(lines: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
     want = labels.select("doc_id", F.col("line_no").alias("label_no"), span).withColumn("line_no", F.col("label_no") + F.col("step"))
     hit = want.join(lines, ["doc_id", "line_no"])
     return hit.groupBy("doc_id", "label_no").agg(F.min_by("line", F.struct(F.abs("step"), -F.sign("step"))).alias("value"))
-
-
-def mapped(rows: DataFrame, f, schema: str) -> DataFrame:
-    """A normaliser engine's boundary: a function of pandas frames behind Arrow batches."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield f(frame)
-
-    return rows.mapInPandas(run, schema)

@@ -107,24 +107,39 @@ def tenant_semi_join(spark, d):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
-@query("""SELECT 'split' AS dimension, coalesce(nullif(lang, ''), 'unknown') AS bucket, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents GROUP BY 2
-UNION ALL SELECT 'source', coalesce(nullif(source, ''), 'unknown'), count(*), round(avg(n_chars), 4) FROM documents GROUP BY 2""")
+_RESULTS = """r AS (SELECT CASE WHEN l_suppkey % 7 > 0 THEN 'f' || (l_suppkey % 3) END AS family, CASE WHEN l_partkey % 5 > 0 THEN 'c' || (l_partkey % 5) ELSE '' END AS capture_condition, ['auto_accept', 'accept_with_warning', 'human_review', 'reject'][l_linenumber % 4 + 1] AS decision, 1 - l_tax * 1.037 AS conf, l_discount * 9.13 AS exact, CASE WHEN l_linenumber > 2 THEN l_tax * 7.31 END AS tabled FROM lineitem)"""
+_GROUP = """count(*) AS documents, round(avg(conf), 4) AS average_confidence, round(avg(exact), 4) AS exact_match_rate, round(avg(coalesce(tabled, 0)), 4) AS table_match_rate, count(*) FILTER (decision = 'accept_with_warning') AS accept_with_warning, count(*) FILTER (decision = 'human_review') AS human_review, count(*) FILTER (decision = 'auto_accept') AS auto_accept"""
+_HEADLINE = """count(*) AS documents, round(avg(conf), 4) AS average_confidence, round(avg(exact), 4) AS average_exact_match_rate, round(avg(coalesce(tabled, 0)), 4) AS average_table_match_rate, round(avg(conf) - avg(exact), 4) AS confidence_exact_gap, round(count(*) FILTER (decision IN ('auto_accept', 'accept_with_warning')) / count(*), 4) AS straight_through_rate, round(count(*) FILTER (decision = 'human_review') / count(*), 4) AS review_rate, round(count(*) FILTER (decision = 'reject') / count(*), 4) AS reject_rate"""
+
+
+def _results(spark, d):
+    c = F.col
+    text = lambda a, b: F.concat(F.lit(a), b.cast("string"))
+    return load(spark, d, "lineitem").select(
+        F.when(c("l_suppkey") % 7 > 0, text("f", c("l_suppkey") % 3)).alias("family"), F.when(c("l_partkey") % 5 > 0, text("c", c("l_partkey") % 5)).otherwise("").alias("capture_condition"),
+        F.element_at(F.array(*map(F.lit, ("auto_accept", "accept_with_warning", "human_review", "reject"))), (c("l_linenumber") % 4 + 1).cast("int")).alias("decision"),
+        (1 - c("l_tax") * 1.037).alias("global_confidence"), (c("l_discount") * 9.13).alias("exact_match_rate"), F.when(c("l_linenumber") > 2, c("l_tax") * 7.31).alias("table_match_rate"),
+    )
+
+
+@query(f"WITH {_RESULTS} " + " UNION ALL ".join(f"SELECT '{k}' AS dimension, coalesce(nullif({k}, ''), 'unknown') AS bucket, {_GROUP} FROM r GROUP BY 2" for k in ("family", "capture_condition", "decision")))
 def grouped_eval(spark, d):
-    docs = load(spark, d, "documents").select(*(F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")).alias(c) for c in ("lang", "source")), "n_chars")
-    sets = docs.groupingSets([["lang"], ["source"]], "lang", "source")
-    out = sets.agg(F.when(F.grouping("lang") == 0, "split").otherwise("source").alias("dimension"), F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"))
-    return out.select("dimension", F.coalesce("lang", "source").alias("bucket"), "n", "mean")
+    return N.evaluation_groups(_results(spark, d), "family", "capture_condition", "decision")
 
 
-@query("SELECT round(avg(l_discount), 6) AS mean_review, round(avg(l_tax) - avg(l_discount), 6) AS gap, round(count(*) FILTER (l_returnflag = 'N') / count(*), 6) AS stp FROM lineitem")
+@query(f"WITH {_RESULTS} SELECT {_HEADLINE} FROM r")
 def evaluation_headline(spark, d):
-    i = load(spark, d, "lineitem")
-    return i.agg(F.round(F.avg("l_discount"), 6).alias("mean_review"), F.round(F.avg("l_tax") - F.avg("l_discount"), 6).alias("gap"), F.round(F.count_if(F.col("l_returnflag") == "N") / F.count("*"), 6).alias("stp"))
+    return N.evaluation_headline(_results(spark, d))
 
 
-@query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS conditions, count(*) AS entries FROM documents GROUP BY 1")
+@query("""SELECT source, count(*) AS documents, string_agg(DISTINCT coalesce(lang, 'unknown'), ',' ORDER BY coalesce(lang, 'unknown')) AS capture_conditions, string_agg(DISTINCT CASE WHEN doc_id % 3 > 0 THEN 's' || (doc_id % 3) ELSE 'unspecified' END, ',' ORDER BY CASE WHEN doc_id % 3 > 0 THEN 's' || (doc_id % 3) ELSE 'unspecified' END) AS splits,
+ 'unspecified' AS benchmark_profiles, string_agg('f' || (doc_id % 4), ',' ORDER BY doc_id % 4) AS families, string_agg(CASE WHEN doc_id % 2 = 0 THEN 'CL' ELSE 'XX' END, ',' ORDER BY CASE WHEN doc_id % 2 = 0 THEN 'CL' ELSE 'XX' END) AS countries FROM documents GROUP BY 1""")
 def registry_profile(spark, d):
-    return load(spark, d, "documents").groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("conditions"), F.count("*").alias("entries"))
+    k = F.col("doc_id")
+    text = lambda a, b: F.concat(F.lit(a), b.cast("string"))
+    rows = load(spark, d, "documents").select("source", F.col("lang").alias("capture_condition"), F.when(k % 3 > 0, text("s", k % 3)).otherwise("").alias("split"), F.lit(None).cast("string").alias("benchmark_profile"), text("f", k % 4).alias("family"), F.when(k % 2 == 0, "CL").alias("country"))
+    out = N.registry_profile(rows, "source")
+    return out.withColumns({c: F.array_join(c, ",") for c in out.columns if c not in ("source", "documents")})
 
 
 @query("SELECT l.quality, l.toxic, count(*) AS n, round(avg(d.n_chars), 4) AS mean_chars FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2")

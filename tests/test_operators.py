@@ -370,3 +370,81 @@ def test_manifest_and_exports(spark, tmp_path):
     files.append_snapshot(spark.createDataFrame([(2, None)], "n int, s string"), str(tmp_path / "snap"), "cost.day", "2024-01-02 00:00:00")
     back = spark.read.parquet(str(tmp_path / "snap")).orderBy("created_at").collect()
     assert [(r.action, r.payload) for r in back] == [("cost.day", '{"n":1,"s":"x"}'), ("cost.day", '{"n":2}')]
+
+
+def test_certificate_rows(spark):
+    page = [
+        "Certificado", "ENE-2023 1.234.567 123.456 ABC", "Empresa Uno Ltda", "RUT 76.123.456-7 2023-02-10", "otra linea", "FEB/2023 $0 $0 PERIODO SIN", "cotización", "SEP-2023 1.000 Pan y Sal 12.345.678-5 05/10/2023", "03/11/2023", "Cordialmente", "lost", "DIC-2023 9.999.999",
+    ]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(page)] + [(2, 0, "nothing")], "doc_id long, line_no int, line string")
+    got = [tuple(r)[1:-1] for r in sequences.period_rows(lines).orderBy("row").collect()]
+    assert got == [
+        (1, "2023-01", "ENE-2023", "2023-02-10", "123.456", "1.234.567", "123.456", "ABC", "Empresa Uno Ltda", "76.123.456-7"),
+        (2, "2023-02", "FEB/2023", None, "0", "0", "0", "PERIODO SIN cotización", None, None),
+        (3, "2023-09", "SEP-2023", "2023-10-05", "1.000", "1.000", None, None, "PAN Y SAL", "12.345.678-5"),
+        (4, "2023-12", "DIC-2023", None, "9.999.999", "9.999.999", None, None, None, None),
+    ]
+    assert sequences.period_rows(lines).where("row = 2").first().detail == "FEB/2023 $0 $0 PERIODO SIN cotización"
+
+
+def test_neighbours(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["2024-01 a", "b", "TOTAL 3", "c", "2024-02 d", "2024-03 e", "f"])], "doc_id long, line_no int, line string")
+    labels = spark.createDataFrame([(1, 3), (1, 6), (2, 0)], "doc_id long, line_no int")
+    near = sequences.nearby(lines.where("line_no not in (2, 4)"), labels, 2)
+    assert sorted((r.label_no, r.value) for r in near.collect()) == [(3, "2024-03 e"), (6, "2024-03 e")]
+
+
+def test_work_cycles(spark, tmp_path):
+    """A micro-batch goes whole to the handler."""
+    from docloom.streaming import ledger
+
+    spark.range(7).selectExpr("id AS job_id").write.parquet(str(tmp_path / "in"))
+    seen = []
+    jobs_ = spark.readStream.schema("job_id long").parquet(str(tmp_path / "in"))
+    q = ledger.work_cycles(jobs_, lambda df, n: seen.append(sorted(r.job_id for r in df.collect())), str(tmp_path / "c"), "0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [list(range(7))]
+
+
+def test_evaluation_of_nothing_and_as_json(spark):
+    import json
+
+    from docloom.operators import insights
+
+    kinds = "family string, decision string, global_confidence double, exact_match_rate double, table_match_rate double"
+    none = insights.evaluation_headline(spark.createDataFrame([], kinds)).first()
+    assert tuple(none) == (0, 0, 0, 0, 0, 0, 0, 0)
+    rows = spark.createDataFrame([("a", "reject", 0.5, 0.25, None), (None, "auto_accept", 1.0, 1.0, 0.5)], kinds)
+    got = json.loads(insights.evaluation_json(rows, "family", "decision").first().summary)
+    assert got["documents"] == 2 and got["confidence_exact_gap"] == 0.125 and [x["bucket"] for x in got["groups"]["by_family"]] == ["a", "unknown"]
+
+
+def test_records_and_rows(spark):
+    from docloom.operators import documents
+
+    rows = spark.createDataFrame([(1, None, None, "x")], "document_id long, issue_ids array<string>, extra map<string,string>, page2_text string")
+    record = documents.to_record(rows)
+    assert record.columns == ["documentId", "issueIds", "extra", "page2Text"] and tuple(record.first()) == (1, [], {}, "x")
+    assert documents.to_row(record).columns == rows.columns
+    filled = documents.with_defaults(rows, status="uploaded", issue_ids=F.array(F.lit("a")), document_id=0).first()
+    assert (filled.status, filled.issue_ids, filled.document_id) == ("uploaded", ["a"], 1)
+
+
+RECORD = "document_id long, filename string, holder_name string, issuer string, fields array<struct<field_name:string,normalized:string,raw:string,evidence:string>>, sessions array<struct<status:string,edits:array<struct<field_name:string,previous:string,new:string>>>>, runs array<struct<engine:string,text:string,tokens:array<string>>>"
+
+
+def test_payloads(spark):
+    import json
+
+    from docloom.operators import documents
+
+    rows = [(1, "f.pdf", "Ana Perez", None, [("Run", "12.345 678-5", None, ""), ("nombre", "Ana  P", "x", "y"), ("otro", "z", None, None)], [("open", [("rut", "123", "12345678")])], [("e", "secret", ["t"])])]
+    docs = spark.createDataFrame(rows, RECORD)
+    shown = json.loads(documents.canonical_payload(docs, "2024-01-01").first().payload)
+    assert shown["id"] == 1 and shown["holder_name"] == "Ana Perez" and shown["issuer"] is None and shown["fields"][0]["normalized"] == "12.345 678-5"
+    hidden = json.loads(documents.canonical_payload(docs, "2024-01-01", redact=True).first().payload)
+    assert hidden["holder_name"] == "A*** P***" and [f["normalized"] for f in hidden["fields"]] == ["12*******-5", "A*** P***", "z"]
+    assert hidden["fields"][0]["evidence"] == "" and hidden["fields"][1]["raw"] == "x***" and hidden["sessions"][0]["edits"][0] == {"field_name": "rut", "previous": "***", "new": "12****78"}
+    run = documents.redact_record(docs).first().runs[0]
+    assert (run.text, run.tokens) == ("[REDACTED]", [])
