@@ -374,7 +374,7 @@ def test_manifest_and_exports(spark, tmp_path):
 
 def test_certificate_rows(spark):
     page = [
-        "Certificado", "ENE-2023 1.234.567 123.456 ABC", "Empresa Uno Ltda", "RUT 76.123.456-7 2023-02-10", "otra linea", "FEB/2023 $0 $0 PERIODO SIN", "cotización", "SEP-2023 1.000 Pan y Sal 12.345.678-5 05/10/2023", "03/11/2023", "Cordialmente", "lost", "DIC-2023 9.999.999",
+        "Certificado", "ENE-2023 1.234.567 123.456 ABC", "Empresa Uno Ltda", "RUT 76.123.456-7 2023-02-10", "otra linea", "FEB/2023 $0 $0 PERIODO SIN", "cotización", "SEP-2023 1.000 Pan y Sal 12345678-5 05/10/2023", "03/11/2023", "Cordialmente", "lost", "DIC-2023 9.999.999",
     ]
     lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(page)] + [(2, 0, "nothing")], "doc_id long, line_no int, line string")
     got = [tuple(r)[1:-1] for r in sequences.period_rows(lines).orderBy("row").collect()]
