@@ -93,7 +93,7 @@ def batch_summary(spark, d):
 _PLACE = "((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)"
 
 
-@query(f"""WITH p AS (SELECT l_orderkey AS document_id, {_PLACE} AS page, CASE WHEN l_quantity > 10 THEN l_quantity / 50.3 END AS quality, CASE WHEN l_partkey % 3 > 0 THEN l_discount * 3.71 END AS blur, l_tax * 4.13 AS glare, 1 - l_tax * 1.037 AS crop, 1 - l_discount * 2.9137 AS coverage, CASE l_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 90 END AS orientation, ['blur', 'tilt', 'clean'][l_partkey % 3 + 1] AS c1, l_suppkey % 2 = 0 AS two FROM lineitem),
+@query(f"""WITH p AS (SELECT l_orderkey AS document_id, {_PLACE} AS page, CASE WHEN l_quantity > 10 THEN l_quantity / 50.3117 END AS quality, CASE WHEN l_partkey % 3 > 0 THEN l_discount * 3.7119 END AS blur, l_tax * 4.13177 AS glare, 1 - l_tax * 1.03713 AS crop, 1 - l_discount * 2.91377 AS coverage, CASE l_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 90 END AS orientation, ['blur', 'tilt', 'clean'][l_partkey % 3 + 1] AS c1, l_suppkey % 2 = 0 AS two FROM lineitem),
 c AS (SELECT document_id, string_agg(c, ',' ORDER BY f) AS conditions FROM (SELECT document_id, c, min(page * 2 + n) AS f FROM (SELECT document_id, page, 0 AS n, c1 AS c FROM p UNION ALL SELECT document_id, page, 1, 'glare' FROM p WHERE two) GROUP BY 1, 2) GROUP BY 1),
 a AS (SELECT document_id, round(avg(quality), 3) AS q, round(avg(blur), 3) AS blur, round(avg(glare), 3) AS glare, round(avg(crop), 3) AS crop, round(avg(coverage), 3) AS coverage, arg_min(orientation, page) FILTER (orientation IS NOT NULL) AS orientation FROM p GROUP BY 1)
 SELECT document_id, round(greatest(0.05, least(coalesce(q, 0), 0.99)), 3)::DOUBLE AS score, blur, glare, crop, coverage, orientation, conditions, coalesce(nullif(array_to_string(list_filter([CASE WHEN coalesce(q, 0) < 0.55 THEN 'quality' END, CASE WHEN blur >= 0.3 THEN 'blur' END, CASE WHEN glare >= 0.24 THEN 'glare' END, CASE WHEN crop < 0.92 THEN 'crop' END, CASE WHEN coverage < 0.82 THEN 'coverage' END, CASE WHEN orientation <> 0 THEN 'orientation' END], lambda x: x IS NOT NULL), ','), ''), 'none') AS recommendations FROM a JOIN c USING (document_id)""")
@@ -102,7 +102,7 @@ def page_quality(spark, d):
     place = ((c("l_linenumber").cast("long") * 1000000 + c("l_partkey")) * 100000 + c("l_suppkey")) * 100 + c("l_quantity").cast("long")
     tags = F.concat(F.array(_at(("blur", "tilt", "clean"), c("l_partkey"))), F.when(c("l_suppkey") % 2 == 0, F.array(F.lit("glare"))).otherwise(F.array().cast("array<string>")))
     pages = load(spark, d, "lineitem").select(
-        c("l_orderkey").alias("document_id"), place.alias("page"), F.when(c("l_quantity") > 10, c("l_quantity") / 50.3).alias("quality"), F.when(c("l_partkey") % 3 > 0, c("l_discount") * 3.71).alias("blur"), (c("l_tax") * 4.13).alias("glare"), (1 - c("l_tax") * 1.037).alias("crop"), (1 - c("l_discount") * 2.9137).alias("coverage"),
+        c("l_orderkey").alias("document_id"), place.alias("page"), F.when(c("l_quantity") > 10, c("l_quantity") / 50.3117).alias("quality"), F.when(c("l_partkey") % 3 > 0, c("l_discount") * 3.7119).alias("blur"), (c("l_tax") * 4.13177).alias("glare"), (1 - c("l_tax") * 1.03713).alias("crop"), (1 - c("l_discount") * 2.91377).alias("coverage"),
         F.when(c("l_suppkey") % 4 == 0, 0).when(c("l_suppkey") % 4 == 1, 90).alias("orientation"), tags.alias("conditions"),
     )
     return I.page_quality(pages).withColumns({"conditions": F.array_join("conditions", ","), "recommendations": F.array_join("recommendations", ",")})

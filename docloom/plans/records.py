@@ -355,8 +355,11 @@ def page_segments(spark, d):
     return S.segments(rows).drop("mixed")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE r AS (SELECT {_TOKEN}, l_linenumber % 2 = 0 AS expected, l_partkey % 5 AS part, CASE WHEN l_quantity > 25 THEN l_returnflag ELSE '' END AS flag FROM lineitem),
+t AS (SELECT doc_id, coalesce(list({{'p': part, 'f': flag}} ORDER BY token_id) FILTER (expected), []) AS es, coalesce(list({{'p': part, 'f': flag}} ORDER BY token_id) FILTER (NOT expected), []) AS xs FROM r GROUP BY 1),
+g AS (SELECT doc_id, es, xs, 1 AS i, []::BIGINT[] AS taken FROM t UNION ALL SELECT doc_id, es, xs, i + 1, taken || list_filter(range(1, len(xs) + 1), lambda k: NOT list_contains(taken, k) AND xs[k].p = es[i].p AND (es[i].f = '' OR xs[k].f = es[i].f))[1:1] FROM g WHERE i <= len(es))
+SELECT doc_id, CAST(len(taken) AS BIGINT) AS matched, CAST(len(es) - len(taken) AS BIGINT) AS missing, CAST(len(xs) - len(taken) AS BIGINT) AS extra FROM g WHERE i = len(es) + 1""")
 def greedy_row_match(spark, d):
     i = load(spark, d, "lineitem")
     cells = F.create_map(F.lit("part"), (F.col("l_partkey") % 5).cast("string"), F.lit("flag"), F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).otherwise(""))
-    return S.greedy_rows(i.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, "expected").otherwise("actual").alias("side"), F.col("l_linenumber").alias("ord"), cells.alias("cells")))
+    return S.greedy_rows(i.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, "expected").otherwise("actual").alias("side"), _token_id().alias("ord"), cells.alias("cells")))
