@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")  # a document without an id goes by its text
     leaks = decontam.find_leaks(docs.select(key.alias("doc_id"), "text"), load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
-    return docs.select(*COLUMNS, key).join(settle(leaks), "key", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS, key).join(sent(settle(leaks)), "key", "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
