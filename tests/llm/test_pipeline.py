@@ -48,3 +48,37 @@ def test_decontamination_without_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, f"before {item} after"), (None, "clean text"), (5, item), (6, "clean text"), (None, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
     got = dict(pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, [(None, "clean text"), (6, "clean text"), (None, None)]))
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, key string, id long, cell int, n_shingles int"
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    given = spark.createDataFrame([], KINDS)
+    for name, stage in pipeline.STAGES:
+        stage(spark, given, str(tmp_path)).write.parquet(str(tmp_path / name))
+        given = spark.read.parquet(str(tmp_path / name))
+        assert given.count() == 0
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Repeated rows, nulls anywhere, one id of two texts, a very long text and columns of the operators' names."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice(["the", "of", "and"]) if rnd.random() < 0.3 else "".join(rnd.choice("aeioustrnl") for _ in range(6)) for _ in range(n))
+    a, b, c, long_ = text(90), text(90), text(90), text(40_000)
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (2, a, None, None), (3, b, "en", None), (3, c, "en", "s"), (None, b, None, "s"), (None, text(80), "en", "s"), (4, None, None, None), (5, long_, "en", "s"), (6, "", "en", "s")]
+    rows += [(10 + k, text(100), "en", "s") for k in range(12)]
+    spark.createDataFrame([(1, None), (None, ""), (2, text(12))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    given, kept = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "k", 7, 7, 7) for r in rows], KINDS), {}
+    for name, stage in pipeline.STAGES:
+        stage(spark, given, str(tmp_path)).write.parquet(str(tmp_path / name))
+        given = spark.read.parquet(str(tmp_path / name))
+        kept[name] = collections.Counter((r.doc_id, r.text) for r in given.collect()) if name != "best_fit_packing" else given.collect()
+        assert name == "best_fit_packing" or given.columns == pipeline.COLUMNS
+    assert kept["quality_rules"] == collections.Counter((i, t) for i, t, _, _ in rows if t)
+    assert kept["line_dedup"] == kept["quality_rules"]  # no line has ten sites
+    # of equal texts the least id's stays, of equal rows one; a row without an id is no document's copy
+    assert kept["near_duplicates"] == collections.Counter({(i, t): 1 for i, t, _, _ in rows if t and i != 2})
+    assert kept["decontamination"] == kept["near_duplicates"]
+    assert sum(r.length for r in kept["best_fit_packing"]) == sum(len(reference_ids(t)) * n for (_, t), n in kept["decontamination"].items())
