@@ -32,27 +32,18 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder:
-    """``ids(column)``: all ids of the rows on end, and where each row starts.
+class Units:
+    """What has been said of stretches of text so far: their ids, by 64-bit hashes of their bytes.
 
-    As the library by default, a special token's string in a text is that token;
-    with ``plain`` it is text like any other.
+    ``encode_units`` says it of new ones.
     """
 
-    def __init__(self, path: str, plain: bool = False):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = plain
-        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if not (plain and t.special)]
-        #: Rows that have any of these are encoded whole.
-        self.whole = re.compile(b"|".join([_FAR_BLANK.pattern, *map(re.escape, added)]))
-        self.model = self.tok.model
-        self.chars = _byte_chars()
-        self.single = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").fullmatch
+    def __init__(self):
         self._clear(1 << 16)
 
+    def encode_units(self, units: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
     def _clear(self, slots: int) -> None:
         self.key = np.zeros(slots, np.uint64)
         self.at = np.zeros(slots, np.int64)
@@ -96,14 +87,8 @@ class Encoder:
             slot[left] = (slot[left] + 1) & mask
         self.units += len(h)
 
-    def _encode(self, text: bytes) -> list[int]:
-        s = text.decode()
-        if self.single(s) and not self.whole.search(text):
-            return [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, text)))]
-        return self.tok.encode(s, add_special_tokens=False).ids
-
     def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
-        found = [self._encode(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        found = self.encode_units([data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         count = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((x for f in found for x in f), np.uint32, int(count.sum()))
         if self.used + len(flat) > len(self.store):
@@ -112,6 +97,57 @@ class Encoder:
         self._put(h, self.used + np.cumsum(count) - count, count)
         self.used += len(flat)
 
+    def look_up(self, buf: np.ndarray, offs: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows that start at offs, whose stretches start where cut is set, and where each row starts."""
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(buf))
+        h = ta.Spans(buf).hash(start, end)
+        h[h == 0] = 1
+        slot = self._slots(h)
+        if (new := slot < 0).any():
+            if self.units > MAX_UNITS:
+                self._clear(1 << 16)
+                new = np.ones(len(h), bool)
+            uniq, first = np.unique(h[new], return_index=True)
+            first = np.flatnonzero(new)[first]
+            self._learn(buf.tobytes(), start[first], end[first], uniq)
+            slot = self._slots(h)
+        count = self.count[slot].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(count)])
+        take = np.arange(total[-1]) + np.repeat(self.at[slot] - total[:-1], count)
+        return self.store[take], total[np.searchsorted(start, offs)]
+
+
+class Encoder(Units):
+    """``ids(column)``: all ids of the rows on end, and where each row starts.
+
+    As the library by default, a special token's string in a text is that token;
+    with ``plain`` it is text like any other.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if not (plain and t.special)]
+        #: Rows that have any of these are encoded whole.
+        self.whole = re.compile(b"|".join([_FAR_BLANK.pattern, *map(re.escape, added)]))
+        self.model = self.tok.model
+        self.chars = _byte_chars()
+        self.single = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+").fullmatch
+        super().__init__()
+
+    def _encode(self, text: bytes) -> list[int]:
+        s = text.decode()
+        if self.single(s) and not self.whole.search(text):
+            return [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, text)))]
+        return self.tok.encode(s, add_special_tokens=False).ids
+
+    def encode_units(self, units: list[bytes]) -> list[list[int]]:
+        return [self._encode(u) for u in units]
+
     def ids(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, offs = ta.raw(col)
         if not len(buf):
@@ -135,23 +171,7 @@ class Encoder:
             whole[np.searchsorted(offs, m.start(), "right") - 1] = True
         for r in np.flatnonzero(whole):
             cut[offs[r] + 1 : offs[r + 1]] = False
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(buf))
-        h = ta.Spans(buf).hash(start, end)
-        h[h == 0] = 1
-        slot = self._slots(h)
-        if (new := slot < 0).any():
-            if self.units > MAX_UNITS:
-                self._clear(1 << 16)
-                new = np.ones(len(h), bool)
-            uniq, first = np.unique(h[new], return_index=True)
-            first = np.flatnonzero(new)[first]
-            self._learn(data, start[first], end[first], uniq)
-            slot = self._slots(h)
-        count = self.count[slot].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(count)])
-        take = np.arange(total[-1]) + np.repeat(self.at[slot] - total[:-1], count)
-        return self.store[take], total[np.searchsorted(start, offs)]
+        return self.look_up(buf, offs, cut)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, linededup, packing, quality, sigtree, tokenfiles, toxicity
+from . import chat, decontam, html, langid, linededup, packing, phrases, pieces, quality, sigtree, tokenfiles, toxicity, whitening
 from .shared import checkpoint_dir, load, settle, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -87,7 +93,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-_QUERIES: list[Query] = [op1_quality_rules, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_pack, op6_html_text, op7_language, op8_token_files, op9_chat, op10_toxicity]
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(load(spark, sf_dir, "documents"), piece_model_path(), decoded=True)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"), max_n=5, min_count=100, top=2000)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(load(spark, sf_dir, "embeddings"), top=4)
+
+
+_QUERIES: list[Query] = [op1_quality_rules, op2_line_dedup, op3_decontaminate, op4_jaccard_join, op5_pack, op6_html_text, op7_language, op8_token_files, op9_chat, op10_toxicity, op11_sentencepiece, op12_collocations, op13_whitening]
 
 
 def queries() -> dict[str, Query]:
@@ -102,7 +122,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op12_collocations": OP12_SQL}
 
 
 #: Exact distinct counts for all lines, where the operator sketches.
@@ -143,3 +163,30 @@ WITH RECURSIVE words AS (
 )
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n
 """
+
+#: Every run of words as a row, without the passes that leave rare ones out.
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), inner_ AS (
+  SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')]) AS phrase FROM f WHERE k > 2
+), kept AS (
+  SELECT f.* FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = f.lang AND i.phrase = f.phrase AND 100 * i.a >= 100 * f.a)
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS x, array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, p.a AS l, q.a AS r, n, 1000 * cuts.a * n // (p.a * q.a) AS score
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x JOIN f q ON q.lang = cuts.lang AND q.phrase = y JOIN totals t ON t.lang = cuts.lang
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM scored
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best WHERE nth = 1 QUALIFY rank <= 2000
+"""

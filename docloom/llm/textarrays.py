@@ -112,6 +112,27 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES):
         at = to
 
 
+def code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points whose UTF-8 starts at each place."""
+    lead = buf[at].astype(np.int64)
+    out = lead.copy()
+    for size, least, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        k = np.flatnonzero((lead >= least) & (lead < {2: 0xE0, 3: 0xF0, 4: 0x100}[size]))
+        code = lead[k] & mask
+        for j in range(1, size):
+            code = code << 6 | (buf[at[k] + j] & 0x3F)
+        out[k] = code
+    return out
+
+
+def cut_out(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans of a buffer as strings."""
+    size = end - start
+    offs = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(offs[-1]) + np.repeat(start - offs[:-1], size)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[take])))
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the first word of each row (one more entry than rows)."""
     ink = ~WS[buf]
