@@ -6,13 +6,13 @@ rows are counted by hash aggregation within a language, a phrase's parts are
 joined to it by equality, scores are integers in Decimal, phrases that come only
 inside a longer one fall to an anti-join, and windows rank the rest.
 
-A phrase of ``min_count`` occurrences has no rarer part, so runs of rare words or
-rare pairs are left out before they are counted: two passes count 64-bit hashes
-of words and of pairs, and a fixed bitmap of those that are frequent goes to the
-tasks. The bitmap only lets too much through (hashes that meet, or more frequent
-pairs than it has bits for), and phrases are counted as texts, so counts are
-exact at every size; past some hundred million frequent pairs it merely saves
-less.
+A phrase of ``min_count`` occurrences has no rarer part, so runs that have one
+are left out before they are counted: passes over the text count 64-bit hashes
+of words, then of pairs of frequent words, then of triples of frequent pairs, and
+a fixed bitmap of those that are frequent goes to the tasks. A bitmap only lets
+too much through (hashes that meet, or more frequent pairs than it has bits
+for), and phrases are counted as texts in the end, so counts are exact at every
+size; past some hundred million frequent pairs it merely saves less.
 
 A null language is ``und``; a null or empty text has no words. Rows of equal
 text count each time, and doc_id is not read. Equal scores go by count, then by
@@ -35,9 +35,10 @@ from .shared import settle
 
 #: 16 MB to every task, whatever the corpus.
 FILTER_BITS = 27
+#: Runs up to so many words are known to be frequent before they are counted as texts; longer ones have only frequent runs of this length.
+KNOWN_WORDS = 3
 #: First ranks are taken in so many groups a language, then among those.
 RANK_GROUPS = 64
-SLICE_BYTES = 4 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 32]] = True
@@ -95,23 +96,33 @@ def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _each(docs: DataFrame, f: Callable[[Runs], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in ta.slices(whole, "text", SLICE_BYTES):
+            for b in ta.slices(whole, "text"):
                 yield from f(Runs(b))
 
     return docs.mapInArrow(ta.lean(run), schema)
 
 
-def _frequent(docs: DataFrame, n: int, min_count: int, parts: Callable[[], np.ndarray] | None) -> np.ndarray:
-    """The bitmap of hashes that runs of n words have min_count times, of runs whose words are in ``parts``."""
+def _runs(r: Runs, known: list[np.ndarray], max_n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of 1, 2, ... words: where runs start that are frequent for all that the bitmaps of shorter and equal ones know; ends with none."""
+    last = np.ones(len(r.start), bool)
+    for n in range(1, max_n + 1):
+        k = max(len(r.start) - n + 1, 0)
+        last = last[:k] if n == 1 else last[:k] & last[1 : k + 1] & r.within(n)
+        if n <= len(known):
+            at = np.flatnonzero(last)
+            last[at] = _held(known[n - 1], r.hashes(n)[at])
+        if not last.any():
+            return
+        yield n, last
+
+
+def _frequent(docs: DataFrame, n: int, min_count: int, known: list) -> np.ndarray:
+    """The bitmap of hashes that runs of n words have min_count times, of runs that are frequent for all that is known of n - 1 words."""
 
     def rows(r: Runs) -> Iterator[pa.RecordBatch]:
+        found = dict(_runs(r, [k.value for k in known], n)).get(n)
         h = r.hashes(n)
-        keep = r.within(n)
-        if parts is not None:
-            held = _held(parts(), r.hashes(1))
-            for k in range(n):
-                keep = keep & held[k : k + len(keep)]
-        seen, c = np.unique(h[keep], return_counts=True)
+        seen, c = np.unique(h[found] if found is not None else h[:0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(c)], ["h", "c"])
 
     often = _each(docs, rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
@@ -127,22 +138,15 @@ def counts(docs: DataFrame, max_n: int = 5, min_count: int = 100) -> DataFrame:
     """(lang, words, phrase, f): exact counts of all phrases of 1 to max_n words with min_count occurrences, and with words = 0 the words of each language."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     sc = docs.sparkSession.sparkContext
-    singles = sc.broadcast(_frequent(docs, 1, min_count, None))
-    pairs = sc.broadcast(_frequent(docs, 2, min_count, lambda: singles.value))
+    known: list = []
+    for n in range(1, min(max_n, KNOWN_WORDS) + 1):
+        known.append(sc.broadcast(_frequent(docs, n, min_count, list(known))))
 
     def rows(r: Runs) -> Iterator[pa.RecordBatch]:
-        word = _held(singles.value, r.hashes(1))
-        pair = r.within(2) & word[:-1] & word[1:] & _held(pairs.value, r.hashes(2))
         total = np.bincount(r.lang, minlength=len(r.langs))
         found = [(np.flatnonzero(total), np.zeros(np.count_nonzero(total), np.int64), pa.array([""] * np.count_nonzero(total)), total[total > 0])]
-        run = word
-        for n in range(1, max_n + 1):
-            if n > 1:
-                k = max(len(pair) - n + 2, 0)
-                run = run[:k] & pair[n - 2 :] if n > 2 else pair
+        for n, run in _runs(r, [k.value for k in known], max_n):
             at = np.flatnonzero(run)
-            if not len(at):
-                break
             table = pa.table({"lang": r.lang[at], "phrase": ta.cut_out(r.text, r.start[at], r.end[at + n - 1])})
             same = table.group_by(["lang", "phrase"]).aggregate([([], "count_all")])
             found.append((same["lang"].to_numpy(), np.full(len(same), n), same["phrase"].combine_chunks(), same["count_all"].to_numpy()))
