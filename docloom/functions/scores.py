@@ -80,3 +80,9 @@ def confidence_reasons(quality, ocr, consensus, integrity, penalty) -> Column:
     """What a document's confidence rests on, in that order; nulls and a penalty of 0 say nothing."""
     named = (("quality", col(quality)), ("ocr", col(ocr)), ("consensus", col(consensus)), ("integrity", col(integrity)), ("validation_penalty", F.when(col(penalty) > 0, col(penalty))))
     return F.array_compact(F.array(*(F.when(c.isNotNull(), F.format_string(f"{name}=%.2f", c.cast("double"))) for name, c in named)))
+
+
+def skew_angle(corners: Column) -> Column:
+    """Degrees that a page is turned by, from its corners (arrays of x and y: top left, top right, bottom right, bottom left): the mean slope of its upper and lower edge, each taken as one pixel wide at least; 0 without four corners."""
+    slope = lambda a, b: (corners[b][1] - corners[a][1]) / F.greatest(F.lit(1.0), corners[b][0] - corners[a][0])
+    return F.when(F.size(corners) == 4, F.round(F.degrees(F.atan((slope(0, 1) + slope(3, 2)) / 2)), 3)).otherwise(F.lit(0.0))
