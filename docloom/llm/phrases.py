@@ -35,6 +35,8 @@ from .shared import settle
 
 #: 16 MB to every task, whatever the corpus.
 FILTER_BITS = 27
+#: Runs are told apart by so many bits of their hashes where they are counted for the bitmaps; fewer make smaller shuffles, and let a few more through.
+HASH_BITS = 40
 #: Runs up to so many words are known to be frequent before they are counted as texts; longer ones have only frequent runs of this length.
 KNOWN_WORDS = 3
 #: First ranks are taken in so many groups a language, then among those.
@@ -121,12 +123,12 @@ def _frequent(docs: DataFrame, n: int, min_count: int, known: list) -> np.ndarra
 
     def rows(r: Runs) -> Iterator[pa.RecordBatch]:
         found = dict(_runs(r, [k.value for k in known], n)).get(n)
-        h = r.hashes(n)
+        h = r.hashes(n) >> np.uint64(64 - HASH_BITS)
         seen, c = np.unique(h[found] if found is not None else h[:0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(c)], ["h", "c"])
 
     often = _each(docs, rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    place = F.shiftright("h", HASH_BITS - FILTER_BITS)
     words = often.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("b"))
     got = words.toArrow()  # one row a word of the bitmap at most
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
