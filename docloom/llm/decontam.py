@@ -5,8 +5,8 @@ BM25 as a share of the item's score against itself, so that one threshold serves
 short and long items. Items go by classes of length, each twice as long as the one
 before: the passages of a class are windows of twice its greatest length with
 steps of half that, so each item lies whole in one window at least, and a long
-item doesn't widen those of short ones. An item above MAX_ITEM_WORDS words is
-searched by its parts of that many, each with a question and an answer of its own.
+item doesn't widen those of short ones. An item of any length is one item, held
+where a window reaches the threshold for all of it.
 
 WAND's upper bounds prune in two steps. Terms common among the items add up to
 less than the threshold for every item even all together; so a window can only
@@ -19,8 +19,9 @@ A hit counts when the window also holds enough of the item's question and of its
 answer, as word pairs in order. Where the items have no answer column, an
 item's last sentence is its answer, or the last third of a single sentence.
 
-Null or empty texts and items match nothing. Items of less than four words are
-not indexed but found as runs of their words, exactly. Rows with one doc_id stay
+Null or empty texts and items match nothing. Items of less than four words say
+too little for a score: they are not indexed but found as runs of their words,
+exactly, and reported as of another kind, without score or overlaps. Rows with one doc_id stay
 separate hits, a null one too; item ids twice are two items. A text of any length
 is searched whole, and other columns are ignored. The items are what is sent to
 the tasks: MAX_INDEX_WORDS words of them at a time, a pass over the texts for each.
@@ -48,8 +49,8 @@ BLOCK = 16
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Items of less words are found as they stand.
 SHORT = 4
-#: Words of the items that are sent to the tasks at a time, and of a part of an item.
-MAX_INDEX_WORDS, MAX_ITEM_WORDS = 1_000_000, 2_048
+#: Words of the items that are sent to the tasks at a time; one item at least.
+MAX_INDEX_WORDS = 1_000_000
 #: The least step of windows.
 LEAST_STEP = 8
 
@@ -192,7 +193,9 @@ class Index:
         return share(self.question[item]), share(self.answer[item])
 
 
-HIT = "doc_id long, item_id long, score double, question double, answer double, word long"
+#: kind is SCORED, or RUN for an item too short for a score.
+SCORED, RUN = "scored", "run"
+HIT = "doc_id long, item_id long, kind string, score double, question double, answer double, word long"
 
 
 def indexes(items: list[tuple[int, str, str]], threshold: float, stats: Stats | None = None) -> list[tuple[int, Index]]:
@@ -234,8 +237,8 @@ def matches(docs: DataFrame, items: list[tuple[int, str, str]], threshold: float
                         best[x[:3]] = x
                 got = list(best.values())
                 cols = [batch.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array([known[x[1]][1].items[x[2]][0] for x in got], pa.int64())]
-                cols += [pa.array([float(x[k]) for x in got], pa.float64()) for k in (3, 4, 5)] + [pa.array([x[6] for x in got], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "score", "question", "answer", "word"])
+                cols += [pa.array([SCORED] * len(got), pa.string())] + [pa.array([float(x[k]) for x in got], pa.float64()) for k in (3, 4, 5)] + [pa.array([x[6] for x in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "kind", "score", "question", "answer", "word"])
 
     def passages(words: list[bytes], ids: np.ndarray, step: int, index: Index) -> Iterator[tuple]:
         """(item, score, question, answer, word) of the windows of a text in which an item is."""
@@ -257,10 +260,9 @@ def matches(docs: DataFrame, items: list[tuple[int, str, str]], threshold: float
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.6, answer: float = 0.6) -> DataFrame:
-    """(doc_id, item_id, score, question, answer, word): every item that a document's text holds.
+    """(doc_id, item_id, kind, score, question, answer, word): every item that a document's text holds, a row for each (row, item).
 
-    benchmark has item_id and text, or item_id, question and answer. An item that
-    is searched by its parts is held where one of them is, a row for each.
+    benchmark has item_id and text, or item_id, question and answer.
     """
     if "question" in benchmark.columns and "answer" in benchmark.columns:
         items = benchmark.select(F.col("item_id").cast("long"), "question", "answer")
@@ -269,22 +271,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, qu
         items = benchmark.select(F.col("item_id").cast("long"), "text")
         split = lambda r: halves(r[1] or "")
 
-    def parts(r) -> list[tuple[int, str, str]]:
-        q, a = split(r)
-        words = q.split() + a.split()
-        if len(words) <= MAX_ITEM_WORDS:
-            return [(r[0], q, a)]
-        many = -(-len(words) // MAX_ITEM_WORDS)
-        cut = [len(words) * k // many for k in range(many + 1)]
-        return [(r[0], " ".join(words[x:m]), " ".join(words[m:y])) for x, y in zip(cut, cut[1:]) for m in [y - (y - x) // 3]]
-
     out, table = None, None
-    shards = _shards(items, parts)
+    shards = _shards(items, split)
     mine = next(shards)
     while mine is not None:
         after = next(shards, None)
         if after and table is None:
-            table = _frequencies(items, parts)
+            table = _frequencies(items, split)
         hits = matches(docs, mine, threshold, question, answer, stats=table and _stats(table, mine))
         short = defaultdict(list)
         for i, q, a in mine:
@@ -297,18 +290,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, qu
     return out
 
 
-def _frequencies(items: DataFrame, parts) -> DataFrame:
-    """(term, n, length): in how many indexed parts each word is; number and words of all parts under a null term."""
+def _frequencies(items: DataFrame, split) -> DataFrame:
+    """(term, n, length): in how many indexed items each word is; number and words of all of them under a null term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             df, n, length = Counter(), 0, 0
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                for _, q, a in parts(r):
-                    w = tokens(q) + tokens(a)
-                    if len(w) >= SHORT:
-                        df.update(set(w))
-                        n, length = n + 1, length + len(w)
+                w = [t for half in split(r) for t in tokens(half)]
+                if len(w) >= SHORT:
+                    df.update(set(w))
+                    n, length = n + 1, length + len(w)
             yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.binary()), pa.array([n, *df.values()], pa.int64()), pa.array([length] + [0] * len(df), pa.int64())], ["term", "n", "length"])
 
     return settle(items.mapInArrow(ta.lean(run), "term binary, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
@@ -337,21 +329,21 @@ def runs(docs: DataFrame, short: dict[tuple[bytes, ...], list[int]]) -> DataFram
                             seen.setdefault(w, k)
                 for i, k in {i: k for w, k in seen.items() for i in short[w]}.items():
                     at.append(r), item.append(i), word.append(k)
-            one = pa.array([1.0] * len(at), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), one, one, one, pa.array(word, pa.int64())], ["doc_id", "item_id", "score", "question", "answer", "word"])
+            none = pa.nulls(len(at), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array([RUN] * len(at), pa.string()), none, none, none, pa.array(word, pa.int64())], ["doc_id", "item_id", "kind", "score", "question", "answer", "word"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(ta.lean(run), "doc_id long, item_id long, score double, question double, answer double, word long")
+    return rows.mapInArrow(ta.lean(run), HIT)
 
 
-def _shards(items: DataFrame, parts) -> Iterator[list[tuple[int, str, str]]]:
+def _shards(items: DataFrame, split) -> Iterator[list[tuple[int, str, str]]]:
     held, size = [], 0
     for r in items.toLocalIterator():
-        for p in parts(r):
-            n = len(p[1].split()) + len(p[2].split())
-            if held and size + n > MAX_INDEX_WORDS:
-                yield held
-                held, size = [], 0
-            held.append(p)
-            size += n
+        q, a = split(r)
+        n = len(q.split()) + len(a.split())
+        if held and size + n > MAX_INDEX_WORDS:
+            yield held
+            held, size = [], 0
+        held.append((r[0], q, a))
+        size += n
     yield held

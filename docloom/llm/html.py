@@ -8,14 +8,20 @@ Both run over one stack, so deep nesting costs no recursion; open elements are
 found by name, and no tag or quote is looked for twice, so time and memory
 follow the page's length, whatever stands in it.
 
-Hidden: head, script, style, template, noscript and other replaced elements, the
-hidden attribute, ``display: none`` and ``visibility: hidden`` (which a child
-may lift), hidden inputs, and what a closed ``details`` holds but its summary.
-Formulas show as their characters stand, drawings as their labels, a line each.
+Hidden: head, script, style, template, noscript and other replaced elements, a
+closed dialog, brackets of ruby text, the hidden attribute (unless the element's
+style gives it a display), ``display: none`` and ``visibility: hidden`` (which a
+child may lift) where that is the declaration that counts, hidden inputs, and what
+a closed ``details`` holds but its summary. Style sheets aren't read: only an
+element's own style and attributes hide it. Items of ordered lists are numbered
+as ``start``, ``value``, ``reversed`` and ``type`` say. Formulas show as their
+characters stand, drawings as their labels, a line each.
 
 A tag that never ends is text, as is all behind it. A cell's column is as wide as
-the cells that begin and end in it; indents end at INDENTS levels, and tables
-inside NESTED others show as blocks.
+the cells that begin and end in it, wide characters taking two places; a table's
+first head stands above, and its first foot below, all other rows. Indents end
+at INDENTS levels, and tables inside NESTED others show as blocks: n levels, each
+with a line, would take n * n blanks.
 
 A null or empty page gives empty text. Rows are rendered alike, one by one, in
 Python, which a tree builder needs; repeated rows stay, and columns besides the
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,7 +45,9 @@ from . import textarrays as ta
 # Element names of the HTML standard, by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title".split())
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title rp".split())
+# Values of display that a style may give; others are no declarations.
+DISPLAYS = frozenset("none block inline inline-block flex inline-flex grid inline-grid flow-root contents list-item table inline-table table-row table-cell table-row-group table-header-group table-footer-group table-column table-column-group table-caption ruby run-in initial inherit unset revert".split())
 # In svg, characters show only inside these; in svg and math, what these hold doesn't show.
 LABEL = frozenset("text foreignobject".split())
 UNSHOWN = frozenset("defs symbol clippath mask marker pattern metadata desc annotation annotation-xml".split())
@@ -63,7 +72,52 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^'
 INDENTS, NESTED = 24, 24
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
-_STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?")
+_COMMENT_END = re.compile("--!?>")
+#: Comments and tags of lists, for items to be counted before they come.
+_LISTS = re.compile(r"<!--(?:-?>|(?:(?!--!?>).)*+(?:--!?>|\Z))|<(/?)(ol|ul|menu|dir|li)(?=[\s/>])[^<>]*+>", re.I | re.S)
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def ordinal(n: int, kind: str) -> str:
+    """A number as an ordered list of the type (1, a, A, i or I) shows it."""
+    out, k = "", n
+    if kind in ("a", "A") and n > 0:
+        while k:
+            k, rest = divmod(k - 1, 26)
+            out = chr(97 + rest) + out
+    elif kind in ("i", "I") and 0 < n < 4000:
+        for size, letters in _ROMAN:
+            out += letters * (k // size)
+            k %= size
+    else:
+        return str(n)
+    return out.upper() if kind.isupper() else out
+
+
+def list_sizes(html: str) -> dict[int, int]:
+    """Items of each list, by where the list's tag begins."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _LISTS.finditer(html):
+        if m[2] is None:
+            continue
+        if m[2].lower() != "li":
+            if not m[1]:
+                opened.append(m.start())
+                out[m.start()] = 0
+            elif opened:
+                opened.pop()
+        elif not m[1] and opened:
+            out[opened[-1]] += 1
+    return out
+
+
+def places(line: str) -> int:
+    """Columns that a line takes."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
 
 
 class Writer:
@@ -128,14 +182,28 @@ class Writer:
 
 
 class Element:
-    __slots__ = ("bare", "count", "down", "foreign", "hidden", "invisible", "kind", "name", "out", "pre", "rows", "shut", "span")
+    __slots__ = ("bare", "count", "down", "foreign", "hidden", "invisible", "kind", "name", "out", "pre", "rows", "shut", "span", "step")
 
     def __init__(self, name: str):
-        self.name, self.rows, self.out, self.count, self.span, self.down = name, None, None, 0, 1, 1
+        self.name, self.rows, self.out, self.count, self.step, self.span, self.down = name, None, None, 0, 1, 1, 1
         self.hidden = self.invisible = self.pre = self.shut = self.foreign = self.bare = False
         self.kind = ""
 
 
+def in_order(rows: list) -> list:
+    """A table's rows with its first head before all others and its first foot behind; a group's name stands before its rows and None behind, and None parts groups in what comes back."""
+    groups: list[tuple[str | None, list]] = [(None, [])]
+    for row in rows:
+        if row is None or isinstance(row, str):
+            groups.append((row, []))
+        else:
+            groups[-1][1].append(row)
+    head = next((g for g in groups if g[0] == "thead"), None)
+    foot = next((g for g in groups if g[0] == "tfoot"), None)
+    rest = [g for g in groups if g is not head and g is not foot]
+    return [x for g in ([head] if head else []) + rest + ([foot] if foot else []) for x in (None, *g[1])]
+
+
 def placed(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[tuple[int, list[str], int]]]:
     """First column, lines and columns of each cell; cells that reach down from rows above keep their columns, up to the end (None) of their group of rows."""
     taken: list[tuple[int, int, int]] = []  # columns held from one to another, before the row of the last number
@@ -175,7 +243,7 @@ def grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
     for row in table:
         for c, lines, span in row:
             if span == 1:
-                width[c] = max(width[c], max(map(len, lines), default=0))
+                width[c] = max(width[c], max(map(places, lines), default=0))
     starts, at = {}, 0
     for c in sorted(width):
         starts[c] = at
@@ -188,11 +256,15 @@ def grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
                 if k < len(lines):
                     to = max(starts[c], size + 2 if size else 0)
                     line += [" " * (to - size), lines[k]]
-                    size = to + len(lines[k])
+                    size = to + places(lines[k])
             out.append("".join(line).rstrip())
     return out
 
 
+def _number(text: str) -> int | None:
+    return int(text) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", text) else None
+
+
 class Renderer:
     def __init__(self) -> None:
         self.stack = [Element("#root")]
@@ -200,6 +272,8 @@ class Renderer:
         self.tables: list[Element] = []
         self.deep = 0  # open tables beyond those whose cells are aligned
         self.out = Writer()
+        self.sizes: dict[int, int] | None = None
+        self.page, self.where = "", 0
 
     def last(self, names) -> int:
         """Where the innermost open element of these names is; 0 if there is none."""
@@ -224,17 +298,22 @@ class Renderer:
             self.open("tr", "")
         a = self.attributes(raw) if raw.strip(" /\n\t") else {}
         top, e = self.stack[-1], Element(name)
-        e.hidden = top.hidden or name in HIDDEN or "hidden" in a or (name == "input" and a.get("type", "").lower() == "hidden") or (top.shut and name != "summary")
+        e.hidden = top.hidden or name in HIDDEN or (name == "input" and a.get("type", "").lower() == "hidden") or (top.shut and name != "summary")
         e.invisible, e.pre = top.invisible, top.pre or name in ("pre", "textarea", "xmp")
         e.shut = name == "details" and "open" not in a
         e.foreign = name in ("svg", "math") or (top.foreign and name != "foreignobject")
         e.bare = name == "svg" or (top.bare and name not in LABEL)  # characters that stand bare in a drawing don't show
         e.hidden = e.hidden or (e.foreign and name in UNSHOWN)
-        for k, v in _STYLE.findall(a.get("style", "").lower()):
-            if k == "display":
-                e.hidden = e.hidden or v == "none"
-            else:
-                e.invisible = v in ("hidden", "collapse")
+        said: dict[str, tuple[bool, str]] = {}
+        for k, v, important in _STYLE.findall(a.get("style", "").lower()):  # of equals the last counts
+            if (bool(important) or not said.get(k, (False, ""))[0]) and (k != "display" or v in DISPLAYS):
+                said[k] = bool(important), v
+        if "display" in said:
+            e.hidden = e.hidden or said["display"][1] == "none"
+        else:
+            e.hidden = e.hidden or "hidden" in a or (name == "dialog" and "open" not in a)
+        if "visibility" in said:
+            e.invisible = said["visibility"][1] in ("hidden", "collapse")
         if not e.hidden:
             self.enter(e, a)
         if e.foreign and raw.rstrip().endswith("/"):
@@ -261,7 +340,7 @@ class Renderer:
             e.rows, e.out, self.out = [], self.out, Writer()
             self.tables.append(e)
         elif name in ("td", "th") and (t := self.table()) is not None:
-            if not t.rows or t.rows[-1] is None:
+            if not t.rows or not isinstance(t.rows[-1], list):
                 t.rows.append([])
             e.out, self.out = self.out, Writer()
             span, down = a.get("colspan", "1"), a.get("rowspan", "1")
@@ -270,20 +349,27 @@ class Renderer:
         elif name == "tr" and (t := self.table()) is not None:
             t.rows.append([])
         elif name in ("tbody", "thead", "tfoot") and (t := self.table()) is not None:
-            t.rows.append(None)
+            t.rows.append(name)
         elif name == "text" and e.foreign:
             self.out.block(False)
         elif name in ("ul", "ol", "menu", "dir"):
             self.out.block(not self.at.get("li"))
-            start = a.get("start", "1")
-            e.count = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+            e.count, e.kind = _number(a.get("start", "")), a.get("type", "1")
+            if name == "ol" and "reversed" in a:
+                e.step = -1
+                if e.count is None:
+                    self.sizes = list_sizes(self.page) if self.sizes is None else self.sizes
+                    e.count = self.sizes.get(self.where, 1)
+            e.count = 1 if e.count is None else e.count
         elif name == "li":
             self.out.block(False)
             home = self.stack[self.last(("ul", "ol", "menu", "dir"))]
             mark = "- "
             if home.name == "ol":
-                mark = f"{home.count}. "
-                home.count += 1
+                value = _number(a.get("value", ""))
+                n = home.count if value is None else value
+                mark = ordinal(n, a.get("type", home.kind)) + ". "
+                home.count = n + home.step
             e.kind = mark
             self.out.mark = mark
             self.out.indent.append(" " * len(mark))
@@ -307,7 +393,7 @@ class Renderer:
             rest = self.out.done()
             self.tables.pop()
             self.out = e.out
-            self.out.add(rest + grid(e.rows))
+            self.out.add(rest + grid(in_order(e.rows)))
             self.out.block(True)
         elif name in ("td", "th") and e.out is not None:
             lines = self.out.done()
@@ -352,8 +438,20 @@ class Renderer:
         if not top.hidden and not top.shut and not top.invisible and not top.bare:
             self.out.text(s, top.pre)
 
+    def after_comment(self, html: str, to: int) -> int:
+        """Where a comment or declaration that begins there ends; one that is empty ends at once."""
+        if not html.startswith("<!--", to):
+            end = html.find(">", to + 2)
+            return len(html) if end < 0 else end + 1
+        for empty in ("<!-->", "<!--->"):
+            if html.startswith(empty, to):
+                return to + len(empty)
+        m = _COMMENT_END.search(html, to + 4)
+        return m.end() if m else len(html)
+
     def render(self, html: str) -> str:
         at, size, last = 0, len(html), html.rfind(">")
+        self.page = html
         while at < size:
             m, to = None, html.find("<", at)
             while to >= 0:  # one that begins no tag is text
@@ -369,9 +467,7 @@ class Renderer:
                 break
             if m is None:
                 if html[to + 1] in "!?":
-                    comment = html.startswith("<!--", to)
-                    end = html.find("-->" if comment else ">", to + (4 if comment else 2))
-                    at = size if end < 0 else end + (3 if comment else 1)
+                    at = self.after_comment(html, to)
                     continue
                 self.text(unescape(html[to:]))  # a tag without an end
                 break
@@ -379,6 +475,7 @@ class Renderer:
             if m[1]:
                 self.close(name)
                 continue
+            self.where = m.start()
             self.open(name, m[3])
             if name == "pre" or name == "textarea":
                 at += html[at : at + 1] == "\n"

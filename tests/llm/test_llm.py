@@ -268,31 +268,33 @@ def test_leaks(spark):
 def test_leaks_of_short_items(spark):
     docs = table(spark, [(1, "so Blue whale, it says; blue whale"), (2, "whale blue"), (3, "blue. WHALE"), (None, "blue whale"), (4, None)])
     got = decontam.find_leaks(docs, table(spark, [(7, "Blue whale."), (8, "42"), (9, None), (10, "?")], "item_id long, text string"))
-    assert {(r.doc_id, r.item_id, r.word) for r in got.collect()} == {(1, 7, 1), (3, 7, 0), (None, 7, 0)}
+    assert {(r.doc_id, r.item_id, r.word, r.kind, r.score, r.question, r.answer) for r in got.collect()} == {(i, 7, w, "run", None, None, None) for i, w in ((1, 1), (3, 0), (None, 0))}
 
 
 def test_leaks_do_not_hang_on_shards(spark, rows, monkeypatch):
     items = table(spark, [(i, t) for i, t in rows[:40]], "item_id long, text string")
     docs = table(spark, rows[30:120] + ODD)
-    find = lambda: sorted((r.doc_id or -1, r.item_id, round(r.score, 6)) for r in decontam.find_leaks(docs, items, 0.3, 0, 0).collect())
+    find = lambda: sorted((r.doc_id or -1, r.item_id, r.kind, round(r.score or 0, 6)) for r in decontam.find_leaks(docs, items, 0.3, 0, 0).collect())
     whole = find()
     monkeypatch.setattr(decontam, "MAX_INDEX_WORDS", 400)
     assert find() == whole and whole
 
 
-def test_leaks_of_long_items(spark, monkeypatch):
-    """No part of a long item is lost, and what is long in one item doesn't widen the windows of others."""
-    monkeypatch.setattr(decontam, "MAX_ITEM_WORDS", 40)
+def test_leaks_of_long_items(spark):
+    """An item has one verdict however long it is, a row a document, and doesn't widen the windows of shorter ones."""
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
-    question, answer = [word() for _ in range(100)], [word() for _ in range(130)]
-    items = [(1, " ".join(question), " ".join(answer)), (2, " ".join(word() for _ in range(10)), " ".join(word() for _ in range(5)))]
-    whole = question + answer
-    docs = [(10 * k, " ".join([word() for _ in range(50)] + whole[40 * k : 40 * k + 40] + [word() for _ in range(50)])) for k in range(6)]
-    apart = items[1][1].split() + [word() for _ in range(60)] + items[1][2].split()
-    docs += [(100, items[1][1] + " " + items[1][2]), (101, " ".join(apart)), (102, items[1][1] + " " + items[1][2]), (102, items[1][1] + " " + items[1][2])]
+    items, docs = [], []
+    for k, size in enumerate((2047, 2049, 2300)):
+        whole = [word() for _ in range(size)]
+        items.append((k, " ".join(whole[: size * 2 // 3]), " ".join(whole[size * 2 // 3 :])))
+        held = {0: whole, 1: whole[: size // 3], 2: whole[size * 2 // 3 :], 3: whole[size // 4 :], 4: [w for n, w in enumerate(whole) if n % 3]}
+        docs += [(10 * k + n, " ".join([word() for _ in range(50)] + w + [word() for _ in range(50)])) for n, w in held.items()]
+    items.append((9, " ".join(word() for _ in range(10)), " ".join(word() for _ in range(5))))
+    apart = items[3][1].split() + [word() for _ in range(60)] + items[3][2].split()
+    docs += [(100, items[3][1] + " " + items[3][2]), (101, " ".join(apart)), (102, items[3][1] + " " + items[3][2]), (102, items[3][1] + " " + items[3][2])]
     got = decontam.find_leaks(table(spark, [(*d, 5) for d in docs], "doc_id long, text string, score int"), table(spark, items, "item_id long, question string, answer string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (10, 1), (20, 1), (30, 1), (40, 1), (50, 1), (100, 2), (102, 2), (102, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted([(10 * k + n, k) for k in range(3) for n in (0, 3)] + [(100, 9), (102, 9), (102, 9)])
 
 
 # signature trees
@@ -475,6 +477,15 @@ def test_html_odd(page, want):
         ("<table><tr><td>k<td rowspan=0>x<td>1<tr><td>l<td>2<tbody><tr><td>m<td>y<td>3</table>", "k  x  1\nl     2\nm  y  3"),
         ("<table><tr><td rowspan=2>a<td>b<tr></tr><tr><td>c<td>d</table>", "a  b\nc  d"),
         ("<table><tr><td><p>one</p><p>two</p><pre>x\n\ny</pre></table>", "one\n\ntwo\n\nx\n\ny"),
+        ("a<!-->b<!--->c<!-- x --!>d<!-- > -->e<!doctype x>f", "abcdef"),
+        ("<dialog>no</dialog><dialog open>yes</dialog><ruby>字<rp>(</rp><rt>zi<rp>)</rp></ruby>", "yes\n字zi"),
+        ("<ol><li value=5>a<li>b<li value=x>c</ol>", "5. a\n6. b\n7. c"),
+        ("<ol reversed><li>a<li>b<ol><li>x</ol><!-- <li> --><li>c</ol><ol reversed start=9><li>d<li>e</ol>", "3. a\n2. b\n   1. x\n1. c\n\n9. d\n8. e"),
+        ("<ol type=a start=26><li>z<li>aa<li type=I value=14>n</ol><ol type=A><li>x</ol><ol type=i start=0><li>x<li>y</ol>", "z. z\naa. aa\nXIV. n\n\nA. x\n\n0. x\ni. y"),
+        ("<p style='display:none;display:block'>a<p style='display:block; display: none'>b<p style='display:none !important;display:block'>c<p style='display:none;display:nonsense'>d<p style='--display:none'>e", "a\n\ne"),
+        ("<p hidden style='display:block'>a<p hidden>b<p style='visibility:hidden;visibility:visible'>c", "a\n\nc"),
+        ("<table><tfoot><tr><td>sum<td>3<tbody><tr><td>a<td>1<thead><tr><th>k<th>n<tbody><tr><td>b<td>2<tfoot><tr><td>z<td>0</table>", "k    n\na    1\nb    2\nz    0\nsum  3"),
+        ("<table><tr><td>日本<td>x<tr><td>abc<td>y<tr><td>é<td>z</table>", "日本  x\nabc   y\né     z"),
     ],
 )
 def test_html_whole(page, want):
@@ -486,8 +497,9 @@ def test_html_whole(page, want):
     [
         "<" + "a" * 100_000, "<div>" * 20_000, '<a "x ' * 16_000, '<a x="y ' * 12_000, "<p><table><td>" + "<div>" * 18_000, "<table><td>x" * 8_000, "<blockquote>x" * 7_000, "<ul><li>x" * 10_000,
         "<table><tr>" + "<td colspan=1000>x" * 5_000, "<script>a>b" + "</script " * 10_000, "<!--" * 25_000, "<" * 100_000, "<table>" + "<td>x" * 20_000, "<table><tr>" + "<td rowspan=9>x" * 2_000 + "<tr><td>y" * 6_000,
+        "<ol reversed>" * 8_000, "<ol reversed><!--" * 6_000, "<ol reversed><li" * 6_000, "<ol reversed><li>x" * 5_000,
     ],
-    ids=range(14),
+    ids=range(18),
 )
 def test_html_hostile(page):
     """A page of 100 KB takes well under a second, whatever stands in it."""

@@ -44,8 +44,10 @@ def test_stages(spark, tmp_path):
 
 def test_decontamination_without_ids(spark, tmp_path):
     item = "Who wrote the long book about the white whale at sea. Herman Melville did."
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.createDataFrame([(None, f"before {item} after"), (None, "clean text"), (5, item), (6, "clean text"), (None, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    spark.createDataFrame([(1, item), (2, "clean"), (3, "clean text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # short items drop nothing; an id that is a text's hash is another document
+    hashed = spark.sql("SELECT xxhash64(CAST(NULL AS STRING)) AS h").first().h
+    docs = spark.createDataFrame([(hashed, item), (None, f"before {item} after"), (None, "clean text"), (5, item), (6, "clean text"), (None, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
     got = dict(pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, [(None, "clean text"), (6, "clean text"), (None, None)]))
 
