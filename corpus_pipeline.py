@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, linededup, packing, quality, sigtree
@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null or empty text fails them; repeated rows are judged alike, and of an empty table none is left."""
     ship_package(spark)
     return quality.assess(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
@@ -45,15 +45,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item: none whose question and answer were both found.
+
+    Documents without an id go by their texts. Items too short for a score drop nothing. A null or empty text holds nothing; rows of one id go together.
+    """
     ship_package(spark)
-    key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")  # a document without an id goes by its text
-    leaks = decontam.find_leaks(docs.select(key.alias("doc_id"), "text"), load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
-    return docs.select(*COLUMNS, key).join(settle(leaks), "key", "left_anti").select(*COLUMNS)
+    rows, items = docs.select(*COLUMNS), load(spark, sf_dir, "benchmark")
+
+    def clean(some: DataFrame, key: Column) -> DataFrame:
+        leaks = decontam.find_leaks(some.select(key.alias("doc_id"), "text"), items).where(F.col("kind") == decontam.SCORED)
+        gone = settle(leaks.select(F.col("doc_id").alias("key")).distinct())
+        return some.withColumn("key", key).join(sent(gone), "key", "left_anti").select(*COLUMNS)
+
+    return clean(rows.where("doc_id is not null"), F.col("doc_id")).union(clean(rows.where("doc_id is null"), F.xxhash64("text")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their ids, placed in sequences."""
+    """Pieces of at most 1024 tokens with their ids, placed in sequences. A null text is packed as an empty one, its end id alone; repeated rows are packed each; an empty table gives no pieces."""
     ship_package(spark)
     pieces = settle(packing.cut_pieces(docs, tokenizer_path()))
     return packing.place(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
