@@ -45,8 +45,8 @@ def normalize_date(c: Column | str) -> Column:
 
 
 def strict_date(c: Column | str) -> Column:
-    n = normalize_date(c)
-    return F.when(n.rlike(r"^\d{4}-\d{2}-\d{2}$"), n)
+    # without digits there is no date to look for
+    return F.when(col(c).rlike(r"\d\d\D*\d\d"), let(normalize_date(c), lambda n: F.when(n.rlike(r"^\d{4}-\d{2}-\d{2}$"), n)))
 
 
 def normalize_period(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from ..functions import evidence as E
 from ..operators import candidates as C
 from ..operators import pages as G
 from ..sources.files import golden_fields
-from .registry import load, query
+from .registry import load, query, spread
 
 # a document's four runs find its field in one of six ways each; run 1 has a value of its own besides
 _WAY = "(k * 31 + r * 17) % 6"
@@ -43,7 +43,7 @@ t AS (SELECT *, key = v AS selected, round(least(1, 0.12 + CASE WHEN key = v THE
 @query(f"WITH {_FOUND} SELECT k AS document_id, 'monto' AS field, CAST(row_number() OVER (PARTITION BY k ORDER BY selected DESC, score DESC, coalesce(conf, 0) DESC, r, n) AS INT) AS rank, 's' || r AS source, 'e' || (r % 2) AS engine, value, CAST(page AS INT) AS page, kind AS match_type, selected, score::DOUBLE AS score, conf::DOUBLE AS confidence FROM t")
 def field_candidates(spark, d):
     k = F.col("o_orderkey")
-    fields = load(spark, d, "orders").select(k.alias("document_id"), F.lit("monto").alias("field"), F.lit("Total a pagar").alias("label"), F.concat(F.lit("ABCD-"), (k % 7).cast("string"), F.lit("00")).alias("value"))
+    fields = spread(load(spark, d, "orders").select("o_orderkey")).select(k.alias("document_id"), F.lit("monto").alias("field"), F.lit("Total a pagar").alias("label"), F.concat(F.lit("ABCD-"), (k % 7).cast("string"), F.lit("00")).alias("value"))
     return C.field_candidates(fields, _runs(spark, d)).drop("raw_text")
 
 

@@ -25,6 +25,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than there are, as a small file has: for work that costs far more than moving its rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 DECISION = {"purchase": "auto_accept", "click": "accept_with_warning", "view": "human_review", "error": "reject"}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.packs import PACKS
 from ..operators import rule_packs as R
 from ..operators import sections as S
-from .registry import load, query
+from .registry import load, query, spread
 
 # sections
 
@@ -22,7 +22,7 @@ def _sections(spark, d):
     pairs = F.array(F.array(F.lit("Número 1"), s(k)), F.array(F.lit("Titular")), F.array(F.lit(" Numero-1 "), F.when(k % 3 == 0, "again").otherwise("")), F.array().cast("array<string>"))
     campo = F.array(F.array(F.when(k % 2 == 0, "Total").otherwise("Monto"), s(k % 7)), F.array(F.lit("Titular"), F.lit("Ana")))
     cross = F.array(F.array(F.lit("ene"), s(k % 5), F.lit("x")), F.array(F.lit("feb"), s(k % 4)))
-    return load(spark, d, "orders").select(k.alias("document_id"), F.array(
+    return spread(load(spark, d, "orders").select("o_orderkey")).select(k.alias("document_id"), F.array(
         section("debug-a", "A", "pairs", none, pairs, none), section("b", "B", "table", F.array(F.lit("CAMPO"), F.lit("Valor")), campo, none),
         section("c", "C", "table", F.array(F.lit("Mes"), F.lit("Renta"), F.lit("Nota")), cross, none), section("d", "Notas finales", "text", none, none, F.when(k % 4 > 0, F.concat(F.lit("n"), s(k % 4))).otherwise("")),
     ).alias("sections"))
@@ -78,7 +78,7 @@ _NUMERIC = "CAST(round(0.35 + (o_orderkey * 37 % 65) / 100.0, 2) AS DOUBLE) AS c
 def _digits(spark, d):
     k = F.col("o_orderkey")
     cols = {n: (F.floor(k * 7 / a) % b).cast("int") for n, (a, b) in _DIGITS.items()}
-    return load(spark, d, "orders").select(k.alias("document_id"), *(c.alias(n) for n, c in cols.items()), F.round(0.35 + (k * 37 % 65) / 100, 2).alias("confidence"), F.round(0.5 + (k % 50) / 100, 2).alias("classification_confidence"))
+    return spread(load(spark, d, "orders").select("o_orderkey")).select(k.alias("document_id"), *(c.alias(n) for n, c in cols.items()), F.round(0.35 + (k * 37 % 65) / 100, 2).alias("confidence"), F.round(0.5 + (k % 50) / 100, 2).alias("classification_confidence"))
 
 
 def _pick(name, *values):
