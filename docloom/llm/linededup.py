@@ -9,7 +9,9 @@ the table stays (least doc_id, then place), so its content isn't lost.
 Lines are parts between ``\\n``, compared without blanks, tabs or returns at
 their ends; empty ones are never removed. A null site counts as one site. A null
 text has no lines and stays null. Rows of one doc_id and text are one document,
-treated alike. Lines are known by 128 bits of hash.
+treated alike. Lines are known by 128 bits of hash. A text of any length is one row, in
+time that follows its lines. Columns n_lines and n_removed of the input are
+replaced, others pass through. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -60,8 +62,9 @@ def remove_widespread(docs: DataFrame, min_sites: int = 10, site: str = "source"
     gone = hits.join(first, ["h1", "h2"]).where(place != F.col("first"))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__gone")).agg(F.collect_set("pos").alias("__drop"))
     both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__text"] == gone["__gone"]), "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("__drop", i))
+    # the places that stay are told by hashing, so that time follows the number of lines; the text is split once a row
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drop"), lambda i: F.get(lines, i))
+    kept = F.transform(F.array(F.split("text", "\n")), left)[0]
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = [F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_removed")]
+    counts = [F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long").alias("n_removed")]
     return both.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest), *counts)
