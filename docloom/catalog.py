@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bindings, evidence, fleet, intake, normalizers, records, review, rules  # noqa: F401  registers the queries
+from .plans import bindings, evidence, fleet, intake, normalizers, pages, records, review, rules  # noqa: F401  registers the queries
 from .plans.registry import QUERIES, SQL
 
 

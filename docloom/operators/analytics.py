@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import clamp, math_round, rate
+from .ranking import bounds, percentiles
 
 STATUSES = ("uploaded", "processing", "completed", "review", "rejected")
 DECISIONS = ("auto_accept", "accept_with_warning", "human_review", "reject")
@@ -36,16 +37,18 @@ def usage_by(ledger: DataFrame, key: Column, name: str) -> DataFrame:
 def latency(ledger: DataFrame, *by: str) -> DataFrame:
     """p50, p90, p99 as sorted[floor((n - 1) * r)] and the mean, halves up, of terminal latencies.
 
-    Ranks come from counts of each value, so what a window sorts are different
-    values and no group's rows are gathered.
+    Ranks come from counts of each value and of ranges of values, so that of a
+    group only the ranges that hold a rank are sorted.
     """
-    rows = ledger.where("terminal and latency_ms is not null and not isnan(latency_ms) and abs(latency_ms) < double('infinity')")
-    counts = rows.groupBy(*by, "latency_ms").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("latency_ms"))).withColumn("n", F.sum("c").over(w))
-    at = lambda r: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * r), F.col("latency_ms")))
+    rows = ledger.where("terminal and latency_ms is not null and not isnan(latency_ms) and abs(latency_ms) < double('infinity')").withColumn("__one", F.lit(0))
+    groups = ("__one", *by)
+    counts = rows.groupBy(*groups, "latency_ms").agg(F.count("*").alias("c"))
     mean = math_round(F.sum(F.col("latency_ms") * F.col("c")) / F.sum("c")).cast("long")
-    return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), mean.alias("mean"), F.sum("c").alias("n"))
+    measures = mean.alias("mean"), F.sum("c").alias("n")
+    whole = counts.groupBy(*groups).agg(*measures) if by else counts.agg(*measures).withColumn("__one", F.lit(0))  # without groups, a row for no rows too
+    ranks = percentiles(counts, groups, "latency_ms", "c", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, bounds(rows, [F.col("latency_ms")]))
+    both = whole.alias("w").join(ranks.alias("r"), [F.col(f"w.{c}").eqNullSafe(F.col(f"r.{c}")) for c in groups], "left")  # a row a group
+    return both.select(*(f"w.{c}" for c in by), "p50", "p90", "p99", "mean", "n")
 
 
 def decisions(ledger: DataFrame, *by: str) -> DataFrame:

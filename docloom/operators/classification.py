@@ -47,9 +47,20 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Z0-9]+", "")
 
 
+#: All keywords, each looked for once a text.
+KEYWORDS = {k: n for n, k in enumerate(dict.fromkeys(k for words in (*(w for _, w in FAMILY_WORDS), CHILEAN, *(w for _, w in COUNTRY_WORDS), *(w for *_, w in SIDE_WORDS), *(p.keywords for p in PACKS)) for k in words))}
+
+
+def _found(read: Column) -> Column:
+    """Which of KEYWORDS are in the text as it is spaced, or with both bare."""
+    quoted = lambda k: "'" + k.replace("'", "\\'") + "'"
+    tests = ", ".join(f"contains(r.spaced, {quoted(k)}) OR contains(r.bare, {quoted(''.join(c for c in k if c.isascii() and c.isalnum()))})" for k in KEYWORDS)
+    return F.call_function("transform", F.array(read), F.expr(f"r -> array({tests})"))[0]
+
+
 def present(t: Column, keyword: str) -> Column:
-    """In the text as it is spaced, or with both bare; t has them as ``spaced`` and ``bare``."""
-    return t["spaced"].contains(keyword) | t["bare"].contains("".join(c for c in keyword if c.isascii() and c.isalnum()))
+    """Whether a text, of which t has what was found, has the keyword."""
+    return t["has"][KEYWORDS[keyword]]
 
 
 def _any(t: Column, keywords: tuple[str, ...]) -> Column:
@@ -121,6 +132,7 @@ def classification(text: Column, asked_family: Column, asked_country: Column) ->
 
     zone = mrz.parse_td1(F.coalesce(text, F.lit("")))
     read = let(F.struct(spaced(text).alias("spaced"), zone.alias("z")), lambda r: F.struct(r["spaced"].alias("spaced"), bare(r["spaced"]).alias("bare"), r["z"]["mrz"].alias("zone"), F.upper(r["z"]["issuing_country"]).alias("issuer")))
+    read = let(read, lambda r: r.withField("has", _found(r)))
     return let(read, lambda t: let(hints(t), lambda h: best(t, h)))
 
 

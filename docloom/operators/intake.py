@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 # What may be uploaded, and how much of it.
 MIME_TYPES = ("application/pdf", "image/jpeg", "image/png", "image/heic", "image/heif", "image/tiff")
 SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png", ".heic", ".heif", ".tif", ".tiff")
@@ -87,8 +89,8 @@ def upsert(registry: DataFrame, entry: DataFrame, key: str = "name", place: str
     """The registry without rows of the entry's names, and the entry before them."""
     rest = registry.join(entry.select(key).distinct(), key, "left_anti")
     first = entry.withColumn(place, F.lit(-1).cast(dict(registry.dtypes)[place]))
-    order = Window.orderBy(place, key)
-    return first.select(*registry.columns).unionByName(rest.select(*registry.columns)).withColumn(place, (F.row_number().over(order) - 1).cast(dict(registry.dtypes)[place]))
+    both = first.select(*registry.columns).unionByName(rest.select(*registry.columns)).withColumnRenamed(place, "__old")
+    return numbered(both, [F.col("__old"), F.col(key)], place).withColumn(place, F.col(place).cast(dict(registry.dtypes)[place])).select(*registry.columns)
 
 
 def replace_children(stored: DataFrame, changed: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import classification as C
 from ..operators import jobs as J
 from ..operators import matching as X
 from ..operators import sequences as S
-from .registry import CANDS, DOCS, IDS, JOBS, candidates, doc_records, fields, identifiers, jobs, load, query
+from .registry import CANDS, DOCS, IDS, JOBS, candidates, doc_records, fields, identifiers, jobs, load, query, spread
 
 NOW = "1996-06-01 00:00:00"
 _SLUG = r"trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', '-', 'g'), '-')"
@@ -190,7 +190,7 @@ SELECT id, CASE WHEN p.score >= 0.48 THEN p.pack END AS pack_id, CASE WHEN p.sco
 def keyword_classify(spark, d):
     k = F.col("o_orderkey")
     at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
-    rows = load(spark, d, "orders").select(k.alias("id"), F.concat(at(_SAID, k), F.lit("  "), at(_MORE, F.floor(k / 3))).alias("text"), at(_ASKED, F.floor(k / 7)).alias("family"), at(_WHERE, F.floor(k / 2)).alias("country"))
+    rows = spread(load(spark, d, "orders").select("o_orderkey")).select(k.alias("id"), F.concat(at(_SAID, k), F.lit("  "), at(_MORE, F.floor(k / 3))).alias("text"), at(_ASKED, F.floor(k / 7)).alias("family"), at(_WHERE, F.floor(k / 2)).alias("country"))
     return C.classify(rows).select("id", "pack_id", "family", "country", "side", F.round("confidence", 6).alias("confidence"), "supported", "family_hint", "country_hint", "side_hint")
 
 

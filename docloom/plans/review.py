@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import documents as P
+from ..operators.ranking import numbered
 from .registry import load, query
 
 NOW = "1998-06-01 00:00:00"
@@ -228,7 +228,8 @@ def retention(spark, d):
 
 @query(f"WITH {RECORDS} SELECT document_id, row_number() OVER (ORDER BY made DESC, k) AS place FROM s WHERE job IS NOT NULL")
 def job_feed(spark, d):
-    return P.job_feed(records(spark, d)).select("document_id", F.row_number().over(Window.orderBy(F.desc("job.created_at"), "ord")).cast("long").alias("place"))
+    jobs = P.job_feed(records(spark, d)).select("document_id", (-F.unix_micros(F.col("job.created_at").cast("timestamp"))).alias("newest"), "ord")
+    return numbered(jobs, [F.col("newest"), F.col("ord")]).select("document_id", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {RECORDS}, w AS (SELECT * FROM s WHERE k % 20 < 3), r AS (SELECT 's' || (k % 3) AS x, min(k) AS o FROM w WHERE k % 5 > 0 GROUP BY 1) SELECT 7 AS requested, count(*) AS processed, count(*) FILTER (job = 'completed') AS completed, count(*) FILTER (job = 'failed') AS failed, count(*) FILTER (queue = 'dlq') AS sent_to_dlq, count(*) FILTER (decision = 'human_review') AS review, count(*) FILTER (decision = 'auto_accept') AS auto_accepted, count(*) FILTER (decision = 'accept_with_warning') AS accept_with_warning, (SELECT string_agg(x, ',' ORDER BY o) FROM r) AS routing_strategies FROM w")

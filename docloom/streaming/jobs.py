@@ -11,7 +11,6 @@ retry is due. ``replay`` is the batch model: state after a log, by a fold.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -54,37 +53,45 @@ def replay(log: DataFrame, lease_seconds: int = LEASE_SECONDS, base_seconds: int
     return events.select("job_id", after.alias("s")).select("job_id", "s.*").where("status is not null")
 
 
+#: Inside the state times are microseconds, which no time zone can shift.
+_HELD = STATE.replace("timestamp", "long")
+_EMITTED = f"job_id long, at long, seq long, change string, {_HELD}"
+_out = Row(*(c.split()[0] for c in _EMITTED.split(", ")))
+_SECOND = 1_000_000
+
+
 class JobStates(StatefulProcessor):
     """One job's state. A row out for every change, refusal, lapsed lease and due retry."""
 
     def __init__(self, lease_seconds: int = LEASE_SECONDS, base_seconds: int = RETRY_SECONDS):
-        self.lease, self.base = timedelta(seconds=lease_seconds), base_seconds
+        self.lease, self.base = lease_seconds, base_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", STATE)
+        self.job = handle.getValueState("job", _HELD)
 
-    def _set(self, state: tuple) -> None:
-        """The state with the one timer that it waits for."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def _set(self, state: tuple, before: tuple | None) -> None:
+        """The state with the one timer that it waits for; one that has fired isn't set again."""
         due = state[5] or state[6]
-        if due:
-            self.handle.registerTimer(int(due.replace(tzinfo=timezone.utc).timestamp() * 1000))
+        if before is None or due != (before[5] or before[6]):
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if due:
+                self.handle.registerTimer(due // 1000)
         self.job.update(state)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = tuple(self.job.get()) if self.job.exists() else None
-        for e in sorted(rows, key=lambda r: (r.at, r.seq)):
+        state = before = tuple(self.job.get()) if self.job.exists() else None
+        for e in sorted(rows, key=lambda r: (r.micros, r.seq)):
             new, change = self._after(state, e), e.kind
             if new is None:
                 continue
             if new == state and e.kind != "queued":
                 change = "refused"
             state = new
-            yield Row(key[0], e.at, e.seq, change, *state)
+            yield _out(key[0], e.micros, e.seq, change, *state)
         if state is not None:
-            self._set(state)
+            self._set(state, before)
 
     def _after(self, s: tuple | None, e: Row) -> tuple | None:
         if e.kind == "queued":
@@ -92,20 +99,19 @@ class JobStates(StatefulProcessor):
         if s is None:
             return None
         status, queue, n, most, owner, until, _ = s
-        if e.kind == "started" and status != "completed" and queue != "dlq" and not (status == "running" and until > e.at and owner != e.worker):
-            return ("running", "default", n + 1, most, e.worker, e.at + self.lease, None)
+        later = lambda seconds: (e.micros // _SECOND + seconds) * _SECOND
+        if e.kind == "started" and status != "completed" and queue != "dlq" and not (status == "running" and until > e.micros and owner != e.worker):
+            return ("running", "default", n + 1, most, e.worker, later(self.lease), None)
         if e.kind == "failed" and status == "running":
             dead = n >= most
-            again = None if dead else (e.at + timedelta(seconds=self.base * 2 ** max(0, n - 1))).replace(microsecond=0)
-            return ("failed", "dlq" if dead else "retry", n, most, None, None, again)
+            return ("failed", "dlq" if dead else "retry", n, most, None, None, None if dead else later(self.base * 2 ** max(0, n - 1)))
         if e.kind == "completed" and status == "running":
             return ("completed", queue, n, most, None, None, None)
         return s
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = tuple(self.job.get())
-        at = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, timezone.utc).replace(tzinfo=None)
-        yield Row(key[0], at, -1, "lease lapsed" if s[0] == "running" else "retry due", *s)
+        yield _out(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000, -1, "lease lapsed" if s[0] == "running" else "retry due", *s)
 
     def close(self) -> None:
         pass
@@ -116,5 +122,7 @@ def job_states(events: DataFrame, late: str = "0 seconds", lease_seconds: int =
 
     Timers fire when the watermark, which lags ``late`` behind the latest event, passes them.
     """
-    timed = events.withWatermark("at", late)
-    return timed.groupBy("job_id").transformWithState(JobStates(lease_seconds, base_seconds), OUTPUT, "Append", "EventTime")
+    timed = events.withColumn("micros", F.unix_micros("at")).withWatermark("at", late)
+    out = timed.groupBy("job_id").transformWithState(JobStates(lease_seconds, base_seconds), _EMITTED, "Append", "EventTime")
+    times = {c.split()[0] for c in OUTPUT.split(", ") if c.endswith("timestamp")}
+    return out.select(*(F.timestamp_micros(c).alias(c) if c in times else c for c in out.columns))
