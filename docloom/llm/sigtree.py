@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import components, sent, settle, stars
+from .shared import components, sent, settle, stars, stored
 
 FANOUT = 8
 
@@ -189,7 +189,7 @@ def _least(key: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 #: Shingles, at most, that are known to be frequent. They only set an order: any number gives the same links.
 FREQUENT = 1_000_000
-#: Members near each other in a cell that have a shingle, for it to be counted.
+#: Members in a task's slice that have a shingle, for it to be counted.
 OFTEN = 4
 
 
@@ -199,8 +199,8 @@ def split_cells(members: DataFrame, n: int, percent: int, buckets: int) -> DataF
     In any one order of all shingles, two linked sets share one of the first
     len - ceil(percent * len / 100) + 1 of either. The order puts frequent ones
     last, so members tied by a passage that many have, but by no rarer shingle,
-    part; those without a partner drop out. Frequent are those that members of
-    a cell who stand together in a task often have, the most frequent FREQUENT of them.
+    part; those without a partner drop out. Frequent are those that members who
+    stand together in a task often have, the most frequent FREQUENT of them.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +210,8 @@ def split_cells(members: DataFrame, n: int, percent: int, buckets: int) -> DataF
                 h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ta.signed(h[c >= OFTEN])), pa.array(c[c >= OFTEN])], ["h", "c"])
 
-    near = members.select("cell", "id", "text").repartitionByRange("cell", "id")
-    most = near.mapInArrow(ta.lean(counted), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    # what many members have comes often in any task of them, so no text is moved for this
+    most = members.select("text").mapInArrow(ta.lean(counted), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     h, c = (most.column(k).to_numpy() for k in ("h", "c"))
     order = np.argsort(h.view(np.uint64))
     known = members.sparkSession.sparkContext.broadcast((np.append(h.view(np.uint64)[order], ~np.uint64(0)), np.append(c[order], 0)))
@@ -399,7 +399,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     members = settle(nodes.join(near, "id"))
     # the text of each member, once; a doc_id with several texts has several nodes
     texts = texts.join(sent(settle(members.select("id").distinct())), "id", "left_semi")
-    texts = settle(texts.dropDuplicates(["id", "text"]))
+    again = sent(settle(seen.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))))  # only these can come twice with one text
+    texts = stored(texts.join(again, "id", "left_anti").union(texts.join(again, "id", "left_semi").dropDuplicates(["id", "text"])))
     cells = _sized(members, percent, cell_shingles)
     if cells.where("k > 1").limit(1).count():
         split = cells.where("k > 1")
