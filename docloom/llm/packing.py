@@ -183,19 +183,23 @@ def _epoch(capacity: int, epoch: int, generations: int):
     return run
 
 
-def place(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 4000, islands: int = 3, epochs: int = 2, generations: int = 12) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 4000, islands: int = 3, epochs: int = 2, generations: int = 12, number: str | None = None) -> DataFrame:
     """Every row of pieces with sequence_id and offset. pieces has length and should be settled; other columns are carried along.
 
+    ``number`` names a column of different numbers, which is left out of the result; a table
+    that was stored with one may be read back in any order. Without it rows go by their place.
+
     Pieces of full length are sequences of their own, with negative numbers, and
     are neither grouped nor shuffled; of the others numbers and lengths are dealt
     out, and the rows themselves meet their places in one join. Repeated rows,
     ties and null ids go by their place in the table, so they spread over the
     shards. Columns named sequence_id or offset are replaced.
     """
-    row = "row"
-    while row in pieces.columns:
+    row = number or "row"
+    while not number and row in pieces.columns:
         row += "_"
-    pieces = pieces.drop("sequence_id", "offset").withColumn(row, F.monotonically_increasing_id())
+    pieces = pieces.drop("sequence_id", "offset")
+    pieces = pieces if number else pieces.withColumn(row, F.monotonically_increasing_id())
     full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col(row)).withColumn("offset", F.lit(0).cast("long"))
     short = pieces.where(F.col("length") < capacity)
     n = short.count()
