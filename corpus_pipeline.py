@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import decontam, linededup, packing, quality, sigtree
 from docloom.llm.queries import tokenizer_path
-from docloom.llm.shared import checkpoint_dir, load, sent, settle, ship_package
+from docloom.llm.shared import checkpoint_dir, load, sent, settle, ship_package, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,8 +63,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their ids, placed in sequences. A null text is packed as an empty one, its end id alone; repeated rows are packed each; an empty table gives no pieces."""
     ship_package(spark)
-    pieces = settle(packing.cut_pieces(docs, tokenizer_path()))
-    return packing.place(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    pieces = stored(packing.cut_pieces(docs, tokenizer_path()).withColumn("__number", F.monotonically_increasing_id()))  # Parquet takes half the room of a checkpoint
+    return packing.place(pieces, number="__number").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 STAGES = [
