@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import components, sent, settle, stars, stored
+from .shared import components, free_shuffles, sent, settle, stars, stored
 
 FANOUT = 8
 
@@ -397,6 +397,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
     buckets = lambda sized: 1 + (sized.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
     near = components(shared_pieces(texts.join(sent(copies), "id", "left_anti"), n, percent, buckets(nodes)), contracted=True).withColumnRenamed("component", "cell")
     members = settle(nodes.join(near, "id"))
+    del near
+    free_shuffles(docs.sparkSession)
     # the text of each member, once; a doc_id with several texts has several nodes
     texts = texts.join(sent(settle(members.select("id").distinct())), "id", "left_semi")
     again = sent(settle(seen.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))))  # only these can come twice with one text
@@ -408,11 +410,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cell_shin
         parted = split_cells(large, n, percent, buckets(split))
         parted = split.select("id", "n_shingles").join(parted, "id").union(cells.where("k = 1").select("id", "n_shingles", "cell"))
         cells = _sized(parted, percent, cell_shingles)
+        del large, parted, split
+        free_shuffles(docs.sparkSession)
     # a cell of several blocks is dealt by size class, and a class by hash
     part = F.when(F.col("k") > 1, F.col("cls") * CLASS_STEP + F.pmod(F.xxhash64("id", F.lit(1)), "kc")).otherwise(F.lit(0))
     cells = settle(cells.withColumn("part", part))
     place = cells.select("id", F.struct("cell", "part").alias("block"), F.col("id").alias("label"), F.lit(0).alias("side")).distinct()
     links = settle(_join_blocks(place, texts, n, percent))
+    free_shuffles(docs.sparkSession)
     if cells.where("k > 1").limit(1).count():
         links = _join_large_cells(cells.where("k > 1"), texts, links, n, percent, cell_shingles)
     # a doc_id may carry several sets: all of them are one document
