@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
+from ..functions.text import let
 from ..operators import candidates as C
 from ..operators import pages as G
 from ..sources.files import golden_fields
@@ -67,7 +68,7 @@ def evidence_scores(spark, d):
     some = lambda b, v="x": F.when(bit[b], v).otherwise("no detectado")
     birth, issued, expiry = F.when(bit["bi"], F.when(o % 3 == 0, "2021-01-01").otherwise("1990-01-01")), F.when(bit["iu"], "2020-01-01"), F.when(bit["ex"], "2030-01-01")
     n, c, run = o % 4, F.when(o % 2 == 0, "CL").otherwise("PE"), some("ac", "12.345.678-5")
-    rows = load(spark, d, "orders")
+    rows = spread(load(spark, d, "orders").select("o_orderkey"))
     return rows.select(
         o.alias("id"), E.certificate_confidence(F.lit(0.5), some("ho"), some("fi"), some("la"), some("nu"), some("iu"), some("ac"), n, n, n, n).alias("certificate"),
         E.identity_confidence(c, some("ho"), some("nu"), run, some("fi"), some("la"), birth, issued, expiry, some("se"), some("mz"), n, o % 5 < 3, o % 5 > 1).alias("identity"),
@@ -132,6 +133,8 @@ def golden_json(spark, d):
     licence = F.to_json(F.struct(F.struct(v(F.concat(F.lit("D"), s)).alias("document_id"), v(F.lit("Luz")).alias("first_name"), F.struct(F.struct(v(F.lit("calle 1")).alias("street")).alias("fields")).alias("address")).alias("fields")))
     card = F.lit('{"fields": {"date_of_birth": {"value": "1990-01-01"}, "sex": {"value": "M"}, "document_id": "no object"}}')
     text = F.when(k % 4 == 0, listed).when(k % 4 == 1, passport).when(k % 4 == 2, licence).otherwise(card)
-    rows = load(spark, d, "orders").select(k.alias("id"), golden_fields(text).alias("f"))
+    rows = spread(load(spark, d, "orders").select("o_orderkey")).select(k.alias("id"), golden_fields(text).alias("f"))
     keys = F.when(F.col("id") % 4 == 0, F.array(*map(F.lit, ("amount", "document_family", "rut")))).when(F.col("id") % 4 == 2, F.array(*map(F.lit, ("address", "birth_date", "document_family", "document_number", "holder_name", "mrz_line_1", "sex")))).otherwise(F.array(*map(F.lit, ("birth_date", "document_family", "document_number", "holder_name", "mrz_line_1", "sex"))))
-    return rows.select("id", F.array_join(F.transform(keys, lambda c: F.concat(c, F.lit("="), F.coalesce(F.try_element_at("f", c), F.lit("~")))), ";").alias("fields"))
+    # a column that a lambda names is computed for each element, where it is folded into it
+    listed = lambda f: F.array_join(F.transform(keys, lambda c: F.concat(c, F.lit("="), F.coalesce(F.try_element_at(f, c), F.lit("~")))), ";")
+    return rows.select("id", let(F.col("f"), listed).alias("fields"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let, some
+
 MANIFEST = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("filename", "family", "country", "pack_id", "variant", "capture_condition", "side", "split", "source_dataset", "benchmark_profile")]
     + [T.StructField("condition_tags", T.ArrayType(T.StringType())), T.StructField("expected_fields", T.MapType(T.StringType(), T.StringType()))]
@@ -82,21 +84,26 @@ _CARD = {"document_number": "document_id", "first_name": "first_name", "last_nam
 
 def golden_fields(text: Column) -> Column:
     """Map of expected fields of a golden JSON text, whichever of its shapes it has: expected_fields as they are; a passport's, a licence's or a card's fields by name."""
+    return let(text, _golden)
+
+
+def _golden(text: Column) -> Column:
     at = lambda path: F.get_json_object(text, f"$.{path}")
     value = lambda name: at(f"fields.{name}.value")
-    both = lambda a, b: F.nullif(F.concat_ws(" ", F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))), F.lit(""))
+    both = lambda a, b: some(F.concat_ws(" ", some(a), some(b)))
     made = lambda family, named: F.create_map(F.lit("document_family"), F.lit(family), *(x for k, c in named.items() for x in (F.lit(k), c)))
     given = F.from_json(at("expected_fields"), "map<string,string>")
-    family = F.coalesce(F.nullif(at("family"), F.lit("")), F.nullif(F.try_element_at(given, F.lit("document_family")), F.lit("")), F.lit("certificate"))
-    listed = F.map_concat(F.create_map(F.lit("document_family"), F.coalesce(F.try_element_at(given, F.lit("document_family")), family)), F.map_filter(given, lambda k, v: k != "document_family"))
+    named = lambda g: F.try_element_at(g, F.lit("document_family"))
+    family = lambda g: F.coalesce(named(g), some(at("family")), some(named(g)), F.lit("certificate"))
+    listed = lambda g: F.map_concat(F.create_map(F.lit("document_family"), family(g)), F.map_filter(g, lambda k, v: k != "document_family"))
     passport = made("passport", {k: value(v) for k, v in _PASSPORT.items()} | {"holder_name": both(value("given_names"), value("surnames")), "mrz_line_1": at("fields.mrz.fields.line_1.value"), "mrz_line_2": at("fields.mrz.fields.line_2.value")})
     card = {k: value(v) for k, v in _CARD.items()} | {"holder_name": both(value("first_name"), value("last_name"))}
     street = at("fields.address.fields.street.value")
     licence = made("driver_license", card | {"category": value("category"), "address": street})
     identity = made("identity", card | {"birth_date": value("date_of_birth"), "sex": value("sex")})
     is_passport = at("fields.document_number").isNotNull() | at("fields.document_type").isNotNull()
-    is_licence = F.coalesce(F.nullif(value("category"), F.lit("")), F.nullif(street, F.lit(""))).isNotNull()
-    return F.when(F.size(given) > 0, listed).when(is_passport, passport).when(is_licence, licence).otherwise(identity)
+    is_licence = F.coalesce(some(value("category")), some(street)).isNotNull()
+    return let(given, lambda g: F.when(F.size(g) > 0, listed(g)).when(is_passport, passport).when(is_licence, licence).otherwise(identity))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -1,0 +1,67 @@
+"""What a plan computes once: an expression that a lambda or a pushed filter repeats costs a row many times over."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docloom import catalog
+from docloom.functions import dates, evidence, identifiers, text
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("f", "most"), [(text.clean_value, 1), (text.is_missing_in_pages, 1), (dates.normalize_date, 2), (identifiers.canonical_document_number, 4), (identifiers.canonical_run, 4)], ids=lambda x: getattr(x, "__name__", str(x)))
+def test_named_once_in_lambdas(spark, f, most):
+    of = (lambda x: f(F.lit("CL"), x)) if f is identifiers.canonical_document_number else f
+    made = plan(spark.range(1).select(F.array(F.col("id").cast("string")).alias("a")).select(F.transform("a", of).alias("x")))
+    assert made.count("regexp_replace(") <= most
+
+
+def test_sequence_reads_each_date_once(spark):
+    rows = spark.createDataFrame([("1990-01-01", "2020-01-01", "2030-01-01")], "b string, i string, e string")
+    df = rows.select(dates.sequence_valid("b", "i", "e").alias("x"))
+    assert plan(df).count("regexp_replace(") <= 3 and df.first()["x"]
+
+
+def test_confidence_looks_at_each_value_once(spark):
+    df = spark.createDataFrame([("CL", "x")], "c string, v string")
+    v = F.col("v")
+    made = plan(df.select(evidence.license_confidence(F.col("c"), v, v, v, v, v, v, v, v, v).alias("x")))
+    assert made.count("SIN ") <= 9 + 3  # nine values, and the three dates in their sequence
+
+
+def test_candidates_are_made_outside_filters(spark):
+    filters = [x for x in plan(catalog.queries()["field_candidates"](spark, SF)).split("\n") if "Filter" in x]
+    assert not any("transform(" in x for x in filters)
+
+
+def test_pairs_of_lines_are_made_outside_filters(spark):
+    filters = [x for x in plan(catalog.queries()["kv_lead"](spark, SF)).split("\n") if "Filter" in x]
+    assert not any("regexp_extract(" in x for x in filters)
+
+
+def test_masks_are_put_on_once(spark):
+    assert plan(catalog.queries()["redact_text"](spark, SF)).count("regexp_extract_all(") == len(text.IDENTIFYING)
+
+
+@pytest.mark.parametrize("said", ["nada", "a@b.cc 12345678-9 y 12345678", None])
+def test_masks_as_before(spark, said):
+    got = spark.createDataFrame([(said,)], "t string").select(text.redact_inline("t").alias("x")).first()["x"]
+    assert got == {"nada": "nada", "a@b.cc 12345678-9 y 12345678": "a@****cc 12******-9 y 12****78", None: None}[said]
+
+
+def test_compatibility_digits_still_make_dates(spark):
+    df = spark.createDataFrame([("²0/01/1990",), ("1 DE MAYO DE 1990",), ("1 de mayo",)], "t string")
+    assert [r["x"] for r in df.select(dates.normalize_date("t").alias("x")).collect()] == ["1990-01-20", "1990-05-01", "1 de mayo"]
+
+
+def test_keys_of_five_bytes():
+    from docloom.llm import sigtree
+
+    keys = np.array([0, 1, 255, 1 << 39, (1 << 40) - 1], np.uint64)
+    assert len(sigtree._short(keys).tobytes()) == 5 * len(keys)
+    assert (sigtree._long(sigtree._short(keys).tobytes()) == keys).all()
