@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import normalize_date
 from ..functions.identifiers import canonical_document_number, canonical_run
-from ..functions.text import MISSING_IN_RULES, compact, is_missing, let, slugify
+from ..functions.text import MISSING_IN_RULES, compact, is_missing, let, slugify, some
 from .sections import holder_name, is_placeholder
 
 CANDIDATE = "struct<engine:string,source:string,value:string,raw_text:string,confidence:double,page:int,match_type:string>"
@@ -36,10 +36,10 @@ def candidate_score(wanted: Column, found: Column, confidence: Column, match_typ
 def from_values(run: Column, name: Column, label: Column) -> Column:
     """What a run's own values (a map by slug) say of a field, in the form of its kind; null without."""
     v = run["values"]
-    first = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at(v, F.lit(k)), F.lit("")) for k in keys))
-    given = lambda c: F.when(~is_missing(c, MISSING_IN_RULES), c)
+    first = lambda *keys: F.coalesce(*(some(F.try_element_at(v, F.lit(k))) for k in keys))
+    given = lambda c: let(c, lambda x: F.when(~is_missing(x, MISSING_IN_RULES), x))
     holder = let(holder_name(v, run["holder_name"]), lambda h: F.when(~is_placeholder(h), h))
-    out = given(F.coalesce(F.nullif(F.try_element_at(v, name), F.lit("")), F.try_element_at(v, label)))
+    out = given(F.coalesce(some(F.try_element_at(v, name)), F.try_element_at(v, label)))
     out = F.when(name == "mrz", given(F.try_element_at(v, F.lit("mrz")))).otherwise(out)
     out = F.when(name == "run", canonical_run(F.try_element_at(v, F.lit("run")))).otherwise(out)
     for names, keys in reversed(DATE_KEYS):
@@ -78,7 +78,8 @@ def _of_run(run: Column, f: Column) -> Column:
             F.when(h["token"].isNotNull(), made(h["token"]["text"], h["token"]["text"], h["token"]["confidence"], h["token"]["page"], "token")).when(h["pair"].isNotNull(), made(h["pair"]["value"], h["pair"]["raw_line"], sure, h["pair"]["page"], "layout-pair"))
             .when(h["page"].isNotNull(), made(f["value"], f["value"], sure, h["page"]["page"], "page-text")).when(h["own"].isNotNull(), own)
         )
-        more = lambda p: F.when(p.isNotNull() & h["own"].isNotNull() & (compact(h["own"]) != "") & (compact(h["own"]) != F.coalesce(F.nullif(compact(p["value"]), F.lit("")), compact(p["raw_text"]), F.lit(""))), own)
+        other = lambda p: let(compact(h["own"]), lambda c: (c != "") & (c != F.coalesce(some(compact(p["value"])), compact(p["raw_text"]), F.lit(""))))
+        more = lambda p: F.when(p.isNotNull() & h["own"].isNotNull() & other(p), own)
         return let(primary, lambda p: F.array_compact(F.array(p, more(p))))
 
     return let(hits, found)
@@ -103,20 +104,16 @@ def field_candidates(fields: DataFrame, runs: DataFrame) -> DataFrame:
     of_document = of_document.withColumn("runs", F.array_sort("runs", lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)))
     rows = fields.join(of_document, "document_id").withColumn("f", F.struct("value", F.coalesce(compact("value"), F.lit("")).alias("v"), slugify("label").alias("label_slug"), slugify("field").alias("name_slug")))
     rows = rows.withColumn("found", F.flatten(F.transform("runs", lambda r: _of_run(r, F.col("f")))))
-    keyed = F.transform("found", lambda c, i: let(F.coalesce(F.nullif(compact(c["value"]), F.lit("")), compact(c["raw_text"]), F.lit("")), lambda k: F.struct(i.alias("i"), k.alias("k"), candidate_score(F.col("f.v"), F.coalesce(compact(c["value"]), F.lit("")), c["confidence"], c["match_type"]).alias("score"), ((F.coalesce(compact(c["value"]), F.lit("")) == F.col("f.v")) & (F.coalesce(F.col("value"), F.lit("")) != "")).alias("selected"), c.alias("c"))))
-    rows = rows.withColumn("keyed", keyed)
+    key = lambda c, s: F.when(s != "", s).otherwise(F.coalesce(compact(c["raw_text"]), F.lit(""))).alias("k")
+    scored = lambda c, i, s: F.struct(i.alias("i"), key(c, s), candidate_score(F.col("f.v"), s, c["confidence"], c["match_type"]).alias("score"), ((s == F.col("f.v")) & (F.coalesce(F.col("value"), F.lit("")) != "")).alias("selected"), c.alias("c"))
+    rows = rows.withColumn("keyed", F.transform("found", lambda c, i: let(F.coalesce(compact(c["value"]), F.lit("")), lambda s: scored(c, i, s))))
     same = lambda a, b: (a["c"]["source"] == b["c"]["source"]) & (a["k"] == b["k"]) & (a["c"]["page"] == b["c"]["page"])
     alike = lambda a: F.filter("keyed", lambda b: same(a, b))
     best = F.filter("keyed", lambda a: ~F.exists(alike(a), lambda b: (b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["i"] < a["i"]))))
     # of equal rank, the key that came first
     order = F.transform(best, lambda a: F.struct((~a["selected"]).alias("s"), (-a["score"]).alias("p"), (-F.coalesce(a["c"]["confidence"], F.lit(0.0))).alias("q"), F.array_min(F.transform(alike(a), lambda b: b["i"])).alias("i"), a.alias("a")))
-    rows = rows.withColumn("ranked", F.array_sort(order, lambda x, y: _compare(x, y)))
-    out = rows.select("document_id", "field", F.posexplode("ranked").alias("p", "x"))
+    rows = rows.withColumn("ranked", F.array_sort(order))  # by its fields in turn; no two have the same i
+    # behind an inner posexplode Spark tests the array's size further down, with all that makes the array in the test over and over
+    out = rows.select("document_id", "field", F.posexplode_outer("ranked").alias("p", "x")).where("p is not null")
     return out.select("document_id", "field", (F.col("p") + 1).alias("rank"), "x.a.c.*", "x.a.selected", "x.a.score")
 
-
-def _compare(x: Column, y: Column) -> Column:
-    out = F.lit(0)
-    for c in ("i", "q", "p", "s"):
-        out = F.when(x[c] < y[c], -1).when(x[c] > y[c], 1).otherwise(out)
-    return out
