@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import PERIOD, normalize_period
 from ..functions.evidence import all_dates
 from ..functions.identifiers import RUN, canonical_run
-from ..functions.text import clean_value, key_value, label_like, squeezed, strip_accents, value_like
+from ..functions.text import clean_value, key_value_pair, label_like, let, squeezed, strip_accents, value_like
 
 
 def per_key(rows: DataFrame, ordered: int, f, schema: str) -> DataFrame:
@@ -53,11 +53,11 @@ def key_value_pairs(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = lines.withColumn("line", squeezed("line")).where("line <> ''")
     rows = rows.withColumn("next", F.when(F.lead("page").over(w) == F.col("page"), F.lead("line").over(w)))
-    label, value = key_value("line")
-    inline = label != ""
-    below = ~inline & label_like("line") & value_like("next") & (F.size(F.split("line", " ")) <= 5) & (F.upper("line") == F.col("line"))
-    pick = lambda a, b: F.when(inline, a).when(below, b)
-    pairs = rows.select("doc_id", "page", "line_no", pick(label, F.col("line")).alias("label"), pick(value, F.col("next")).alias("value"), pick(F.col("line"), F.concat_ws(" -> ", "line", "next")).alias("raw_line")).where("label is not null")
+    below = (F.size(F.split("line", " ")) <= 5) & (F.upper("line") == F.col("line")) & label_like("line") & value_like("next")
+    made = lambda label, value, raw: F.struct(label.alias("label"), value.alias("value"), raw.alias("raw_line"))
+    pick = lambda p: F.when(p["label"] != "", made(p["label"], p["value"], F.col("line"))).when(below, made(F.col("line"), F.col("next"), F.concat_ws(" -> ", "line", "next")))
+    # behind a generator, so that the test isn't pushed below and the pair made once more for it
+    pairs = rows.select("doc_id", "page", "line_no", F.explode_outer(F.array(let(key_value_pair("line"), pick))).alias("p")).where("p is not null").select("doc_id", "page", "line_no", "p.*")
     return pairs.groupBy("doc_id", "page", F.lower("label").alias("l"), F.lower("value").alias("v")).agg(F.min("line_no").alias("place"), *(F.max_by(c, "line_no").alias(c) for c in ("label", "value", "raw_line"))).drop("l", "v")
 
 
