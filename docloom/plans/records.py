@@ -58,7 +58,8 @@ _MASKS = "".join(f", t{k + 1} AS (SELECT doc_id, array_to_string(list_transform(
 @query(f"WITH t0 AS (SELECT doc_id, text || ' x@y.zz 1234-5678-12345678 12.345.678-k 1234567-1 12345678 123456789 12345678901 a@b ' || doc_id * 100003 AS x FROM documents){_MASKS} SELECT doc_id, md5(x) AS redacted, substr(x, 1, 160) AS preview FROM t4")
 def redact_text(spark, d):
     said = F.concat(F.col("text"), F.lit(" x@y.zz 1234-5678-12345678 12.345.678-k 1234567-1 12345678 123456789 12345678901 a@b "), (F.col("doc_id") * 100003).cast("string"))
-    return load(spark, d, "documents").select("doc_id", _md5(T.redact_inline(said)).alias("redacted"), T.safe_preview(said).alias("preview"))
+    rows = load(spark, d, "documents").select("doc_id", T.redact_inline(said).alias("masked"))
+    return rows.select("doc_id", _md5(F.col("masked")).alias("redacted"), T.shortened("masked").alias("preview"))
 
 
 _RUN = "(11 - (" + " + ".join(f"CAST(substr(body, {9 - k}, 1) AS INT) * {(k - 1) % 6 + 2}" for k in range(1, 9)) + ") % 11)"
