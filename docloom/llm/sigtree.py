@@ -139,7 +139,9 @@ def _ties(rows: DataFrame, keys, buckets: int) -> DataFrame:
     keys(part, seen) gives ids and their keys for a slice of rows. A task gives each
     key once for all the rows it combines, and edges between those; so a key that
     a large group shares reaches the shuffle a few times. Keys are shuffled in
-    runs, a row for each bucket of them, with the id named once a run.
+    runs, a row for each bucket of them, with the id named once a run, and of a
+    key the KEY_BYTES bytes that its bucket doesn't say. Two keys taken for one
+    only tie rows that need not be, which are compared as all others are.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,25 +159,41 @@ def _ties(rows: DataFrame, keys, buckets: int) -> DataFrame:
                 # an edge is a key of its own, which its two ends share
                 tie = ta.mix(ta.mix(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
                 p, i = np.concatenate([p[order][new], tie, tie]), np.concatenate([i[order][new], edges[:, 0], edges[:, 1]])
-                bucket = (p % np.uint64(buckets)).astype(np.int64)
+                bucket, p = (p % np.uint64(buckets)).astype(np.int64), p // np.uint64(buckets)
                 order = np.lexsort((i, bucket))
                 p, i, bucket = p[order], i[order], bucket[order]
                 row = np.flatnonzero(np.diff(bucket, prepend=-1))
                 run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(i, prepend=0) != 0))
                 in_row = pa.array(np.append(np.searchsorted(run, row), len(run)).astype(np.int32))
                 cols = [pa.array(bucket[row]), pa.ListArray.from_arrays(in_row, pa.array(i[run])), pa.ListArray.from_arrays(in_row, pa.array(np.diff(np.append(run, len(i))).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(np.append(row, len(p)).astype(np.int32)), pa.array(ta.signed(p)))], ["bucket", "ids", "many", "keys"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([k.tobytes() for k in np.split(_short(p), row[1:])][: len(row)], pa.binary())], ["bucket", "ids", "many", "keys"])
 
     def meet(bucket: pa.Table) -> pa.Table:
-        flat = [np.concatenate([c.flatten().to_numpy() for c in bucket.column(k).chunks]) for k in ("ids", "many", "keys")]
-        i = np.repeat(flat[0], flat[1])
-        least, _, order = _least(flat[2].view(np.uint64), i)
+        ids, many = (np.concatenate([c.flatten().to_numpy() for c in bucket.column(k).chunks]) for k in ("ids", "many"))
+        i = np.repeat(ids, many)
+        least, _, order = _least(_long(b"".join(bucket.column("keys").to_pylist())), i)
         edges = np.unique(np.stack([i[order], least], 1)[least != i[order]], axis=0)
         a, b = stars(edges[:, 0], edges[:, 1])
         ta.release()
         return pa.table({"a": a, "b": b})
 
-    return rows.mapInArrow(ta.lean(cut), "bucket long, ids array<long>, many array<int>, keys array<long>").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return rows.mapInArrow(ta.lean(cut), "bucket long, ids array<long>, many array<int>, keys binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
+#: Bytes of a key that are shuffled. A bucket holds some BUCKET_SHINGLES keys, of which two in all are alike by chance.
+KEY_BYTES = 5
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The low bytes of each key, a row each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _long(short: bytes) -> np.ndarray:
+    """Keys of their low bytes on end."""
+    out = np.zeros((len(short) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(short, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _least(key: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
