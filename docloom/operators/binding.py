@@ -16,6 +16,34 @@ UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".avif", ".pdf")
 
 
+def _pieces(c: str, lengths: str) -> Column:
+    """Different substrings of c that have one of the lengths."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(F.col(c), i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(c)), at)))
+
+
+def _lengths(rows: DataFrame, on: list[str], c: str) -> DataFrame:
+    return rows.groupBy(*on).agg(F.collect_set(F.length(c)).alias("lengths"))
+
+
+def holding(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """(on, a, rank): of each different a of (on, a) that holds any b of (on, b, rank), the least rank.
+
+    Forms meet by hash, as pieces of the lengths that there are: work follows the
+    rows and their lengths, not their pairs.
+    """
+    b = b.groupBy(*on, "b").agg(F.min("rank").alias("rank"))
+    pieces = a.select(*on, "a").distinct().join(_lengths(b, on, "b"), on).select(*on, "a", F.explode(_pieces("a", "lengths")).alias("b"))
+    return pieces.join(b, [*on, "b"]).groupBy(*on, "a").agg(F.min("rank").alias("rank"))
+
+
+def held(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """As ``holding``, of each a that is inside any b."""
+    a, b = a.select(*on, "a").distinct(), b.groupBy(*on, "b").agg(F.min("rank").alias("rank"))
+    pieces = b.join(_lengths(a, on, "a"), on).select(*on, F.explode(_pieces("b", "lengths")).alias("a"), "rank")
+    return a.join(pieces.groupBy(*on, "a").agg(F.min("rank").alias("rank")), [*on, "a"])
+
+
 def match_tokens(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """For each (document_id, field, value) the token (ord) of (document_id, ord, text, confidence) that it was read from; null without.
 
@@ -24,10 +52,12 @@ def match_tokens(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     v = values.select("document_id", "field", compact("value").alias("v")).where(F.length("v") >= 4)
     t = tokens.select("document_id", "ord", "confidence", compact("text").alias("t")).where(F.length("t") >= 4)
-    # equal forms meet by hash; only values without one are held against every token of their document
+    # equal forms meet by hash; only forms without one are looked for inside others
     equal = v.join(t.groupBy("document_id", F.col("t").alias("v")).agg(F.min("ord").alias("ord")), ["document_id", "v"]).groupBy("document_id", "field").agg(F.min("ord").alias("ord"))
-    rest = v.join(equal, ["document_id", "field"], "left_anti").join(t, "document_id").where(F.contains("v", "t") | F.contains("t", "v"))
-    part = rest.groupBy("document_id", "field").agg(F.min_by("ord", F.struct(-F.col("confidence"), -F.length("t"), "ord")).alias("ord"))
+    rest = v.join(equal, ["document_id", "field"], "left_anti").withColumnRenamed("v", "a")
+    forms, on = t.select("document_id", F.col("t").alias("b"), F.struct((-F.col("confidence")).alias("confidence"), (-F.length("t")).alias("length"), "ord").alias("rank")), ["document_id"]
+    found = rest.join(holding(rest, forms, on).unionByName(held(rest, forms, on)), ["document_id", "a"])
+    part = found.groupBy("document_id", "field").agg(F.min("rank")["ord"].alias("ord"))
     return values.select("document_id", "field").join(equal.unionByName(part), ["document_id", "field"], "left")
 
 
@@ -37,15 +67,19 @@ def match_pairs(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     0: an equal label, values not at odds; 1: one label in the other; 2: the value alone.
     """
     f = fields.select("document_id", "field", slugify("label").alias("fl"), slugify("field").alias("fn"), F.coalesce(compact("value"), F.lit("")).alias("fv"))
-    p = pairs.select("document_id", "ord", slugify("label").alias("pl"), F.coalesce(compact("value"), F.lit("")).alias("pv"))
-    holds = lambda a, b: F.contains(F.col(a), F.col(b))
-    # labels that are equal meet by hash; only fields without such a pair are held against every pair of their document
-    named = f.withColumn("pl", F.explode(F.array_distinct(F.array("fl", "fn")))).join(p, ["document_id", "pl"]).where(holds("pv", "fv") | holds("fv", "pv"))
-    first = named.groupBy("document_id", "field").agg(F.min("ord").alias("ord")).withColumn("tier", F.lit(0))
-    tier = F.when(holds("fl", "pl") | holds("pl", "fl") | holds("fn", "pl"), 1).when((F.col("fv") != "") & holds("pv", "fv"), 2)
-    rest = f.join(first, ["document_id", "field"], "left_anti").join(p, "document_id").withColumn("tier", tier).where("tier is not null")
-    others = rest.groupBy("document_id", "field").agg(F.min(F.struct("tier", "ord")).alias("best")).select("document_id", "field", "best.ord", "best.tier")
-    return fields.select("document_id", "field").join(first.unionByName(others), ["document_id", "field"], "left").select("document_id", "field", "tier", "ord")
+    p = pairs.select("document_id", F.col("ord").alias("rank"), slugify("label").alias("pl"), F.coalesce(compact("value"), F.lit("")).alias("pv"))
+    on, by_label = ["document_id"], ["document_id", "label"]
+    # of a tier, what a field asks with, and the earliest pair of each such form
+    named, of_label = f.select("document_id", "field", F.explode(F.array_distinct(F.array("fl", "fn"))).alias("label"), F.col("fv").alias("a")), p.select("document_id", F.col("pl").alias("label"), F.col("pv").alias("b"), "rank")
+    first = named.join(holding(named, of_label, by_label).unionByName(held(named, of_label, by_label)), [*by_label, "a"])
+    asks = lambda c: f.select("document_id", "field", F.col(c).alias("a"))
+    labels, said, value = p.withColumnRenamed("pl", "b"), p.withColumnRenamed("pv", "b"), asks("fv").where("a <> ''")
+    in_label = asks("fl").unionByName(asks("fn"))
+    second = in_label.join(holding(in_label, labels, on), ["document_id", "a"]).unionByName(asks("fl").join(held(asks("fl"), labels, on), ["document_id", "a"]))
+    third = value.join(held(value, said, on), ["document_id", "a"])
+    tiers = [x.select("document_id", "field", F.lit(k).alias("tier"), F.col("rank").alias("ord")) for k, x in enumerate((first, second, third))]
+    best = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("document_id", "field").agg(F.min(F.struct("tier", "ord")).alias("best"))
+    return fields.select("document_id", "field").join(best, ["document_id", "field"], "left").select("document_id", "field", "best.tier", "best.ord")
 
 
 def source_files(references: DataFrame, files: DataFrame) -> DataFrame:
