@@ -8,7 +8,7 @@ from ..functions import mrz as Z
 from ..functions import scores as M
 from ..operators import binding as B
 from ..operators import jobs as J
-from .registry import DOCS, JOBS, doc_records, jobs, load, query
+from .registry import DOCS, JOBS, doc_records, jobs, load, query, spread
 
 NOW = "1996-06-01 00:00:00"
 
@@ -85,7 +85,7 @@ def _mrz_text(spark, d):
     k, c = F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "ABCDEFGHIJ")
     td3 = F.concat(F.lit("Pasaporte\n"), F.rpad(F.concat(F.lit("P<CHL"), c, F.lit("<SOTO<<ANA<"), c), 44, "<"), F.lit("\n"), F.concat(F.lit("P"), k, F.lit("<4CHL8001014F3001019"), F.repeat(F.lit("<"), F.lit(14)), F.lit("00")), F.lit("\nfin"))
     td1 = F.concat(F.lit("Cedula\n1NPER"), F.rpad(F.concat(F.lit("1"), k), 25, "<"), F.lit("\n8501014M3105019PER"), F.repeat(F.lit("<"), F.lit(11)), F.lit("6\n"), F.rpad(F.concat(c, F.lit("<<LUIS")), 30, "<"))
-    return load(spark, d, "customer").select("c_custkey", td3.alias("td3"), td1.alias("td1"))
+    return spread(load(spark, d, "customer").select("c_custkey")).select("c_custkey", td3.alias("td3"), td1.alias("td1"))
 
 
 _LETTERS = "translate(c_custkey::VARCHAR, '0123456789', 'ABCDEFGHIJ')"

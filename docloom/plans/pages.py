@@ -10,7 +10,7 @@ from ..operators import pages as G
 from ..operators import sequences as S
 from ..operators.intake import feed
 from .normalizers import _MONTHS, _SQL_ROWS, _cat, _iso, _list, _month, _rows
-from .registry import LEDGER, ledger, load, query
+from .registry import LEDGER, ledger, load, query, spread
 
 
 @query(f"""WITH {_SQL_ROWS}, x AS (SELECT *, {_list(_MONTHS)}[month(l)] AS mmm, {_iso('l')} AS iso, k % 2 = 0 AS even FROM o)
@@ -45,7 +45,7 @@ _BACK = "NACIO EN DOMICILIO COMUNA PROFESION CIRCUNSCRIPCION HUELLA INCHL"
 def dominant_page(spark, d):
     k = F.col("c_custkey")
     text = lambda *cases: F.element_at(F.array(*map(F.lit, cases)), (k % 4 + 1).cast("int"))
-    pages = load(spark, d, "customer").select(k.alias("doc_id"), F.posexplode(F.array(text(_BACK, " \n", _FRONT, "algo"), text(_FRONT, _BACK, _FRONT, "PASAPORTE PASSPORT"))).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    pages = spread(load(spark, d, "customer").select("c_custkey")).select(k.alias("doc_id"), F.posexplode(F.array(text(_BACK, " \n", _FRONT, "algo"), text(_FRONT, _BACK, _FRONT, "PASAPORTE PASSPORT"))).alias("page", "text")).withColumn("page", F.col("page") + 1)
     return G.analyze(pages, F.lit("auto"), F.lit("XX")).select("doc_id", F.col("pages").cast("int").alias("pages"), "page", "pack_id", "side", "both_sides", F.round("confidence", 6).alias("confidence"))
 
 

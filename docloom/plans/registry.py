@@ -26,9 +26,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan has fewer partitions than there are, as a small file has: for work that costs far more than moving its rows."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows dealt evenly, some tasks a core: for work that costs far more than moving its rows.
+
+    A scan's splits say little of its rows: a row group is read by one task,
+    however many splits its file has.
+    """
+    return rows.repartition(max(3 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
 
 DECISION = {"purchase": "auto_accept", "click": "accept_with_warning", "view": "human_review", "error": "reject"}
@@ -110,7 +113,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 5, F.concat(shown("dd "), month(MONTHS_SHORT), shown(" yyyy"))).when(n == 6, F.concat(F.lit("Lima, "), shown("d"), F.lit(" de "), month(MONTHS_LONG), F.lit(" de "), shown("yyyy."))).when(n == 7, shown("dd.MM.yyyy")).otherwise(" sin fecha:")
     )
     period = F.concat(F.when(k % 2 == 0, "per. ").otherwise(""), month(MONTHS_SHORT), F.when(k % 3 == 0, "-").when(k % 3 == 1, "/").otherwise(" "), (F.year(d) + 20).cast("string"))
-    return load(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "cl").when(k % 3 == 1, "PE").otherwise("CO").alias("country"), body.alias("body"), raw.alias("raw"), date.alias("date_text"), period.alias("period"), shown("yyyy-MM-dd").alias("iso"), d.alias("made"))
+    return spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select(k.alias("id"), F.when(k % 3 == 0, "cl").when(k % 3 == 1, "PE").otherwise("CO").alias("country"), body.alias("body"), raw.alias("raw"), date.alias("date_text"), period.alias("period"), shown("yyyy-MM-dd").alias("iso"), d.alias("made"))
 
 
 IDS = """ids AS (SELECT o_orderkey AS id, o_orderkey % 3 AS c, o_orderkey % 8 AS v, o_orderkey % 9 AS n, lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '1') AS body, substr('0123456789K', CAST(o_orderkey % 11 + 1 AS INT), 1) AS verifier,
