@@ -96,25 +96,28 @@ def recommendation(reviewed: Column, false_accepts: Column, correction: Column,
     )
 
 
+def _pack_measures() -> dict[str, Column]:
+    n, reviewed, changed = F.count("*"), F.count_if("reviewed"), F.col("corrected") > 0
+    false_accepts, voted = F.count_if((F.col("decision") == "auto_accept") & changed), F.sum("consensus_fields")
+    correction, agreement = rate(F.count_if(changed), reviewed), rate(F.sum(F.col("agreement") * F.col("consensus_fields")), voted)
+    review = rate(F.count_if(F.col("decision") == "human_review"), n)
+    return {
+        "documents": n, "reviewed": reviewed, "corrected": F.count_if(changed), "false_accepts": false_accepts,
+        "straight_through_rate": F.round(rate(F.count_if(F.col("decision").isin("auto_accept", "accept_with_warning")), n), 6), "review_rate": F.round(review, 6),
+        "correction_rate": F.round(correction, 6), "confidence": F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 6), "agreement": F.round(agreement, 6),
+        "disagreement_rate": F.round(rate(F.sum("disagreements"), voted), 6), "abstention_rate": F.round(rate(F.sum("abstained"), F.sum("adjudications")), 6),
+        "recommendation": recommendation(reviewed, false_accepts, correction, agreement, review),
+    }
+
+
 def calibration(signals: DataFrame) -> DataFrame:
     """Twelve measures of each pack over ``documents.signals``, and what to do about it.
 
     Null confidence counts as 0; agreement is weighted by the fields with a
     consensus; family, country and variant are the pack's first record's.
     """
-    n, reviewed, changed = F.count("*"), F.count_if("reviewed"), F.col("corrected") > 0
-    corrected, false_accepts = F.count_if(changed), F.count_if((F.col("decision") == "auto_accept") & changed)
-    voted = F.sum("consensus_fields")
-    correction, agreement = rate(corrected, reviewed), rate(F.sum(F.col("agreement") * F.col("consensus_fields")), voted)
-    review = rate(F.count_if(F.col("decision") == "human_review"), n)
     of_first = lambda c: F.min_by(c, "ord").alias(c)
-    return signals.groupBy("pack_id").agg(
-        of_first("family"), of_first("country"), of_first("variant"), n.alias("documents"), reviewed.alias("reviewed"), corrected.alias("corrected"), false_accepts.alias("false_accepts"),
-        F.round(rate(F.count_if(F.col("decision").isin("auto_accept", "accept_with_warning")), n), 6).alias("straight_through_rate"), F.round(review, 6).alias("review_rate"),
-        F.round(correction, 6).alias("correction_rate"), F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 6).alias("confidence"), F.round(agreement, 6).alias("agreement"),
-        F.round(rate(F.sum("disagreements"), voted), 6).alias("disagreement_rate"), F.round(rate(F.sum("abstained"), F.sum("adjudications")), 6).alias("abstention_rate"),
-        recommendation(reviewed, false_accepts, correction, agreement, review).alias("recommendation"),
-    )
+    return signals.groupBy("pack_id").agg(of_first("family"), of_first("country"), of_first("variant"), *(c.alias(k) for k, c in _pack_measures().items()))
 
 
 # The order of insights.
@@ -172,13 +175,16 @@ def leaderboard(results: DataFrame) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(order))
 
 
-def learning_queue(documents: DataFrame, top: int = 25) -> DataFrame:
-    """Documents most worth a review, by additive score above 0; null confidence counts as 1."""
+def _queue_score() -> Column:
     c = F.coalesce("confidence", F.lit(1.0))
     score = 18 * F.col("corrected") + 8 * F.col("disagreements") + 5 * F.col("low_agreement") + 6 * F.col("abstained")
     score = score + F.when(c < 0.85, 6).otherwise(0) + F.when(F.col("decision") == "human_review", 8).otherwise(0)
-    score = score + F.when((F.col("decision") == "auto_accept") & (F.col("corrected") > 0), 20).otherwise(0)
-    return documents.withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), "ord").limit(top)
+    return (score + F.when((F.col("decision") == "auto_accept") & (F.col("corrected") > 0), 20).otherwise(0)).cast("long")
+
+
+def learning_queue(documents: DataFrame, top: int = 25) -> DataFrame:
+    """Documents most worth a review, by additive score above 0; null confidence counts as 1."""
+    return documents.withColumn("score", _queue_score()).where("score > 0").orderBy(F.desc("score"), "ord").limit(top)
 
 
 def benchmark(rows: DataFrame, strategy: str, pack: str, **measures: Column) -> DataFrame:
@@ -194,13 +200,12 @@ def snapshot_diff(snapshots: DataFrame, key: str, value: str, action: str = "act
     return both.where("n = 2").select(action, key, "latest", "previous", F.round(F.col("latest") - F.col("previous"), 6).alias("change"))
 
 
-def ops_snapshot(signals: DataFrame, now: str) -> DataFrame:
-    """One row on all records (``documents.signals``): statuses, decisions, jobs, means with a null confidence as 0, edits, coverage."""
+def _snapshot_measures(now: str) -> list[Column]:
     t, n, job = F.lit(now).cast("timestamp"), F.count("*"), F.col("job.status")
     waited = F.max(F.when(job == "queued", F.unix_millis(t) - F.unix_millis("job.created_at"))) / 60000
     due = (job == "failed") & (F.col("job.next_retry_at").isNull() | (F.col("job.next_retry_at") <= t))
     voted = F.sum("consensus_fields")
-    return signals.agg(
+    return [
         n.alias("documents"),
         *(F.count_if(F.col("status") == s).alias(f"status_{s}") for s in STATUSES),
         *(F.count_if(F.col("decision") == x).alias(f"decision_{x}") for x in ("pending", *DECISIONS)),
@@ -209,7 +214,12 @@ def ops_snapshot(signals: DataFrame, now: str) -> DataFrame:
         F.round(rate(F.sum(F.coalesce("confidence", F.lit(0.0))), n), 6).alias("average_confidence"), F.round(rate(F.sum(F.col("agreement") * F.col("consensus_fields")), voted), 6).alias("average_agreement"),
         F.coalesce(F.sum("disagreements"), F.lit(0)).cast("long").alias("disagreement_fields"), F.coalesce(F.sum("edits"), F.lit(0)).cast("long").alias("review_edits"),
         F.count_if("reviewed").alias("dataset_eligible"), F.round(rate(F.count_if("reviewed"), n), 6).alias("review_coverage"),
-    )
+    ]
+
+
+def ops_snapshot(signals: DataFrame, now: str) -> DataFrame:
+    """One row on all records (``documents.signals``): statuses, decisions, jobs, means with a null confidence as 0, edits, coverage."""
+    return signals.agg(*_snapshot_measures(now))
 
 
 # The gauges and their order; the last part is the snapshot's column and its decimals.
@@ -224,10 +234,16 @@ GAUGES = (
 
 
 def gauges(signals: DataFrame, now: str) -> DataFrame:
-    """(place, line): the 23 gauges of all records as metrics text."""
-    queue = learning_queue(signals, 100).agg(F.count("*").alias("queue_size"))
-    packs = calibration(signals).agg(F.coalesce(F.sum("false_accepts"), F.lit(0)).alias("false_accept_corrections"), F.count_if(F.col("recommendation") != "stable").alias("packs_needing_calibration"))
-    row = ops_snapshot(signals, now).join(queue, F.lit(True)).join(packs, F.lit(True))
+    """(place, line): the 23 gauges of all records as metrics text.
+
+    All records and each pack are groups of one aggregation, so that records are read once.
+    """
+    packs = _pack_measures()
+    told = [packs[k].alias(f"pack_{k}") for k in ("false_accepts", "recommendation")]
+    groups = signals.groupingSets([["pack_id"], []], "pack_id").agg(F.grouping_id().alias("whole"), F.least(F.count_if(_queue_score() > 0), F.lit(100)).alias("queue_size"), *told, *_snapshot_measures(now))
+    whole = F.col("whole") == 1
+    of_all = [F.coalesce(F.max(F.when(whole, F.col(c))), F.lit(0)).alias(c) for _, c, _ in GAUGES if c not in ("false_accept_corrections", "packs_needing_calibration")]
+    row = groups.agg(*of_all, F.coalesce(F.sum(F.when(~whole, F.col("pack_false_accepts"))), F.lit(0)).alias("false_accept_corrections"), F.count_if(~whole & (F.col("pack_recommendation") != "stable")).alias("packs_needing_calibration"))
     lines = [F.format_string(f"ocr_{name} %d" if not k else f"ocr_{name} %.{k}f", F.col(c) if k else F.col(c).cast("long")) for name, c, k in GAUGES]
     return row.select(F.posexplode(F.array(*lines)).alias("place", "line"))
 
