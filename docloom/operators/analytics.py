@@ -133,9 +133,14 @@ def insights(calibrated: DataFrame, top: int | None = None) -> DataFrame:
 
 def learning_loop(signals: DataFrame, top: int = 25) -> DataFrame:
     """One row of totals: reviewed records, the queue's length, packs, and corrections after an automatic accept."""
-    queue = learning_queue(signals, top).agg(F.count("*").alias("queue_size"))
-    tracked = calibration(signals).agg(F.count("*").alias("packs_tracked"), F.coalesce(F.sum("false_accepts"), F.lit(0)).alias("false_accept_corrections"))
-    return signals.agg(F.count_if("reviewed").alias("reviewed_documents")).join(queue, F.lit(True)).join(tracked, F.lit(True))
+    groups = signals.groupingSets([["pack_id"], []], "pack_id").agg(
+        F.grouping_id().alias("whole"), F.count_if("reviewed").alias("reviewed"), F.count_if(_queue_score() > 0).alias("queue"), _pack_measures()["false_accepts"].alias("false_accepts"),
+    )
+    whole = F.col("whole") == 1
+    of_all = lambda c: F.coalesce(F.max(F.when(whole, F.col(c))), F.lit(0).cast("long"))
+    return groups.agg(
+        of_all("reviewed").alias("reviewed_documents"), F.least(of_all("queue"), F.lit(top).cast("long")).alias("queue_size"), F.count_if(~whole).alias("packs_tracked"), of_all("false_accepts").alias("false_accept_corrections"),
+    )
 
 
 # What a recommendation adds to automatic confidence, automatic agreement and confidence with a warning.
