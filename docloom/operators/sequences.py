@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import PERIOD, normalize_period
-from ..functions.evidence import all_dates
+from ..functions.dates import PERIOD, month_number
+from ..functions.evidence import first_date
 from ..functions.identifiers import RUN, canonical_run
-from ..functions.text import clean_value, key_value_pair, label_like, let, squeezed, strip_accents, value_like
+from ..functions.text import SPACE, clean_value, key_value_pair, label_like, let, some, squeezed, strip_accents_of, value_like
 
 
 def per_key(rows: DataFrame, ordered: int, f, schema: str) -> DataFrame:
@@ -157,44 +157,47 @@ def period_rows(lines: DataFrame) -> DataFrame:
     A line with a period opens a row, which takes the lines up to the next one or
     a footer; a running count tells rows apart. The opening line has amounts and a
     code, or an employer with a RUT; what it lacks comes from the lines below, in order.
+
+    What a line may give is made of each line by itself, before lines are brought
+    together: an empty text where it gives nothing. Lines below that have neither a
+    RUT nor a date go on with a code of a period without payment, else the first is
+    the employer.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    plain = lambda c: F.upper(strip_accents(c))
-    opens = normalize_period("line").isNotNull()
-    ends = plain(F.col("line")).rlike("|".join(FOOTERS))
-    rows = lines.withColumn("opens", opens).withColumn("kind", F.when(F.col("opens"), 1).when(ends, 0)).withColumn("state", F.last("kind", True).over(w)).withColumn("row", F.sum(F.col("opens").cast("int")).over(w))
-    blocks = rows.where("state = 1").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", "row", F.col("l.line").alias("l"))
-    rut = lambda c: F.regexp_extract(c, RUN, 0)
-    first_date = lambda c: F.get(all_dates(c), F.lit(0))
-    hidden = lambda c: F.contains(plain(F.coalesce(c, F.lit(""))), F.lit("PERIODO SIN"))
-
-    head = F.col("l")[0]
-    found = F.array_distinct(F.regexp_extract_all(head, F.lit(AMOUNT), F.lit(0)))
-    zeros = F.length(head) - F.length(F.replace(head, F.lit("$0"), F.lit(""))) >= 4
-    blocks = blocks.withColumns({"amounts": F.when((F.size(found) == 0) & zeros, F.array(F.lit("0"), F.lit("0"))).otherwise(found), "label": F.regexp_extract(plain(head), PERIOD, 0), "rest": F.regexp_extract(plain(head), f"(?s)^.*?{PERIOD}(.*)$", 3)})
+    c, empty = F.col, F.lit("")
+    rows = lines.withColumn("plain", F.upper(strip_accents_of("line"))).withColumn("opens", F.col("plain").rlike(PERIOD))
+    rows = rows.withColumns({"head": F.when(c("opens"), c("line")), "top": F.when(c("opens"), c("plain")), "below": F.when(~c("opens"), c("line")), "kind": F.when(c("opens"), 1).when(c("plain").rlike("|".join(FOOTERS)), 0)})
+
+    rows = rows.withColumn("found", F.array_distinct(F.regexp_extract_all("head", F.lit(AMOUNT), F.lit(0))))
+    zeros = F.length("head") - F.length(F.replace("head", F.lit("$0"), empty)) >= 4
+    rows = rows.withColumns({"amounts": F.when((F.size("found") == 0) & zeros, F.array(F.lit("0"), F.lit("0"))).otherwise(c("found")), "rest": F.regexp_extract("top", f"(?s)^.*?{PERIOD}(.*)$", 3)})
     for k in (0, 1):
         at = F.expr(f"instr(rest, get(amounts, {k}))")
-        blocks = blocks.withColumn("rest", F.when(at > 0, F.substr("rest", at + F.length(F.get("amounts", F.lit(k))))).otherwise(F.col("rest")))
-    blocks = blocks.withColumn("code", clean_value("rest"))
-    blocks = blocks.withColumns({"rut": canonical_run(rut(F.col("code"))), "date": first_date(F.col("code"))})
+        rows = rows.withColumn("rest", F.when(at > 0, F.substr("rest", at + F.length(F.get("amounts", F.lit(k))))).otherwise(c("rest")))
+    # an opening line is looked at behind its amounts, another as a whole
+    rows = rows.withColumn("code", clean_value("rest")).withColumn("said", F.when(c("opens"), c("code")).otherwise(c("line")))
+    rows = rows.withColumn("found_rut", F.regexp_extract("said", RUN, 0)).withColumns({"rut": F.when(c("found_rut") != "", canonical_run("found_rut")), "date": first_date("said")})
     before = F.get(F.split("code", RUN, 2), F.lit(0))
-    named = clean_value(F.when(F.col("date").isNotNull(), F.replace(before, F.col("date"), F.lit(" "))).otherwise(before))
-    blocks = blocks.withColumn("named", F.when(F.col("rut").isNotNull() & ~hidden(named), named))
-
-    def step(s: Column, x: Column) -> Column:
-        bare = ~x.rlike(RUN) & ~x.rlike(STORED_DATE) & s["employer"].isNull()
-        more = bare & s["code"].isNotNull() & hidden(s["code"])
-        return F.struct(
-            F.when(bare & ~more, clean_value(x)).otherwise(s["employer"]).alias("employer"), F.when(more, clean_value(F.concat_ws(" ", s["code"], x))).otherwise(s["code"]).alias("code"),
-            F.coalesce(s["rut"], canonical_run(rut(x))).alias("rut"), F.coalesce(s["date"], first_date(x)).alias("date"),
-        )
-
-    start = F.struct(F.col("named").alias("employer"), F.when(F.col("named").isNull(), F.col("code")).alias("code"), F.col("rut").alias("rut"), F.col("date").alias("date"))
-    done = blocks.withColumn("s", F.aggregate(F.slice("l", 2, 100_000), start, step))
+    rows = rows.withColumn("named", F.when(c("opens") & c("rut").isNotNull(), clean_value(F.when(c("date").isNotNull(), F.replace(before, c("date"), F.lit(" "))).otherwise(before))))
+    hidden = lambda x: F.contains(F.upper(strip_accents_of(x)), F.lit("PERIODO SIN"))
+    rows = rows.withColumn("named", F.when(~hidden(c("named")), c("named"))).withColumn("code", F.when(c("named").isNull(), c("code")))
+
+    bare = (c("found_rut") == "") & ~c("below").rlike(STORED_DATE)
+    collapsed = F.rtrim(F.regexp_replace("below", SPACE + "+", " "), F.lit(" :-"))
     one, two = F.get("amounts", F.lit(0)), F.get("amounts", F.lit(1))
-    return done.select(
-        "doc_id", "row", normalize_period(head).alias("period"), F.col("label").alias("period_label"), F.col("s.date").alias("date"), F.coalesce(two, one).alias("amount"), one.alias("renta_amount"), two.alias("pension_amount"),
-        F.col("s.code").alias("code"), F.col("s.employer").alias("employer"), F.col("s.rut").alias("employer_rut"), clean_value(F.array_join("l", " ")).alias("detail"),
+    period = F.concat_ws("-", F.regexp_extract("top", PERIOD, 2), month_number(F.regexp_extract("top", PERIOD, 1)))
+    rows = rows.select(
+        "doc_id", "line_no", "line", "opens", "kind", F.coalesce(F.when(c("opens"), c("named")).when(bare, clean_value("below")), empty).alias("employer"), F.coalesce(F.when(c("opens"), c("code")).when(bare, F.ltrim(collapsed)), empty).alias("code"),
+        F.coalesce("rut", empty).alias("rut"), F.coalesce("date", empty).alias("date"), F.when(c("opens"), F.struct(period.alias("period"), F.regexp_extract("top", PERIOD, 0).alias("label"), one.alias("one"), two.alias("two"), F.coalesce(hidden(c("code")), F.lit(False)).alias("hidden"))).alias("h"),
+    )
+    rows = rows.withColumn("state", F.last("kind", True).over(w)).withColumn("row", F.sum(c("opens").cast("int")).over(w))
+    blocks = rows.where("state = 1").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "employer", "code", "rut", "date", "h"))).alias("l"))
+    blocks = blocks.withColumn("h", c("l")[0]["h"])
+    given = lambda name: F.array_remove(c(f"l.{name}"), empty)
+    first = lambda name: F.get(given(name), F.lit(0))
+    return blocks.select(
+        "doc_id", "row", c("h.period").alias("period"), c("h.label").alias("period_label"), first("date").alias("date"), F.coalesce("h.two", "h.one").alias("amount"), c("h.one").alias("renta_amount"), c("h.two").alias("pension_amount"),
+        F.when(c("h.hidden"), F.array_join(given("code"), " ")).otherwise(some(c("l")[0]["code"])).alias("code"), F.when(~c("h.hidden"), first("employer")).alias("employer"), first("rut").alias("employer_rut"), clean_value(F.array_join("l.line", " ")).alias("detail"),
     )
 
 
