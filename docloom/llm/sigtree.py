@@ -15,7 +15,8 @@ in one piece at least. Sets with an equal piece, through any chain of such
 sets, form a cell, and only inside a cell can there be links. Cells hold a few
 documents each, and each one's tree is walked in a task. A cell above
 ``cell_shingles`` is parted once more, by shingles in order of document frequency
-(``split_cells``); so a passage that very many documents have ties none. What
+(``split_cells``); so a passage ties none that have enough besides that no other
+has, and chains of such documents don't grow with the corpus. What
 still is larger, a group of near-copies as a rule, is dealt into blocks by size
 class, and within a class by hash: each block is joined with itself, then the roots of what was linked in a
 class of several blocks are dealt and joined again until they fit one block; at
@@ -152,32 +153,55 @@ def _ties(rows: DataFrame, keys, buckets: int) -> DataFrame:
                     for i, k in keys(part, seen):
                         of.append(k)
                         ids.append(np.full(len(k), i, np.int64))
-                p, i = np.concatenate(of), np.concatenate(ids)
-                least, new, order = _least(p, i)
-                a, c = least[~new], i[order][~new]
-                edges = np.unique(np.stack([a[a != c], c[a != c]], 1), axis=0)
-                # an edge is a key of its own, which its two ends share
-                tie = ta.mix(ta.mix(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
-                p, i = np.concatenate([p[order][new], tie, tie]), np.concatenate([i[order][new], edges[:, 0], edges[:, 1]])
-                bucket, p = (p % np.uint64(buckets)).astype(np.int64), p // np.uint64(buckets)
-                order = np.lexsort((i, bucket))
-                p, i, bucket = p[order], i[order], bucket[order]
-                row = np.flatnonzero(np.diff(bucket, prepend=-1))
-                run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(i, prepend=0) != 0))
-                in_row = pa.array(np.append(np.searchsorted(run, row), len(run)).astype(np.int32))
-                cols = [pa.array(bucket[row]), pa.ListArray.from_arrays(in_row, pa.array(i[run])), pa.ListArray.from_arrays(in_row, pa.array(np.diff(np.append(run, len(i))).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([k.tobytes() for k in np.split(_short(p), row[1:])][: len(row)], pa.binary())], ["bucket", "ids", "many", "keys"])
+                yield pa.RecordBatch.from_arrays(_combined(np.concatenate(of), np.concatenate(ids), buckets), _RUNS)
+
+    return _meet(rows.mapInArrow(ta.lean(cut), _RUNS_SCHEMA))
+
+
+_RUNS = ["bucket", "ids", "many", "keys"]
+_RUNS_SCHEMA = "bucket long, ids array<long>, many array<int>, keys binary"
+
+
+def _combined(p: np.ndarray, i: np.ndarray, buckets: int) -> list[pa.Array]:
+    """Columns _RUNS of keys p of ids i: each key once, and edges between the ids that share it."""
+    least, new, order = _least(p, i)
+    a, c = least[~new], i[order][~new]
+    edges = np.unique(np.stack([a[a != c], c[a != c]], 1), axis=0)
+    # an edge is a key of its own, which its two ends share
+    tie = ta.mix(ta.mix(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
+    p, i = np.concatenate([p[order][new], tie, tie]), np.concatenate([i[order][new], edges[:, 0], edges[:, 1]])
+    return _packed((p % np.uint64(buckets)).astype(np.int64), i, [], [_short(p // np.uint64(buckets))])
+
+
+def _packed(bucket: np.ndarray, i: np.ndarray, of_runs: list[np.ndarray], values: list[np.ndarray]) -> list[pa.Array]:
+    """Entries as a row for each bucket: its number, the ids of its runs, how many entries each has, what else is the same in all of a run, and the bytes of values (a row each) on end."""
+    order = np.lexsort((i, bucket))
+    i, bucket = i[order], bucket[order]
+    row = np.flatnonzero(np.diff(bucket, prepend=-1))
+    run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(i, prepend=0) != 0))
+    in_row = pa.array(np.append(np.searchsorted(run, row), len(run)).astype(np.int32))
+    lists = [i[run], np.diff(np.append(run, len(i))).astype(np.int32), *(x[order][run] for x in of_runs)]
+    return [pa.array(bucket[row]), *(pa.ListArray.from_arrays(in_row, pa.array(x)) for x in lists), *(pa.array([k.tobytes() for k in np.split(v[order], row[1:])][: len(row)], pa.binary()) for v in values)]
+
+
+def _unpacked(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    """What the runs of packed rows say, by name, once for each entry."""
+    many = np.concatenate([c.flatten().to_numpy() for c in rows.column("many").chunks])
+    return [np.repeat(np.concatenate([c.flatten().to_numpy() for c in rows.column(k).chunks]), many) for k in names]
+
+
+def _meet(runs: DataFrame) -> DataFrame:
+    """Edges (a, b), contracted in each bucket, between the ids of runs that share a key."""
 
     def meet(bucket: pa.Table) -> pa.Table:
-        ids, many = (np.concatenate([c.flatten().to_numpy() for c in bucket.column(k).chunks]) for k in ("ids", "many"))
-        i = np.repeat(ids, many)
+        (i,) = _unpacked(bucket, "ids")
         least, _, order = _least(_long(b"".join(bucket.column("keys").to_pylist())), i)
         edges = np.unique(np.stack([i[order], least], 1)[least != i[order]], axis=0)
         a, b = stars(edges[:, 0], edges[:, 1])
         ta.release()
         return pa.table({"a": a, "b": b})
 
-    return rows.mapInArrow(ta.lean(cut), "bucket long, ids array<long>, many array<int>, keys binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return runs.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 #: Bytes of a key that are shuffled. A bucket holds some BUCKET_SHINGLES keys, of which two in all are alike by chance.
@@ -205,45 +229,64 @@ def _least(key: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return i[order][np.flatnonzero(new)][np.cumsum(new) - 1], new, order
 
 
-#: Shingles, at most, that are known to be frequent. They only set an order: any number gives the same links.
-FREQUENT = 1_000_000
-#: Members in a task's slice that have a shingle, for it to be counted.
-OFTEN = 4
-
-
 def split_cells(members: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(id, cell) of members (cell, id, text): smaller cells, by shingles in order of how many members have them.
-
-    In any one order of all shingles, two linked sets share one of the first
-    len - ceil(percent * len / 100) + 1 of either. The order puts frequent ones
-    last, so members tied by a passage that many have, but by no rarer shingle,
-    part; those without a partner drop out. Frequent are those that members who
-    stand together in a task often have, the most frequent FREQUENT of them.
+    """(id, cell) of members (cell, id, text): smaller cells, by shingles in order of how many members of the cell have them.
+
+    In any one order of all shingles, two linked sets share one that is left of
+    either without its last ceil(percent * len / 100) - 1. The order puts frequent
+    ones last, so members tied by a passage that many have, but by no rarer
+    shingle, part; those without a partner drop out. Shingles that one member
+    alone has come first and tie nothing, so they end where they are counted:
+    back to their sets go those that several have, with their number, however
+    few. Each shingle is shuffled once, KEY_BYTES of it, and no text.
     """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in ta.slices(whole, "text", COMBINED_BYTES):
+                ids, cells = (b.column(k).to_numpy() for k in (0, 2))
                 sets = [s for part in ta.slices(b, "text") for s in shingle_sets(ta.column(part, "text"), n)]
-                h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ta.signed(h[c >= OFTEN])), pa.array(c[c >= OFTEN])], ["h", "c"])
-
-    # what many members have comes often in any task of them, so no text is moved for this
-    most = members.select("text").mapInArrow(ta.lean(counted), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    h, c = (most.column(k).to_numpy() for k in ("h", "c"))
-    order = np.argsort(h.view(np.uint64))
-    known = members.sparkSession.sparkContext.broadcast((np.append(h.view(np.uint64)[order], ~np.uint64(0)), np.append(c[order], 0)))
+                size = np.array([len(s) for s in sets])
+                p = ta.mix(np.concatenate(sets) + np.repeat(ta.mix(cells.view(np.uint64)), size))
+                bucket = (p % np.uint64(buckets)).astype(np.int64)
+                cols = _packed(bucket, np.repeat(ids, size), [np.repeat(size, size).astype(np.int32)], [_short(p // np.uint64(buckets))])
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "ids", "many", "sizes", "keys"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        of = rows.column("bucket")[0].as_py()
+        i, size = _unpacked(rows, "ids", "sizes")
+        key = _long(b"".join(rows.column("keys").to_pylist()))
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
+        times = np.diff(np.append(new, len(key)))
+        times = np.repeat(times, times)
+        shared = order[times > 1]
+        times = np.minimum(times[times > 1], 65535).astype("<u2")  # an order, in which few are as frequent
+        back = (ta.mix(i[shared].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        cols = _packed(back, i[shared], [size[shared]], [_short(key[shared]), times.view(np.uint8).reshape(-1, 2)])
+        ta.release()
+        return pa.table([*cols, pa.array(np.full(len(cols[0]), of))], ["back", "ids", "many", "sizes", "keys", "times", "bucket"])
+
+    def choose(rows: pa.Table) -> pa.Table:
+        i, size = _unpacked(rows, "ids", "sizes")
+        keys = rows.column("keys").to_pylist()
+        of = np.repeat(rows.column("bucket").to_numpy().astype(np.uint64), [len(k) // KEY_BYTES for k in keys])
+        key = _long(b"".join(keys)) * np.uint64(buckets) + of
+        order = np.lexsort((key, np.frombuffer(b"".join(rows.column("times").to_pylist()), "<u2"), i))
+        i, key, size = i[order], key[order], size[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        there = np.diff(np.append(first, len(i)))
+        # of several sets under one id the least says how many go
+        left = there + 1 - -(-percent * np.minimum.reduceat(size, first).astype(np.int64) // 100)
+        keep = np.arange(len(i)) - np.repeat(first, there) < np.repeat(left, there)
+        cols = _combined(key[keep], i[keep], buckets)
+        ta.release()
+        return pa.table(cols, _RUNS)
 
-    def keys(part: pa.RecordBatch, seen: set) -> Iterator[tuple[int, np.ndarray]]:
-        frequent, times = known.value
-        for i, cell, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(ta.column(part, "text"), n), strict=True):
-            if len(s):
-                at = np.searchsorted(frequent, s)
-                count = np.where(frequent[at] == s, times[at], 0)
-                first = np.lexsort((s, count))[: len(s) - -(-percent * len(s) // 100) + 1]
-                yield i, ta.mix(s[first] + ta.mix(np.array([cell], np.int64).view(np.uint64)))
-
-    return components(_ties(members.select("id", "text", "cell"), keys, buckets), contracted=True).withColumnRenamed("component", "cell")
+    counted = members.select("id", "text", "cell").mapInArrow(ta.lean(cut), "bucket long, ids array<long>, many array<int>, sizes array<int>, keys binary")
+    shared = counted.groupBy("bucket").applyInArrow(count, "back long, ids array<long>, many array<int>, sizes array<int>, keys binary, times binary, bucket long")
+    rare = shared.groupBy("back").applyInArrow(choose, _RUNS_SCHEMA)
+    return components(_meet(rare), contracted=True).withColumnRenamed("component", "cell")
 
 
 class SignatureTree:

@@ -349,6 +349,39 @@ def test_jaccard_of_nothing(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1)]
 
 
+def test_cells_part_at_shingles_that_few_have(spark):
+    """Pipeline's disk: long texts that share a passage with a neighbour alone, through a chain of them, are no cell; near-copies stay one."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    passages = [[word() for _ in range(60)] for _ in range(61)]
+    rows = [(k, " ".join([*passages[k], *(word() for _ in range(300)), *passages[k + 1]])) for k in range(60)]
+    rows += [(100 + k, rows[7][1] + f" tail{k}") for k in range(3)] + [(200, "a b"), (201, ""), (202, " ".join(passages[0]))]
+    for n, percent in ((3, 90), (5, 80)):
+        members = table(spark, [(*r, 0) for r in rows], "id long, text string, cell long").repartition(3)
+        got = {r.id: r.cell for r in sigtree.split_cells(members, n, percent, 4).collect()}
+        assert got == dict.fromkeys((7, 100, 101, 102), 7)
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_cells_keep_links(spark, n, percent):
+    """Whatever links stays in one cell: near-copies at the threshold, words that all have, rows of one id, a cell apart."""
+    rnd = random.Random(n)
+    rows = []
+    for k in range(40):
+        said = [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 120))]
+        for j in range(4):
+            for _ in range(rnd.randrange(1 + len(said) // 20)):
+                said[rnd.randrange(len(said))] = f"w{rnd.randrange(60)}"
+            rows.append((4 * k + j, " ".join(said)))
+    model = jaccard_model(rows, n, percent)
+    assert len({c for _, c in model.values()}) < len(rows) - 20
+    rows += [(3, " ".join(f"x{k}" for k in range(50)))]
+    got = {r.id: r.cell for r in sigtree.split_cells(table(spark, [(*r, 5) for r in rows], "id long, text string, cell long").repartition(3), n, percent, 3).collect()}
+    assert all(i in got and got[i] == got[c] for i, (_, c) in model.items() if i != c)
+    far = sigtree.split_cells(table(spark, [(1, "a b c d e f", 1), (2, "a b c d e f", 2)], "id long, text string, cell long"), n, percent, 2)
+    assert far.count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 200)] + [(500, 499), (499, 498), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
